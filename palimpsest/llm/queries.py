@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.mixing import mix
+from palimpsest.llm.ngram_join import near_duplicates
 from palimpsest.llm.sharding import shard_documents
 from palimpsest.llm.warc import warc_round_trip
 
@@ -33,6 +34,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n_words=3, num=90, den=100)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op10_warc": op10_warc,
 }
 
@@ -100,6 +106,24 @@ FROM dw LEFT JOIN hit USING (row_no) LEFT JOIN its USING (row_no)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op8_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+both_ AS (SELECT a.r AS ra, b.r AS rb, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+link AS (
+  SELECT ra, rb FROM both_ JOIN n x ON x.r = ra JOIN n y ON y.r = rb WHERE 100 * common >= 90 * (x.n + y.n - common)),
+e AS (SELECT ra, rb FROM link UNION SELECT rb, ra FROM link),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, e.rb FROM reach JOIN e ON reach.b = e.ra),
+c AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN w ON reach.b = w.r GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
+FROM w JOIN c ON c.a = w.r LEFT JOIN n ON n.r = w.r
 """,
     "op10_warc": r"""
 WITH p AS (
