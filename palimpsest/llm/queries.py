@@ -10,7 +10,9 @@ from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.mixing import mix
 from palimpsest.llm.ngram_join import near_duplicates
+from palimpsest.llm.quality import quality_scores
 from palimpsest.llm.sharding import shard_documents
+from palimpsest.llm.token_output import token_round_trip
 from palimpsest.llm.warc import warc_round_trip
 
 
@@ -18,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -38,16 +51,22 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n_words=3, num=90, den=100)
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_join": op8_ngram_join,
+    "op9_token_output": op9_token_output,
     "op10_warc": op10_warc,
 }
 
