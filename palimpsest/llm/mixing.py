@@ -100,8 +100,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     Nulls: a null text has size 0; null sources are one source; null ids share one hash. Rows with equal ids are taken alike,
     so a boundary can only fall between ids. An empty table gives no rows; a source without words has target 0.
     """
+    carried = {f"__carry{i}": c for i, c in enumerate(carry)}
     rows = materialize(
-        docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h"), *carry), "mix"
+        docs.select(
+            F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h"), *[F.col(c).alias(k) for k, c in carried.items()]
+        ),
+        "mix",
     )
     totals = sorted(((r["source"], r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     targets = fill_targets([t for _, t in totals], [weights[i % len(weights)] for i in range(len(totals))], share, most)
@@ -117,4 +121,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
         table = [{"source": None, "source_size": 0, "target": 0.0, "whole": 0, "cut": -1}]
     found = _lookup(rows, "source", table, "source string, source_size bigint, target double, whole bigint, cut bigint")
     repeats = F.col("whole") + (F.col("h") <= F.col("cut")).cast("long")
-    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), *carry)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), *[F.col(k).alias(c) for k, c in carried.items()])

@@ -81,7 +81,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> list[np
         if c >= n_words:
             out.append(np.unique(rolled[f : f + c - n_words + 1]))
         elif c:
-            out.append(mix((words[f : f + c] * ODD[2 : 2 + c]).sum(keepdims=True) + U(c) * ODD[50]))
+            out.append(mix((words[f : f + c] * ODD[2 : 2 + c]).sum(keepdims=True) + np.full(1, c, U) * ODD[50]))
         else:
             out.append(rolled[:0])
     return out

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.chat import format_preferences, mismatched_pairs
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_dedup
+from palimpsest.llm.licenses import oracle as license_oracle
+from palimpsest.llm.licenses import scan_licenses
 from palimpsest.llm.mixing import mix
 from palimpsest.llm.ngram_join import near_duplicates
 from palimpsest.llm.quality import quality_scores
@@ -27,10 +30,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(*mismatched_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -60,7 +71,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_license_scan": op3_license_scan,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
@@ -71,6 +84,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_formatting": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+s AS (SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS last_text FROM t WHERE role = 'assistant' GROUP BY conv_id),
+o AS (SELECT s.*, p.conv_id IS NOT NULL AS has_other, p.last_text AS other_text FROM s LEFT JOIN s p ON p.conv_id = xor(s.conv_id, 1)),
+u AS (SELECT t.*, has_other, CASE WHEN turn = last_turn THEN other_text ELSE text END AS b_text, turn < last_turn OR has_other AS in_b
+      FROM t JOIN o USING (conv_id) WHERE turn <= last_turn),
+l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS a, coalesce(list({'role': role, 'text': b_text} ORDER BY turn) FILTER (in_b), []) AS b FROM u GROUP BY conv_id),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS n FROM l)
+SELECT conv_id AS pair_id, n AS n_common,
+       coalesce(array_to_string(list_transform(a[1:n], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), ''), '') AS prompt,
+       coalesce(array_to_string(list_transform(a[n + 1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), ''), '') AS chosen,
+       coalesce(array_to_string(list_transform(b[n + 1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), ''), '') AS rejected,
+       coalesce(array_to_string(list_transform(a[n + 1:], lambda x: (length(x.role) + 13)::VARCHAR || ':0,' || (length(x.text) + 11)::VARCHAR || ':' || CASE WHEN x.role = 'assistant' THEN '1' ELSE '0' END), ','), '') AS chosen_mask,
+       coalesce(array_to_string(list_transform(b[n + 1:], lambda x: (length(x.role) + 13)::VARCHAR || ':0,' || (length(x.text) + 11)::VARCHAR || ':' || CASE WHEN x.role = 'assistant' THEN '1' ELSE '0' END), ','), '') AS rejected_mask
+FROM n
+""",
+    "op3_license_scan": license_oracle(),
     "op5_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
