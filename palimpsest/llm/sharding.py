@@ -69,15 +69,18 @@ class Ranges:
                 high = middle
         return low
 
-    def open(self, shards: int) -> list[tuple[int, int, int, int, int]]:
-        """The ranges of several groups in which a cut of the optimum may lie."""
+    def open(self, shards: int) -> list[tuple[int, int]]:
+        """Runs (first, last) of ranges, one per cut at most, in which a cut of the optimum may lie inside a range of several groups."""
         least, enough = self.smallest(True, shards), self.smallest(False, shards)
         low, high = self.cuts_all(least, False, shards), self.cuts_all(enough, True, shards)
-        out = set()
+        runs: list[list[int]] = []
         for a, b in zip(low, high, strict=True):
             i, j = max(0, bisect_right(self.ends, a) - 2), min(len(self.rows) - 1, bisect_right(self.ends, b))
-            out.update(k for k in range(i, j + 1) if self.rows[k][3] > 1)
-        return [self.rows[k] for k in sorted(out)]
+            if runs and i <= runs[-1][1] + 1:
+                runs[-1][1] = max(runs[-1][1], j)
+            elif i <= j:
+                runs.append([i, j])
+        return [(i, j) for i, j in runs if any(r[3] > 1 for r in self.rows[i : j + 1])]
 
     def cuts_all(self, capacity: int, optimistic: bool, shards: int) -> list[int]:
         """Bounds on each of ``shards`` cuts; a pessimistic pass that is stuck stays where it is."""
@@ -101,21 +104,16 @@ def find_cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[list[int], int]:
     bits = 64 - FIRST_BITS
     ranges = Ranges(_sums(groups, bits))
     while todo := ranges.open(shards):
-        low_bits = min(r[1] for r in todo)
-        n = sum(r[3] for r in todo)
-        step = 0 if n <= MAX_RANGES else max(0, low_bits - max(1, (MAX_RANGES // len(todo)).bit_length() - 1))
-        # Open ranges lie side by side around each cut: join them to few intervals, which become one filter.
-        spans: list[list[int]] = []
-        for lo, b, *_ in todo:
-            if spans and spans[-1][1] == lo:
-                spans[-1][1] = lo + (1 << b)
-            else:
-                spans.append([lo, lo + (1 << b)])
+        chosen = [r for i, j in todo for r in ranges.rows[i : j + 1]]
+        n = sum(r[3] for r in chosen)
+        finer = max(1, (MAX_RANGES // len(chosen)).bit_length() - 1)
+        step = 0 if n <= MAX_RANGES else max(0, min(r[1] for r in chosen if r[3] > 1) - finer)
         inside: Column = F.lit(False)
-        for a, b in spans:
-            inside = inside | F.col("h").between(a - BIAS, b - 1 - BIAS)
-        chosen = {r[0] for r in todo}
-        ranges = Ranges([r for r in ranges.rows if r[0] not in chosen] + _sums(groups.where(inside), step))
+        for i, j in todo:  # one run per shard at most
+            first, last = ranges.rows[i], ranges.rows[j]
+            inside = inside | F.col("h").between(first[0] - BIAS, last[0] + (1 << last[1]) - 1 - BIAS)
+        gone = {r[0] for r in chosen}
+        ranges = Ranges([r for r in ranges.rows if r[0] not in gone] + _sums(groups.where(inside), step))
     capacity = ranges.smallest(False, shards)
     cuts, starts = ranges.cuts(capacity, False, shards) or [], []
     for at in cuts[:-1]:
