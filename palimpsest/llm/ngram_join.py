@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ U = np.uint64
 BAND_RATIO = 1.5
 TILE_SHINGLES = 2_000_000
 SEEN_SETS = 1_000_000
+FILTER_BITS = 1 << 25
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -317,6 +319,22 @@ def _tasks(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     return found.withColumn("tasks", F.when(F.col("m_own").isNull(), one).otherwise(F.concat(own, up, down))).select("cls", "doc_key", "tasks")
 
 
+def _maybe(keys: DataFrame, name: str):
+    """A test of ``name``: false only for values that ``keys`` lacks. It is a bitmap of FILTER_BITS bits however many keys there are."""
+    bit = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    parts = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[[r["at"] for r in parts]] = [r["bits"] for r in parts]
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return test(bit)
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, tile: int = TILE_SHINGLES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -340,8 +358,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int =
         .groupBy("cls", "comp")
         .agg(F.min("doc_key").alias("doc_key"), F.first("n_shingles").alias("n_shingles"))
     )
-    tasks = _tasks(materialize(members, "join-members"), num, den, tile)
-    sets = docs.select("doc_key", "text").join(tasks, "doc_key").select("text", "cls", "tasks").mapInArrow(_sets(n_words), "task string, side int, cls binary, shingles binary")
+    members = materialize(members, "join-members")
+    tasks = _tasks(members, num, den, tile)
+    # Most texts are in no candidate group; the bitmap keeps nearly all of those from being moved, the join drops the rest.
+    sets = docs.select("doc_key", "text").where(_maybe(members, "doc_key")).join(tasks.hint("merge"), "doc_key").select("text", "cls", "tasks").mapInArrow(_sets(n_words), "task string, side int, cls binary, shingles binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = sets.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_tiles(num, den), "a binary, b binary")
     roots = connected_components(links, "join-links").withColumnsRenamed({"node": "cls"})
