@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.blocks import slices
+from palimpsest.llm.ngram_join import BYTE_VALUES, ODD, mix
 from palimpsest.storage import local_or_uri, materialize, new_path
 
 END_ID = 0
@@ -34,57 +36,188 @@ SAMPLE_CHARS = 16_000
 DICT_BYTES = 64 << 10
 FILE_BYTES = 128 << 20
 LEVEL = 3
-CACHE_PIECES = 400_000
+CACHE_PIECES = 3_000_000
+GROUP_BYTES = 24 << 20
+STEP_BYTES = 2 << 20
+RUN = 20
+SHORT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 MAGIC = b"IDSTORE1"
 HEADER = struct.Struct("<8sI32s")
 FOOTER = struct.Struct("<qq8s")
-#: Characters that some definition counts as white space; a piece that begins or ends with one is not cut off its neighbour.
-BLANK_EDGE = re.compile("[\\s\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
+#: Bytes next to which a text isn't cut: blanks and controls, and the first bytes of characters that some definition counts as blank.
+ODD_BYTE = np.zeros(256, bool)
+ODD_BYTE[:33] = ODD_BYTE[127] = True
+ODD_LEAD = np.zeros(256, bool)
+ODD_LEAD[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of a slice's texts: each text's start, and each lone space or line feed between two plain characters."""
+    n = len(data)
+    start = np.zeros(n + 1, bool)
+    start[offsets[:-1]] = True
+    if n > 2:
+        lead = ODD_LEAD[data]
+        after = lead.copy()  # a byte of a character of up to three bytes behind an odd first byte
+        after[1:] |= lead[:-1]
+        after[2:] |= lead[:-2]
+        middle = data[1:-1]
+        cut = ((middle == 32) | (middle == 10)) & ~ODD_BYTE[data[:-2]] & ~after[:-2] & ~ODD_BYTE[data[2:]] & ~lead[2:]
+        inside = np.ones(n + 1, bool)  # the neighbours must be of the same text
+        inside[offsets[1:-1] - 1] = False
+        start[1 : n - 1] |= cut & inside[1 : n - 1]
+    start[n] = False
+    return np.flatnonzero(start)
 
 
 class Encoder:
-    """Ids of texts as bytes. Byte-level BPE of this kind never joins bytes across a lone space or line feed between two
-    non-blank characters, so texts are cut there and each distinct piece is encoded once; other texts are encoded whole."""
+    """Ids of texts as bytes.
+
+    Byte-level BPE with the usual pattern never joins bytes across a lone space or line feed between two plain characters. So texts
+    are cut there, each distinct piece is encoded once, and its ids are copied to where it occurs. Pieces are told apart by a 64-bit
+    hash, their length and their first and last eight bytes. That encoded runs of pieces really end where the pieces do is checked by
+    the tokens' byte lengths; if not, or with a tokenizer of another kind, texts are encoded whole.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _safe(part: str) -> bool:
-        core = part.removeprefix("\n")
-        return bool(core) and not BLANK_EDGE.match(core) and not BLANK_EDGE.match(core[-1])
+        split = self.tokenizer.pre_tokenizer
+        self.cuttable = isinstance(split, ByteLevel) and not split.add_prefix_space and split.use_regex and self.tokenizer.normalizer is None and isinstance(self.tokenizer.model, BPE)
+        self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.kind)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(i, self.kind).tobytes() for i in self._ids(texts)]
+
+    def _learn(self, pieces: list[bytes], joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, count of each piece) for new pieces, the joinable ones in runs; None if a run of pieces doesn't end where they do."""
+        plain, odd = np.flatnonzero(joinable).tolist(), np.flatnonzero(~joinable).tolist()
+        runs = [b"".join([pieces[i] for i in plain[a : a + RUN]]).decode() for a in range(0, len(plain), RUN)]
+        ids = np.fromiter((i for run in self._ids(runs) for i in run), np.int64)
+        ends = np.cumsum(self.token_bytes[ids])
+        want = np.cumsum([len(pieces[i]) for i in plain])
+        at = np.searchsorted(ends, want)
+        if len(want) and (at[-1] >= len(ends) or not np.array_equal(ends[at], want)):
+            return None
+        count = np.zeros(len(pieces), np.int64)
+        count[plain] = np.diff(at, prepend=-1)
+        alone = self._ids([pieces[i].decode() for i in odd])
+        count[odd] = [len(x) for x in alone]
+        out = np.zeros(int(count.sum()), self.kind)
+        place = np.cumsum(count) - count
+        mine = np.zeros(len(out), bool)
+        for i, x in zip(odd, alone, strict=True):
+            out[place[i] : place[i] + len(x)] = x
+            mine[place[i] : place[i] + len(x)] = True
+        out[~mine] = ids
+        return out, count
+
+    def encode_column(self, column: pa.Array) -> Iterator[bytes]:
+        """Serialized ids of each text of an Arrow column, without an end id; null counts as empty."""
+        for a, b, data, offsets in slices(column, GROUP_BYTES):
+            yield from self._group(column[a:b], data, offsets)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Serialized ids of each text, without an end id."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        if len(self.heads) > CACHE_PIECES // 4:
-            self.heads.clear()
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        fresh = [p for p in set().union(*(p[1:] for p in split)) - self.cache.keys() if self._safe(p)] if split else []
-        self.cache.update(zip(fresh, self._bytes([p if p[0] == "\n" else " " + p for p in fresh]), strict=True))
-        heads = [p for p in {p[0] for p in split} - self.heads.keys() if self._safe(p)]
-        self.heads.update(zip(heads, self._bytes(heads), strict=True))
-        out, odd = [], []
-        for i, (head, *rest) in enumerate(split):
-            try:
-                out.append(self.heads[head] + b"".join(map(self.cache.__getitem__, rest)))
-            except KeyError:
-                out.append(b"")
-                odd.append(i)
-        for i, ids in zip(odd, self._bytes([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        return list(self.encode_column(pa.array(texts, pa.string())))
+
+    def _group(self, column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        if not self.cuttable:
+            yield from self.whole([t or "" for t in column.to_pylist()])
+            return
+        if len(self.keys) > CACHE_PIECES:
+            self._forget()
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        load = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        empty = np.diff(offsets) == 0
+        starts, keys, checks = [], [], []
+        for base, stop in _steps(offsets):
+            o = offsets[base : stop + 1]
+            part = data[o[0] : o[-1]]
+            if not len(part):
+                continue
+            s = cuts(part, np.unique(o - o[0]))
+            length = np.diff(np.append(s, len(part)))
+            place = np.arange(len(part)) - np.repeat(s, length)
+            powers = np.multiply.accumulate(np.full(int(length.max()), ODD[57], np.uint64))
+            keys.append(mix(np.add.reduceat(BYTE_VALUES[part] * powers[place], s) + length.astype(np.uint64)))
+            s = s + o[0]
+            head = load[s] & SHORT[np.minimum(length, 8)]
+            tail = load[np.maximum(s, s + length - 8)] & SHORT[np.minimum(length, 8)]
+            checks.append(mix(head) ^ mix(tail + length.astype(np.uint64) * ODD[58]))
+            starts.append(s)
+        if not starts:
+            yield from [b""] * len(column)
+            return
+        start, key, check = np.concatenate(starts), np.concatenate(keys), np.concatenate(checks)
+        length = np.diff(np.append(start, len(data)))
+        kinds, sample, which = np.unique(key, return_index=True, return_inverse=True)
+        good = np.array_equal(check[sample][which], check)
+        if good:
+            at = np.searchsorted(self.keys, kinds)
+            at[at == len(self.keys)] = 0
+            known = self.keys[at] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
+            good = not known.any() or np.array_equal(self.checks[at[known]], check[sample[known]])
+            fresh = np.flatnonzero(~known)
+            s, n = start[sample[fresh]], length[sample[fresh]]
+            end = s + n
+            joinable = ((data[s] == 32) | (data[s] == 10)) & ~ODD_BYTE[data[end - 1]]
+            for k in (1, 2, 3):
+                joinable &= ~ODD_LEAD[data[np.maximum(s, end - k)]]
+            raw = data.tobytes()
+            learned = self._learn([raw[a:b] for a, b in zip(s.tolist(), end.tolist(), strict=True)], joinable) if good else None
+            good = learned is not None
+        if not good:  # two pieces with one hash, or a tokenizer that joins what was cut
+            yield from self.whole([t or "" for t in column.to_pylist()])
+            return
+        ids, count = learned
+        first, size = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+        first[known], size[known] = self.first[at[known]], self.count[at[known]]
+        first[fresh], size[fresh] = np.cumsum(count) - count + len(self.flat), count
+        flat = self.flat = np.concatenate([self.flat, ids])
+        place = np.searchsorted(self.keys, kinds[fresh])
+        self.keys, self.checks = np.insert(self.keys, place, kinds[fresh]), np.insert(self.checks, place, check[sample[fresh]])
+        self.first, self.count = np.insert(self.first, place, first[fresh]), np.insert(self.count, place, count)
+        text_at = np.searchsorted(start, offsets)  # the first piece of each text
+        for base, stop in _steps(offsets):
+            p, q = int(text_at[base]), int(text_at[stop])
+            n = size[which[p:q]]
+            before = np.cumsum(n) - n
+            total = int(n.sum())
+            got = flat[np.repeat(first[which[p:q]] - before, n) + np.arange(total)].tobytes()
+            edge = np.append(before, total)[text_at[base : stop + 1] - p] * self.width
+            for i in range(stop - base):
+                yield got[edge[i] : edge[i + 1]] if not empty[base + i] else b""
+
+
+def _steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about STEP_BYTES."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STEP_BYTES, "right")) - 1)
+        yield a, b
+        a = b
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process and tokenizer, so that its pieces serve all tasks of the process."""
+    return Encoder(path)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> bytes:
@@ -177,8 +310,8 @@ class FileReader:
 def _writer(tokenizer: str, dictionary, folder: str, end_id: int | None, file_bytes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
+        ids_of, part = encoder(tokenizer), TaskContext.get().partitionId()
+        end = b"" if end_id is None else np.array([end_id], ids_of.kind).tobytes()
         files: list[tuple] = []
         writer = name = None
 
@@ -187,17 +320,15 @@ def _writer(tokenizer: str, dictionary, folder: str, end_id: int | None, file_by
             files.append((name, part, len(files), len(writer.ids), sum(writer.counts), writer.at))
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for a in range(0, len(ids), 256):
-                for doc_id, raw in zip(ids[a : a + 256], encoder.encode([t or "" for t in texts[a : a + 256].to_pylist()]), strict=True):
-                    if writer is not None and writer.at >= file_bytes:
-                        close()
-                        writer = None
-                    if writer is None:
-                        fs.create_dir(root, recursive=True)
-                        name = f"{root}/{uuid.uuid4().hex}.ids"
-                        writer = FileWriter(fs.open_output_stream(name, compression=None, buffer_size=1 << 20), encoder.width, dictionary.value)
-                    writer.add(doc_id, raw + end)
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), ids_of.encode_column(batch.column("text")), strict=True):
+                if writer is not None and writer.at >= file_bytes:
+                    close()
+                    writer = None
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    name = f"{root}/{uuid.uuid4().hex}.ids"
+                    writer = FileWriter(fs.open_output_stream(name, compression=None, buffer_size=1 << 20), ids_of.width, dictionary.value)
+                writer.add(doc_id, raw + end)
         if writer is not None:
             close()
         columns = zip(*files, strict=True) if files else [[]] * 6
