@@ -1,8 +1,9 @@
 """Reading, stripping, replacing and comparing metadata as rows (uri, key, value).
 
 ``attributes`` is what a file holds: (uri, entry_ord, key, value) with any keys. ``entries`` is what a preview shows of it.
-``files`` is the catalogue: (uri, mime_type, ...). Every operator keeps the uri as its only join key, so reading, comparing and
-applying can share one partitioning.
+``files`` is the catalogue: (uri, mime_type, ...). :func:`records` brings a file's attributes and plan to its row with one exchange of
+each table by uri; entries, replacing, previews and differences are then functions of that row's arrays, which hold no more than one
+file's metadata, and only the end result is exploded. Rows with a null uri belong to no file.
 """
 
 from __future__ import annotations
@@ -19,58 +20,92 @@ from palimpsest.functions.types import media_class
 from palimpsest.operators.plans import FIELDS
 
 
+TRACK_KEYS = ("HasVideo", "Width", "Height", "DurationMs")
+
+
 def _literals(names: Sequence[str]) -> Column:
     return F.array(*map(F.lit, names))
 
 
-def project_tags(attributes: DataFrame, names: Sequence[str] = tags.PREVIEW_TAGS) -> DataFrame:
-    """Entries of the tags ``names``, in their order; null and blank values are left out."""
-    order = F.array_position(_literals(names), F.col("key"))
-    return attributes.where(F.col("key").isin(*names) & ~blank(F.col("value"))).select("uri", order.cast("int").alias("entry_ord"), "key", "value")
+ENTRY = "array<struct<entry_ord:int,key:string,value:string>>"
+
 
+def records(files: DataFrame, attributes: DataFrame, plans: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """(uri, mime_type, kind, attrs, plan, error): each file with its attributes in order, its plan and its reading error, null if it has none."""
+    held = attributes.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct(F.col("entry_ord").cast("int").alias("entry_ord"), "key", "value"))).alias("attrs"))
+    rows = files.select("uri", "mime_type", media_class(F.col("mime_type")).alias("kind")).join(held, "uri", "left")
+    if plans is not None:
+        rows = rows.join(plans.select("uri", F.struct(*FIELDS).alias("plan")), "uri", "left")
+    if errors is not None:
+        rows = rows.join(errors.groupBy("uri").agg(F.min("error").alias("error")), "uri", "left")
+    rows = rows.withColumn("attrs", F.coalesce("attrs", F.array().cast(ENTRY)))
+    return rows if errors is not None else rows.withColumn("error", F.lit(None).cast("string"))
 
-def _with_placeholder(files: DataFrame, found: DataFrame, text: Column) -> DataFrame:
-    none = files.join(found.select("uri").distinct(), "uri", "left_anti").select("uri", F.lit(0).alias("entry_ord"), F.lit("Info").alias("key"), text.alias("value"))
-    return found.unionByName(none)
 
+def _entry(order: Column, key: Column, value: Column) -> Column:
+    return F.struct(order.cast("int").alias("entry_ord"), key.alias("key"), value.alias("value"))
 
-def image_entries(files: DataFrame, attributes: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Entries of image files: the preview tags, or one Error row for a file in ``errors`` (uri, error), or one Info row if there is nothing."""
-    images = files.where(media_class(F.col("mime_type")) == "image").select("uri")
-    found = project_tags(attributes.join(images, "uri", "left_semi"))
-    if errors is not None:
-        failed = images.join(errors.select("uri", F.col("error")), "uri").select("uri", F.lit(0).alias("entry_ord"), F.lit("Error").alias("key"), F.concat(F.lit("Could not read metadata: "), "error").alias("value"))
-        found = found.join(failed.select("uri"), "uri", "left_anti").unionByName(failed)
-    return _with_placeholder(images, found, F.lit(tags.NO_EXIF))
+
+def _one(key: str, value: Column) -> Column:
+    return F.array(_entry(F.lit(0), F.lit(key), value))
+
+
+def _values(attrs: Column, key: Column | str) -> Column:
+    """The last value under ``key``, null if there is none."""
+    return F.try_element_at(F.filter(attrs, lambda a: a["key"] == key), F.lit(-1))["value"]
+
+
+def _in_order(attrs: Column, names: Sequence[str]) -> Column:
+    """The attributes under ``names``, in the order of the names; attributes of one name stay in their own order."""
+    found = F.filter(attrs, lambda a: a["key"].isin(*names))
+    placed = F.transform(found, lambda a: F.struct(F.array_position(_literals(names), a["key"]).cast("int").alias("place"), a["entry_ord"].alias("was"), a["key"].alias("key"), a["value"].alias("value")))
+    return F.transform(F.array_sort(placed), lambda a: _entry(a["place"], a["key"], a["value"]))
 
 
-def media_entries(files: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Entries of video and audio files: title, artist, album, date, raw location, resolution (only with a picture) and duration; none for a bare file."""
-    media = files.where(media_class(F.col("mime_type")).isin("video", "audio")).select("uri")
-    keys = ("Title", "Artist", "Album", "Date", "Location", "HasVideo", "Width", "Height", "DurationMs")
-    wide = attributes.where(F.col("key").isin(*keys)).join(media, "uri", "left_semi").groupBy("uri").agg(*[F.max_by("value", F.when(F.col("key") == k, F.col("entry_ord"))).alias(k) for k in keys])
-    value = {k: F.col(k) for k in keys}
-    shown = [("Title", value["Title"]), ("Artist", value["Artist"]), ("Album", value["Album"]), ("Date", value["Date"]), ("Location (Raw)", value["Location"]),
-             ("Resolution", F.when(value["HasVideo"] == "yes", resolution_label(value["Width"], value["Height"]))),
-             ("Duration", F.when(value["DurationMs"].isNotNull(), duration_label(value["DurationMs"])))]
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("entry_ord"), F.lit(k).alias("key"), v.alias("value")) for i, (k, v) in enumerate(shown)])
-    return wide.select("uri", F.inline(rows)).where("value is not null")
+def _said(attrs: Column) -> Column:
+    return F.filter(attrs, lambda a: ~blank(a["value"]))
 
 
-def pdf_entries(files: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Entries of PDF files: the page count, then what the information dictionary has."""
-    names = ("PageCount", *tags.PDF_KEYS)
-    pdfs = files.where(media_class(F.col("mime_type")) == "pdf").select("uri")
-    found = attributes.where(F.col("key").isin(*names) & F.col("value").isNotNull()).join(pdfs, "uri", "left_semi")
-    key = F.when(F.col("key") == "PageCount", "Page Count").otherwise(F.col("key"))
-    return found.select("uri", F.array_position(_literals(names), F.col("key")).cast("int").alias("entry_ord"), key.alias("key"), "value")
+def _image_entries(attrs: Column, error: Column) -> Column:
+    shown = _in_order(_said(attrs), tags.PREVIEW_TAGS)
+    failed = _one("Error", F.concat(F.lit("Could not read metadata: "), error))
+    return F.when(error.isNotNull(), failed).when(F.size(shown) == 0, _one("Info", F.lit(tags.NO_EXIF))).otherwise(shown)
+
+
+def _media_entries(attrs: Column) -> Column:
+    value = lambda k: _values(attrs, k)
+    shown = [("Title", value("Title")), ("Artist", value("Artist")), ("Album", value("Album")), ("Date", value("Date")), ("Location (Raw)", value("Location")),
+             ("Resolution", F.when(value("HasVideo") == "yes", resolution_label(value("Width"), value("Height")))),
+             ("Duration", F.when(value("DurationMs").isNotNull(), duration_label(value("DurationMs"))))]
+    return F.filter(F.array(*[_entry(F.lit(i), F.lit(k), v) for i, (k, v) in enumerate(shown, 1)]), lambda a: a["value"].isNotNull())
+
+
+def _pdf_entries(attrs: Column) -> Column:
+    known = _in_order(F.filter(attrs, lambda a: a["value"].isNotNull()), ("PageCount", *tags.PDF_KEYS))
+    return F.transform(known, lambda a: _entry(a["entry_ord"], F.when(a["key"] == "PageCount", "Page Count").otherwise(a["key"]), a["value"]))
+
+
+def entries_of(kind: Column, mime: Column, attrs: Column, error: Column) -> Column:
+    """What a preview shows of one file, as an array: images their tags, or one Error or Info row; media title to duration; PDFs the page
+    count and what the information dictionary has; types that can't be read one Info row."""
+    none = _one("Info", F.concat(F.lit(tags.UNSUPPORTED), F.coalesce(mime, F.lit(""))))
+    return F.when(kind == "image", _image_entries(attrs, error)).when(kind.isin("video", "audio"), _media_entries(attrs)).when(kind == "pdf", _pdf_entries(attrs)).otherwise(none)
+
+
+def _shown(rows: DataFrame) -> Column:
+    return entries_of(F.col("kind"), F.col("mime_type"), F.col("attrs"), F.col("error"))
+
+
+def project_tags(attributes: DataFrame, names: Sequence[str] = tags.PREVIEW_TAGS) -> DataFrame:
+    """Entries of the tags ``names``, in their order; null and blank values are left out."""
+    order = F.array_position(_literals(names), F.col("key"))
+    return attributes.where(F.col("key").isin(*names) & ~blank(F.col("value"))).select("uri", order.cast("int").alias("entry_ord"), "key", "value")
 
 
 def metadata_entries(files: DataFrame, attributes: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """What a preview shows of every file: (uri, entry_ord, key, value). Types that can't be read get one Info row."""
-    other = files.where(media_class(F.col("mime_type")) == "other")
-    none = other.select("uri", F.lit(0).alias("entry_ord"), F.lit("Info").alias("key"), F.concat(F.lit(tags.UNSUPPORTED), F.coalesce("mime_type", F.lit(""))).alias("value"))
-    return image_entries(files, attributes, errors).unionByName(media_entries(files, attributes)).unionByName(pdf_entries(files, attributes)).unionByName(none)
+    """What a preview shows of every file: (uri, entry_ord, key, value), see :func:`entries_of`; ``errors`` is (uri, error)."""
+    rows = records(files, attributes, errors=errors)
+    return rows.select("uri", F.inline(_shown(rows)))
 
 
 def _of_class(files: DataFrame, attributes: DataFrame, *kinds: str) -> DataFrame:
@@ -104,7 +139,7 @@ def strip_pdf(files: DataFrame, attributes: DataFrame, strict: bool = True) -> D
 
 def strip_media(files: DataFrame, attributes: DataFrame) -> DataFrame:
     """What is left of the attributes of video and audio files after rewriting their tracks: what the tracks themselves say."""
-    return _of_class(files, attributes, "video", "audio").where(F.col("key").isin("HasVideo", "Width", "Height", "DurationMs"))
+    return _of_class(files, attributes, "video", "audio").where(F.col("key").isin(*TRACK_KEYS))
 
 
 def keep_tracks(tracks: Column) -> Column:
@@ -125,47 +160,60 @@ def target_rows(plans: DataFrame, targets: Sequence[tuple[str, str]]) -> DataFra
     return plans.select("uri", F.inline(rows)).where("value is not null")
 
 
-def _replaced(rows: DataFrame, new: DataFrame) -> DataFrame:
-    """``rows`` without the keys that ``new`` sets, and ``new`` behind them."""
-    kept = rows.join(new.select("uri", "key"), ["uri", "key"], "left_anti").select("uri", "entry_ord", "key", "value")
-    return kept.unionByName(new.withColumn("entry_ord", F.col("entry_ord") + 1000))
+def targets_of(plan: Column, targets: Sequence[tuple[str, str]]) -> Column:
+    """The fields of a plan under the keys of ``targets``, as an array; null fields, and all of a null plan, are left out."""
+    return F.filter(F.array(*[_entry(F.lit(i), F.lit(k), plan[f].cast("string")) for i, (k, f) in enumerate(targets, 1)]), lambda a: a["value"].isNotNull())
 
 
-def poison_image(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True) -> DataFrame:
-    """The attributes of image files after replacing: strict strips first, otherwise only the leak tags go and the plan's tags are set."""
-    images = files.where(media_class(F.col("mime_type")) == "image").select("uri")
+def _set(kept: Column, new: Column) -> Column:
+    """``kept`` without the keys that ``new`` sets, and ``new`` behind it."""
+    keys = F.transform(new, lambda a: a["key"])
+    return F.concat(F.filter(kept, lambda a: ~F.array_contains(keys, a["key"])), F.transform(new, lambda a: _entry(a["entry_ord"] + 1000, a["key"], a["value"])))
+
+
+def _kept_in_image(attrs: Column, keep_orientation: bool, thumbnail: str, strict: bool) -> Column:
+    thumbs = tags.THUMBNAIL_TAGS if thumbnail == "KEEP_ORIGINAL" else ()
     if strict:
-        rows = strip_image(files, attributes, keep_orientation, thumbnail)
+        kept = F.filter(attrs, lambda a: a["key"].isin(*tags.STRUCTURE_TAGS, "Orientation", *thumbs))
     else:
-        rows = _kept_by_image_rules(_of_class(files, attributes, "image").where(~F.col("key").isin(*tags.LEAK_TAGS)), keep_orientation, thumbnail)
-    return _replaced(rows, target_rows(plans.join(images, "uri", "left_semi"), tags.IMAGE_TARGETS))
+        kept = F.filter(attrs, lambda a: ~a["key"].isin(*tags.LEAK_TAGS, *(() if thumbs else tags.THUMBNAIL_TAGS)))
+    return F.filter(kept, lambda a: (a["key"] != "Orientation") | (F.lit(keep_orientation) & ~blank(a["value"])))
+
+
+def poison_image(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True) -> DataFrame:
+    """The attributes of image files after replacing: strict strips first, otherwise only the leak tags go and the plan's tags are set."""
+    rows = records(files, attributes, plans).where("kind = 'image'")
+    return rows.select("uri", F.inline(_set(_kept_in_image(F.col("attrs"), keep_orientation, thumbnail, strict), targets_of(F.col("plan"), tags.IMAGE_TARGETS))))
 
 
 def poison_pdf(files: DataFrame, attributes: DataFrame, plans: DataFrame, strict: bool = True) -> DataFrame:
     """The attributes of PDF files with an information dictionary from their plans."""
-    pdfs = files.where(media_class(F.col("mime_type")) == "pdf").select("uri")
-    return _replaced(strip_pdf(files, attributes, strict), target_rows(plans.join(pdfs, "uri", "left_semi"), tags.PDF_TARGETS))
+    rows = records(files, attributes, plans).where("kind = 'pdf'")
+    kept = F.filter("attrs", lambda a: ~a["key"].isin(*tags.PDF_KEYS, *(("Xmp",) if strict else ())))
+    return rows.select("uri", F.inline(_set(kept, targets_of(F.col("plan"), tags.PDF_TARGETS))))
 
 
 def poison_media(files: DataFrame, attributes: DataFrame, plans: DataFrame) -> DataFrame:
     """The attributes of video and audio files after replacing: the tracks and the plan's place (as containers hold it, in single precision)."""
-    media = files.where(media_class(F.col("mime_type")).isin("video", "audio")).select("uri")
-    place = plans.join(media, "uri", "left_semi").select("uri", F.lit(1).alias("entry_ord"), F.lit("Location").alias("key"), F.format_string("%+.4f%+.4f/", F.col("latitude").cast("float"), F.col("longitude").cast("float")).alias("value"))
-    return _replaced(strip_media(files, attributes), place)
-
-
-def preview_targets(files: DataFrame, plans: DataFrame, entries: DataFrame, keep_orientation: bool = True) -> DataFrame:
-    """What a preview of replacing shows per file: the plan's values under the keys of its type, and the orientation that stays."""
-    known = plans.drop("mime_type").join(files.select("uri", "mime_type"), "uri").withColumn("kind", media_class(F.col("mime_type"))).withColumn("place", location_text(F.col("latitude"), F.col("longitude")))
-    parts = [target_rows(known.where(F.col("kind") == k), t) for k, t in (("image", tags.IMAGE_TARGETS), ("video", (("Location", "place"), *tags.VIDEO_TARGETS)), ("audio", (("Location", "place"), *tags.AUDIO_TARGETS)), ("pdf", tags.PDF_PREVIEW_TARGETS))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    rows = records(files, attributes, plans).where("kind in ('video', 'audio')")
+    kept = F.filter("attrs", lambda a: a["key"].isin(*TRACK_KEYS))
+    text = F.format_string("%+.4f%+.4f/", F.col("plan.latitude").cast("float"), F.col("plan.longitude").cast("float"))
+    place = F.when(F.col("plan").isNotNull(), F.array(_entry(F.lit(1), F.lit("Location"), text))).otherwise(F.array().cast(ENTRY))
+    return rows.select("uri", F.inline(_set(kept, place)))
+
+
+def preview_targets_of(kind: Column, plan: Column, entries: Column, keep_orientation: bool = True) -> Column:
+    """What a preview of replacing shows of one file: the plan's values under the keys of its type, and the orientation that stays."""
+    old = _values(entries, "Orientation")
+    images = targets_of(plan, tags.IMAGE_TARGETS)
     if keep_orientation:
-        images = known.where(F.col("kind") == "image").select("uri")
-        old = last_wins(entries.where("key = 'Orientation'")).join(images, "uri", "left_semi")
-        out = out.unionByName(old.select("uri", F.lit(len(tags.IMAGE_TARGETS) + 1).alias("entry_ord"), "key", "value"))
-    return out
+        images = F.concat(images, F.filter(F.array(_entry(F.lit(len(tags.IMAGE_TARGETS) + 1), F.lit("Orientation"), old)), lambda a: a["value"].isNotNull()))
+    place = F.array(_entry(F.lit(0), F.lit("Location"), location_text(plan["latitude"], plan["longitude"])))
+    return (
+        F.when(kind == "image", images).when(kind == "video", F.concat(place, targets_of(plan, tags.VIDEO_TARGETS)))
+        .when(kind == "audio", F.concat(place, targets_of(plan, tags.AUDIO_TARGETS))).when(kind == "pdf", targets_of(plan, tags.PDF_PREVIEW_TARGETS))
+        .otherwise(F.array().cast(ENTRY))
+    )
 
 
 def last_wins(entries: DataFrame) -> DataFrame:
@@ -178,50 +226,83 @@ def first_match(entries: DataFrame, key: str) -> DataFrame:
     return entries.where(F.col("key") == key).groupBy("uri").agg(F.min_by("value", "entry_ord").alias("value"))
 
 
+def _change(o: Column, n: Column) -> tuple[Column, Column]:
+    """(change_kind, label) of an old and a new value. ADDED: only new; UNCHANGED: equal or only old; CHANGED: both and different."""
+    kind = F.when(o.isNull(), "ADDED").when(n.isNull() | (o == n), "UNCHANGED").otherwise("CHANGED")
+    label = F.when(o.isNull(), F.concat(F.lit("[ADDED] "), n)).when(n.isNull() | (o == n), F.concat(F.lit("[UNCHANGED] "), o)).otherwise(F.concat(F.lit("[CHANGED] "), o, F.lit(tags.ARROW), n))
+    return kind, label
+
+
+def diff_of(old: Column, new: Column) -> Column:
+    """The difference of two arrays of entries, over the keys of both, old ones first; of repeated keys the last value counts."""
+    key = lambda a: a["key"]
+    pairs = F.transform(F.array_union(F.transform(old, key), F.transform(new, key)), lambda k: F.struct(k.alias("key"), _values(old, k).alias("o"), _values(new, k).alias("n")))
+
+    def row(p: Column, i: Column) -> Column:
+        kind, label = _change(p["o"], p["n"])
+        return F.struct((i + 1).alias("entry_ord"), p["key"].alias("key"), kind.alias("change_kind"), p["o"].alias("old_value"), p["n"].alias("new_value"), label.alias("value"))
+
+    return F.transform(pairs, row)
+
+
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(uri, entry_ord, key, change_kind, old_value, new_value, value) over the keys of both sides, old ones first.
+    """(uri, entry_ord, key, change_kind, old_value, new_value, value) over the keys of two tables of entries, old ones first.
 
-    ADDED: only new; UNCHANGED: equal or only old; CHANGED: both and different. ``value`` is the rendered label.
+    A full outer join by (uri, key), for tables that aren't records of the same files; ``value`` is the rendered label.
     """
     a = last_wins(old).select("uri", "key", F.col("entry_ord").alias("old_ord"), F.col("value").alias("old_value"))
     b = last_wins(new).select("uri", "key", F.col("entry_ord").alias("new_ord"), F.col("value").alias("new_value"))
+    kind, label = _change(F.col("old_value"), F.col("new_value"))
     both = a.join(b, ["uri", "key"], "full_outer")
-    o, n = F.col("old_value"), F.col("new_value")
-    kind = F.when(o.isNull(), "ADDED").when(n.isNull() | (o == n), "UNCHANGED").otherwise("CHANGED")
-    label = F.when(o.isNull(), F.concat(F.lit("[ADDED] "), n)).when(n.isNull() | (o == n), F.concat(F.lit("[UNCHANGED] "), o)).otherwise(F.concat(F.lit("[CHANGED] "), o, F.lit(tags.ARROW), n))
     return both.select("uri", F.coalesce("old_ord", F.col("new_ord") + 10_000).alias("entry_ord"), "key", kind.alias("change_kind"), "old_value", "new_value", label.alias("value"))
 
 
-def remove_preview(files: DataFrame, entries: DataFrame, strict: bool = True, keep_orientation: bool = True) -> DataFrame:
+def remove_preview(files: DataFrame, attributes: DataFrame, strict: bool = True, keep_orientation: bool = True, errors: DataFrame | None = None) -> DataFrame:
     """(uri, entry_ord, key, value): what removing does to each entry, or one Info row for a file without entries.
 
     ``strict`` marks only what stripping really removes; otherwise every entry, placeholders included, counts as removed.
     """
-    removed = F.concat("value", F.lit(tags.ARROW + "[REMOVED]"))
-    if strict:
-        stays = F.col("key").isin(*tags.STRUCTURE_TAGS, "Page Count", "Resolution", "Duration") | (F.col("entry_ord") == 0)
-        if keep_orientation:
-            stays = stays | (F.col("key") == "Orientation")
-        removed = F.when(stays, F.col("value")).otherwise(removed)
-    shown = entries.join(files.select("uri"), "uri", "left_semi").select("uri", "entry_ord", "key", removed.alias("value"))
-    return _with_placeholder(files.select("uri"), shown, F.lit(tags.NOTHING_TO_REMOVE))
+    rows = records(files, attributes, errors=errors)
+    rows = rows.select("uri", _shown(rows).alias("shown"))
 
+    def mark(a: Column) -> Column:
+        gone = F.concat(a["value"], F.lit(tags.ARROW + "[REMOVED]"))
+        if not strict:
+            return _entry(a["entry_ord"], a["key"], gone)
+        stays = a["key"].isin(*tags.STRUCTURE_TAGS, "Page Count", "Resolution", "Duration", *(("Orientation",) if keep_orientation else ())) | (a["entry_ord"] == 0)
+        return _entry(a["entry_ord"], a["key"], F.when(stays, a["value"]).otherwise(gone))
 
-def poison_preview(files: DataFrame, entries: DataFrame, plans: DataFrame, keep_orientation: bool = True) -> DataFrame:
-    """The diff between what files show now and what their plans would show; a file without a plan gets one Info row."""
-    targets = preview_targets(files, plans, entries, keep_orientation)
-    planned = files.select("uri").join(plans.select("uri"), "uri", "left_semi")
-    shown = diff(entries.join(planned, "uri", "left_semi"), targets)
-    none = files.select("uri").join(plans.select("uri"), "uri", "left_anti")
-    info = none.select("uri", F.lit(0).alias("entry_ord"), F.lit("Info").alias("key"), *[F.lit(None).cast("string").alias(c) for c in ("change_kind", "old_value", "new_value")], F.lit(tags.NO_PLAN).alias("value"))
-    return shown.unionByName(info)
+    marked = F.when(F.size("shown") == 0, _one("Info", F.lit(tags.NOTHING_TO_REMOVE))).otherwise(F.transform("shown", mark))
+    return rows.select("uri", F.inline(marked))
 
 
-def leak_audit(before: DataFrame, after: DataFrame, public: Sequence[str] = (*tags.STRUCTURE_TAGS, "Orientation", "HasVideo", "Width", "Height", "DurationMs", "PageCount")) -> DataFrame:
+def changes(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, errors: DataFrame | None = None) -> DataFrame:
+    """(uri, kind, planned, changes): the array of differences between what each file shows now and what its plan would show."""
+    rows = records(files, attributes, plans, errors)
+    rows = rows.select("uri", "kind", "plan", _shown(rows).alias("shown"))
+    rows = rows.withColumn("target", preview_targets_of(F.col("kind"), F.col("plan"), F.col("shown"), keep_orientation))
+    return rows.select("uri", "kind", F.col("plan").isNotNull().alias("planned"), diff_of(F.col("shown"), F.col("target")).alias("changes"))
+
+
+def poison_preview(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, errors: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`changes`; a file without a plan gets one Info row."""
+    none = F.lit(None).cast("string")
+    info = F.array(F.struct(F.lit(0).alias("entry_ord"), F.lit("Info").alias("key"), none.alias("change_kind"), none.alias("old_value"), none.alias("new_value"), F.lit(tags.NO_PLAN).alias("value")))
+    found = changes(files, attributes, plans, keep_orientation, errors)
+    return found.select("uri", F.inline(F.when(F.col("planned"), F.col("changes")).otherwise(info)))
+
+
+def change_counts(files: DataFrame, attributes: DataFrame, plans: DataFrame) -> DataFrame:
+    """(mime_class, change_kind, n_entries, n_files): how many entries of how many files replacing adds, changes and leaves."""
+    n = lambda k: F.size(F.filter("changes", lambda c: c["change_kind"] == k))
+    kinds = F.array(*[F.struct(F.lit(k).alias("change_kind"), n(k).alias("n")) for k in ("ADDED", "CHANGED", "UNCHANGED")])
+    per_file = changes(files, attributes, plans).where("planned").select(F.col("kind").alias("mime_class"), F.inline(kinds)).where("n > 0")
+    return per_file.groupBy("mime_class", "change_kind").agg(F.sum("n").alias("n_entries"), F.count(F.lit(1)).alias("n_files"))
+
+
+def leak_audit(before: DataFrame, after: DataFrame, public: Sequence[str] = (*tags.STRUCTURE_TAGS, "Orientation", *TRACK_KEYS, "PageCount")) -> DataFrame:
     """(uri, key, value, after_key): original values that still occur in the file's output, under any key; structural keys are no leak."""
     old = before.where(~F.col("key").isin(*public) & ~blank(F.col("value"))).select("uri", "key", "value").distinct()
     new = after.where(~F.col("key").isin(*public)).select("uri", F.col("key").alias("after_key"), "value").distinct()
     return old.join(new, ["uri", "value"]).select("uri", "key", "value", "after_key")
 
-
-PLAN_COLUMNS = FIELDS

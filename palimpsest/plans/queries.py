@@ -343,7 +343,7 @@ def plan_location_upsert(spark, sf_dir):
 @query(f"{WITH}, {ENTRIES} SELECT uri, key, value || '{tags.ARROW}[REMOVED]' AS value FROM e UNION ALL SELECT uri, 'Info', '{tags.NOTHING_TO_REMOVE}' FROM k WHERE uri NOT IN (SELECT uri FROM e)")
 def change_preview_remove(spark, sf_dir):
     f = files(spark, sf_dir)
-    return md.remove_preview(f, md.metadata_entries(f, attributes(spark, sf_dir)), strict=False).select("uri", "key", "value")
+    return md.remove_preview(f, attributes(spark, sf_dir), strict=False).select("uri", "key", "value")
 
 
 _PREVIEW = f"""t AS (SELECT * FROM ({_targets("(SELECT * FROM p WHERE kind = 'image')", tags.IMAGE_TARGETS)}
@@ -362,7 +362,7 @@ df AS (SELECT coalesce(c.uri, t.uri) AS uri, coalesce(c.key, t.key) AS key, c.va
 )
 def change_preview_poison(spark, sf_dir):
     f = files(spark, sf_dir)
-    shown = md.poison_preview(f, md.metadata_entries(f, attributes(spark, sf_dir)), generate_plans(f, SETTINGS))
+    shown = md.poison_preview(f, attributes(spark, sf_dir), generate_plans(f, SETTINGS))
     return shown.select("uri", "key", "change_kind", "old_value", "new_value", "value")
 
 
@@ -370,9 +370,7 @@ def change_preview_poison(spark, sf_dir):
 def change_counts(spark, sf_dir):
     """Catalogue, entries, plans, diff and counts: the flagship."""
     f = files(spark, sf_dir)
-    shown = md.poison_preview(f, md.metadata_entries(f, attributes(spark, sf_dir)), generate_plans(f, SETTINGS))
-    kinds = f.select("uri", media_class(F.col("mime_type")).alias("mime_class"))
-    return shown.join(kinds, "uri").groupBy("mime_class", "change_kind").agg(F.count(F.lit(1)).alias("n_entries"), F.count_distinct("uri").alias("n_files"))
+    return md.change_counts(f, attributes(spark, sf_dir), generate_plans(f, SETTINGS))
 
 
 @query(f"WITH {CTES} SELECT count(*) AS n_files, coalesce(sum(coalesce(size_bytes, 0)), 0)::BIGINT AS total_size FROM files")
