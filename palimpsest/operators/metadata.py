@@ -66,8 +66,7 @@ def _said(attrs: Column) -> Column:
     return F.filter(attrs, lambda a: ~blank(a["value"]))
 
 
-def _image_entries(attrs: Column, error: Column) -> Column:
-    shown = _in_order(_said(attrs), tags.PREVIEW_TAGS)
+def _image_entries(shown: Column, error: Column) -> Column:
     failed = _one("Error", F.concat(F.lit("Could not read metadata: "), error))
     return F.when(error.isNotNull(), failed).when(F.size(shown) == 0, _one("Info", F.lit(tags.NO_EXIF))).otherwise(shown)
 
@@ -85,15 +84,14 @@ def _pdf_entries(attrs: Column) -> Column:
     return F.transform(known, lambda a: _entry(a["entry_ord"], F.when(a["key"] == "PageCount", "Page Count").otherwise(a["key"]), a["value"]))
 
 
-def entries_of(kind: Column, mime: Column, attrs: Column, error: Column) -> Column:
-    """What a preview shows of one file, as an array: images their tags, or one Error or Info row; media title to duration; PDFs the page
-    count and what the information dictionary has; types that can't be read one Info row."""
-    none = _one("Info", F.concat(F.lit(tags.UNSUPPORTED), F.coalesce(mime, F.lit(""))))
-    return F.when(kind == "image", _image_entries(attrs, error)).when(kind.isin("video", "audio"), _media_entries(attrs)).when(kind == "pdf", _pdf_entries(attrs)).otherwise(none)
-
-
-def _shown(rows: DataFrame) -> Column:
-    return entries_of(F.col("kind"), F.col("mime_type"), F.col("attrs"), F.col("error"))
+def with_entries(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`records` with what a preview shows of each file, as an array ``shown``: images their tags, or one Error or Info row;
+    media title to duration; PDFs the page count and what the information dictionary has; types that can't be read one Info row."""
+    kind, attrs = F.col("kind"), F.col("attrs")
+    none = _one("Info", F.concat(F.lit(tags.UNSUPPORTED), F.coalesce("mime_type", F.lit(""))))
+    rows = rows.withColumn("__tagged", F.when(kind == "image", _in_order(_said(attrs), tags.PREVIEW_TAGS)))
+    shown = F.when(kind == "image", _image_entries(F.col("__tagged"), F.col("error"))).when(kind.isin("video", "audio"), _media_entries(attrs)).when(kind == "pdf", _pdf_entries(attrs)).otherwise(none)
+    return rows.withColumn("shown", shown).drop("__tagged")
 
 
 def project_tags(attributes: DataFrame, names: Sequence[str] = tags.PREVIEW_TAGS) -> DataFrame:
@@ -103,9 +101,8 @@ def project_tags(attributes: DataFrame, names: Sequence[str] = tags.PREVIEW_TAGS
 
 
 def metadata_entries(files: DataFrame, attributes: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """What a preview shows of every file: (uri, entry_ord, key, value), see :func:`entries_of`; ``errors`` is (uri, error)."""
-    rows = records(files, attributes, errors=errors)
-    return rows.select("uri", F.inline(_shown(rows)))
+    """What a preview shows of every file: (uri, entry_ord, key, value), see :func:`with_entries`; ``errors`` is (uri, error)."""
+    return with_entries(records(files, attributes, errors=errors)).select("uri", F.inline("shown"))
 
 
 def _of_class(files: DataFrame, attributes: DataFrame, *kinds: str) -> DataFrame:
@@ -262,8 +259,7 @@ def remove_preview(files: DataFrame, attributes: DataFrame, strict: bool = True,
 
     ``strict`` marks only what stripping really removes; otherwise every entry, placeholders included, counts as removed.
     """
-    rows = records(files, attributes, errors=errors)
-    rows = rows.select("uri", _shown(rows).alias("shown"))
+    rows = with_entries(records(files, attributes, errors=errors)).select("uri", "shown")
 
     def mark(a: Column) -> Column:
         gone = F.concat(a["value"], F.lit(tags.ARROW + "[REMOVED]"))
@@ -278,8 +274,7 @@ def remove_preview(files: DataFrame, attributes: DataFrame, strict: bool = True,
 
 def changes(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, errors: DataFrame | None = None) -> DataFrame:
     """(uri, kind, planned, changes): the array of differences between what each file shows now and what its plan would show."""
-    rows = records(files, attributes, plans, errors)
-    rows = rows.select("uri", "kind", "plan", _shown(rows).alias("shown"))
+    rows = with_entries(records(files, attributes, plans, errors)).select("uri", "kind", "plan", "shown")
     rows = rows.withColumn("target", preview_targets_of(F.col("kind"), F.col("plan"), F.col("shown"), keep_orientation))
     return rows.select("uri", "kind", F.col("plan").isNotNull().alias("planned"), diff_of(F.col("shown"), F.col("target")).alias("changes"))
 

@@ -323,7 +323,10 @@ def poison_apply_pdf(spark, sf_dir):
     return md.poison_pdf(f, attributes(spark, sf_dir), generate_plans(f, SETTINGS)).select("uri", "key", "value")
 
 
-@query()
+@query(
+    f"{WITH}, {PLANS} SELECT uri, 'Location' AS key, printf('%+.4f%+.4f/', latitude::FLOAT::DOUBLE, longitude::FLOAT::DOUBLE) AS value FROM p WHERE kind IN ('video', 'audio') "
+    "UNION ALL SELECT uri, key, value FROM a WHERE kind IN ('video', 'audio') AND key IN ('HasVideo', 'Width', 'Height', 'DurationMs')"
+)
 def poison_apply_media(spark, sf_dir):
     f = files(spark, sf_dir)
     return md.poison_media(f, attributes(spark, sf_dir), generate_plans(f, SETTINGS)).select("uri", "key", "value")
