@@ -2,8 +2,8 @@
 
 Which documents are compared. For a similarity of at least t, two sets of sizes x <= y differ in at most x (1 - t) / t
 elements. Hash ranges cut every set of a size band into more parts than that, so two linked sets agree in at least one
-whole part; documents with a part in common are joined to candidate groups. No link between different sets can be lost,
-however common a passage or word is.
+whole part. Documents with a part in common whose bitmaps don't rule a link out are joined to candidate groups. No link
+between different sets can be lost, however common a passage or word is.
 
 How they are compared. A candidate group is cut into tiles by size band (and by hash where a band is large), and only
 tiles of the same or neighbouring bands meet, so a task's memory is bounded and no group has to fit into one task. In a
@@ -30,6 +30,7 @@ U = np.uint64
 BAND_RATIO = 1.5
 TILE_SHINGLES = 2_000_000
 SEEN_SETS = 1_000_000
+GROUP_SETS = 4096
 FILTER_BITS = 1 << 25
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -146,8 +147,38 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def bitmap_bits(size: int) -> int:
+    """Bits of a bitmap for sets of this size: twice as many, a power of two within bounds."""
+    bits = 512
+    while bits < 2 * size and bits < 1 << 15:
+        bits *= 2
+    return bits
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits of which those are set that the elements hash to."""
+    out = np.zeros(bits // 64, U)
+    at = mix(s) & U(bits - 1)
+    np.bitwise_or.at(out, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    return out
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one width, the smallest: the halves of wider ones laid over each other."""
+    words = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, words), 0) for m in maps])
+
+
+def may_link(maps: np.ndarray, size: np.ndarray, at: np.ndarray, i: int, num: int, den: int) -> np.ndarray:
+    """Those of the sets ``at`` that may link with set ``i``: the bits in which bitmaps differ are elements in which sets differ."""
+    apart = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
+    both = size[at] + size[i]
+    # overlap <= (both - apart) / 2, and a link needs den * overlap >= num * (both - overlap)
+    return at[(den + num) * (both - apart) >= 2 * num * both]
+
+
 def _profile(n_words: int):
-    """(doc_id, doc_key, text) to (doc_id, doc_key, n_shingles, node, cls); cls is null for an empty set."""
+    """(doc_id, doc_key, text) to (doc_id, doc_key, n_shingles, node, cls, bits); cls is null for an empty set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +188,8 @@ def _profile(n_words: int):
                 keys = set_keys(sets)
                 cls = pa.array([k.tobytes() if n else None for k, n in zip(keys, size.tolist(), strict=True)], pa.binary())
                 node = pa.array(keys[:, 0].copy().view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("doc_key")[a:b], pa.array(size), node, cls], names=["doc_id", "doc_key", "n_shingles", "node", "cls"])
+                bits = pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("doc_key")[a:b], pa.array(size), node, cls, bits], names=["doc_id", "doc_key", "n_shingles", "node", "cls", "bits"])
 
     return run
 
@@ -215,15 +247,6 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(task, pa.string()), pa.array(side, pa.int32()), pa.array(cls, pa.binary()), pa.array(raw, pa.binary())], names=["task", "side", "cls", "shingles"])
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """A row of ``bits`` bits per set: those that its elements hash to."""
-    out = np.zeros((len(sets), bits // 64), U)
-    for i, s in enumerate(sets):
-        at = (s * ODD[56]) >> U(64 - bits.bit_length() + 1)
-        np.bitwise_or.at(out[i], (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
-    return out
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays of distinct numbers."""
     if len(a) > len(b):
@@ -233,43 +256,85 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def forest(sets: list[np.ndarray], sides: list[int], num: int, den: int) -> list[int]:
-    """For each set the number of a set that it is connected to by links (itself for roots). With two sides only pairs across count."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sets, side = [sets[i] for i in order], np.array([sides[i] for i in order])
-    size = np.array([len(s) for s in sets], np.int64)
+def forest(size: np.ndarray, maps: np.ndarray, sides: list[int], num: int, den: int, linked=None) -> list[int]:
+    """For each set the number of a set that it is connected to by links (itself for roots). With two sides only pairs across count.
+
+    ``size`` ascends. ``linked`` says for certain whether two sets link; without it, sets that may link do.
+    """
+    side = np.array(sides)
     across = len(set(sides)) > 1
-    bits = 512
-    while bits < 2 * int(size.max()) and bits < 1 << 15:
-        bits *= 2
-    maps = bitmaps(sets, bits)
-    label = np.arange(len(sets))
+    label = np.arange(len(size))
     low = np.searchsorted(size * den, size * num)  # the first partner that is large enough
-    for i in range(1, len(sets)):
-        start = int(low[i])
-        while start < i:  # a bounded number of bitmaps at a time
-            stop = min(i, start + max(1, (4 << 20) // (bits // 8)))
-            at = np.arange(start, stop)
+    step = max(1, (4 << 20) // (8 * maps.shape[1]))  # a bounded number of bitmaps at a time
+    for i in range(1, len(size)):
+        for start in range(int(low[i]), i, step):
+            at = np.arange(start, min(i, start + step))
             at = at[label[at] != label[i]]
             if across:
                 at = at[side[at] != side[i]]
-            apart = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
-            both = size[at] + size[i]
-            # overlap <= (both - apart) / 2, and a link needs den * overlap >= num * (both - overlap)
-            at = at[(den + num) * (both - apart) >= 2 * num * both]
-            for j in at.tolist():
-                if label[j] != label[i]:
-                    common = overlap(sets[j], sets[i])
-                    if den * common >= num * (size[i] + size[j] - common):
-                        old, new = max(label[i], label[j]), min(label[i], label[j])
-                        label[label == old] = new
-            start = stop
+            for j in may_link(maps, size, at, i, num, den).tolist():
+                if label[j] != label[i] and (linked is None or linked(j, i)):
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label[label == old] = new
+    return label.tolist()
+
+
+def link_sets(sets: list[np.ndarray], sides: list[int], num: int, den: int) -> list[int]:
+    """``forest`` of sorted arrays in any order, with exact intersections."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sets = [sets[i] for i in order]
+    bits = bitmap_bits(len(sets[-1]))
+
+    def linked(j: int, i: int) -> bool:
+        common = overlap(sets[j], sets[i])
+        return den * common >= num * (len(sets[i]) + len(sets[j]) - common)
+
+    label = forest(np.array([len(s) for s in sets], np.int64), np.stack([bitmap(s, bits) for s in sets]), [sides[i] for i in order], num, den, linked)
     out = [0] * len(sets)
     for k, i in enumerate(order):
         out[i] = order[label[k]]
     return out
 
 
+def _stars(names: list, label: list[int]) -> list[tuple]:
+    """(name, smallest name of its component) of all that aren't the smallest."""
+    least: dict[int, object] = {}
+    for name, k in zip(names, label, strict=True):
+        least[k] = min(name, least.get(k, name))
+    return [(name, least[k]) for name, k in zip(names, label, strict=True) if least[k] != name]
+
+
+def _groups(num: int, den: int):
+    """Rows (grp, node, n_shingles, bits) sorted by grp to edges (a, b) of nodes that may link; one group in memory at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now, a, b = None, [], []
+
+        def join() -> None:
+            if len(held) > 1:
+                rows = sorted(held)
+                maps = folded([np.frombuffer(r[2], U) for r in rows])
+                label = forest(np.array([r[0] for r in rows], np.int64), maps, [0] * len(rows), num, den)
+                for node, root in _stars([r[1] for r in rows], label):
+                    a.append(node)
+                    b.append(root)
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("grp", "n_shingles", "node", "bits"))
+            for grp, *row in zip(*columns, strict=True):
+                if grp != now:
+                    join()
+                    held, now = [], grp
+                held.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+        join()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _tiles(num: int, den: int):
     """Rows (task, side, cls, shingles) sorted by task to links (a, b); one tile in memory at a time."""
 
@@ -280,8 +345,8 @@ def _tiles(num: int, den: int):
         def links() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
                 keys = list(held)
-                roots = forest([held[k][1] for k in keys], [held[k][0] for k in keys], num, den)
-                pairs = [(k, keys[r]) for k, r in zip(keys, roots, strict=True) if keys[r] != k]
+                roots = link_sets([held[k][1] for k in keys], [held[k][0] for k in keys], num, den)
+                pairs = _stars(keys, roots)
                 if pairs:
                     a, b = zip(*pairs, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -347,11 +412,17 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int =
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     docs = docs.select("doc_id", key.alias("doc_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.mapInArrow(_profile(n_words), f"doc_id {kind}, doc_key long, n_shingles long, node long, cls binary"), "join-profile")
-    # Candidate groups: documents that share a part, by way of the smallest of those that do.
+    rows = materialize(docs.mapInArrow(_profile(n_words), f"doc_id {kind}, doc_key long, n_shingles long, node long, cls binary, bits binary"), "join-profile")
+    # Sets that have a part in common. Parts with the same sets count once; the sets of a part that very many have are all joined.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = docs.select("text").mapInArrow(_signature_rows(n_words, num, den), "sig long, node long")
-    least = F.expr("min(node) over (partition by sig)")
-    rough = connected_components(sigs.select(F.col("node").alias("a"), least.alias("b")).where("a <> b"), "join-rough")
+    over = "over (partition by sig)"
+    shared = sigs.selectExpr("node", f"min(node) {over} as least", f"max(node) {over} as most", f"count(1) {over} as n", f"bit_xor(xxhash64(node)) {over} as mixed").where("least <> most")
+    groups = materialize(shared.selectExpr("node", "least", f"n > {GROUP_SETS} as large", "xxhash64(least, most, mixed) as grp").distinct(), "join-groups")
+    sizes = rows.where("cls is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    compared = groups.where("not large").select("grp", "node").join(sizes, "node").repartition(n, "grp").sortWithinPartitions("grp")
+    edges = compared.mapInArrow(_groups(num, den), "a long, b long").unionByName(groups.where("large").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    rough = connected_components(edges, "join-rough")
     members = (
         rows.where("cls is not null")
         .join(rough.withColumnsRenamed({"root": "comp"}), "node")
@@ -362,7 +433,6 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int =
     tasks = _tasks(members, num, den, tile)
     # Most texts are in no candidate group; the bitmap keeps nearly all of those from being moved, the join drops the rest.
     sets = docs.select("doc_key", "text").where(_maybe(members, "doc_key")).join(tasks.hint("merge"), "doc_key").select("text", "cls", "tasks").mapInArrow(_sets(n_words), "task string, side int, cls binary, shingles binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = sets.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_tiles(num, den), "a binary, b binary")
     roots = connected_components(links, "join-links").withColumnsRenamed({"node": "cls"})
     classes = materialize(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id")), "join-classes")

@@ -95,7 +95,7 @@ def test_forest_matches_all_pairs():
     for _ in range(60):
         base = [rng.randrange(1 << 64) for _ in range(40)]
         sets = [np.array(sorted(set(base[: rng.randrange(20, 41)]) | {rng.randrange(1 << 64) for _ in range(rng.randrange(4))}), np.uint64) for _ in range(25)]
-        got = J.forest(sets, [0] * 25, 9, 10)
+        got = J.link_sets(sets, [0] * 25, 9, 10)
         up = list(range(25))
         for i in range(25):
             for j in range(i):
@@ -106,6 +106,27 @@ def test_forest_matches_all_pairs():
         assert len({(a, b) for a, b in zip(got, up)}) == len(set(got)) == len(set(up))
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = random.Random(8)
+    for _ in range(300):
+        base = {rng.randrange(1 << 64) for _ in range(rng.choice([9, 60, 700]))}
+        other = set(list(base)[len(base) // 9 :]) | {rng.randrange(1 << 64) for _ in range(rng.randrange(4))}
+        a, b = (np.array(sorted(s), np.uint64) for s in (base, other))
+        maps = J.folded([J.bitmap(a, J.bitmap_bits(len(a)) * 2), J.bitmap(b, J.bitmap_bits(len(b)))])
+        size = np.array([len(a), len(b)])
+        apart = int(np.bitwise_count(maps[0] ^ maps[1]).sum())
+        assert apart <= len(base ^ other)
+        if 10 * len(base & other) >= 8 * len(base | other):
+            assert J.may_link(maps, size, np.array([0]), 1, 8, 10).tolist() == [0]
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_join_with_large_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(J, "GROUP_SETS", most)
+    rows = varied(77)
+    assert rows_of(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10)) == brute(rows, 3, 8, 10)
+
+
 def test_join_empty(empty):
     assert J.near_duplicates(empty).count() == 0
 
