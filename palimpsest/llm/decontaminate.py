@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.blocks import slices
+from palimpsest.llm.blocks import slices, small_batches
 
 WINDOW = 10
 MAX_PART_BYTES = 8 << 20
@@ -223,6 +223,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
+    small_batches(spark)
     carry = [c for c in docs.columns if c not in ("__words", "__hits", "__items")]
     fields = [docs.schema[c] for c in carry]
     fields += [T.StructField("__words", T.LongType()), T.StructField("__hits", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import slices
+from palimpsest.llm.blocks import slices, small_batches
 from palimpsest.llm.components import connected_components
 from palimpsest.storage import materialize
 
@@ -409,6 +409,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int =
     Null ids take part in links but name no component; a component of null ids only has a null id. Equal sets always link.
     Repeated rows are equal sets. An empty table gives no rows. Shingles are compared as 64-bit hashes, equal sets as 128-bit ones.
     """
+    small_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     docs = docs.select("doc_id", key.alias("doc_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

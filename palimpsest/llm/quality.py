@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.blocks import slices
+from palimpsest.llm.blocks import slices, small_batches
 from palimpsest.llm.ngram_join import word_hashes
 
 SAMPLE_ROWS = 20_000
@@ -193,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     Labels with a null id or quality are ignored; of differing labels of an id the mean decides (a half counts as 1). Of rows that
     repeat an id one is used. Without labels of both kinds the score is the share of label 1, or a half without any.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows ids
@@ -218,6 +219,7 @@ def with_score(docs: DataFrame, model: Trees, name: str = "__score", carry: list
     """``docs`` (or its columns ``carry``) with a column ``name``: the model's probability of label 1. A null text counts as empty."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(docs.sparkSession)
     carry = [c for c in (docs.columns if carry is None else carry) if c != name]
     fields = [docs.schema[c] for c in carry] + [T.StructField(name, T.DoubleType())]
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])

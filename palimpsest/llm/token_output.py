@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import slices
+from palimpsest.llm.blocks import slices, small_batches
 from palimpsest.llm.ngram_join import BYTE_VALUES, ODD, mix
 from palimpsest.storage import local_or_uri, materialize, new_path
 
@@ -36,9 +36,9 @@ SAMPLE_CHARS = 16_000
 DICT_BYTES = 64 << 10
 FILE_BYTES = 128 << 20
 LEVEL = 3
-CACHE_PIECES = 3_000_000
-GROUP_BYTES = 24 << 20
-STEP_BYTES = 2 << 20
+CACHE_PIECES = 1_500_000
+GROUP_BYTES = 8 << 20
+STEP_BYTES = 1 << 20
 RUN = 20
 SHORT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 MAGIC = b"IDSTORE1"
@@ -345,6 +345,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None =
     id are in the order of their texts' hashes. A null text is empty: only the end id. An empty table writes no file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     dictionary = train_dictionary(docs, tokenizer)
     folder = local_or_uri(folder)
     fs, root = pafs.FileSystem.from_uri(folder)

@@ -22,6 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.blocks import small_batches
 from palimpsest.storage import local_or_uri, materialize, new_path
 
 CHUNK_BYTES = 256 << 10
@@ -154,6 +155,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT_BYT
     target; a null page_id is written as an empty id, below every id. Rows that repeat the largest page_id are all responses.
     Empty table: an empty manifest. Other columns aren't read.
     """
+    small_batches(pages.sparkSession)
     plan = plan_records(pages, min_revisit)
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
     # A row meets its plan again by id and digest; revisits leave their payload behind before anything is moved.
