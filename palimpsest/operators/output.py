@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.names import output_name, random_base
+from palimpsest.functions.names import output_name, random_base, split_name
 from palimpsest.functions.types import media_class
 from palimpsest.settings import APP_FOLDER, Settings
 
@@ -46,17 +46,16 @@ def name_outputs(files: DataFrame, settings: Settings | None = None) -> DataFram
 
 
 def unique_names(named: DataFrame, folder: str = "relative_path") -> DataFrame:
-    """``named`` with output_name made unique in its folder: of equal names all but the one with the smallest uri get _2, _3, ... before the extension.
+    """``named`` with output_name made unique in its folder: of equal names all but the one with the smallest uri get 16 hex digits of
+    their uri's hash before the extension.
 
-    Ranks are taken among equal names only. A suffixed name that another file has already is left to :func:`collisions`.
+    No names are ranked, so a name that very many files share costs no more than others. Repeated rows of a uri keep one name.
     """
-    from pyspark.sql import Window
-
-    from palimpsest.functions.names import split_name
-
-    rank = F.row_number().over(Window.partitionBy(folder, "output_name").orderBy("uri"))
+    first = named.groupBy(F.col(folder).alias("__folder"), F.col("output_name").alias("__name")).agg(F.min("uri").alias("__first"))
     base, extension = split_name(F.col("output_name"))
-    return named.withColumn("__rank", rank).withColumn("output_name", F.when(F.col("__rank") == 1, F.col("output_name")).otherwise(F.concat(base, F.lit("_"), F.col("__rank").cast("string"), extension))).drop("__rank")
+    other = F.concat(base, F.lit("_"), F.substring(F.md5("uri"), 1, 16), extension)
+    joined = named.join(first, F.col(folder).eqNullSafe(F.col("__folder")) & F.col("output_name").eqNullSafe(F.col("__name")))
+    return joined.withColumn("output_name", F.when(F.col("uri") == F.col("__first"), F.col("output_name")).otherwise(other)).select(named.columns)
 
 
 def collisions(named: DataFrame, folder: str = "relative_path") -> DataFrame:

@@ -18,6 +18,7 @@ TYPES = {
     "mov": "video/quicktime", "mp3": "audio/mpeg", "m4a": "audio/mp4", "ogg": "audio/ogg", "pdf": "application/pdf", "txt": "text/plain",
 }
 MAX_BYTES = 1 << 30
+SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _typed(df: DataFrame, settings: Settings) -> DataFrame:
@@ -26,15 +27,21 @@ def _typed(df: DataFrame, settings: Settings) -> DataFrame:
     return df.withColumns({"uri": F.col("path"), "display_name": sanitize_filename(F.col("path"), settings.now_ms), "mime_type": mime, "size_bytes": F.col("length")})
 
 
+def _load(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
+    """The files below ``paths``; none for no path."""
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+
+
 def catalog(spark: SparkSession, *paths: str, settings: Settings | None = None) -> DataFrame:
     """(uri, display_name, mime_type, size_bytes) of files; their bytes aren't read. A missing path is an error; Spark's file source lists no empty files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return _typed(found, settings or Settings()).select("uri", "display_name", "mime_type", "size_bytes")
+    return _typed(_load(spark, paths), settings or Settings()).select("uri", "display_name", "mime_type", "size_bytes")
 
 
 def read_bytes(spark: SparkSession, *paths: str, settings: Settings | None = None) -> DataFrame:
     """The catalogue with a column content. Files above MAX_BYTES have null content, which later is an error row, as a cell can't hold them."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    found = _load(spark, paths)
     content = F.when(F.col("length") <= MAX_BYTES, F.col("content"))
     return _typed(found, settings or Settings()).select("uri", "display_name", "mime_type", "size_bytes", content.alias("content"))
 

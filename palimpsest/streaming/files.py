@@ -8,11 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.operators.output import name_outputs, route
 from palimpsest.settings import Settings
-from palimpsest.sources.files import _typed, rewrite_files
+from palimpsest.sources.files import SCHEMA, _typed, rewrite_files
 from palimpsest.sources.sinks import write_files
 
-SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
 
 def stream_files(spark: SparkSession, path: str, files_per_batch: int = 100, settings: Settings | None = None) -> DataFrame:
     """Files that arrive below ``path``: uri, display_name, mime_type, size_bytes, content. Each batch takes a bounded number."""

@@ -178,6 +178,7 @@ def test_files_end_to_end(spark, folder):
 
 
 def test_missing_files_are_an_error(spark, folder):
+    assert catalog(spark).count() == 0 and read_bytes(spark).columns[-1] == "content"
     with pytest.raises(Exception, match="(?i)path"):
         catalog(spark, str(folder / "nowhere")).count()
 
