@@ -14,9 +14,10 @@ from palimpsest.storage import materialize, release
 MAX_STEPS = 60
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether ``edges`` (u, v) are stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -26,9 +27,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(ordered, name)
-    before, after = None, _mark(now)
     for _ in range(MAX_STEPS):
-        if before == after:
+        if _settled(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = materialize(small.distinct(), name)
         release(now, large)
-        now, before, after = new, after, _mark(new)
+        now = new
     else:
         raise RuntimeError(f"components did not settle in {MAX_STEPS} steps")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
