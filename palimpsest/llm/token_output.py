@@ -221,9 +221,13 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> bytes:
-    """A dictionary from the ids of at most ``sample_docs`` whole documents of at most ``sample_chars`` characters; empty if there are too few."""
-    few = docs.where((F.length("text") > 0) & (F.length("text") <= sample_chars)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    texts = [r["text"] for r in few.orderBy("h", "text").limit(sample_docs).select("text").collect()]
+    """A dictionary from the ids of at most ``sample_docs`` whole documents of at most ``sample_chars`` characters; empty if there are too few.
+
+    The documents are those with the smallest hashes; a threshold leaves about twice as many in all tasks together.
+    """
+    few = docs.where((F.length("text") > 0) & (F.length("text") <= sample_chars)).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h"))
+    threshold = min(1 << 40, (1 << 41) * sample_docs // max(1, few.count()))
+    texts = [r["text"] for r in few.where(F.col("h") < threshold).orderBy("h", "text").limit(sample_docs).select("text").collect()]
     samples = Encoder(tokenizer).encode(texts)
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
