@@ -195,7 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    known = known.where(~held_out(F.col("doc_id"))).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    threshold = min(1 << 40, (1 << 41) * sample_rows // max(1, known.count()))  # about twice as many in all tasks together
+    sample = known.where(F.col("h") < threshold).orderBy("h", "doc_id").limit(sample_rows).drop("h")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows ids
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(_statistic_rows, f"doc_id {kind}, label int, x array<float>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).select("label", "x").toArrow()
