@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.names import sanitize_filename
 from palimpsest.settings import Settings
 from palimpsest.sources import codecs
+from palimpsest.storage import ship
 
 #: Types by extension, as the file source gives none.
 TYPES = {
@@ -65,6 +66,7 @@ def _read_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_attributes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(attributes, errors) of ``files`` with content: one bad file is a row of errors, never a failed job."""
+    ship(files.sparkSession)
     rows = files.select("uri", "mime_type", "content").mapInArrow(_read_rows, "uri string, entry_ord int, key string, value string, error string")
     return rows.where("error is null").drop("error"), rows.where("error is not null").select("uri", "error")
 
@@ -87,6 +89,7 @@ def rewrite_files(files: DataFrame, targets: DataFrame | None = None, keep_orien
 
     A file that can't be rewritten for certain has an error and no content: nothing leaves unstripped.
     """
+    ship(files.sparkSession)
     rows = files.select("uri", "mime_type", "content")
     if targets is None:
         rows = rows.withColumn("values", F.lit(None).cast("map<string,string>"))

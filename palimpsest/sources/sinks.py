@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
-from palimpsest.storage import local_or_uri
+from palimpsest.storage import local_or_uri, ship
 
 
 def _write_rows(base: str):
@@ -42,5 +42,6 @@ def write_files(results: DataFrame, folder: str) -> DataFrame:
     A file appears whole or not at all: it is written under a pending name and then moved, so a task that runs again replaces it
     with the same bytes. Make names unique before. The folder is one that all executors share.
     """
+    ship(results.sparkSession)
     rows = results.select("uri", "relative_path", "output_name", "content")
     return rows.mapInArrow(_write_rows(local_or_uri(folder)), "uri string, output_path string, status string, error string")
