@@ -8,12 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from palimpsest.storage import ship
+
 SLICE_BYTES = 1 << 20
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of this session hold BATCH_BYTES at most (one larger text still comes whole), unless they hold less already."""
+    """Let Arrow batches of this session hold BATCH_BYTES at most (one larger text still comes whole), unless they hold less already.
+
+    Python workers also get this package, as every operator that calls this runs code of it there.
+    """
+    ship(spark)
     size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING, "64m"))
     if size <= 0 or size > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.blocks import small_batches
 from palimpsest.storage import materialize
 
 SLOTS = 4
@@ -171,6 +172,7 @@ def live_index(rows: DataFrame, n_rows: int, salts: int = 16) -> DataFrame:
 
     Slices hold about half of FLUSH_KEYS digests; their number follows the row count, so a task's memory doesn't.
     """
+    small_batches(rows.sparkSession)
     n_slices = max(1, -(-2 * n_rows // FLUSH_KEYS))
     partial = (
         rows.groupBy("text_sha256", F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt"))
