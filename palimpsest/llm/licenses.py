@@ -1,20 +1,37 @@
 """License scans by sentence rules.
 
 A text is cut into sentences, each is normalised and looked up among known licence sentences; the resulting sequence of
-sentence identifiers is matched against ordered rules, each of which consumes what it matches. Built from column functions,
-so a sentence never leaves the JVM.
+sentence identifiers is matched against ordered rules, each of which consumes what it matches. A known sentence may be wrapped
+over lines, with or without comment marks. Built from column functions, so a sentence never leaves the JVM.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where a sentence ends: closing marks before a blank, or a line end.
 SENTENCE_END = "[.!?;:]+[\\x20\\x09-\\x0D]+|[\\n\\r]+"
-#: What normalising replaces by one space.
-NOT_WORD = "[^a-z0-9+]+"
 UNKNOWN = "-"
+#: In lower-case text, the marks of an end of a sentence, of a line break within one and of the end of a list mark.
+END, WRAP, LISTED = "H", "S", "L"
+BREAK = f"[{END}{WRAP}{LISTED}]"
+#: What precedes a clause of a list on its line, without parentheses.
+LIST_MARK = "[0-9]{1,2}|[a-z]|[ivx]{2,4}"
+#: Replacements in lower-case text, in this order.
+MARKING: tuple[tuple[str, str], ...] = (
+    # indentation, comment marks and bullets; lines of nothing else are blank
+    ("(^|[\\n\\r])[^a-z0-9+\\n\\r]+", "$1"),
+    (f"(^|[\\n\\r]|[.!?;:][\\x20\\x09-\\x0D]+)\\(?({LIST_MARK})[.)][\\x20\\x09]++(?=[^\\x0A-\\x0D])", f"$1$2{LISTED}"),
+    ("[.!?;:][\\x20\\x09-\\x0D]+", END),
+    ("\\r\\n?|\\n", WRAP),
+    (f"[^a-z0-9+{END}{WRAP}{LISTED}]+", " "),
+    ("^|$", END),
+    (f"[ {END}{WRAP}]*(?:{END}|{WRAP} ?{WRAP})[ {END}{WRAP}]*", END),
+    (f" ?([{WRAP}{LISTED}]) ?", "$1"),
+)
 
 #: Normalised licence sentences and their identifiers. Public licence notices, as their authors recommend them.
 SENTENCES: dict[str, str] = {
@@ -103,23 +120,49 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, with every run of other characters than letters, digits and plus as one space."""
-    return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
+def anchors(sentences: dict[str, str]) -> list[str]:
+    """A few words, of six characters where there are such, one of which is part of every known sentence."""
+    left, out = [s.split(" ") for s in sentences], []
+    while left:
+        words = sorted({w for s in left for w in s if len(w) >= min(6, max(map(len, s)))})
+        out.append(max(words, key=lambda w: sum(any(w in x for x in s) for s in left)))
+        left = [s for s in left if not any(out[-1] in x for x in s)]
+    return out
+
+
+def pieces(text: Column, sentences: dict[str, str]) -> Column:
+    """What a text consists of, normalised: known sentences, the longest first, list marks (with LISTED behind) and other lines."""
+    for pattern, by in MARKING:
+        text = F.regexp_replace(F.lower(text) if pattern == MARKING[0][0] else text, pattern, by)
+    parts = ["|".join(f"[ {WRAP}]".join(map(re.escape, s.split(" "))) for s in sorted(sentences, key=lambda s: (-len(s), s)))] if sentences else []
+    known = [f"(?<={BREAK})(?:{p})(?={BREAK})" for p in parts]
+    return F.regexp_extract_all(text, F.lit("|".join([*known, f"(?<={BREAK})(?:{LIST_MARK}){LISTED}", f"[^{END}{WRAP}{LISTED}]+"])), F.lit(0))
 
 
 def sequence(text: Column, sentences: dict[str, str] | None = None) -> Column:
-    """The identifiers of a text's sentences as " a b - c ": known ones in order, UNKNOWN once for each run of others."""
+    """The identifiers of a text's sentences as " a b - c ": known ones in order, UNKNOWN once for each run of others.
+
+    A sentence ends at closing marks before a blank and at blank lines. At other line breaks it may end or go on. Lines without
+    letters or digits and list marks before known sentences don't count, unless a text has nothing else.
+    """
     sentences = SENTENCES if sentences is None else sentences
     longest = max(map(len, sentences), default=0)
     table = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair]) if sentences else F.create_map().cast("map<string,string>")
-
-    def known(raw: Column) -> Column:
-        plain = normalised(raw)
-        return F.when(F.length(plain) <= longest, F.coalesce(F.try_element_at(table, plain), F.lit(UNKNOWN))).otherwise(F.lit(UNKNOWN))
-
-    ids = F.array_join(F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: s != ""), known), " ")
-    return F.concat(F.lit(" "), F.regexp_replace(ids, f"{UNKNOWN}( {UNKNOWN})+", UNKNOWN), F.lit(" "))
+    text = F.coalesce(text, F.lit(""))
+
+    def known(piece: Column) -> Column:
+        plain = F.translate(piece, WRAP, " ")
+        other = F.when(F.endswith(piece, F.lit(LISTED)), F.lit(LISTED)).otherwise(F.lit(UNKNOWN))
+        return F.when(F.length(plain) <= longest, F.coalesce(F.try_element_at(table, plain), other)).otherwise(other)
+
+    ids = F.array_join(F.transform(pieces(text, sentences), known), " ")
+    unnamed = f"[{UNKNOWN}{LISTED}](?= |$)"
+    ids = F.regexp_replace(F.regexp_replace(ids, f"(?<=^| ){LISTED} (?!{unnamed})", ""), f"(?<=^| ){unnamed}(?: {unnamed})*", UNKNOWN)
+    wordless = F.when(F.exists(F.split(text, SENTENCE_END), lambda s: s != ""), F.lit(UNKNOWN)).otherwise(F.lit(""))
+    # Only texts with an anchor are taken apart; of the others, most show at once that they have a sentence.
+    some = F.rlike(F.lower(text), F.lit("|".join(map(re.escape, anchors(sentences))))) if sentences else F.lit(False)
+    ids = F.when(some, F.coalesce(F.nullif(ids, F.lit("")), wordless)).when(F.rlike(text, F.lit("[^.!?;:\\x20\\x09-\\x0D]")), F.lit(UNKNOWN)).otherwise(wordless)
+    return F.concat(F.lit(" "), ids, F.lit(" "))
 
 
 def apply_rules(ids: Column, rules: Rules = RULES) -> tuple[Column, Column]:

@@ -244,3 +244,75 @@ def test_licenses(odd, odd_rows, clashing, spark, empty):
     got = {r.doc_id: (r.licenses, r.unmatched, r.n_known) for r in scan_licenses(docs).collect()}
     assert got == {i: t[1:] for i, t in enumerate(texts)}
     assert all(set(body) <= set(SENTENCES.values()) for _, body in RULES)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licenses_wrapped(spark):
+    commented = lambda text, mark: "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines())
+    mit, bsd = "mit_grant mit_notice mit_warranty", "bsd_head bsd_source bsd_binary bsd_name"
+    texts = [
+        (MIT, f"- {mit} -", "MIT"),
+        (MIT.replace("\n", "\r\n"), f"- {mit} -", "MIT"),
+        *[(commented(MIT, mark), f"- {mit} -", "MIT") for mark in ("#", " *", "//", ";;", "--")],
+        ("/*\n" + commented(BSD, " *") + " */\nint x;\n", f"{bsd} -", "BSD-3-Clause"),
+        (ISC, "isc_grant", "ISC"),
+        (GPL, "gpl_free gpl3_terms", "GPL-3.0-or-later"),
+        (BSD, bsd, "BSD-3-Clause"),
+        (" ".join(BSD.split()), bsd, "BSD-3-Clause"),
+        (BSD[: BSD.index("3. ")], "bsd_head bsd_source bsd_binary", "BSD-2-Clause"),
+        *[(BSD.replace("1. ", a).replace("2. ", b).replace("3. ", c), bsd, "BSD-3-Clause") for a, b, c in [("(a) ", "(b) ", "(c) "), ("1) ", "2) ", "3) "), ("* ", "* ", "* ")]],
+        ("Intro without an end\nReleased under the MIT License\nmore", "- mit -", "MIT"),
+        ("This project is\nlicensed under the MIT License.", "mit", "MIT"),
+        ("Licensed under the GNU General Public License, version\n3. Other words.", "gpl3 -", "GPL-3.0-only"),
+        ("Licensed under\n\nthe MIT License", "-", ""),
+        ("1. Words.\n2. Words.", "-", ""),
+        ("A.\nAll rights reserved.", "- reserved", ""),
+        ("***\n", "-", ""),
+        (".\n \n", "", ""),
+    ]
+    docs = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in scan_licenses(docs).collect()}
+    assert got == {i: t[1:] for i, t in enumerate(texts)}
