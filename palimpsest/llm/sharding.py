@@ -1,7 +1,8 @@
 """Minimax contiguous partition of ordered atomic groups into shards (DataFrame functions only).
 
 Groups are rows with equal texts, in the order of a 64-bit hash of the text. The smallest capacity that lets a greedy
-pass fill at most the given number of shards is found by binary search, then the sequence is cut there.
+pass fill at most the given number of shards is found by binary search. It bounds the shards; they are cut near equal
+sizes below it, so that a group larger than a fair share doesn't set the size of all others.
 
 A greedy pass needs running sums over all groups, which the driver must not hold. It holds sums by hash range instead
 and works with bounds: a range with several groups may be cut nowhere inside (too pessimistic) or anywhere inside (too
@@ -11,7 +12,8 @@ single groups. Then both searches agree and the capacity is the exact optimum.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from heapq import nlargest
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +71,33 @@ class Ranges:
                 high = middle
         return low
 
+    def even(self, capacity: int, shards: int) -> list[int]:
+        """First ranges of the shards after the first: sizes near equal, none over ``capacity``, which must suffice.
+
+        No shard stays empty if there are as many ranges. A shard's goal is an equal part of what is left, where ranges larger than
+        that count as shards of their own; it closes at the end of a range next to the goal from which the rest can be placed.
+        """
+        n, least = len(self.rows), [len(self.rows)]
+        for _ in range(shards - 1):  # from behind: the first range at which so many shards suffice for the rest
+            least.append(bisect_left(self.ends, self.ends[least[-1]] - capacity))
+        out, i = [], 0
+        for left in range(shards, 1, -1):
+            if i == n:
+                break
+            size, k = self.total - self.ends[i], left
+            for big in nlargest(left - 1, (r[2] for r in self.rows[i:])):
+                if big * k <= size:
+                    break
+                size, k = size - big, k - 1
+            goal = self.ends[i] + size / k
+            j = bisect_right(self.ends, goal) - 1
+            if j < n and self.ends[j + 1] - goal < goal - self.ends[j]:
+                j += 1
+            most = min(bisect_right(self.ends, self.ends[i] + capacity) - 1, max(i + 1, n - left + 1))
+            i = min(max(j, i + 1, least[left - 1]), most)
+            out.append(i)
+        return [i for i in out if i < n]
+
     def open(self, shards: int) -> list[tuple[int, int]]:
         """Runs (first, last) of ranges, one per cut at most, in which a cut of the optimum may lie inside a range of several groups."""
         least, enough = self.smallest(True, shards), self.smallest(False, shards)
@@ -115,17 +144,15 @@ def find_cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[list[int], int]:
         gone = {r[0] for r in chosen}
         ranges = Ranges([r for r in ranges.rows if r[0] not in gone] + _sums(groups.where(inside), step))
     capacity = ranges.smallest(False, shards)
-    cuts, starts = ranges.cuts(capacity, False, shards) or [], []
-    for at in cuts[:-1]:
-        starts.append(ranges.rows[bisect_right(ranges.ends, at) - 1][0] - BIAS)
-    return starts, capacity
+    return [ranges.rows[i][0] - BIAS for i in ranges.even(capacity, shards)], capacity
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard. Law ``bytes``: sizes near equal.
 
     Size is the UTF-8 bytes of the text (null: none) plus 8. Equal texts go to one shard, so no shard is larger than the
-    optimum for whole groups in hash order. Slots count from 0 in each shard without gaps; rows that agree in id and text get
+    optimum for whole groups in hash order; below that, sizes differ from equal parts by about a group or one of 2**FIRST_BITS hash
+    ranges, and groups larger than an equal part have what is left of the others spread over the other shards. Slots count from 0 in each shard without gaps; rows that agree in id and text get
     neighbouring slots in any order. Null ids come first in a bin. Null and empty texts are one group. An empty table gives no rows.
     Two texts with one 64-bit hash count as one group, which keeps every promise above. Other columns aren't read.
     """

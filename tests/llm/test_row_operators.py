@@ -94,6 +94,29 @@ def test_smallest_capacity_is_optimal(monkeypatch):
         assert need > shards or tight < max(sizes)
 
 
+def test_shards_are_near_equal_beside_a_large_group():
+    rng = random.Random(5)
+    for case in range(300):
+        sizes = [rng.randrange(9, 90) for _ in range(rng.choice([1, 5, 23, 24, 25, 3000]))]
+        if case % 3:
+            sizes.insert(rng.choice([0, len(sizes) // 2, len(sizes)]), sum(sizes) // 2)
+        ranges, shards = sharding.Ranges([(i, 0, s, 1, s) for i, s in enumerate(sizes)]), 24
+        best = ranges.smallest(False, shards)
+        starts = ranges.even(best, shards)
+        got = [sum(sizes[i:j]) for i, j in zip([0, *starts], [*starts, len(sizes)], strict=True)]
+        assert len(got) == min(shards, len(sizes)) and max(got) <= best and min(got) > 0 and sum(got) == sum(sizes)
+        if len(sizes) >= 3000:
+            assert sorted(got)[-2] < 1.1 * sum(sorted(got)[:-1]) / 23
+
+
+@pytest.mark.parametrize("skew", [False, True])
+def test_sharding_leaves_no_shard_empty(spark, skew):
+    docs = spark.range(2000).selectExpr("id as doc_id", f"if({skew} and id % 3 = 0, 'one text', concat('text no ', id)) as text")
+    sizes = {r.shard: r.s for r in sharding.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    others = sorted(sizes.values())[: 23 if skew else 24]
+    assert len(sizes) == 24 and others[-1] < 1.25 * others[1]
+
+
 @pytest.mark.parametrize("bits", [1, 14])
 def test_sharding(odd, odd_rows, clashing, monkeypatch, bits):
     monkeypatch.setattr(sharding, "FIRST_BITS", bits)
