@@ -192,6 +192,35 @@ def read_jpeg(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def _private(marker: int, body: bytes) -> bool:
+    """Whether a segment is a comment or application data other than for colours."""
+    return marker == 0xFE or 0xE1 <= marker <= 0xEF and not (marker == 0xE2 and body.startswith(b"ICC_PROFILE")) and not (marker == 0xEE and body.startswith(b"Adobe"))
+
+
+def _scans(data: bytes) -> bytes:
+    """``data`` from the first scan to the picture's own end mark, without private segments between scans; what is appended behind goes."""
+    out, at, kept = [], 0, 0
+    while (at := data.find(b"\xff", at)) >= 0 and at + 1 < len(data):
+        marker = data[at + 1]
+        if marker == 0xD9:
+            return b"".join([*out, data[kept : at + 2]])
+        if marker == 0xFF:  # a fill byte
+            at += 1
+        elif marker in (0x00, 0x01) or 0xD0 <= marker <= 0xD7:
+            at += 2
+        elif marker == 0xD8 or at + 4 > len(data):
+            break
+        else:
+            end = at + 2 + struct.unpack_from(">H", data, at + 2)[0]
+            if end < at + 4 or end > len(data):
+                raise CodecError("JPEG segment beyond the end")
+            if _private(marker, data[at + 4 : end]):
+                out.append(data[kept:at])
+                kept = end
+            at = end
+    raise CodecError("JPEG without an end")
+
+
 def rewrite_jpeg(data: bytes, values: dict[str, str]) -> bytes:
     """The picture with ``values`` as its only metadata; colour and decoding segments stay, other application data and comments go."""
     out = [b"\xff\xd8"]
@@ -202,11 +231,8 @@ def rewrite_jpeg(data: bytes, values: dict[str, str]) -> bytes:
         out.append(b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body)
     for marker, body in _jpeg_segments(data):
         if marker == 0xDA:
-            end = body.rfind(b"\xff\xd9")
-            if end < 0:
-                raise CodecError("JPEG without an end")
-            out.append(body[: end + 2])  # what is appended behind the picture goes
-        elif not (0xE1 <= marker <= 0xEF and not (marker == 0xE2 and body.startswith(b"ICC_PROFILE")) and not (marker == 0xEE and body.startswith(b"Adobe"))) and marker != 0xFE:
+            out.append(_scans(body))
+        elif not _private(marker, body):
             out.append(bytes([0xFF, marker]) + struct.pack(">H", len(body) + 2) + body)
     return b"".join(out)
 

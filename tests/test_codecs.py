@@ -87,6 +87,15 @@ def test_jpeg():
     assert C.read("image/jpeg", C.rewrite("image/jpeg", jpeg(None, False))) == []
 
 
+def test_jpeg_ends_at_its_own_end_mark():
+    clean = C.rewrite("image/jpeg", jpeg(tail=b""))
+    assert C.rewrite("image/jpeg", jpeg(tail=jpeg())) == clean and clean.endswith(SCAN) and clean.count(b"\xff\xd9") == 1
+    # a second scan, with tables that hold the end mark's bytes and a comment before it
+    tables, scan = b"\xff\xc4\x00\x06\xff\xd9\xff\xd9", b"\xff\xda\x00\x04\x00\x00more\xff\xd0\xff\x00\xff\xd9"
+    got = C.rewrite("image/jpeg", jpeg(tail=b"")[:-2] + b"\xff\xfe\x00\x0aSECRET99" + tables + scan + jpeg())
+    assert got == clean[:-2] + tables + scan
+
+
 @pytest.mark.parametrize("bad", [b"", b"\xff\xd8", jpeg()[:40], jpeg()[:-70], b"no picture at all"])
 def test_damaged_jpeg_is_an_error(bad):
     with pytest.raises(C.CodecError):
