@@ -98,7 +98,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     Sources in code-point order, null last, take ``weights`` in turn. ``taken`` is size times ``repeats``: each row is taken as
     often as its source's target holds the whole source, and once more if its hash is up to the source's threshold.
     Nulls: a null text has size 0; null sources are one source; null ids share one hash. Rows with equal ids are taken alike,
-    so a boundary can only fall between ids. An empty table gives no rows; a source without words has target 0.
+    so a boundary can only fall between ids. The boundary row is left out, so a source falls short of its target, never above, by
+    less than the rows of one hash: with few or very long documents, by much of the target. An empty table gives no rows; a source without words has target 0.
     """
     carried = {f"__carry{i}": c for i, c in enumerate(carry)}
     rows = materialize(
