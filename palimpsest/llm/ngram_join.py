@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.blocks import slices, small_batches
@@ -178,7 +178,7 @@ def may_link(maps: np.ndarray, size: np.ndarray, at: np.ndarray, i: int, num: in
 
 
 def _profile(n_words: int):
-    """(doc_id, doc_key, text) to (doc_id, doc_key, n_shingles, node, cls, bits); cls is null for an empty set."""
+    """(doc_id, doc_key, digest, text) to (doc_id, doc_key, digest, n_shingles, node, cls, bits); cls is null for an empty set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +189,7 @@ def _profile(n_words: int):
                 cls = pa.array([k.tobytes() if n else None for k, n in zip(keys, size.tolist(), strict=True)], pa.binary())
                 node = pa.array(keys[:, 0].copy().view(np.int64))
                 bits = pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("doc_key")[a:b], pa.array(size), node, cls, bits], names=["doc_id", "doc_key", "n_shingles", "node", "cls", "bits"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[a:b] for c in ("doc_id", "doc_key", "digest")], pa.array(size), node, cls, bits], names=["doc_id", "doc_key", "digest", "n_shingles", "node", "cls", "bits"])
 
     return run
 
@@ -409,11 +409,21 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int =
     Null ids take part in links but name no component; a component of null ids only has a null id. Equal sets always link.
     Repeated rows are equal sets. An empty table gives no rows. Shingles are compared as 64-bit hashes, equal sets as 128-bit ones.
     """
+    return _linked(docs, n_words, num, den, tile).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _own() -> Column:
+    """What orders the rows of a component: by id, null last, then by digest."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+
+
+def _linked(docs: DataFrame, n_words: int, num: int, den: int, tile: int = TILE_SHINGLES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, digest of the text, n_shingles, component_id and, as ``_own`` has it, the least of its component; both null without words."""
     small_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    docs = docs.select("doc_id", key.alias("doc_key"), "text")
+    docs = docs.select("doc_id", key.alias("doc_key"), F.xxhash64("text").alias("digest"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.mapInArrow(_profile(n_words), f"doc_id {kind}, doc_key long, n_shingles long, node long, cls binary, bits binary"), "join-profile")
+    rows = materialize(docs.mapInArrow(_profile(n_words), f"doc_id {kind}, doc_key long, digest long, n_shingles long, node long, cls binary, bits binary"), "join-profile")
     # Sets that have a part in common. Parts with the same sets count once; the sets of a part that very many have are all joined.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = docs.select("text").mapInArrow(_signature_rows(n_words, num, den), "sig long, node long")
@@ -436,18 +446,28 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int =
     sets = docs.select("doc_key", "text").where(_maybe(members, "doc_key")).join(tasks.hint("merge"), "doc_key").select("text", "cls", "tasks").mapInArrow(_sets(n_words), "task string, side int, cls binary, shingles binary")
     links = sets.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_tiles(num, den), "a binary, b binary")
     roots = connected_components(links, "join-links").withColumnsRenamed({"node": "cls"})
-    classes = materialize(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id")), "join-classes")
+    classes = materialize(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(_own()).alias("class_least")), "join-classes")
     linked = roots.join(classes, "cls")
-    component = linked.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    names = classes.join(linked.select("cls", "root").join(component, "root").select("cls", "component_id"), "cls", "left")
-    names = names.select("cls", F.coalesce("component_id", "class_id").alias("component_id"))
-    return rows.join(names, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("class_least").alias("least"))
+    names = classes.join(linked.select("cls", "root").join(component, "root").select("cls", "component_id", "least"), "cls", "left")
+    names = names.select("cls", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("least", "class_least").alias("least"))
+    return rows.join(names, "cls", "left").select("doc_id", "digest", "n_shingles", "component_id", "least")
 
 
 def keep_representatives(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of ``docs`` that stay when of each group one does: the row whose id names the group. Rows without words stay.
+    """The rows of ``docs`` that stay when of each group exactly one does: one with the smallest id. Rows without words stay.
 
-    A group of null ids keeps all its rows. Rows that repeat an id stay together.
+    Of several texts with that id in a group, one stays by a 64-bit hash; of rows equal in id and text, the one least in its other
+    columns. A group of null ids only keeps one row as well.
     """
-    found = near_duplicates(docs, n_words, num, den).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    rows = _linked(docs, n_words, num, den).where("least is not null").select("doc_id", "digest", (_own() == F.col("least")).alias("stays"))
+    fate = materialize(rows.groupBy("doc_id", "digest", "stays").count().where("not stays or count > 1"), "join-fate")
+    fate = fate.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "stays")
+    digest = F.xxhash64(docs["text"])
+    same = docs["doc_id"].eqNullSafe(fate["__id"]) & (digest == fate["__digest"])
+    twice = fate.where("stays")
+    kept = docs.join(fate, same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    one = docs.join(twice, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row"))
+    return kept.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -138,6 +138,22 @@ def test_representatives(spark):
     assert {r.doc_id for r in J.keep_representatives(docs).collect()} == keep | {None}
 
 
+def test_representatives_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [
+        (5, a, "x"), (9, a, "x"),  # the group that (5, a) names
+        (2, b, "x"), (5, b, "x"),  # 5 again, but in another group
+        (7, c, "y"), (7, c, "x"), (7, c, "x"), (8, c, "x"), (7, c.upper(), "x"), (None, c, "x"),  # repeated rows, and another text of the same id
+        (None, "no ids " + b[:60], "x"), (None, "no ids " + b[:60], "x"),
+        (5, "", "x"), (5, "", "x"), (None, None, "x"),
+    ]
+    got = [tuple(r) for r in J.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()]
+    seven = [r for r in got if r[0] == 7]
+    assert len(seven) == 1 and seven[0] in [(7, c, "x"), (7, c.upper(), "x")]
+    rest = [(5, a, "x"), (2, b, "x"), (None, "no ids " + b[:60], "x"), (5, "", "x"), (5, "", "x"), (None, None, "x")]
+    assert sorted(map(repr, got)) == sorted(map(repr, [*seven, *rest]))
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5200)]
