@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.storage import ship
 
-SLICE_BYTES = 1 << 20
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+SLICE_BYTES = 1 << 18
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+HOT_KEYS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -25,6 +27,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, *key: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key and, in ``rows``, how many rows have that key.
+
+    Keys of more than one in HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are sent to all tasks, so their rows stay where
+    they are; rows of the other keys are shuffled. No key is null.
+    """
+    total = table.agg(F.sum("rows")).first()[0] or 0
+    often = F.col("rows") * HOT_KEYS > total
+    hot = table.where(often)
+    near = rows.join(F.broadcast(hot), [*key])
+    far = rows.join(F.broadcast(hot.select(*key)), [*key], "left_anti").join(table.where(~often), [*key])
+    return near.unionByName(far)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; null counts as empty."""
     if column.null_count:

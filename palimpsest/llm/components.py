@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.storage import materialize, release
 
-MAX_STEPS = 60
-
 
 def _settled(edges: DataFrame) -> bool:
     """Whether ``edges`` (u, v) are stars: each u has one v, and no v is a u."""
@@ -27,9 +25,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(ordered, name)
-    for _ in range(MAX_STEPS):
-        if _settled(now):
-            break
+    while not _settled(now):  # the number of steps grows with the logarithm of the component's size
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -40,7 +36,5 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         new = materialize(small.distinct(), name)
         release(now, large)
         now = new
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_STEPS} steps")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -1,44 +1,54 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
 Which documents are compared. For a similarity of at least t, two sets of sizes x <= y differ in at most x (1 - t) / t
-elements. Hash ranges cut every set of a size band into more parts than that, so two linked sets agree in at least one
-whole part. Documents with a part in common whose bitmaps don't rule a link out are joined to candidate groups. No link
-between different sets can be lost, however common a passage or word is.
+elements. Hash ranges cut every set of a size band into more parts than that, so two linked sets agree in some whole parts,
+enough of them that neither empty parts nor very common ones are needed. Documents with a part in common whose bitmaps don't
+rule a link out are joined to candidate groups. No link between different sets can be lost, however common a passage or word is.
 
 How they are compared. A candidate group is cut into tiles by size band (and by hash where a band is large), and only
 tiles of the same or neighbouring bands meet, so a task's memory is bounded and no group has to fit into one task. In a
 tile each set has a bitmap of hashed elements; the bits in which two bitmaps differ bound the overlap from above. Pairs
-that pass, and are not connected yet, are intersected exactly as sorted arrays. Tasks return spanning forests.
+that pass, and are not connected yet, are intersected exactly as sorted arrays, and what agrees by its hashes is compared
+word by word before it counts as a link. Tasks return spanning forests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import hashlib
+import secrets
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import slices, small_batches
+from palimpsest.llm.blocks import slices, small_batches, spread_join
 from palimpsest.llm.components import connected_components
-from palimpsest.storage import materialize
+from palimpsest.storage import materialize, release
 
 U = np.uint64
 BAND_RATIO = 1.5
+#: Shingles (or eights of bytes) of a tile, sets of a block of bitmaps: what a task holds, whatever the group's size.
 TILE_SHINGLES = 2_000_000
-SEEN_SETS = 1_000_000
-GROUP_SETS = 4096
+BLOCK_SETS = 4096
+#: Sets known to a task as seen before: beyond that it forgets them and repeats their signatures.
+SEEN_SETS = 500_000
+#: A part of more sets than this is common; a set leaves out its common parts if it has enough others (``Bands``).
+COMMON_SETS = 64
 FILTER_BITS = 1 << 25
+SLACK = 63
+LONG_WORD = 64
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_rng = np.random.default_rng(20_240_607)
-BYTE_VALUES = _rng.integers(0, 1 << 64, 256, dtype=U)
-ODD = _rng.integers(0, 1 << 63, 64, dtype=U) * U(2) + U(1)
+LOWER_TABLE = LOWER.tobytes()
+SHORT = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+PLAIN_KEY = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,63 +58,104 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every word of a slice, in order; words are runs of non-blank bytes, A-Z in lower case."""
-    n = len(offsets) - 1
-    out = np.full(len(data) + n + 1, 32, np.uint8)
-    out[np.repeat(np.arange(n) + 1, np.diff(offsets)) + np.arange(len(data))] = LOWER[data]
-    blank = BLANK[out]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    starts, ends = edge[0::2], edge[1::2]
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(out))
-    if not len(starts):
-        return np.zeros(0, U), np.zeros(0, np.int64)
+@lru_cache(maxsize=1000)
+def salted(key: int, n: int) -> np.uint64:
+    """The ``n``-th constant that belongs to a key."""
+    return U(int.from_bytes(hashlib.blake2b(b"%d" % n, digest_size=8, key=key.to_bytes(8, "little")).digest(), "little"))
+
+
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place (also from the end) as one number; what is behind the end is zero."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def run_hashes(data: np.ndarray, load: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """A hash of ``data[starts[i]:ends[i]]`` for each i: eight bytes after eight go through ``mix``; long runs through BLAKE2b."""
     length = ends - starts
-    chars = out[~blank]
-    first = np.cumsum(length) - length
-    place = np.arange(len(chars)) - np.repeat(first, length)
-    powers = np.multiply.accumulate(np.full(int(length.max()), ODD[0], U))
-    hashed = mix(np.add.reduceat(BYTE_VALUES[chars] * powers[place], first) + length.astype(U) * ODD[1])
-    return hashed, np.searchsorted(offsets[:-1] + np.arange(n) + 1, starts, "right") - 1
+    out = mix(length.astype(U) ^ salted(key, 0))
+    short = np.flatnonzero(length <= LONG_WORD)
+    at, left = starts[short], length[short]
+    while len(short):
+        out[short] = mix(out[short] ^ (load[at] & SHORT[np.minimum(left, 8)]))
+        if not (more := left > 8).any():
+            break
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    secret = key.to_bytes(8, "little")
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return out
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> list[np.ndarray]:
-    """For each text of a slice the sorted distinct hashes of its ``n_words``-word shingles; fewer words are one shingle."""
+def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of a slice's texts: runs of non-blank bytes of one text."""
+    full = ~BLANK[data]
+    opens, closes = full.copy(), full.copy()
+    opens[1:] &= ~full[:-1]
+    closes[:-1] &= ~full[1:]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    opens[first] = full[first]
+    closes[first[1:] - 1] = full[first[1:] - 1]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, key: int = PLAIN_KEY) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every word of a slice, in order; words are runs of non-blank bytes, A-Z in lower case."""
+    starts, ends = word_edges(data, offsets)
+    lower = LOWER[data]
+    return run_hashes(lower, loads(lower), starts, ends, key), np.searchsorted(offsets, starts, "right") - 1
+
+
+def rolled_hashes(words: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A hash of each run of ``n`` words, from the words' hashes."""
+    size = max(0, len(words) - n + 1)
+    out = mix(words[:size] ^ salted(key, n))
+    for j in range(1, n):
+        out = mix(out ^ words[j : j + size])
+    return out
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int, key: int = PLAIN_KEY, places: bool = False) -> list:
+    """For each text of a slice the sorted distinct hashes of its ``n_words``-word shingles; fewer words are one shingle.
+
+    With ``places``, pairs of such an array and the number of the word at which each shingle first begins.
+    """
     n = len(offsets) - 1
-    words, doc = word_hashes(data, offsets)
+    words, doc = word_hashes(data, offsets, key)
     counts = np.bincount(doc, minlength=n)
     first = np.cumsum(counts) - counts
-    rolled = np.zeros(max(0, len(words) - n_words + 1), U)
-    for j in range(n_words):
-        rolled += words[j : j + len(rolled)] * ODD[2 + j]
-    rolled = mix(rolled)
+    rolled = rolled_hashes(words, n_words, key)
     out = []
     for f, c in zip(first.tolist(), counts.tolist(), strict=True):
-        if c >= n_words:
-            out.append(np.unique(rolled[f : f + c - n_words + 1]))
-        elif c:
-            out.append(mix((words[f : f + c] * ODD[2 : 2 + c]).sum(keepdims=True) + np.full(1, c, U) * ODD[50]))
-        else:
-            out.append(rolled[:0])
+        part = rolled[f : f + c - n_words + 1] if c >= n_words else rolled_hashes(words[f : f + c], c, key) if c else rolled[:0]
+        out.append(np.unique(part, return_index=places) if places else np.unique(part))
     return out
 
 
-def set_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """128-bit keys of sets as two columns: equal sets have equal keys."""
-    out = np.zeros((len(sets), 2), U)
-    for i, s in enumerate(sets):
-        out[i, 0] = mix(s + ODD[51]).sum()
-        out[i, 1] = mix(s ^ ODD[52]).sum()
-    return mix(out + ODD[53])
+def class_keys(data: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """For each text of a slice a 128-bit BLAKE2b of its lower-cased words between single spaces; None without words."""
+    full = ~BLANK[data]
+    keep = full.copy()
+    keep[1:] |= full[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    keep[first] = full[first]
+    plain = np.where(full, LOWER[data], np.uint8(32))[keep].tobytes()
+    at = np.concatenate([[0], np.cumsum(keep)])[offsets].tolist()
+    out: list[bytes | None] = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        b -= b > a and plain[b - 1] == 32
+        out.append(hashlib.blake2b(plain[a:b], digest_size=16).digest() if b > a else None)
+    return out
 
 
 class Bands:
     """Size bands and how many parts sets of a band are cut into, for a similarity of num / den.
 
     Two sets of sizes x <= y that link have y <= x den / num and differ in at most x (den - num) / num elements. A set takes
-    part in its own band and in those of its smaller partners. ``spare`` more parts than needed make it certain that ``spare``
-    + 1 parts agree; so parts that are empty need no signature unless a set has more than ``spare`` of them.
+    part in its own band and in those of its smaller partners. Of a band's parts, ``need`` - 1 at most can differ between linked
+    sets. So a set with f parts that aren't empty agrees in f - need + 1 of them at least with any partner, and may leave out
+    f - need of its parts, as long as whether a part is left out by a set depends on the part alone: empty or common. A band has
+    parts enough that f is below ``need`` for next to no set; such a set has signatures of its empty parts too.
     """
 
     def __init__(self, num: int, den: int, ratio: float = BAND_RATIO) -> None:
@@ -117,34 +168,42 @@ class Bands:
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
-    @lru_cache(maxsize=100_000)  # noqa: B019  one object a task
+    @lru_cache(maxsize=1000)  # noqa: B019  one object a task
+    def parts(self, band: int) -> tuple[int, int]:
+        """(parts, need) of a band: the smallest sets have ``need`` full parts even four standard deviations below the mean."""
+        need = (self.starts[band + 1] - 1) * (self.den - self.num) // self.num + 1
+        size, parts = self.starts[band], need + 1
+        while parts < 4 * need:
+            empty = parts * (1 - 1 / parts) ** size
+            spread = max(0.0, empty + parts * (parts - 1) * (1 - 2 / parts) ** size - empty**2) ** 0.5
+            if parts - empty - 4 * spread >= need:
+                break
+            parts += 1 + need // 50
+        return parts, need
+
+    @lru_cache(maxsize=100_000)  # noqa: B019
     def joined(self, size: int) -> tuple[tuple[int, int, int], ...]:
-        """(band, parts, spare) in which a set of this size takes part."""
+        """(band, parts, need) in which a set of this size takes part; one part of all sets of that size if only equal sets link."""
         if size < self.least:
-            return ()
+            return ((-1 - size, 1, 1),)
         low = max(self.least, -(-self.num * size // self.den))
-        out = []
-        for b in range(self.of(low), self.of(size) + 1):
-            need = (self.starts[b + 1] - 1) * (self.den - self.num) // self.num + 1
-            spare = 1 if need < 8 else 2
-            out.append((b, need + spare, spare))
-        return tuple(out)
+        return tuple((b, *self.parts(b)) for b in range(self.of(low), self.of(size) + 1))
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of one set's parts in all bands that it takes part in."""
+def signatures(s: np.ndarray, bands: Bands, key: int = PLAIN_KEY) -> list[tuple[int, np.ndarray]]:
+    """One set's (slack, signatures of its parts) for each band that it takes part in; it may leave out ``slack`` common ones."""
     out = []
     top = s >> U(32)
-    running = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ ODD[54]), dtype=U)])
-    for band, parts, spare in bands.joined(len(s)):
+    running = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ salted(key, 101)), dtype=U)])
+    for band, parts, need in bands.joined(len(s)):
         part = (top * U(parts)) >> U(32)
         ends = np.searchsorted(part, np.arange(parts + 1, dtype=U))
         sums = running[ends[1:]] - running[ends[:-1]]
-        name = mix(np.arange(parts, dtype=U) + U(band) * ODD[55])
+        sig = mix(sums + mix(np.arange(parts, dtype=U) + U(band * PLAIN_KEY % (1 << 64))))
         full = ends[1:] > ends[:-1]
-        sig = mix(sums + name)
-        out.append(sig if parts - int(full.sum()) > spare else sig[full])
-    return np.concatenate(out) if out else np.zeros(0, U)
+        f = int(full.sum())
+        out.append((min(SLACK, f - need), sig[full]) if f >= need else (min(SLACK, parts - need), sig))
+    return out
 
 
 def bitmap_bits(size: int) -> int:
@@ -163,88 +222,112 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def folded(maps: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of one width, the smallest: the halves of wider ones laid over each other."""
-    words = min(map(len, maps))
-    return np.stack([np.bitwise_or.reduce(m.reshape(-1, words), 0) for m in maps])
+def folded(one: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap in ``words`` words: the halves of a wider one laid over each other."""
+    return np.bitwise_or.reduce(one.reshape(-1, words), 0)
 
 
-def may_link(maps: np.ndarray, size: np.ndarray, at: np.ndarray, i: int, num: int, den: int) -> np.ndarray:
-    """Those of the sets ``at`` that may link with set ``i``: the bits in which bitmaps differ are elements in which sets differ."""
-    apart = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
-    both = size[at] + size[i]
-    # overlap <= (both - apart) / 2, and a link needs den * overlap >= num * (both - overlap)
-    return at[(den + num) * (both - apart) >= 2 * num * both]
+class Maps:
+    """Bitmaps of sets in ascending order of size, one matrix for each width."""
 
+    def __init__(self, maps: list[np.ndarray]) -> None:
+        self.segments: list[tuple[int, int, np.ndarray]] = []
+        a = 0
+        for i in range(1, len(maps) + 1):
+            if i == len(maps) or len(maps[i]) != len(maps[a]):
+                self.segments.append((a, i, np.stack(maps[a:i])))
+                a = i
 
-def _profile(n_words: int):
-    """(doc_id, doc_key, digest, text) to (doc_id, doc_key, digest, n_shingles, node, cls, bits); cls is null for an empty set."""
+    def apart(self, i: int, at: np.ndarray) -> np.ndarray:
+        """For each of the sets ``at`` (ascending, none after ``i``) in how many bits its bitmap and that of set ``i`` differ, in the narrower one's width."""
+        own = next(m[i - a] for a, b, m in self.segments if a <= i < b)
+        out = []
+        for a, b, m in self.segments:
+            low, high = np.searchsorted(at, (a, b))
+            if low < high:
+                out.append(np.bitwise_count(m[at[low:high] - a] ^ folded(own, m.shape[1])).sum(1, dtype=np.int64))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text")):
-                sets = shingle_sets(data, offsets, n_words)
-                size = np.array([len(s) for s in sets], np.int64)
-                keys = set_keys(sets)
-                cls = pa.array([k.tobytes() if n else None for k, n in zip(keys, size.tolist(), strict=True)], pa.binary())
-                node = pa.array(keys[:, 0].copy().view(np.int64))
-                bits = pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c)[a:b] for c in ("doc_id", "doc_key", "digest")], pa.array(size), node, cls, bits], names=["doc_id", "doc_key", "digest", "n_shingles", "node", "cls", "bits"])
 
-    return run
+def may_link(apart: np.ndarray, sizes: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
+    """Whether sets whose bitmaps differ in ``apart`` bits may link: those bits are elements in which the sets differ."""
+    both = sizes + size
+    # overlap <= (both - apart) / 2, and a link needs den * overlap >= num * (both - overlap)
+    return (den + num) * (both - apart) >= 2 * num * both
+
 
+def _profile(n_words: int, num: int, den: int, key: int):
+    """(doc_id, doc_key, digest, text) to those without text and (n_shingles, weight, node, cls, bits, bands); cls is null for an empty set.
 
-def _signature_rows(n_words: int, num: int, den: int):
-    """text to (sig, node): each set's signatures, once per task for sets seen before (a bounded memory of keys)."""
+    ``bands`` has a set's (slack, signatures), once per task for sets seen before (a bounded memory of keys).
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text")):
-                sigs, nodes = [], []
-                sets = shingle_sets(data, offsets, n_words)
-                for s, key in zip(sets, set_keys(sets), strict=True):
-                    if len(s) < bands.least or (k := key.tobytes()) in seen:
+            for a, b, data, offsets in slices(batch.column("text")):
+                sets, keys = shingle_sets(data, offsets, n_words, key), class_keys(data, offsets)
+                size = np.array([len(s) for s in sets], np.int64)
+                rows: list[list[tuple[int, np.ndarray]]] = []
+                for s, k in zip(sets, keys, strict=True):
+                    if k is None or k in seen:
+                        rows.append([])
                         continue
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(k)
-                    sigs.append(signatures(s, bands))
-                    nodes.append(np.full(len(sigs[-1]), key[0], U))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes).view(np.int64))], names=["sig", "node"])
+                    rows.append(signatures(s, bands, key))
+                flat = [x for r in rows for x in r]
+                sig = np.concatenate([np.zeros(0, U), *(x[1] for x in flat)]).view(np.int64)
+                ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), pa.int32())
+                inner = pa.ListArray.from_arrays(ends([len(x[1]) for x in flat]), pa.array(sig))
+                pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), inner], names=["slack", "sigs"])
+                columns = [
+                    pa.array(size), pa.array(np.maximum(size, np.diff(offsets) >> 3)), pa.array([int.from_bytes(k[:8], "little", signed=True) & ~SLACK if k else None for k in keys], pa.int64()),
+                    pa.array(keys, pa.binary()), pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(ends([len(r) for r in rows]), pairs),
+                ]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[a:b] for c in ("doc_id", "doc_key", "digest")], *columns], names=["doc_id", "doc_key", "digest", "n_shingles", "weight", "node", "cls", "bits", "bands"])
 
     return run
 
 
-def _sets(n_words: int):
-    """(text, cls, tasks) to a row (task, side, cls, shingles) for each task of a text that has the wanted set."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted, tasks = batch.column("cls").to_pylist(), batch.column("tasks").to_pylist()
-            for a, b, data, offsets in slices(batch.column("text"), 1 << 20):
-                sets = shingle_sets(data, offsets, n_words)
-                keys, rows, held = set_keys(sets), [], 0
-                for i in range(a, b):
-                    if keys[i - a].tobytes() != wanted[i]:
-                        continue
-                    raw = sets[i - a].tobytes()
-                    for t in tasks[i]:
-                        rows.append((t["task"], t["side"], wanted[i], raw))
-                        held += len(raw)
-                        if held > 8 << 20:
-                            yield _set_batch(rows)
-                            rows, held = [], 0
-                if rows:
-                    yield _set_batch(rows)
+PROFILE = "doc_key long, digest long, n_shingles long, weight long, node long, cls binary, bits binary, bands array<struct<slack:long,sigs:array<long>>>"
 
-    return run
 
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, who) in their order to (grp, who, n_sets, n_sigs): the sets of every signature that several have.
 
-def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    task, side, cls, raw = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(task, pa.string()), pa.array(side, pa.int32()), pa.array(cls, pa.binary()), pa.array(raw, pa.binary())], names=["task", "side", "cls", "shingles"])
+    Signatures of the same sets are one group, as far as one batch of rows has them; n_sigs says how many they are.
+    """
+    rest: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last signature, which may go on
+
+    def found(sig: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
+        sig, who = sig[new], who[new]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]]))
+        n = np.diff(np.append(start, len(sig)))
+        plain = mix(who.view(U))
+        grp = mix(np.add.reduceat(plain, start) ^ mix(plain[start] + n.astype(U))) if len(start) else plain
+        many = np.flatnonzero(n > 1)
+        _, at, times = np.unique(grp[many], return_index=True, return_counts=True)
+        runs = many[at]
+        size = n[runs]
+        rows = np.repeat(start[runs] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        columns = [np.repeat(grp[runs].view(np.int64), size), who[rows], np.repeat(size, size), np.repeat(times.astype(np.int64), size)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["grp", "who", "n_sets", "n_sigs"])
+
+    for batch in batches:
+        sig, who = batch.column("sig").to_numpy(), batch.column("who").to_numpy()
+        if not len(sig):
+            continue
+        cut = int(np.searchsorted(sig, sig[-1]))
+        if cut or (rest and rest[0][0][0] != sig[-1]):
+            yield found(*map(np.concatenate, zip(*rest, (sig[:cut], who[:cut]), strict=True)))
+            rest = []
+        rest.append((sig[cut:], who[cut:]))
+    if rest:
+        yield found(*map(np.concatenate, zip(*rest, strict=True)))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -256,7 +339,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def forest(size: np.ndarray, maps: np.ndarray, sides: list[int], num: int, den: int, linked=None) -> list[int]:
+def forest(size: np.ndarray, maps: Maps, sides: list[int], num: int, den: int, linked: Callable[[int, int], bool] | None = None) -> list[int]:
     """For each set the number of a set that it is connected to by links (itself for roots). With two sides only pairs across count.
 
     ``size`` ascends. ``linked`` says for certain whether two sets link; without it, sets that may link do.
@@ -265,32 +348,75 @@ def forest(size: np.ndarray, maps: np.ndarray, sides: list[int], num: int, den:
     across = len(set(sides)) > 1
     label = np.arange(len(size))
     low = np.searchsorted(size * den, size * num)  # the first partner that is large enough
-    step = max(1, (4 << 20) // (8 * maps.shape[1]))  # a bounded number of bitmaps at a time
+    step = max(1, (4 << 20) // (8 * max(m.shape[1] for _, _, m in maps.segments)))  # a bounded number of bitmaps at a time
     for i in range(1, len(size)):
         for start in range(int(low[i]), i, step):
             at = np.arange(start, min(i, start + step))
             at = at[label[at] != label[i]]
             if across:
                 at = at[side[at] != side[i]]
-            for j in may_link(maps, size, at, i, num, den).tolist():
+            at = at[may_link(maps.apart(i, at), size[at], int(size[i]), num, den)]
+            for j in at.tolist():
                 if label[j] != label[i] and (linked is None or linked(j, i)):
                     old, new = max(label[i], label[j]), min(label[i], label[j])
                     label[label == old] = new
     return label.tolist()
 
 
-def link_sets(sets: list[np.ndarray], sides: list[int], num: int, den: int) -> list[int]:
-    """``forest`` of sorted arrays in any order, with exact intersections."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sets = [sets[i] for i in order]
-    bits = bitmap_bits(len(sets[-1]))
+class Texts:
+    """Sets of one tile with the texts they come from, for comparing words."""
+
+    def __init__(self, texts: list[bytes], n_words: int, key: int) -> None:
+        self.texts, self.n_words = texts, n_words
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        found = shingle_sets(data, offsets, n_words, key, places=True)
+        self.sets, self.places = [f[0] for f in found], [f[1] for f in found]
+        self.known: dict[int, list[bytes]] = {}
+        self.held = 0
+
+    def words(self, i: int) -> list[bytes]:
+        if i not in self.known:
+            if self.held > 400_000:
+                self.known, self.held = {}, 0
+            self.known[i] = self.texts[i].translate(LOWER_TABLE).split()
+            self.held += len(self.known[i])
+        return self.known[i]
+
+    def common(self, i: int, j: int) -> int:
+        """How many shingles two sets share. What agrees by hash is compared as words, in runs that go along in both texts."""
+        a, b = self.sets[i], self.sets[j]
+        at = np.searchsorted(b, a)
+        at[at == len(b)] = 0
+        same = np.flatnonzero(b[at] == a)
+        p, q = self.places[i][same], self.places[j][at[same]]
+        order = np.argsort(p)
+        p, q = p[order], q[order]
+        cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1
+        x, y = self.words(i), self.words(j)
+        for first, last in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(p)]]).tolist(), strict=True):
+            if first < last and x[p[first] : p[last - 1] + self.n_words] != y[q[first] : q[last - 1] + self.n_words]:
+                return len(self.exact(x) & self.exact(y))  # two shingles with one hash
+        return len(same)
+
+    def exact(self, words: list[bytes]) -> set[tuple[bytes, ...]]:
+        return {tuple(words[k : k + self.n_words]) for k in range(max(1, len(words) - self.n_words + 1))}
+
+
+def link_texts(texts: list[bytes], sides: list[int], n_words: int, num: int, den: int, key: int = PLAIN_KEY) -> list[int]:
+    """``forest`` of texts with words, in any order, with exact intersections."""
+    tile = Texts(texts, n_words, key)
+    size = np.array([len(s) for s in tile.sets], np.int64)
+    order = np.argsort(size, kind="stable").tolist()
 
     def linked(j: int, i: int) -> bool:
-        common = overlap(sets[j], sets[i])
-        return den * common >= num * (len(sets[i]) + len(sets[j]) - common)
+        i, j = order[i], order[j]
+        both = len(tile.sets[i]) + len(tile.sets[j])
+        common = overlap(tile.sets[i], tile.sets[j])
+        return den * common >= num * (both - common) and den * (common := tile.common(i, j)) >= num * (both - common)
 
-    label = forest(np.array([len(s) for s in sets], np.int64), np.stack([bitmap(s, bits) for s in sets]), [sides[i] for i in order], num, den, linked)
-    out = [0] * len(sets)
+    label = forest(size[order], Maps([bitmap(tile.sets[i], bitmap_bits(len(tile.sets[i]))) for i in order]), [sides[i] for i in order], num, den, linked)
+    out = [0] * len(texts)
     for k, i in enumerate(order):
         out[i] = order[label[k]]
     return out
@@ -304,70 +430,96 @@ def _stars(names: list, label: list[int]) -> list[tuple]:
     return [(name, least[k]) for name, k in zip(names, label, strict=True) if least[k] != name]
 
 
-def _groups(num: int, den: int):
-    """Rows (grp, node, n_shingles, bits) sorted by grp to edges (a, b) of nodes that may link; one group in memory at a time."""
+def _tiled(names: tuple[str, ...], kind: pa.DataType, join: Callable[[list[tuple]], list[tuple]]):
+    """Rows (``names``, a task's key first) sorted by the key to edges (a, b): what ``join`` finds among the rows of one key, one key in memory at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        now, a, b = None, [], []
+        now, pairs = None, []
 
-        def join() -> None:
-            if len(held) > 1:
-                rows = sorted(held)
-                maps = folded([np.frombuffer(r[2], U) for r in rows])
-                label = forest(np.array([r[0] for r in rows], np.int64), maps, [0] * len(rows), num, den)
-                for node, root in _stars([r[1] for r in rows], label):
-                    a.append(node)
-                    b.append(root)
+        def out() -> pa.RecordBatch:
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("grp", "n_shingles", "node", "bits"))
-            for grp, *row in zip(*columns, strict=True):
-                if grp != now:
-                    join()
-                    held, now = [], grp
-                held.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a, b = [], []
-        join()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for a in range(0, len(batch), 1024):
+                part = batch.slice(a, 1024)
+                for key, *row in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                    if key != now:
+                        if len(held) > 1:
+                            pairs += join(held)
+                        held, now = [], key
+                    held.append(tuple(row))
+            yield out()
+            pairs = []
+        if len(held) > 1:
+            pairs += join(held)
+        yield out()
 
     return run
 
 
-def _tiles(num: int, den: int):
-    """Rows (task, side, cls, shingles) sorted by task to links (a, b); one tile in memory at a time."""
+def _blocks(num: int, den: int):
+    """Rows (task, side, n_shingles, node, bits) to edges of nodes that may link."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, np.ndarray]] = {}
-        now = None
-
-        def links() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                keys = list(held)
-                roots = link_sets([held[k][1] for k in keys], [held[k][0] for k in keys], num, den)
-                pairs = _stars(keys, roots)
-                if pairs:
-                    a, b = zip(*pairs, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    def join(rows: list[tuple]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (r[1], r[2]))
+        maps = Maps([np.frombuffer(r[3], U) for r in rows])
+        label = forest(np.array([r[1] for r in rows], np.int64), maps, [r[0] for r in rows], num, den)
+        return _stars([r[2] for r in rows], label)
 
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("task", "side", "cls", "shingles"))
-            for task, side, cls, raw in zip(*columns, strict=True):
-                if task != now:
-                    yield from links()
-                    held, now = {}, task
-                held[cls] = (side, np.frombuffer(raw, U))
-        yield from links()
+    return _tiled(("task", "side", "n_shingles", "node", "bits"), pa.int64(), join)
 
-    return run
+
+def _tiles(n_words: int, num: int, den: int, key: int):
+    """Rows (task, side, cls, text) to links of classes."""
+
+    def join(rows: list[tuple]) -> list[tuple]:
+        held = {cls: (side, text) for side, cls, text in rows}
+        texts = [text.encode() for _, text in held.values()]
+        return _stars(list(held), link_texts(texts, [side for side, _ in held.values()], n_words, num, den, key))
+
+    return _tiled(("task", "side", "cls", "text"), pa.binary(), join)
+
+
+def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (text, cls, tasks) those whose text really is of that class."""
+    for batch in batches:
+        for a, b, data, offsets in slices(batch.column("text")):
+            keys = pa.array(class_keys(data, offsets), pa.binary())
+            yield batch.slice(a, b - a).filter(pc.fill_null(pc.equal(keys, batch.column("cls")[a:b].cast(pa.binary())), False))
+
+
+def _pairs_of(own: Column, n: Column) -> Column:
+    """For block ``own`` of ``n`` blocks its tasks as array<struct<name, side>>: one with each block, itself included."""
+    name = lambda t: F.concat_ws("=", F.least(own, t), F.greatest(own, t))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.struct(name(t).alias("name"), F.when(t < own, 1).otherwise(0).alias("side")))
+
+
+def _candidates(rows: DataFrame, num: int, den: int, common: int, block: int) -> DataFrame:
+    """(node, comp): candidate groups of the classes in ``rows`` (as _profile makes them) that may link to some other."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sigs = rows.where("size(bands) > 0").select("node", F.inline("bands")).select(F.explode("sigs").alias("sig"), F.expr("node | slack").alias("who"))
+    found = sigs.repartition(n, "sig").sortWithinPartitions("sig", "who").mapInArrow(_shared, "grp long, who long, n_sets long, n_sigs long")
+    groups = materialize(found.groupBy("grp", "who", "n_sets").agg(F.sum("n_sigs").alias("n_sigs")), "join-groups")
+    # A set with as many common parts as its slack, or fewer, leaves them out: it agrees in others with each partner.
+    spared = groups.where(F.col("n_sets") > common).groupBy("who").agg(F.sum("n_sigs").alias("parts")).where(f"parts <= (who & {SLACK})").select("who", F.lit(True).alias("spared"))
+    kept = groups.join(spared, "who", "left").where((F.col("n_sets") <= common) | F.col("spared").isNull())
+    kept = kept.select("grp", F.col("who").bitwiseAND(F.lit(~SLACK)).alias("node"), F.ceil(F.col("n_sets") / block).cast("int").alias("n_blocks"))
+    sets = rows.where("cls is not null").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("node", "n_shingles", "bits")]).drop("cls")
+    tasks = kept.withColumn("task", F.explode(_pairs_of(F.expr("pmod(xxhash64(node), n_blocks)").cast("int"), F.col("n_blocks"))))
+    tasks = tasks.select("node", F.concat_ws(":", "grp", "task.name").alias("task"), "task.side")
+    edges = tasks.join(sets, "node").repartition(n, "task").sortWithinPartitions("task").mapInArrow(_blocks(num, den), "a long, b long")
+    out = connected_components(edges, "join-rough").withColumnsRenamed({"root": "comp"})
+    release(groups)
+    return out
 
 
 def _tasks(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
-    """``members`` (cls, comp, n_shingles) with the tiles' tasks each takes part in, as tasks array<struct<task, side>>."""
+    """``members`` (cls, comp, n_shingles, weight) with the tiles' tasks each takes part in, as tasks array<struct<task, side>>."""
     width = float(np.log(den / num)) * (1 + 1e-9)
     members = members.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int"))
-    totals = members.groupBy("comp", "band").agg(F.sum("n_shingles").alias("n"))
+    totals = members.groupBy("comp", "band").agg(F.sum("weight").alias("n"))
     whole = totals.groupBy("comp").agg(F.sum("n").alias("all"))
     cut = totals.join(whole, "comp").where(F.col("all") > tile).select("comp", "band", F.ceil(F.col("n") / tile).cast("int").alias("m"))
     near = cut.select("comp", F.explode(F.array(*[F.struct((F.col("band") + d).alias("band"), F.lit(d).alias("d"), F.col("m")) for d in (-1, 0, 1)])).alias("x")).select("comp", "x.*")
@@ -381,15 +533,15 @@ def _tasks(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     up = F.transform(upto("m_up"), lambda t: task(name(F.concat(F.col("band"), F.lit("+")), F.col("s"), t), F.lit(0)))
     down = F.transform(upto("m_down"), lambda t: task(name(F.concat(F.col("band") - 1, F.lit("+")), t, F.col("s")), F.lit(1)))
     one = F.array(task(F.hex("comp"), F.lit(0)))
-    return found.withColumn("tasks", F.when(F.col("m_own").isNull(), one).otherwise(F.concat(own, up, down))).select("cls", "doc_key", "tasks")
+    return found.withColumn("tasks", F.when(F.col("m_own").isNull(), one).otherwise(F.concat(own, up, down))).select("cls", "doc_key", "digest", "tasks")
 
 
 def _maybe(keys: DataFrame, name: str):
     """A test of ``name``: false only for values that ``keys`` lacks. It is a bitmap of FILTER_BITS bits however many keys there are."""
     bit = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    parts = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).collect()
+    parts = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    bitmap[[r["at"] for r in parts]] = [r["bits"] for r in parts]
+    bitmap[parts.column("at").to_numpy()] = parts.column("bits").to_numpy()
     shared = keys.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
@@ -400,16 +552,21 @@ def _maybe(keys: DataFrame, name: str):
     return test(bit)
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, tile: int = TILE_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, **how: int) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Sets of distinct ``n_words``-word shingles link when den * intersection >= num * union. component_id is the smallest id
     that links reach, itself included. Words are runs of non-blank characters with A-Z in lower case; a text of fewer words is
     one shingle; one without words, or null, is an empty set that links with nothing (its component is its own id).
     Null ids take part in links but name no component; a component of null ids only has a null id. Equal sets always link.
-    Repeated rows are equal sets. An empty table gives no rows. Shingles are compared as 64-bit hashes, equal sets as 128-bit ones.
+    Repeated rows are equal sets. Very long texts are taken whole; one text has to fit into a task. An empty table gives no rows.
+    Other columns aren't read.
+
+    Shingles are found by 64-bit hashes under a key drawn for each call (so that no texts can be made to collide), and a link
+    counts only after its shingles agree word by word. Texts with the same words in the same order are told by a 128-bit BLAKE2b.
+    ``how`` has the bounds ``tile``, ``common`` and ``block``, which change no result.
     """
-    return _linked(docs, n_words, num, den, tile).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _linked(docs, n_words, num, den, **how).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _own() -> Column:
@@ -417,41 +574,37 @@ def _own() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
 
 
-def _linked(docs: DataFrame, n_words: int, num: int, den: int, tile: int = TILE_SHINGLES) -> DataFrame:
+def _linked(docs: DataFrame, n_words: int, num: int, den: int, tile: int = TILE_SHINGLES, common: int = COMMON_SETS, block: int = BLOCK_SETS) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest of the text, n_shingles, component_id and, as ``_own`` has it, the least of its component; both null without words."""
     small_batches(docs.sparkSession)
+    secret = secrets.randbits(63)
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     docs = docs.select("doc_id", key.alias("doc_key"), F.xxhash64("text").alias("digest"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.mapInArrow(_profile(n_words), f"doc_id {kind}, doc_key long, digest long, n_shingles long, node long, cls binary, bits binary"), "join-profile")
-    # Sets that have a part in common. Parts with the same sets count once; the sets of a part that very many have are all joined.
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sigs = docs.select("text").mapInArrow(_signature_rows(n_words, num, den), "sig long, node long")
-    over = "over (partition by sig)"
-    shared = sigs.selectExpr("node", f"min(node) {over} as least", f"max(node) {over} as most", f"count(1) {over} as n", f"bit_xor(xxhash64(node)) {over} as mixed").where("least <> most")
-    groups = materialize(shared.selectExpr("node", "least", f"n > {GROUP_SETS} as large", "xxhash64(least, most, mixed) as grp").distinct(), "join-groups")
-    sizes = rows.where("cls is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
-    compared = groups.where("not large").select("grp", "node").join(sizes, "node").repartition(n, "grp").sortWithinPartitions("grp")
-    edges = compared.mapInArrow(_groups(num, den), "a long, b long").unionByName(groups.where("large").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    rough = connected_components(edges, "join-rough")
-    members = (
-        rows.where("cls is not null")
-        .join(rough.withColumnsRenamed({"root": "comp"}), "node")
-        .groupBy("cls", "comp")
-        .agg(F.min("doc_key").alias("doc_key"), F.first("n_shingles").alias("n_shingles"))
-    )
-    members = materialize(members, "join-members")
+    full = materialize(docs.mapInArrow(_profile(n_words, num, den, secret), f"doc_id {kind}, {PROFILE}"), "join-profile")
+    rough = _candidates(full, num, den, common, block)
+    rows = materialize(full.drop("bits", "bands"), "join-rows")
+    release(full)
+    classes = rows.where("cls is not null").groupBy("cls").agg(
+        F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_key", "digest", "weight")).alias("one"),
+        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("class_id"), F.min(_own()).alias("class_least"),
+    )
+    classes = materialize(classes, "join-classes")
+    members = materialize(classes.join(rough, "node").select("cls", "comp", "n_shingles", "one.*"), "join-members")
     tasks = _tasks(members, num, den, tile)
     # Most texts are in no candidate group; the bitmap keeps nearly all of those from being moved, the join drops the rest.
-    sets = docs.select("doc_key", "text").where(_maybe(members, "doc_key")).join(tasks.hint("merge"), "doc_key").select("text", "cls", "tasks").mapInArrow(_sets(n_words), "task string, side int, cls binary, shingles binary")
-    links = sets.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_tiles(num, den), "a binary, b binary")
+    texts = docs.where(_maybe(members, "doc_key")).join(tasks.hint("merge"), ["doc_key", "digest"]).select("text", "cls", "tasks")
+    sets = texts.mapInArrow(_wanted, texts.schema).select(F.inline("tasks"), "cls", "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = sets.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_tiles(n_words, num, den, secret), "a binary, b binary")
     roots = connected_components(links, "join-links").withColumnsRenamed({"node": "cls"})
-    classes = materialize(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(_own()).alias("class_least")), "join-classes")
     linked = roots.join(classes, "cls")
     component = linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("class_least").alias("least"))
-    names = classes.join(linked.select("cls", "root").join(component, "root").select("cls", "component_id", "least"), "cls", "left")
-    names = names.select("cls", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("least", "class_least").alias("least"))
-    return rows.join(names, "cls", "left").select("doc_id", "digest", "n_shingles", "component_id", "least")
+    names = classes.select("cls", "rows", "class_id", "class_least").join(linked.select("cls", "root").join(component, "root").select("cls", "component_id", "least"), "cls", "left")
+    names = materialize(names.select("cls", "rows", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("least", "class_least").alias("least")), "join-names")
+    worded = spread_join(rows.where("cls is not null").select("doc_id", "digest", "n_shingles", "cls"), names, "cls").drop("cls", "rows")
+    wordless = rows.where("cls is null").select("doc_id", "digest", "n_shingles", *[F.lit(None).cast(names.schema[c].dataType).alias(c) for c in ("component_id", "least")])
+    return worded.unionByName(wordless)
 
 
 def keep_representatives(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.blocks import slices, small_batches
-from palimpsest.llm.ngram_join import word_hashes
+from palimpsest.llm.ngram_join import word_edges, word_hashes
 
 SAMPLE_ROWS = 20_000
 REJECT_BELOW = 0.3
@@ -77,18 +77,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _bare_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Words of each text that have neither letter nor digit."""
-    n = len(offsets) - 1
-    out = np.full(len(data) + n + 1, 32, np.uint8)
-    out[np.repeat(np.arange(n) + 1, np.diff(offsets)) + np.arange(len(data))] = data
-    blank = BLANK_[out]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    starts, ends = edge[0::2], edge[1::2]
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(out))
-    has = np.concatenate([[0], np.cumsum((LETTER | DIGIT)[out])])
+    starts, ends = word_edges(data, offsets)
+    has = np.concatenate([[0], np.cumsum((LETTER | DIGIT)[data])])
     bare = has[ends] == has[starts]
-    doc = np.searchsorted(offsets[:-1] + np.arange(n) + 1, starts, "right") - 1
-    return np.bincount(doc[bare], minlength=n) if len(doc) else np.zeros(n, np.int64)
+    return np.bincount(np.searchsorted(offsets, starts[bare], "right") - 1, minlength=len(offsets) - 1)
 
 
 @dataclass

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.blocks import slices, small_batches
-from palimpsest.llm.ngram_join import BYTE_VALUES, ODD, mix
+from palimpsest.llm.ngram_join import PLAIN_KEY, loads, run_hashes
 from palimpsest.storage import local_or_uri, materialize, new_path
 
 END_ID = 0
@@ -36,11 +36,11 @@ SAMPLE_CHARS = 16_000
 DICT_BYTES = 64 << 10
 FILE_BYTES = 128 << 20
 LEVEL = 3
-CACHE_PIECES = 1_500_000
-GROUP_BYTES = 8 << 20
-STEP_BYTES = 1 << 20
+#: Pieces that a worker remembers (beyond that it forgets them all), bytes of text whose pieces are looked up at once, pieces encoded in one run.
+CACHE_PIECES = 500_000
+GROUP_BYTES = 2 << 20
+STEP_BYTES = 1 << 18
 RUN = 20
-SHORT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 MAGIC = b"IDSTORE1"
 HEADER = struct.Struct("<8sI32s")
 FOOTER = struct.Struct("<qq8s")
@@ -74,9 +74,9 @@ class Encoder:
     """Ids of texts as bytes.
 
     Byte-level BPE with the usual pattern never joins bytes across a lone space or line feed between two plain characters. So texts
-    are cut there, each distinct piece is encoded once, and its ids are copied to where it occurs. Pieces are told apart by a 64-bit
-    hash, their length and their first and last eight bytes. That encoded runs of pieces really end where the pieces do is checked by
-    the tokens' byte lengths; if not, or with a tokenizer of another kind, texts are encoded whole.
+    are cut there, each distinct piece is encoded once, and its ids are copied to where it occurs. Pieces are found by a hash; every
+    occurrence is compared byte by byte with the piece whose ids it gets. That encoded runs of pieces really end where the pieces do is
+    checked by the tokens' byte lengths; if either fails, or with a tokenizer of another kind, texts are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -95,15 +95,17 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, self.kind)
+        """Empty the memory of pieces: sorted hashes, where their ids and bytes begin and how many they are."""
+        self.keys = np.zeros(0, np.uint64)
+        self.first, self.count, self.raw_at, self.raw_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.flat, self.raw = np.zeros(0, self.kind), np.zeros(0, np.uint8)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], step: int = 500) -> Iterator[list[int]]:
+        for a in range(0, len(texts), step):
+            yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + step], add_special_tokens=False))
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(i, self.kind).tobytes() for i in self._ids(texts)]
+        return [np.array(i, self.kind).tobytes() for i in self._ids(texts, 50)]
 
     def _learn(self, pieces: list[bytes], joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, count of each piece) for new pieces, the joinable ones in runs; None if a run of pieces doesn't end where they do."""
@@ -117,7 +119,7 @@ class Encoder:
             return None
         count = np.zeros(len(pieces), np.int64)
         count[plain] = np.diff(at, prepend=-1)
-        alone = self._ids([pieces[i].decode() for i in odd])
+        alone = list(self._ids([pieces[i].decode() for i in odd]))
         count[odd] = [len(x) for x in alone]
         out = np.zeros(int(count.sum()), self.kind)
         place = np.cumsum(count) - count
@@ -142,45 +144,30 @@ class Encoder:
             return
         if len(self.keys) > CACHE_PIECES:
             self._forget()
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        load = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
         empty = np.diff(offsets) == 0
-        starts, keys, checks = [], [], []
-        for base, stop in _steps(offsets):
-            o = offsets[base : stop + 1]
-            part = data[o[0] : o[-1]]
-            if not len(part):
-                continue
-            s = cuts(part, np.unique(o - o[0]))
-            length = np.diff(np.append(s, len(part)))
-            place = np.arange(len(part)) - np.repeat(s, length)
-            powers = np.multiply.accumulate(np.full(int(length.max()), ODD[57], np.uint64))
-            keys.append(mix(np.add.reduceat(BYTE_VALUES[part] * powers[place], s) + length.astype(np.uint64)))
-            s = s + o[0]
-            head = load[s] & SHORT[np.minimum(length, 8)]
-            tail = load[np.maximum(s, s + length - 8)] & SHORT[np.minimum(length, 8)]
-            checks.append(mix(head) ^ mix(tail + length.astype(np.uint64) * ODD[58]))
-            starts.append(s)
+        starts = [np.unique(offsets[base : stop + 1]) for base, stop in _steps(offsets)]
+        starts = [cuts(data[o[0] : o[-1]], o - o[0]) + o[0] for o in starts if len(o) > 1]
         if not starts:
             yield from [b""] * len(column)
             return
-        start, key, check = np.concatenate(starts), np.concatenate(keys), np.concatenate(checks)
-        length = np.diff(np.append(start, len(data)))
-        kinds, sample, which = np.unique(key, return_index=True, return_inverse=True)
-        good = np.array_equal(check[sample][which], check)
+        start = np.concatenate(starts)
+        end = np.append(start[1:], len(data))
+        length = end - start
+        kinds, sample, which = np.unique(run_hashes(data, loads(data), start, end, PLAIN_KEY), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, kinds)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
+        old, fresh = np.flatnonzero(known), np.flatnonzero(~known)
+        twin, seen = sample[which], sample[old]
+        good = np.array_equal(length, length[twin]) and np.array_equal(length[seen], self.raw_size[at[old]])
+        good = good and same_bytes(data, start, data, start[twin], length) and same_bytes(data, start[seen], self.raw, self.raw_at[at[old]], length[seen])
+        s, n = start[sample[fresh]], length[sample[fresh]]
         if good:
-            at = np.searchsorted(self.keys, kinds)
-            at[at == len(self.keys)] = 0
-            known = self.keys[at] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
-            good = not known.any() or np.array_equal(self.checks[at[known]], check[sample[known]])
-            fresh = np.flatnonzero(~known)
-            s, n = start[sample[fresh]], length[sample[fresh]]
-            end = s + n
-            joinable = ((data[s] == 32) | (data[s] == 10)) & ~ODD_BYTE[data[end - 1]]
+            joinable = ((data[s] == 32) | (data[s] == 10)) & ~ODD_BYTE[data[s + n - 1]]
             for k in (1, 2, 3):
-                joinable &= ~ODD_LEAD[data[np.maximum(s, end - k)]]
-            raw = data.tobytes()
-            learned = self._learn([raw[a:b] for a, b in zip(s.tolist(), end.tolist(), strict=True)], joinable) if good else None
+                joinable &= ~ODD_LEAD[data[np.maximum(s, s + n - k)]]
+            pieces = [data[a:b].tobytes() for a, b in zip(s.tolist(), (s + n).tolist(), strict=True)]
+            learned = self._learn(pieces, joinable)
             good = learned is not None
         if not good:  # two pieces with one hash, or a tokenizer that joins what was cut
             yield from self.whole([t or "" for t in column.to_pylist()])
@@ -190,9 +177,12 @@ class Encoder:
         first[known], size[known] = self.first[at[known]], self.count[at[known]]
         first[fresh], size[fresh] = np.cumsum(count) - count + len(self.flat), count
         flat = self.flat = np.concatenate([self.flat, ids])
+        raw_at = np.cumsum(n) - n + len(self.raw)
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
         place = np.searchsorted(self.keys, kinds[fresh])
-        self.keys, self.checks = np.insert(self.keys, place, kinds[fresh]), np.insert(self.checks, place, check[sample[fresh]])
-        self.first, self.count = np.insert(self.first, place, first[fresh]), np.insert(self.count, place, count)
+        self.keys = np.insert(self.keys, place, kinds[fresh])
+        for name, new in (("first", first[fresh]), ("count", count), ("raw_at", raw_at), ("raw_size", n)):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
         text_at = np.searchsorted(start, offsets)  # the first piece of each text
         for base, stop in _steps(offsets):
             p, q = int(text_at[base]), int(text_at[stop])
@@ -205,6 +195,20 @@ class Encoder:
                 yield got[edge[i] : edge[i + 1]] if not empty[base + i] else b""
 
 
+def same_bytes(one: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, length: np.ndarray, step: int = STEP_BYTES) -> bool:
+    """Whether ``one[at[i]:at[i] + length[i]]`` equals the same length of ``other`` from ``there[i]`` for each i."""
+    ends = np.cumsum(length)
+    a = 0
+    while a < len(length):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, "right")))
+        n = length[a:b]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(one[np.repeat(at[a:b], n) + place], other[np.repeat(there[a:b], n) + place]):
+            return False
+        a = b
+    return True
+
+
 def _steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of about STEP_BYTES."""
     a, n = 0, len(offsets) - 1

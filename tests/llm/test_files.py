@@ -105,6 +105,28 @@ def test_token_round_trip(odd, odd_rows, clashing):
     assert rows_of(T.token_round_trip(clashing, tokenizer_path())) == sorted(map(tuple, got), key=repr)
 
 
+def thue_morse(letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(4096))
+
+
+def test_token_round_trip_of_constructed_texts(spark):
+    """Texts that every polynomial hash modulo a power of two confuses, in one partition."""
+    texts = [f"{'x' * 9}{thue_morse(ab)}{'y' * 9}" for ab in ("ab", "ba")]
+    texts += [" ".join(texts), " ".join(texts[::-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = [zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for x in encode(texts)]
+    assert [r.ids_crc32 for r in T.token_round_trip(docs, tokenizer_path()).orderBy("doc_id").collect()] == want
+
+
+@pytest.mark.parametrize("group", [64, 1 << 21])
+def test_pieces_of_one_hash_are_told_apart(odd_rows, monkeypatch, group):
+    monkeypatch.setattr(T, "GROUP_BYTES", group)
+    monkeypatch.setattr(T, "run_hashes", lambda data, load, starts, ends, key: (ends - starts).astype(np.uint64) % np.uint64(7))
+    encoder = T.Encoder(tokenizer_path())
+    texts = [r[1] or "" for r in odd_rows][:40]
+    assert encoder.encode(texts) == encoder.whole(texts)
+
+
 def test_token_files_give_single_documents(spark):
     docs = spark.range(300).selectExpr("id as doc_id", "concat('document number ', id, ' has ', repeat('some more words ', cast(id % 9 as int))) as text")
     folder = new_path(spark, "ids-test")
