@@ -47,3 +47,16 @@ def hemisphere(degrees: Column, positive: str, negative: str) -> Column:
 
 def location_text(latitude: Column, longitude: Column) -> Column:
     return F.concat(latitude.cast("string"), F.lit(", "), longitude.cast("string"))
+
+
+def degrees(text: Column, ref: Column) -> Column:
+    """A coordinate as images hold it, degrees, minutes and seconds as fractions or one number, with its hemisphere; null if it says none."""
+    parts = F.split(text, ",")
+    one = lambda i: F.try_divide(parse_double(F.split_part(F.get(parts, F.lit(i)), F.lit("/"), F.lit(1))), parse_double(F.split_part(F.get(parts, F.lit(i)), F.lit("/"), F.lit(2))))
+    size = F.when(F.size(parts) == 3, one(0) + one(1) / 60 + one(2) / 3600).otherwise(parse_double(text))
+    return F.when(ref.isin("S", "W"), -size).otherwise(size)
+
+
+def point(text: Column, which: int) -> Column:
+    """Latitude (1) or longitude (2) of a place as media containers hold it: +45.5000-120.2500/."""
+    return F.nullif(F.regexp_extract(text, "^([+-][0-9.]+)([+-][0-9.]+)", which), F.lit("")).try_cast("double")

@@ -84,14 +84,14 @@ def _pdf_entries(attrs: Column) -> Column:
     return F.transform(known, lambda a: _entry(a["entry_ord"], F.when(a["key"] == "PageCount", "Page Count").otherwise(a["key"]), a["value"]))
 
 
-def with_entries(rows: DataFrame) -> DataFrame:
-    """``rows`` of :func:`records` with what a preview shows of each file, as an array ``shown``: images their tags, or one Error or Info row;
-    media title to duration; PDFs the page count and what the information dictionary has; types that can't be read one Info row."""
-    kind, attrs = F.col("kind"), F.col("attrs")
+def with_entries(rows: DataFrame, held: str = "attrs", name: str = "shown") -> DataFrame:
+    """``rows`` of :func:`records` with what a preview shows of each file's attributes ``held``, as an array ``name``: images their tags, or one
+    Error or Info row; media title to duration; PDFs the page count and what the information dictionary has; types that can't be read one Info row."""
+    kind, attrs = F.col("kind"), F.col(held)
     none = _one("Info", F.concat(F.lit(tags.UNSUPPORTED), F.coalesce("mime_type", F.lit(""))))
     rows = rows.withColumn("__tagged", F.when(kind == "image", _in_order(_said(attrs), tags.PREVIEW_TAGS)))
     shown = F.when(kind == "image", _image_entries(F.col("__tagged"), F.col("error"))).when(kind.isin("video", "audio"), _media_entries(attrs)).when(kind == "pdf", _pdf_entries(attrs)).otherwise(none)
-    return rows.withColumn("shown", shown).drop("__tagged")
+    return rows.withColumn(name, shown).drop("__tagged")
 
 
 def project_tags(attributes: DataFrame, names: Sequence[str] = tags.PREVIEW_TAGS) -> DataFrame:
@@ -168,39 +168,49 @@ def _set(kept: Column, new: Column) -> Column:
     return F.concat(F.filter(kept, lambda a: ~F.array_contains(keys, a["key"])), F.transform(new, lambda a: _entry(a["entry_ord"] + 1000, a["key"], a["value"])))
 
 
-def _kept_in_image(attrs: Column, keep_orientation: bool, thumbnail: str, strict: bool) -> Column:
+def _kept(kind: Column, attrs: Column, keep_orientation: bool, thumbnail: str, strict: bool, listed: Sequence[str]) -> Column:
+    """What the rules of a file's type leave of its attributes. ``listed`` are the tags that images lose if not ``strict``."""
     thumbs = tags.THUMBNAIL_TAGS if thumbnail == "KEEP_ORIGINAL" else ()
     if strict:
-        kept = F.filter(attrs, lambda a: a["key"].isin(*tags.STRUCTURE_TAGS, "Orientation", *thumbs))
+        image = F.filter(attrs, lambda a: a["key"].isin(*tags.STRUCTURE_TAGS, "Orientation", *thumbs))
     else:
-        kept = F.filter(attrs, lambda a: ~a["key"].isin(*tags.LEAK_TAGS, *(() if thumbs else tags.THUMBNAIL_TAGS)))
-    return F.filter(kept, lambda a: (a["key"] != "Orientation") | (F.lit(keep_orientation) & ~blank(a["value"])))
+        image = F.filter(attrs, lambda a: ~a["key"].isin(*listed, *(() if thumbs else tags.THUMBNAIL_TAGS)))
+    image = F.filter(image, lambda a: (a["key"] != "Orientation") | (F.lit(keep_orientation) & ~blank(a["value"])))
+    pdf = F.filter(attrs, lambda a: ~a["key"].isin(*tags.PDF_KEYS, *(("Xmp",) if strict else ())))
+    media = F.filter(attrs, lambda a: a["key"].isin(*TRACK_KEYS))
+    return F.when(kind == "image", image).when(kind == "pdf", pdf).when(kind.isin("video", "audio"), media).otherwise(attrs)
+
+
+def _replaced(kind: Column, attrs: Column, plan: Column, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True) -> Column:
+    """A file's attributes after replacing: images and PDFs get the plan's tags, media its place (as containers hold it, in single precision)."""
+    text = F.format_string("%+.4f%+.4f/", plan["latitude"].cast("float"), plan["longitude"].cast("float"))
+    place = F.when(plan.isNotNull(), F.array(_entry(F.lit(1), F.lit("Location"), text))).otherwise(F.array().cast(ENTRY))
+    new = F.when(kind == "image", targets_of(plan, tags.IMAGE_TARGETS)).when(kind == "pdf", targets_of(plan, tags.PDF_TARGETS)).when(kind.isin("video", "audio"), place).otherwise(F.array().cast(ENTRY))
+    return _set(_kept(kind, attrs, keep_orientation, thumbnail, strict, tags.LEAK_TAGS), new)
+
+
+def _poisoned(files: DataFrame, attributes: DataFrame, plans: DataFrame, kinds: tuple[str, ...], **rules) -> DataFrame:
+    rows = records(files, attributes, plans).where(F.col("kind").isin(*kinds))
+    return rows.select("uri", F.inline(_replaced(F.col("kind"), F.col("attrs"), F.col("plan"), **rules)))
 
 
 def poison_image(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True) -> DataFrame:
     """The attributes of image files after replacing: strict strips first, otherwise only the leak tags go and the plan's tags are set."""
-    rows = records(files, attributes, plans).where("kind = 'image'")
-    return rows.select("uri", F.inline(_set(_kept_in_image(F.col("attrs"), keep_orientation, thumbnail, strict), targets_of(F.col("plan"), tags.IMAGE_TARGETS))))
+    return _poisoned(files, attributes, plans, ("image",), keep_orientation=keep_orientation, thumbnail=thumbnail, strict=strict)
 
 
 def poison_pdf(files: DataFrame, attributes: DataFrame, plans: DataFrame, strict: bool = True) -> DataFrame:
     """The attributes of PDF files with an information dictionary from their plans."""
-    rows = records(files, attributes, plans).where("kind = 'pdf'")
-    kept = F.filter("attrs", lambda a: ~a["key"].isin(*tags.PDF_KEYS, *(("Xmp",) if strict else ())))
-    return rows.select("uri", F.inline(_set(kept, targets_of(F.col("plan"), tags.PDF_TARGETS))))
+    return _poisoned(files, attributes, plans, ("pdf",), strict=strict)
 
 
 def poison_media(files: DataFrame, attributes: DataFrame, plans: DataFrame) -> DataFrame:
-    """The attributes of video and audio files after replacing: the tracks and the plan's place (as containers hold it, in single precision)."""
-    rows = records(files, attributes, plans).where("kind in ('video', 'audio')")
-    kept = F.filter("attrs", lambda a: a["key"].isin(*TRACK_KEYS))
-    text = F.format_string("%+.4f%+.4f/", F.col("plan.latitude").cast("float"), F.col("plan.longitude").cast("float"))
-    place = F.when(F.col("plan").isNotNull(), F.array(_entry(F.lit(1), F.lit("Location"), text))).otherwise(F.array().cast(ENTRY))
-    return rows.select("uri", F.inline(_set(kept, place)))
+    """The attributes of video and audio files after replacing: the tracks and the plan's place."""
+    return _poisoned(files, attributes, plans, ("video", "audio"))
 
 
 def preview_targets_of(kind: Column, plan: Column, entries: Column, keep_orientation: bool = True) -> Column:
-    """What a preview of replacing shows of one file: the plan's values under the keys of its type, and the orientation that stays."""
+    """What the literal preview of replacing shows of one file: the plan's values under the keys of its type, and the orientation that stays."""
     old = _values(entries, "Orientation")
     images = targets_of(plan, tags.IMAGE_TARGETS)
     if keep_orientation:
@@ -223,25 +233,14 @@ def first_match(entries: DataFrame, key: str) -> DataFrame:
     return entries.where(F.col("key") == key).groupBy("uri").agg(F.min_by("value", "entry_ord").alias("value"))
 
 
-def _change(o: Column, n: Column) -> tuple[Column, Column]:
-    """(change_kind, label) of an old and a new value. ADDED: only new; UNCHANGED: equal or only old; CHANGED: both and different."""
-    kind = F.when(o.isNull(), "ADDED").when(n.isNull() | (o == n), "UNCHANGED").otherwise("CHANGED")
-    label = F.when(o.isNull(), F.concat(F.lit("[ADDED] "), n)).when(n.isNull() | (o == n), F.concat(F.lit("[UNCHANGED] "), o)).otherwise(F.concat(F.lit("[CHANGED] "), o, F.lit(tags.ARROW), n))
+def _change(o: Column, n: Column, strict: bool = False) -> tuple[Column, Column]:
+    """(change_kind, label) of an old and a new value. ADDED: only new; UNCHANGED: equal; CHANGED: both and different; only old: REMOVED if ``strict``, else UNCHANGED."""
+    gone = F.concat(o, F.lit(tags.ARROW + "[REMOVED]")) if strict else F.concat(F.lit("[UNCHANGED] "), o)
+    kind = F.when(o.isNull(), "ADDED").when(n.isNull(), "REMOVED" if strict else "UNCHANGED").when(o == n, "UNCHANGED").otherwise("CHANGED")
+    label = F.when(o.isNull(), F.concat(F.lit("[ADDED] "), n)).when(n.isNull(), gone).when(o == n, F.concat(F.lit("[UNCHANGED] "), o)).otherwise(F.concat(F.lit("[CHANGED] "), o, F.lit(tags.ARROW), n))
     return kind, label
 
 
-def diff_of(old: Column, new: Column) -> Column:
-    """The difference of two arrays of entries, over the keys of both, old ones first; of repeated keys the last value counts."""
-    key = lambda a: a["key"]
-    pairs = F.transform(F.array_union(F.transform(old, key), F.transform(new, key)), lambda k: F.struct(k.alias("key"), _values(old, k).alias("o"), _values(new, k).alias("n")))
-
-    def row(p: Column, i: Column) -> Column:
-        kind, label = _change(p["o"], p["n"])
-        return F.struct((i + 1).alias("entry_ord"), p["key"].alias("key"), kind.alias("change_kind"), p["o"].alias("old_value"), p["n"].alias("new_value"), label.alias("value"))
-
-    return F.transform(pairs, row)
-
-
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(uri, entry_ord, key, change_kind, old_value, new_value, value) over the keys of two tables of entries, old ones first.
 
@@ -259,40 +258,58 @@ def remove_preview(files: DataFrame, attributes: DataFrame, strict: bool = True,
 
     ``strict`` marks only what stripping really removes; otherwise every entry, placeholders included, counts as removed.
     """
-    rows = with_entries(records(files, attributes, errors=errors)).select("uri", "shown")
+    rows = with_entries(records(files, attributes, errors=errors))
+    if strict:
+        rows = rows.withColumn("__after", _kept(F.col("kind"), F.col("attrs"), keep_orientation, "REMOVE", True, tags.PRIVACY_TAGS))
+        rows = with_entries(rows, "__after", "__left").withColumn("__left", F.transform("__left", lambda a: a["key"]))
 
     def mark(a: Column) -> Column:
         gone = F.concat(a["value"], F.lit(tags.ARROW + "[REMOVED]"))
-        if not strict:
-            return _entry(a["entry_ord"], a["key"], gone)
-        stays = a["key"].isin(*tags.STRUCTURE_TAGS, "Page Count", "Resolution", "Duration", *(("Orientation",) if keep_orientation else ())) | (a["entry_ord"] == 0)
-        return _entry(a["entry_ord"], a["key"], F.when(stays, a["value"]).otherwise(gone))
+        value = F.when(F.array_contains("__left", a["key"]) | (a["entry_ord"] == 0), a["value"]).otherwise(gone) if strict else gone
+        return _entry(a["entry_ord"], a["key"], value)
 
     marked = F.when(F.size("shown") == 0, _one("Info", F.lit(tags.NOTHING_TO_REMOVE))).otherwise(F.transform("shown", mark))
     return rows.select("uri", F.inline(marked))
 
 
-def changes(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, errors: DataFrame | None = None) -> DataFrame:
-    """(uri, kind, planned, changes): the array of differences between what each file shows now and what its plan would show."""
-    rows = with_entries(records(files, attributes, plans, errors)).select("uri", "kind", "plan", "shown")
-    rows = rows.withColumn("target", preview_targets_of(F.col("kind"), F.col("plan"), F.col("shown"), keep_orientation))
-    return rows.select("uri", "kind", F.col("plan").isNotNull().alias("planned"), diff_of(F.col("shown"), F.col("target")).alias("changes"))
-
+def changes(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, errors: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """(uri, kind, entry_ord, key, change_kind, old_value, new_value, value): what changes in each file that has a plan, old entries first.
 
-def poison_preview(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, errors: DataFrame | None = None) -> DataFrame:
+    ``strict`` compares what a preview shows of the file with what it shows of the file as replacing really leaves it; otherwise with
+    the plan's own values, in which case what only the file has counts as unchanged. Of repeated keys the last value counts.
+    """
+    rows = with_entries(records(files, attributes, plans, errors)).where("plan is not null")
+    if strict:
+        rows = rows.withColumn("__after", _replaced(F.col("kind"), F.col("attrs"), F.col("plan"), keep_orientation))
+        rows = with_entries(rows.withColumn("error", F.lit(None).cast("string")), "__after", "target")
+        rows = rows.withColumns({c: F.filter(c, lambda a: a["entry_ord"] > 0) for c in ("shown", "target")})  # without placeholders
+    else:
+        rows = rows.withColumn("target", preview_targets_of(F.col("kind"), F.col("plan"), F.col("shown"), keep_orientation))
+    side = lambda name, new: F.transform(name, lambda a, i: F.struct(F.lit(new).alias("new"), i.alias("at"), a["key"].alias("key"), a["value"].alias("text")))
+    # Rows are dealt by uri already, so grouping by uri and key moves nothing.
+    both = rows.select("uri", "kind", F.inline(F.concat(side("shown", False), side("target", True))))
+    old, new = F.when(~F.col("new"), F.col("at")), F.when(F.col("new"), F.col("at"))
+    found = both.groupBy("uri", "kind", "key").agg(
+        F.min(old).alias("old_at"), F.min(new).alias("new_at"), F.max_by("text", old).alias("old_value"), F.max_by("text", new).alias("new_value")
+    )
+    kind, label = _change(F.col("old_value"), F.col("new_value"), strict)
+    order = (F.coalesce("old_at", F.col("new_at") + 10_000) + 1).cast("int")
+    return found.select("uri", "kind", order.alias("entry_ord"), "key", kind.alias("change_kind"), "old_value", "new_value", label.alias("value"))
+
+
+def poison_preview(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, errors: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """The rows of :func:`changes`; a file without a plan gets one Info row."""
     none = F.lit(None).cast("string")
-    info = F.array(F.struct(F.lit(0).alias("entry_ord"), F.lit("Info").alias("key"), none.alias("change_kind"), none.alias("old_value"), none.alias("new_value"), F.lit(tags.NO_PLAN).alias("value")))
-    found = changes(files, attributes, plans, keep_orientation, errors)
-    return found.select("uri", F.inline(F.when(F.col("planned"), F.col("changes")).otherwise(info)))
+    found = changes(files, attributes, plans, keep_orientation, errors, strict).drop("kind")
+    bare = files.where("uri is not null").join(plans.select("uri"), "uri", "left_anti")
+    info = [F.lit(0).alias("entry_ord"), F.lit("Info").alias("key"), none.alias("change_kind"), none.alias("old_value"), none.alias("new_value"), F.lit(tags.NO_PLAN).alias("value")]
+    return found.unionByName(bare.select("uri", *info))
 
 
-def change_counts(files: DataFrame, attributes: DataFrame, plans: DataFrame) -> DataFrame:
-    """(mime_class, change_kind, n_entries, n_files): how many entries of how many files replacing adds, changes and leaves."""
-    n = lambda k: F.size(F.filter("changes", lambda c: c["change_kind"] == k))
-    kinds = F.array(*[F.struct(F.lit(k).alias("change_kind"), n(k).alias("n")) for k in ("ADDED", "CHANGED", "UNCHANGED")])
-    per_file = changes(files, attributes, plans).where("planned").select(F.col("kind").alias("mime_class"), F.inline(kinds)).where("n > 0")
-    return per_file.groupBy("mime_class", "change_kind").agg(F.sum("n").alias("n_entries"), F.count(F.lit(1)).alias("n_files"))
+def change_counts(files: DataFrame, attributes: DataFrame, plans: DataFrame, strict: bool = True) -> DataFrame:
+    """(mime_class, change_kind, n_entries, n_files): how many entries of how many files replacing adds, changes, removes and leaves."""
+    per_file = changes(files, attributes, plans, strict=strict).groupBy("uri", "kind", "change_kind").agg(F.count(F.lit(1)).alias("n"))
+    return per_file.groupBy(F.col("kind").alias("mime_class"), "change_kind").agg(F.sum("n").alias("n_entries"), F.count(F.lit(1)).alias("n_files"))
 
 
 def leak_audit(before: DataFrame, after: DataFrame, public: Sequence[str] = (*tags.STRUCTURE_TAGS, "Orientation", *TRACK_KEYS, "PageCount")) -> DataFrame:

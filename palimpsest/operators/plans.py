@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.labels import hemisphere
+from palimpsest.functions.labels import degrees, hemisphere, point
 from palimpsest.functions.seeded import chosen, hash32, picked, shuffled, whole
 from palimpsest.functions.types import media_class
 from palimpsest.operators.pools import POOLS, Pools
@@ -28,13 +30,20 @@ def _two(c: Column) -> Column:
 
 
 def _date(s: Settings, key: Column, field: str, hours: tuple[int, int], iso: bool) -> Column:
-    """A moment of the last four calendar years, days up to 28."""
+    """A moment of this and the three calendar years before, days up to 28; never after ``now_ms``."""
     part = lambda name, low, high: whole(s.seed, key, f"{field}.{name}", low, high)
     year, month, day = part("year", s.now_year - 3, s.now_year + 1).cast("string"), _two(part("month", 1, 13)), _two(part("day", 1, 29))
     hour, minute, second = _two(part("hour", *hours)), _two(part("minute", 0, 60)), _two(part("second", 0, 60))
     if iso:
-        return F.concat(year, month, day, F.lit("T"), hour, minute, second, F.lit(".000Z"))
-    return F.concat(F.concat_ws(":", year, month, day), F.lit(" "), F.concat_ws(":", hour, minute, second))
+        moment = F.concat(year, month, day, F.lit("T"), hour, minute, second, F.lit(".000Z"))
+    else:
+        moment = F.concat(F.concat_ws(":", year, month, day), F.lit(" "), F.concat_ws(":", hour, minute, second))
+    return F.least(moment, F.lit(now_text(s, iso)))
+
+
+def now_text(s: Settings, iso: bool) -> str:
+    """The settings' time (UTC) as media or images write it."""
+    return datetime.fromtimestamp(s.now_ms // 1000, UTC).strftime("%Y%m%dT%H%M%S.000Z" if iso else "%Y:%m:%d %H:%M:%S")
 
 
 def nearby(seed: str, key: Column, degrees: Column, field: str) -> Column:
@@ -48,34 +57,32 @@ def _place(s: Settings, key: Column, field: str, half: int, known: Column) -> Co
     return F.coalesce(nearby(s.seed, key, known, field), free)
 
 
-def generate_plans(files: DataFrame, settings: Settings | None = None, pools: Pools = POOLS, latitude: Column | None = None, longitude: Column | None = None) -> DataFrame:
+def generate_plans(files: DataFrame, settings: Settings | None = None, pools: Pools = POOLS, latitude: Column | None = None, longitude: Column | None = None, make: Column | None = None) -> DataFrame:
     """(uri, mime_type, FIELDS) for every row of ``files`` (uri, mime_type).
 
     Every plan has the image fields; audio, video and PDF types have theirs besides, others are null. With a known
-    ``latitude`` and ``longitude`` the place is near it. A row depends on the seed and its uri only.
+    ``latitude`` and ``longitude`` (columns of ``files``) the place is near it. ``make`` is a column of makers to keep; one that the pools
+    don't have gets their other models and software. A row depends on the seed, its uri and these.
     """
     s, key = settings or Settings(), F.col("uri")
     pick = lambda field, options: picked(s.seed, key, field, options)
     kind = media_class(F.col("mime_type"))
     table = lambda lists: F.create_map(*[x for m, v in lists.items() for x in (F.lit(m), F.array(*map(F.lit, v)))])
-    none = F.lit(None).cast("double")
-    both = F.lit(False) if latitude is None or longitude is None else latitude.isNotNull() & longitude.isNotNull()
+    of_make = lambda field, lists, others: F.coalesce(chosen(s.seed, key, field, F.try_element_at(table(lists), F.col("make"))), pick(field, others))
     by_kind = lambda field, **lists: F.when(kind == "audio", pick(field, lists["audio"])).when(kind == "video", pick(field, lists["video"]))
-    scene, subject, location, comment = (pick(f, o) for f, o in (("scene", pools.scenes), ("subject", pools.subjects), ("location", pools.locations), ("comment", pools.comments)))
-    form, note = whole(s.seed, key, "imageDescription", 0, 4), whole(s.seed, key, "userComment", 0, 5)
+    subject, place, hour, remark = (pick(f, o) for f, o in (("scene", pools.subjects), ("location", pools.places), ("hour", pools.hours), ("comment", pools.remarks)))
+    form = whole(s.seed, key, "imageDescription", 0, 3)
     only = lambda k, c: F.when(kind == k, c)
     columns = {
         "dateTime": _date(s, key, "dateTime", (6, 23), iso=False),
         "make": F.col("make"),
-        "model": chosen(s.seed, key, "model", F.element_at(table(pools.models), F.col("make"))),
-        "software": chosen(s.seed, key, "software", F.element_at(table(pools.software), F.col("make"))),
-        "imageDescription": F.when(form == 0, scene).when(form == 1, F.concat(subject, F.lit(" - "), location)).when(form == 2, F.concat(scene, F.lit(", "), location)).otherwise(subject),
-        "userComment": F.when(note == 0, comment).when(note == 1, F.concat(comment, F.lit("."))).when(note == 2, F.concat(scene, F.lit(".")))
-        .when(note == 3, F.concat(pick("lens", pools.lenses), F.lit(", "), F.lower(comment))).otherwise(F.concat(F.lit("Taken "), pick("moment", pools.moments))),
+        "model": of_make("model", pools.models, pools.other_models),
+        "software": of_make("software", pools.software, pools.other_software),
+        "imageDescription": F.when(form == 0, F.concat(subject, F.lit(", "), place)).when(form == 1, F.concat_ws(" ", place, hour)).otherwise(F.concat_ws(" ", subject, hour)),
+        "userComment": remark,
         "photographicSensitivity": pick("iso", pools.iso), "exposureTime": pick("exposure", pools.exposure), "fNumber": pick("aperture", pools.aperture),
         "focalLength": pick("focal", pools.focal), "whiteBalance": pick("balance", pools.balance), "flash": pick("flash", pools.flash),
-        "latitude": _place(s, key, "latitude", LATITUDE, F.when(both, latitude) if latitude is not None else none),
-        "longitude": _place(s, key, "longitude", LONGITUDE, F.when(both, longitude) if longitude is not None else none),
+        "latitude": _place(s, key, "latitude", LATITUDE, F.col("__latitude")), "longitude": _place(s, key, "longitude", LONGITUDE, F.col("__longitude")),
         "latitudeRef": F.lit(None), "longitudeRef": F.lit(None),
         "title": by_kind("title", audio=pools.audio_titles, video=pools.video_titles),
         "artist": by_kind("artist", audio=pools.audio_artists, video=pools.video_directors),
@@ -89,15 +96,35 @@ def generate_plans(files: DataFrame, settings: Settings | None = None, pools: Po
         "subject": only("pdf", F.lit(pools.subject)),
         "keywords": only("pdf", F.array_join(F.slice(shuffled(s.seed, key, "keywords", pools.keywords), 1, 3), ", ")),
     }
-    plans = files.select("uri", "mime_type", *([latitude.alias("__lat"), longitude.alias("__lon")] if latitude is not None and longitude is not None else []))
-    if latitude is not None and longitude is not None:
-        both = F.col("__lat").isNotNull() & F.col("__lon").isNotNull()
-        columns["latitude"] = _place(s, key, "latitude", LATITUDE, F.when(both, F.col("__lat")))
-        columns["longitude"] = _place(s, key, "longitude", LONGITUDE, F.when(both, F.col("__lon")))
-    plans = plans.withColumn("make", pick("make", pools.makes)).select("uri", "mime_type", *[columns[f].alias(f) for f in FIELDS])
+    none = F.lit(None).cast("double")
+    both = F.lit(False) if latitude is None or longitude is None else latitude.isNotNull() & longitude.isNotNull()
+    known = [none if c is None else F.when(both, c) for c in (latitude, longitude)]
+    makes = pick("make", pools.makes) if make is None else F.coalesce(make, pick("make", pools.makes))
+    plans = files.select("uri", "mime_type", makes.alias("make"), known[0].alias("__latitude"), known[1].alias("__longitude"))
+    plans = plans.select("uri", "mime_type", *[columns[f].alias(f) for f in FIELDS])
     return plans.withColumns({"latitudeRef": hemisphere(F.col("latitude"), "N", "S"), "longitudeRef": hemisphere(F.col("longitude"), "E", "W")}).select("uri", "mime_type", *FIELDS)
 
 
+def known_places(files: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(uri, latitude, longitude) of the image and media files whose metadata say where they were taken; of repeated keys the last counts."""
+    of = lambda key: F.max_by("value", F.when(F.col("key") == key, F.col("entry_ord")))
+    keys = ("GPSLatitude", "GPSLatitudeRef", "GPSLongitude", "GPSLongitudeRef", "Location")
+    held = attributes.where(F.col("key").isin(*keys)).groupBy("uri").agg(*[of(k).alias(k) for k in keys])
+    kind = media_class(F.col("mime_type"))
+    side = lambda name, which: F.when(kind == "image", degrees(F.col(f"GPS{name}"), F.col(f"GPS{name}Ref"))).when(kind.isin("video", "audio"), point(F.col("Location"), which))
+    found = files.select("uri", "mime_type").join(held, "uri").select("uri", side("Latitude", 1).alias("latitude"), side("Longitude", 2).alias("longitude"))
+    return found.where("latitude is not null and longitude is not null")
+
+
+def plans_near(files: DataFrame, attributes: DataFrame, settings: Settings | None = None, pools: Pools = POOLS) -> DataFrame:
+    """:func:`generate_plans`; with the option ``use_nearby_scramble``, places near those that the files' metadata name."""
+    if not (settings or Settings()).use_nearby_scramble:
+        return generate_plans(files, settings, pools)
+    known = known_places(files, attributes).withColumnsRenamed({"latitude": "__known_lat", "longitude": "__known_lon"})
+    placed = files.select("uri", "mime_type").join(known, "uri", "left")
+    return generate_plans(placed, settings, pools, latitude=F.col("__known_lat"), longitude=F.col("__known_lon"))
+
+
 def update_locations(plans: DataFrame, edits: DataFrame, files: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``plans`` with the places of ``edits`` (uri, latitude, longitude); a file of ``files`` without a plan gets one first.
 

@@ -2,80 +2,78 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from itertools import product
 
-#: Camera and phone makers, with how their models are named and numbered: (prefix, first number, step, models, firmware releases).
-MAKERS: dict[str, tuple[str, int, int, int, int]] = {
-    "Apple": ("iPhone ", 10, 1, 8, 6),
-    "Asus": ("Zenfone ", 7, 1, 5, 3),
-    "Canon": ("EOS R", 3, 1, 7, 4),
-    "DJI": ("Mavic ", 1, 1, 6, 4),
-    "Fujifilm": ("X-T", 10, 10, 8, 5),
-    "GoPro": ("HERO", 9, 1, 4, 3),
-    "Google": ("Pixel ", 3, 1, 7, 5),
-    "Hasselblad": ("H", 4, 1, 3, 3),
-    "Huawei": ("P", 20, 10, 5, 3),
-    "Leica": ("M", 8, 1, 6, 3),
-    "Motorola": ("moto g", 5, 1, 6, 4),
-    "Nikon": ("D", 500, 50, 6, 5),
-    "Olympus": ("E-M", 1, 1, 5, 3),
-    "OnePlus": ("OnePlus ", 7, 1, 5, 3),
-    "Oppo": ("Find X", 3, 1, 4, 2),
-    "Panasonic": ("DC-G", 80, 5, 5, 3),
-    "Pentax": ("K-", 1, 1, 3, 2),
-    "Ricoh": ("GR ", 1, 1, 3, 2),
-    "Samsung": ("SM-G", 960, 5, 8, 5),
-    "Sony": ("ILCE-", 6000, 100, 8, 5),
-    "Vivo": ("X", 60, 10, 4, 3),
-    "Xiaomi": ("Mi ", 8, 1, 7, 5),
+#: One maker for each lens mount that is still built, and for each large phone platform, spelled as their files spell it, with the
+#: name and first number of a series of models.
+MAKERS: dict[str, tuple[str, int]] = {
+    "RICOH IMAGING COMPANY, LTD.": ("PENTAX K-", 3),
+    "NIKON CORPORATION": ("NIKON Z ", 5),
+    "SIGMA": ("SIGMA fp ", 1),
+    "FUJIFILM": ("GFX", 50),
+    "Hasselblad": ("X", 1),
+    "OM Digital Solutions": ("OM-", 1),
+    "Canon": ("Canon EOS R", 5),
+    "LEICA CAMERA AG": ("LEICA SL", 1),
+    "samsung": ("Galaxy S", 21),
+    "Apple": ("iPhone ", 12),
 }
+#: Models of a maker and releases of a model's software: consecutive numbers.
+MODELS, RELEASES = 4, 3
 
-_TIMES = ("Early morning", "Late afternoon", "A quiet evening", "Midday", "First light")
-_PLACES = ("at the lake", "on the trail", "by the window", "near the market", "along the coast", "in the garden")
-_SUBJECTS = ("Landscape", "Portrait", "Street", "Detail", "Night")
-_KINDS = ("view", "photo", "study", "scene", "frame")
-_SPOTS = ("North", "South", "Old", "Upper", "Lower", "Central")
-_AREAS = ("Harbour", "Bridge", "Station", "Square", "Gardens")
-_REMARKS = ("Kept for the light", "Second try", "Worth a print", "Slightly soft", "As shot", "Cropped a little")
-_WHEN = ("that day", "before we left", "on the way back", "after the rain", "from the bridge")
 
+def _said(*parts: tuple[str, ...]) -> tuple[str, ...]:
+    """All combinations, as phrases."""
+    return tuple(" ".join(p) for p in product(*parts))
 
-def _pairs(a: tuple[str, ...], b: tuple[str, ...], n: int) -> tuple[str, ...]:
-    return tuple(f"{x} {y}" for x, y in product(a, b))[:n]
+
+def _stop(x: float) -> str:
+    """A number cut to two digits, as lens and shutter scales are engraved."""
+    return f"{math.floor(x * 10 + 1e-9) / 10:.1f}" if x < 10 else str(math.floor(x))
+
+
+_HOURS = ("at dawn", "before noon", "at dusk")
+_PLACES = ("Riverside path", "Hill road", "Village green", "Canal lock", "Forest edge", "Old quay", "Market hall")
+_THINGS = ("Bicycle", "Doorway", "Clouds", "Lamp post", "Boats", "Shadows", "Staircase")
+_NOTES = ("Handheld", "Tripod", "Test shot", "From the archive")
+_LENSES = ("wide end", "long end", "normal")
 
 
 @dataclass(frozen=True)
 class Pools:
     """One list per kind of value."""
 
-    models: dict[str, tuple[str, ...]] = field(default_factory=lambda: {m: tuple(f"{p}{first + i * step}" for i in range(n)) for m, (p, first, step, n, _) in MAKERS.items()})
-    software: dict[str, tuple[str, ...]] = field(default_factory=lambda: {m: tuple(f"{m} firmware {1 + i // 2}.{i % 2 * 5}" for i in range(k)) for m, (*_, k) in MAKERS.items()})
-    other_software: tuple[str, ...] = tuple(f"Firmware {i}.0" for i in range(1, 6))
-    scenes: tuple[str, ...] = _pairs(_TIMES, _PLACES, 29)
-    subjects: tuple[str, ...] = _pairs(_SUBJECTS, _KINDS, 25)
-    locations: tuple[str, ...] = _pairs(_SPOTS, _AREAS, 30)
-    comments: tuple[str, ...] = _pairs(_REMARKS, _WHEN, 30)
-    lenses: tuple[str, ...] = _pairs(("Wide", "Main", "Tele"), ("lens", "camera", "module"), 9)
-    moments: tuple[str, ...] = ("yesterday", "this week", "at noon", "on holiday", "at home")
-    iso: tuple[str, ...] = ("50", "64", "80", "100", "125", "160", "200", "250", "320", "400", "640", "800", "1600", "3200")
-    exposure: tuple[str, ...] = tuple(f"1/{n}" for n in (15, 30, 40, 50, 60, 80, 100, 125, 160, 200, 250, 320, 500, 800, 1000, 2000))
-    aperture: tuple[str, ...] = ("1.4", "1.8", "2.0", "2.2", "2.4", "2.8", "3.5", "4.0", "5.6", "7.1", "8.0", "11")
-    focal: tuple[str, ...] = ("1.8", "2.2", "4.2", "4.5", "5.4", "6.0", "14.0", "24.0", "35.0", "50.0", "70.0", "85.0", "105.0", "200.0")
-    balance: tuple[str, ...] = ("0", "1")
-    flash: tuple[str, ...] = ("0", "1", "16", "24")
-    audio_titles: tuple[str, ...] = _pairs(("Take", "Memo", "Session"), ("one", "two", "three", "four", "five", "six"), 18)
-    audio_artists: tuple[str, ...] = _pairs(("Room", "Field"), ("recorder", "microphone", "desk", "deck", "booth"), 10)
-    audio_albums: tuple[str, ...] = _pairs(("Spring", "Summer", "Winter"), ("tapes", "notes", "drafts"), 9)
-    audio_genres: tuple[str, ...] = ("Ambient", "Dialogue", "Folk", "Interview", "Jazz", "Lecture", "Noise", "Podcast", "Rock", "Speech", "Other")
-    video_titles: tuple[str, ...] = _pairs(("Clip", "Reel", "Cut", "Scene"), ("A", "B", "C", "D", "E"), 20)
-    video_directors: tuple[str, ...] = _pairs(("First", "Second", "Third"), ("unit", "camera", "crew"), 9)
-    video_genres: tuple[str, ...] = ("Animation", "Comedy", "Documentary", "Drama", "Education", "Family", "Music", "Nature", "News", "Sports", "Travel", "Other")
-    authors: tuple[str, ...] = tuple(f"Author {c}" for c in "ABCDEFGHIJK")
-    pdf_titles: tuple[str, ...] = tuple(f"Document {n}" for n in range(1, 18))
-    pdf_tools: tuple[str, ...] = tuple(f"PDF writer {n}" for n in range(1, 12))
-    subject: str = "General document"
-    keywords: tuple[str, ...] = ("archive", "copy", "draft", "notes", "paper", "report")
+    models: dict[str, tuple[str, ...]] = field(default_factory=lambda: {m: tuple(f"{name}{first + i}" for i in range(MODELS)) for m, (name, first) in MAKERS.items()})
+    software: dict[str, tuple[str, ...]] = field(default_factory=lambda: {m: tuple(f"{name.strip(' -')} Ver.{i}.00" for i in range(1, RELEASES + 1)) for m, (name, _) in MAKERS.items()})
+    #: For makers that aren't in the lists.
+    other_models: tuple[str, ...] = tuple(f"Camera {i}" for i in range(1, MODELS + 1))
+    other_software: tuple[str, ...] = tuple(f"Ver.{i}.00" for i in range(1, RELEASES + 1))
+    subjects: tuple[str, ...] = _THINGS
+    places: tuple[str, ...] = _PLACES
+    hours: tuple[str, ...] = _HOURS
+    remarks: tuple[str, ...] = _said(_NOTES, _LENSES)
+    #: Full stops: speeds and exposure times double, diaphragm numbers grow by the root of two, focal lengths too.
+    iso: tuple[str, ...] = tuple(str(100 << i) for i in range(8))
+    exposure: tuple[str, ...] = tuple(f"1/{1 << i}" for i in range(1, 13))
+    aperture: tuple[str, ...] = tuple(_stop(2 ** (i / 2)) for i in range(1, 9))
+    focal: tuple[str, ...] = tuple(f"{16 * 2 ** (i / 2):.0f}" for i in range(8))
+    #: The standard's codes: white balance automatic or manual; flash fired or not (bit 0) under each flash mode (bits 3 and 4).
+    balance: tuple[str, ...] = tuple(map(str, range(2)))
+    flash: tuple[str, ...] = tuple(str(mode << 3 | fired) for mode in range(4) for fired in range(2))
+    audio_titles: tuple[str, ...] = _said(("Track", "Recording"), tuple(map(str, range(1, 8))))
+    audio_artists: tuple[str, ...] = _said(("Quartet", "Trio", "Choir", "Band"), ("North", "South"))
+    audio_albums: tuple[str, ...] = _said(("Live", "Studio"), ("I", "II", "III"))
+    audio_genres: tuple[str, ...] = ("Choral", "Chamber", "Percussion", "Field recording", "Spoken word")
+    video_titles: tuple[str, ...] = _said(("Episode", "Part", "Chapter"), tuple(map(str, range(1, 6))))
+    video_directors: tuple[str, ...] = _said(("Studio", "Workshop"), ("Red", "Green", "Blue", "White"))
+    video_genres: tuple[str, ...] = ("Tutorial", "Time-lapse", "Walkthrough", "Short film")
+    authors: tuple[str, ...] = tuple(f"Editor {i}" for i in range(1, 9))
+    pdf_titles: tuple[str, ...] = _said(("Leaflet", "Handout", "Form"), tuple(map(str, range(1, 5))))
+    pdf_tools: tuple[str, ...] = _said(("Page composer", "Print service"), ("1.0", "1.1", "2.0"))
+    subject: str = "Printed matter"
+    keywords: tuple[str, ...] = ("print", "leaflet", "edition", "layout", "sheet")
 
     @property
     def makes(self) -> tuple[str, ...]:

@@ -52,6 +52,17 @@ def saved_message(results: DataFrame, *group: str, where: str = "") -> DataFrame
     return results.groupBy(*group).agg(n.alias("n_saved"), F.when(n > 0, saved).when(F.count(F.lit(1)) > 0, "Failed to save files").alias("message"))
 
 
+def saved_uris(results: DataFrame, *group: str) -> DataFrame:
+    """(group, n_saved, uris): the output paths that aren't null, in order of file_ord; none are an empty array."""
+    saved = F.collect_list(F.when(F.col("output_path").isNotNull(), F.struct("file_ord", "output_path")))
+    return results.groupBy(*group).agg(F.count("output_path").alias("n_saved"), F.transform(F.array_sort(saved), lambda x: x["output_path"]).alias("uris"))
+
+
+def first_file(files: DataFrame, *group: str) -> DataFrame:
+    """(group, uri): the first file by file_ord, of several with one file_ord that with the smallest uri."""
+    return files.groupBy(*group).agg(F.min(F.struct("file_ord", "uri"))["uri"].alias("uri"))
+
+
 def share_action(files: DataFrame, *group: str) -> DataFrame:
     """(group, action): nothing for no file, SEND for one, SEND_MULTIPLE for more."""
     n = F.count("uri")

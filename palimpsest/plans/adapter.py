@@ -45,6 +45,8 @@ ATTRIBUTES = (
     (IMAGE, "Software", "lang"),
     (IMAGE, "GPSLatitude", "CASE WHEN doc_id % 2 = 0 THEN '45/1,30/1,0/1' END"),
     (IMAGE, "GPSLatitudeRef", "CASE WHEN doc_id % 2 = 0 THEN 'N' END"),
+    (IMAGE, "GPSLongitude", "CASE WHEN doc_id % 4 = 0 THEN '7/1,' || CAST(doc_id % 60 AS STRING) || '/1,33/2' WHEN doc_id % 4 = 2 THEN 'unknown' END"),
+    (IMAGE, "GPSLongitudeRef", "CASE WHEN doc_id % 4 = 0 THEN 'W' END"),
     (IMAGE, "GPSAltitude", "'120/1'"),
     (IMAGE, "GPSDateStamp", "'2023:01:01'"),
     (IMAGE, "LensModel", "'Lens ' || CAST(doc_id % 6 AS STRING)"),

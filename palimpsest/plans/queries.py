@@ -12,7 +12,7 @@ from palimpsest import tags
 from palimpsest.functions.types import begins, media_class
 from palimpsest.operators import metadata as md
 from palimpsest.operators import output, selection
-from palimpsest.operators.plans import FIELDS, generate_plans, nearby, plans_from_json, plans_to_json, require_plans, update_locations
+from palimpsest.operators.plans import FIELDS, generate_plans, nearby, plans_from_json, plans_near, plans_to_json, require_plans, update_locations
 from palimpsest.operators.pools import POOLS
 from palimpsest.plans import adapter
 from palimpsest.plans.adapter import CTES, attributes, files
@@ -64,11 +64,12 @@ def _two(field: str, low: int, high: int) -> str:
 def _date(field: str, hours: tuple[int, int], iso: bool) -> str:
     parts = [f"{_range(field + '.year', YEAR - 3, YEAR + 1)}::VARCHAR", *[_two(f"{field}.{n}", a, b) for n, a, b in (("month", 1, 13), ("day", 1, 29), ("hour", *hours), ("minute", 0, 60), ("second", 0, 60))]]
     y, mo, d, h, mi, s = parts
-    return f"{y} || {mo} || {d} || 'T' || {h} || {mi} || {s} || '.000Z'" if iso else f"{y} || ':' || {mo} || ':' || {d} || ' ' || {h} || ':' || {mi} || ':' || {s}"
+    moment = f"{y} || {mo} || {d} || 'T' || {h} || {mi} || {s} || '.000Z'" if iso else f"{y} || ':' || {mo} || ':' || {d} || ' ' || {h} || ':' || {mi} || ':' || {s}"
+    return f"least({moment}, strftime(make_timestamp({NOW} * 1000), '{'%Y%m%dT%H%M%S.000Z' if iso else '%Y:%m:%d %H:%M:%S'}'))"
 
 
-def _by_make(field: str, lists: dict) -> str:
-    return "CASE make " + " ".join(f"WHEN {_text(m)} THEN {_pick(field, v)}" for m, v in lists.items()) + " END"
+def _by_make(field: str, lists: dict, others) -> str:
+    return "CASE make " + " ".join(f"WHEN {_text(m)} THEN {_pick(field, v)}" for m, v in lists.items()) + f" ELSE {_pick(field, others)} END"
 
 
 def _only(kind: str, e: str) -> str:
@@ -80,14 +81,14 @@ def _either(field: str, audio, video) -> str:
 
 
 P = POOLS
-_SCENE, _SUBJECT, _LOCATION, _COMMENT = _pick("scene", P.scenes), _pick("subject", P.subjects), _pick("location", P.locations), _pick("comment", P.comments)
+_SUBJECT, _PLACE, _HOUR = _pick("scene", P.subjects), _pick("location", P.places), _pick("hour", P.hours)
 PLAN_SQL = {
     "dateTime": _date("dateTime", (6, 23), False),
     "make": "make",
-    "model": _by_make("model", P.models),
-    "software": _by_make("software", P.software),
-    "imageDescription": f"CASE {_hash('imageDescription')} % 4 WHEN 0 THEN {_SCENE} WHEN 1 THEN {_SUBJECT} || ' - ' || {_LOCATION} WHEN 2 THEN {_SCENE} || ', ' || {_LOCATION} ELSE {_SUBJECT} END",
-    "userComment": f"CASE {_hash('userComment')} % 5 WHEN 0 THEN {_COMMENT} WHEN 1 THEN {_COMMENT} || '.' WHEN 2 THEN {_SCENE} || '.' WHEN 3 THEN {_pick('lens', P.lenses)} || ', ' || lower({_COMMENT}) ELSE 'Taken ' || {_pick('moment', P.moments)} END",
+    "model": _by_make("model", P.models, P.other_models),
+    "software": _by_make("software", P.software, P.other_software),
+    "imageDescription": f"CASE {_hash('imageDescription')} % 3 WHEN 0 THEN {_SUBJECT} || ', ' || {_PLACE} WHEN 1 THEN {_PLACE} || ' ' || {_HOUR} ELSE {_SUBJECT} || ' ' || {_HOUR} END",
+    "userComment": _pick("comment", P.remarks),
     "photographicSensitivity": _pick("iso", P.iso), "exposureTime": _pick("exposure", P.exposure), "fNumber": _pick("aperture", P.aperture),
     "focalLength": _pick("focal", P.focal), "whiteBalance": _pick("balance", P.balance), "flash": _pick("flash", P.flash),
     "latitude": f"{_range('latitude', -800000, 800000)} / 10000.0::DOUBLE", "longitude": f"{_range('longitude', -1700000, 1700000)} / 10000.0::DOUBLE",
@@ -286,6 +287,17 @@ for _kind in ("image", "audio", "video", "pdf"):
     _plan_query(_kind)
 
 
+@query(
+    "WITH k AS (SELECT c_name AS uri, CASE WHEN c_custkey % 4 > 0 THEN " + f"{_array(P.makes)}[c_custkey % {len(P.makes)} + 1] ELSE c_name END AS make FROM customer) "
+    f"SELECT uri, make, {PLAN_SQL['model']} AS model, {PLAN_SQL['software']} AS software FROM k"
+)
+def device_of_make(spark, sf_dir):
+    """Models and software of makers, a quarter of which the pools don't know."""
+    known = F.element_at(F.array(*map(F.lit, P.makes)), (F.col("c_custkey") % len(P.makes) + 1).cast("int"))
+    c = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("uri"), F.lit("image/jpeg").alias("mime_type"), F.when(F.col("c_custkey") % 4 > 0, known).otherwise(F.col("c_name")).alias("made_by"))
+    return generate_plans(c, SETTINGS, make=F.col("made_by")).select("uri", "make", "model", "software")
+
+
 def _near_sql(c: str, field: str) -> str:
     return f"{c} + {_range(field + '.offset', 2000, 10000)} / 1000000.0::DOUBLE * CASE WHEN {_hash(field + '.sign')} % 2 = 0 THEN 1 ELSE -1 END"
 
@@ -365,17 +377,84 @@ df AS (SELECT coalesce(c.uri, t.uri) AS uri, coalesce(c.key, t.key) AS key, c.va
 )
 def change_preview_poison(spark, sf_dir):
     f = files(spark, sf_dir)
-    shown = md.poison_preview(f, attributes(spark, sf_dir), generate_plans(f, SETTINGS))
+    shown = md.poison_preview(f, attributes(spark, sf_dir), generate_plans(f, SETTINGS), strict=False)
     return shown.select("uri", "key", "change_kind", "old_value", "new_value", "value")
 
 
 @query(f"{WITH}, {PLANS}, {ENTRIES}, {_PREVIEW} SELECT kind AS mime_class, change_kind, count(*) AS n_entries, count(DISTINCT df.uri) AS n_files FROM df JOIN k USING (uri) GROUP BY ALL")
 def change_counts(spark, sf_dir):
     """Catalogue, entries, plans, diff and counts: the flagship."""
+    f = files(spark, sf_dir)
+    return md.change_counts(f, attributes(spark, sf_dir), generate_plans(f, SETTINGS), strict=False)
+
+
+_MEDIA_PLACE = "printf('%+.4f%+.4f/', latitude::FLOAT::DOUBLE, longitude::FLOAT::DOUBLE)"
+_REAL = f"""ti AS ({_targets("(SELECT * FROM p WHERE kind = 'image')", tags.IMAGE_TARGETS)}), tp AS ({_targets("(SELECT * FROM p WHERE kind = 'pdf')", tags.PDF_TARGETS)}),
+nw AS (SELECT uri, key, value FROM ti WHERE key IN {_in(tags.PREVIEW_TAGS)} AND NOT {BLANK}
+  UNION ALL SELECT uri, key, value FROM a WHERE {_IMAGE_KEPT} AND NOT {BLANK} AND key IN {_in([k for k in (*tags.STRUCTURE_TAGS, "Orientation") if k in tags.PREVIEW_TAGS])}
+  UNION ALL SELECT uri, 'Location (Raw)', {_MEDIA_PLACE} FROM p WHERE kind IN ('video', 'audio')
+  UNION ALL SELECT uri, key, value FROM med WHERE key IN ('Resolution', 'Duration')
+  UNION ALL SELECT uri, key, value FROM tp UNION ALL SELECT uri, key, value FROM pdf WHERE key = 'Page Count'),
+cur AS (SELECT uri, key, arg_max(value, entry_ord * 1000 + rn) AS value FROM (SELECT *, row_number() OVER (PARTITION BY uri, key ORDER BY value = 'Second maker') AS rn FROM e WHERE entry_ord > 0) GROUP BY uri, key),
+df AS (SELECT coalesce(c.uri, n.uri) AS uri, coalesce(c.key, n.key) AS key, c.value AS old_value, n.value AS new_value,
+  CASE WHEN c.value IS NULL THEN 'ADDED' WHEN n.value IS NULL THEN 'REMOVED' WHEN n.value = c.value THEN 'UNCHANGED' ELSE 'CHANGED' END AS change_kind
+  FROM cur c FULL JOIN nw n ON c.uri = n.uri AND c.key = n.key)"""
+
+
+@query(
+    f"{WITH}, {PLANS}, {ENTRIES}, {_REAL} SELECT uri, key, change_kind, old_value, new_value, CASE change_kind WHEN 'ADDED' THEN '[ADDED] ' || new_value WHEN 'UNCHANGED' THEN '[UNCHANGED] ' || old_value "
+    f"WHEN 'REMOVED' THEN old_value || '{tags.ARROW}[REMOVED]' ELSE '[CHANGED] ' || old_value || '{tags.ARROW}' || new_value END AS value FROM df"
+)
+def change_preview_poison_strict(spark, sf_dir):
+    """What replacing really changes: entries before against entries of what replacing leaves."""
+    f = files(spark, sf_dir)
+    shown = md.poison_preview(f, attributes(spark, sf_dir), generate_plans(f, SETTINGS))
+    return shown.select("uri", "key", "change_kind", "old_value", "new_value", "value")
+
+
+@query(f"{WITH}, {PLANS}, {ENTRIES}, {_REAL} SELECT kind AS mime_class, change_kind, count(*) AS n_entries, count(DISTINCT df.uri) AS n_files FROM df JOIN k USING (uri) GROUP BY ALL")
+def change_counts_strict(spark, sf_dir):
     f = files(spark, sf_dir)
     return md.change_counts(f, attributes(spark, sf_dir), generate_plans(f, SETTINGS))
 
 
+@query(
+    f"{WITH}, {ENTRIES} SELECT uri, key, CASE WHEN entry_ord = 0 OR key IN ('Page Count', 'Resolution', 'Duration') OR (kind = 'image' AND key IN {_in((*tags.STRUCTURE_TAGS, 'Orientation'))}) THEN value ELSE value || '{tags.ARROW}[REMOVED]' END AS value "
+    f"FROM e JOIN k USING (uri) UNION ALL SELECT uri, 'Info', '{tags.NOTHING_TO_REMOVE}' FROM k WHERE uri NOT IN (SELECT uri FROM e)"
+)
+def change_preview_remove_strict(spark, sf_dir):
+    """What stripping really removes."""
+    f = files(spark, sf_dir)
+    return md.remove_preview(f, attributes(spark, sf_dir)).select("uri", "key", "value")
+
+
+_DEGREES = "(split_part(split_part({0}, ',', 1), '/', 1)::DOUBLE / split_part(split_part({0}, ',', 1), '/', 2)::DOUBLE + split_part(split_part({0}, ',', 2), '/', 1)::DOUBLE / split_part(split_part({0}, ',', 2), '/', 2)::DOUBLE / 60 + split_part(split_part({0}, ',', 3), '/', 1)::DOUBLE / split_part(split_part({0}, ',', 3), '/', 2)::DOUBLE / 3600)"
+
+
+@query(
+    f"{WITH}, {PLANS}, g AS (SELECT uri, max(CASE WHEN key = 'GPSLatitude' THEN value END) AS la, max(CASE WHEN key = 'GPSLongitude' THEN value END) AS lo, max(CASE WHEN key = 'GPSLongitudeRef' THEN value END) AS we, max(CASE WHEN key = 'Location' THEN value END) AS place FROM a GROUP BY uri), "
+    f"known AS (SELECT uri, {_DEGREES.format('la')} AS lat, CASE WHEN we = 'W' THEN -1 ELSE 1 END * {_DEGREES.format('lo')} AS lon FROM g WHERE la LIKE '%,%' AND lo LIKE '%,%' "
+    "UNION ALL SELECT uri, regexp_extract(place, '^([+-][0-9.]+)([+-][0-9.]+)', 1)::DOUBLE, regexp_extract(place, '^([+-][0-9.]+)([+-][0-9.]+)', 2)::DOUBLE FROM g WHERE place IS NOT NULL), "
+    f"n AS (SELECT p.uri, CASE WHEN lat IS NULL THEN latitude ELSE {_near_sql('lat', 'latitude').replace('uri', 'p.uri')} END AS latitude, CASE WHEN lat IS NULL THEN longitude ELSE {_near_sql('lon', 'longitude').replace('uri', 'p.uri')} END AS longitude FROM p LEFT JOIN known ON known.uri = p.uri) "
+    "SELECT *, CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END AS latitude_ref, CASE WHEN longitude >= 0 THEN 'E' ELSE 'W' END AS longitude_ref FROM n"
+)
+def nearby_from_metadata(spark, sf_dir):
+    """Plans whose place is near the one that the file's own metadata name, if they name one."""
+    near = plans_near(files(spark, sf_dir), attributes(spark, sf_dir), Settings(use_nearby_scramble=True))
+    return near.select("uri", "latitude", "longitude", F.col("latitudeRef").alias("latitude_ref"), F.col("longitudeRef").alias("longitude_ref"))
+
+
+@query("SELECT o_custkey, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n_saved, coalesce(string_agg(CASE WHEN o_orderstatus = 'F' THEN 'out/' || o_orderkey::VARCHAR END, ',' ORDER BY o_orderkey), '') AS uris FROM orders GROUP BY o_custkey")
+def saved_uris(spark, sf_dir):
+    results = _table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("file_ord"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("out/"), F.col("o_orderkey").cast("string"))).alias("output_path"))
+    return selection.saved_uris(results, "o_custkey").withColumn("uris", F.array_join("uris", ","))
+
+
+@query(f"WITH {CTES} SELECT {CLASS} AS mime_class, arg_min(uri, file_ord) AS uri FROM files GROUP BY ALL")
+def first_file(spark, sf_dir):
+    return selection.first_file(files(spark, sf_dir).withColumn("mime_class", media_class(F.col("mime_type"))), "mime_class")
+
+
 @query(f"WITH {CTES} SELECT count(*) AS n_files, coalesce(sum(coalesce(size_bytes, 0)), 0)::BIGINT AS total_size FROM files")
 def selection_summary(spark, sf_dir):
     return selection.selection_summary(files(spark, sf_dir))

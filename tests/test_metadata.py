@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from palimpsest import tags
 from palimpsest.operators import metadata as md
 from palimpsest.operators import output, selection
-from palimpsest.operators.plans import FIELDS, MEDIA, PDF, REQUIRED, generate_plans, plans_from_json, plans_to_json, require_plans, update_locations
+from palimpsest.operators.plans import FIELDS, MEDIA, PDF, REQUIRED, generate_plans, known_places, plans_from_json, plans_near, plans_to_json, require_plans, update_locations
+from palimpsest.operators.pools import POOLS
 from palimpsest.settings import Settings, read_settings
 
 ATTRS = "uri string, entry_ord int, key string, value string"
@@ -116,7 +117,7 @@ def test_previews(files, attrs, plans):
     assert strict["ImageWidth"] == "10" and strict["Orientation"] == "6" and strict["GPSDateStamp"] == "2020  →  [REMOVED]"
     assert dict(by_uri(md.remove_preview(files, attrs, strict=False))["p"])["Page Count"] == "3  →  [REMOVED]"
     assert by_uri(md.remove_preview(files, attrs.where("uri <> 'v'")))["v"] == [("Info", tags.NOTHING_TO_REMOVE)]
-    shown = by_uri(md.poison_preview(files, attrs, plans.where("uri <> 'p'")))
+    shown = by_uri(md.poison_preview(files, attrs, plans.where("uri <> 'p'"), strict=False))
     assert shown["p"] == [("Info", tags.NO_PLAN)]
     image = dict(shown["i"])
     assert image["Orientation"] == "[UNCHANGED] 6" and image["Make"].startswith("[CHANGED] Second") and image["Model"].startswith("[ADDED] ")
@@ -213,6 +214,54 @@ def test_names_are_made_unique(spark):
     assert output.collisions(hidden).count() == 0
 
 
+def test_strict_previews_show_what_replacing_does(spark, files, attrs, plans):
+    plan = {r.uri: r for r in plans.collect()}
+    shown = {k: dict(v) for k, v in by_uri(md.poison_preview(files, attrs, plans.where("uri <> 'p'"))).items()}
+    assert shown["p"] == {"Info": tags.NO_PLAN} and "t" not in shown and "n" not in shown
+    assert shown["i"]["GPSDateStamp"] == "2020  →  [REMOVED]" and shown["i"]["Orientation"] == "[UNCHANGED] 6" and "Info" not in shown["bare"]
+    assert shown["v"]["Location (Raw)"].startswith("[CHANGED] +1-1/  →  ") and not {"Title", "Director", "Location"} & set(shown["v"])
+    assert shown["a"]["Title"] == "song  →  [REMOVED]"
+    # a preview is the difference of what is shown before and after
+    for kind, apply in (("image", md.poison_image), ("audio", md.poison_media), ("application", md.poison_pdf)):
+        some = files.where(f"mime_type like '{kind}/%'")
+        old, new = md.metadata_entries(some, attrs).where("entry_ord > 0"), md.metadata_entries(some, apply(some, attrs, plans)).where("entry_ord > 0")
+        want = {(r.uri, r.key, r.old_value, r.new_value) for r in md.diff(old, new).collect()}
+        assert {(r.uri, r.key, r.old_value, r.new_value) for r in md.poison_preview(some, attrs, plans).collect()} == want
+    assert plan["p"].subject == {r.key: r.new_value for r in md.poison_preview(files, attrs, plans).where("uri = 'p'").collect()}["Subject"]
+
+
+def test_known_places(spark):
+    files = spark.createDataFrame([(u, m) for u, m in (("i", "image/png"), ("j", "image/png"), ("k", "image/png"), ("v", "video/mp4"), ("w", "video/mp4"), ("p", "application/pdf"))], FILES)
+    rows = [("i", "GPSLatitude", "45/1,30/1,0/1"), ("i", "GPSLatitudeRef", "S"), ("i", "GPSLongitude", "7.25"), ("i", "GPSLongitudeRef", "E"), ("j", "GPSLatitude", "1/0,0/1,0/1"), ("j", "GPSLongitude", "1/1,0/1,0/1"),
+            ("k", "GPSLatitude", "5/1,0/1,0/1"), ("v", "Location", "+1.5-2.25+10/"), ("w", "Location", "nowhere"), ("p", "GPSLatitude", "1"), ("p", "GPSLongitude", "1")]
+    attrs = spark.createDataFrame([(u, i, k, v) for i, (u, k, v) in enumerate(rows)], ATTRS)
+    assert rows_of(known_places(files, attrs)) == [("i", -45.5, 7.25), ("v", 1.5, -2.25)]
+    near = {r.uri: r for r in plans_near(files, attrs, Settings(use_nearby_scramble=True)).collect()}
+    assert 0.0019 < abs(near["i"].latitude + 45.5) < 0.011 and near["i"].latitudeRef == "S" and 0.0019 < abs(near["v"].longitude + 2.25) < 0.011
+    assert rows_of(plans_near(files, attrs)) == rows_of(generate_plans(files))
+
+
+def test_dates_are_never_after_now(spark):
+    files = spark.range(3000).select(F.col("id").cast("string").alias("uri"), F.lit("video/mp4").alias("mime_type"))
+    s = Settings(now_ms=1_672_600_000_000)  # 2023-01-01 19:06:40
+    got = generate_plans(files, s).agg(F.max("dateTime"), F.max("mediaDate"), F.count(F.when(F.col("dateTime") == "2023:01:01 19:06:40", 1))).first()
+    assert got[0] == "2023:01:01 19:06:40" and got[1] == "20230101T190640.000Z" and got[2] > 300
+
+
+def test_unknown_makers_get_other_models(spark):
+    files = spark.createDataFrame([("a", "image/png", "Canon"), ("b", "image/png", "Nobody"), ("c", "image/png", None)], FILES + ", maker string")
+    got = {r.uri: r for r in generate_plans(files, make=F.col("maker")).collect()}
+    assert got["a"].model in POOLS.models["Canon"] and got["b"].make == "Nobody" and got["b"].model in POOLS.other_models and got["b"].software in POOLS.other_software
+    assert got["c"].make in POOLS.makes and got["c"].model in POOLS.models[got["c"].make]
+
+
+def test_saved_uris_and_first_files(spark):
+    r = spark.createDataFrame([(1, 2, "b"), (1, 1, "c"), (1, 3, None), (2, 1, None)], "g int, file_ord int, output_path string")
+    assert rows_of(selection.saved_uris(r, "g")) == [(1, 2, ["c", "b"]), (2, 0, [])]
+    f = spark.createDataFrame([(1, 2, "a"), (1, 1, "z"), (1, 1, "y"), (2, 7, "q")], "g int, file_ord int, uri string")
+    assert rows_of(selection.first_file(f, "g")) == [(1, "y"), (2, "q")]
+
+
 def test_settings(spark):
     stored = spark.createDataFrame([("a", "default_saving_path", "Old"), ("a", "folder_structure", "nonsense"), ("a", "oled_mode", "true"), ("a", "pictures_saving_path", "Mine"), ("b", "x", "y")], "profile string, key string, value string")
     got = {(r.profile, r.option): r.value for r in read_settings(stored).collect()}
