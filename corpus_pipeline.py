@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palimpsest.llm.decontaminate import drop_contaminated
-from palimpsest.llm.mixing import mix
+from palimpsest.llm.mixing import repeat_mixed
 from palimpsest.llm.ngram_join import keep_representatives
 from palimpsest.llm.quality import drop_rejected
 from palimpsest.llm.queries import table, tokenizer_path
@@ -33,8 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents that it doesn't take go."""
-    taken = mix(docs.select(COLUMNS), carry=tuple(COLUMNS[1:]))
-    return taken.where("repeats > 0").withColumn("copy", F.explode(F.expr("sequence(1L, repeats)"))).select(COLUMNS)
+    return repeat_mixed(docs.select(COLUMNS))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.storage import ship
@@ -14,6 +15,8 @@ from palimpsest.storage import ship
 SLICE_BYTES = 1 << 18
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 HOT_KEYS = 1000
+#: Bits of a filter, 4 MB, however many keys it is made of: with some ten millions of keys and more it lets everything through.
+FILTER_BITS = 1 << 25
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -41,6 +44,33 @@ def spread_join(rows: DataFrame, table: DataFrame, *key: str) -> DataFrame:
     return near.unionByName(far)
 
 
+def maybe_in(keys: DataFrame, *names: str) -> Column:
+    """A test of the columns ``names`` together: false only for values that ``keys`` lacks. It saves work and decides nothing."""
+    bit = F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS))
+    parts = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[parts.column("at").to_numpy()] = parts.column("bits").to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return test(bit)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores behind it as it takes to differ from all ``columns``, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; null counts as empty."""
     if column.null_count:

@@ -13,10 +13,16 @@ TURN_OPEN, HEAD_END, TURN_CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED_ROLES = ("assistant",)
 
 
+TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+
+
+def _turn() -> Column:
+    return F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _turns(table: DataFrame, key: str, name: str) -> DataFrame:
     """One array of (turn, role, text) per key, in order of turns."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("pair_id")).agg(F.sort_array(F.collect_list(turn)).alias(name))
+    return table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("pair_id")).agg(F.sort_array(F.collect_list(_turn())).alias(name))
 
 
 def _head(turn: Column) -> Column:
@@ -47,18 +53,10 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_min(differs) - 1, shorter)
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id", trained: tuple[str, ...] = TRAINED_ROLES) -> DataFrame:
-    """One row per pair: pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask.
-
-    Both tables have (key, turn, role, text). A pair that only one table has gets an empty other side. Null roles and texts count as
-    empty; rows with a null key belong to no conversation; turns with a null number come first. Turns of one number are in order of
-    role and text; repeated rows are repeated turns. Equal conversations are all prompt, with empty completions. Empty tables give no
-    rows. A conversation is rendered into one cell, so one conversation (not a group of them) must fit into memory.
-    """
-    both = _turns(chosen, key, "a").join(_turns(rejected, key, "b"), "pair_id", "full_outer")
-    none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    long = lambda c: F.transform(F.col(c), lambda t: F.struct(t["turn"].cast("long").alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
-    both = both.select("pair_id", F.coalesce(long("a"), none).alias("a"), F.coalesce(long("b"), none).alias("b"))
+def format_pairs(pairs: DataFrame, trained: tuple[str, ...] = TRAINED_ROLES) -> DataFrame:
+    """The rows of :func:`format_preferences` from ``pairs`` (pair_id, a, b): a chosen and a rejected conversation as TURNS in order, null for none."""
+    none = F.array().cast(TURNS)
+    both = pairs.select("pair_id", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
     both = both.withColumn("n", common_prefix(F.col("a"), F.col("b")))
     rest = lambda c: F.slice(c, F.col("n") + 1, F.greatest(F.size(c) - F.col("n"), F.lit(0)))
     return both.select(
@@ -72,18 +70,31 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_
     )
 
 
-def mismatched_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chosen, rejected) turns for conversations without judgements: a conversation up to its last assistant turn, and the same with
-    that turn's text replaced by the last assistant text of its partner (the conversation whose id differs in the lowest bit).
+def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id", trained: tuple[str, ...] = TRAINED_ROLES) -> DataFrame:
+    """One row per pair: pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask.
+
+    Both tables have (key, turn, role, text). A pair that only one table has gets an empty other side. Null roles and texts count as
+    empty; rows with a null key belong to no conversation; turns with a null number come first. Turns of one number are in order of
+    role and text; repeated rows are repeated turns. Equal conversations are all prompt, with empty completions. Empty tables give no
+    rows. A conversation is rendered into one cell, so one conversation (not a group of them) must fit into memory. Other columns aren't read.
+    """
+    return format_pairs(_turns(chosen, key, "a").join(_turns(rejected, key, "b"), "pair_id", "full_outer"), trained)
+
+
+def crossed_pairs(conversations: DataFrame) -> DataFrame:
+    """(pair_id, a, b) for conversations (conv_id, turn, role, text) without judgements, one per conversation: chosen is the whole
+    conversation; rejected begins as it does and goes on as its partner does, the conversation whose id differs in the lowest bit.
 
-    Conversations without an assistant turn make no pair. Without a partner the rejected side ends before its last turn.
+    After how many turns that happens is a hash of the id, from none to all of them; without a partner the rejected side ends there. Rows
+    with a null id belong to no conversation. Both partners come from one group, so each turn is moved once.
     """
-    turns = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
-    said = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    last = said.select("conv_id", F.col("last.turn").alias("last_turn"))
-    other = said.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other_text"), F.lit(True).alias("has_other"))
-    upto = turns.join(last.join(other, "conv_id", "left"), "conv_id").where("turn <= last_turn")
-    final = (F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant")
-    chosen = upto.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    rejected = upto.where(~final | F.col("has_other").isNotNull()).select(F.col("conv_id").alias("pair_id"), "turn", "role", F.when(final, F.col("other_text")).otherwise(F.col("text")).alias("text"))
-    return chosen, rejected
+    turn = F.struct(*[_turn()[c].alias(c) for c in ("turn", "role", "text")], F.col("conv_id").cast("long").alias("conv_id"))
+    held = conversations.where("conv_id is not null").groupBy(F.shiftright(F.col("conv_id").cast("long"), 1).alias("both")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    plain = lambda i: F.transform(F.filter("turns", lambda t: t["conv_id"] == i), lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+    first = F.shiftleft("both", 1)
+    sides = held.select(first.alias("first"), plain(first).alias("x"), plain(first + 1).alias("y"))
+    side = lambda i, own, other: F.struct((F.col("first") + i).alias("pair_id"), F.col(own).alias("a"), F.col(other).alias("p"))
+    each = sides.select(F.explode(F.array(side(0, "x", "y"), side(1, "y", "x"))).alias("s")).select("s.*").where("size(a) > 0")
+    keep = (F.conv(F.substring(F.md5(F.col("pair_id").cast("string")), 1, 8), 16, 10).cast("long") % (F.size("a") + 1)).cast("int")
+    each = each.withColumn("keep", keep)
+    return each.select("pair_id", "a", F.concat(F.slice("a", F.lit(1), F.col("keep")), F.slice("p", F.col("keep") + 1, F.greatest(F.size("p") - F.col("keep"), F.lit(0)))).alias("b"))

@@ -3,17 +3,19 @@
 Each row has a 60-bit hash. A source's budget keeps the rows whose hash is up to a threshold, so thresholds are
 nested: a larger budget keeps all that a smaller one kept. The threshold is found without sorting: sum sizes by
 source and hash bucket, find the bucket in which the budget ends, refine only that bucket by the next bits of the
-hash, and so on until single hash values are told apart; then filter. The driver sees BUCKETS sums per source and
-round at most.
+hash, and so on until single hash values are told apart; then filter. Targets, histograms and open buckets are
+tables; the driver sees no source. Only the table of totals, one row per source, passes through single tasks, to be
+ranked and to find the level at which sources are full.
 """
 
 from __future__ import annotations
 
-import json
+from math import lcm
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.blocks import spread_join
 from palimpsest.storage import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -21,7 +23,6 @@ SHARE = (3, 2)  # of all sizes, as a fraction
 MAX_REPEATS = 2
 HASH_BITS = 60
 ROUND_BITS = 10
-MAX_BROADCAST_SOURCES = 10_000
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
@@ -37,89 +38,104 @@ def row_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def fill_targets(sizes: list[int], weights: list[int], share: tuple[int, int] = SHARE, most: int = MAX_REPEATS) -> list[tuple[int, int]]:
-    """Targets as exact fractions: by weight, none above ``most`` times its size; the excess goes to the others by weight, again and again."""
-    num, den = share[0] * sum(sizes), share[1]  # what is left to give: num / den
-    out: list[tuple[int, int] | None] = [None] * len(sizes)
-    while open_ := [i for i, t in enumerate(out) if t is None]:
-        w = sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * num > most * sizes[i] * den * w]
-        if not full:
-            for i in open_:
-                out[i] = (weights[i] * num, den * w)
-            break
-        for i in full:
-            out[i] = (most * sizes[i], 1)
-            num -= most * sizes[i] * den
-    return out  # type: ignore[return-value]
+def source_key(source: Column) -> Column:
+    """A key that is never null and sorts as sources do: by code point, null last."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), source.cast("string")))
 
 
-def _lookup(df: DataFrame, name: str, table: list[dict], schema: str) -> DataFrame:
-    """``df`` joined with a small driver-made table on a null-safe source; sent to all tasks only while it is small."""
-    small = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), f"array<struct<{schema}>>"))).withColumnRenamed("source", "__source")
-    if len(table) <= MAX_BROADCAST_SOURCES:
-        small = F.broadcast(small)
-    return df.join(small, df[name].eqNullSafe(small["__source"])).drop("__source")
+def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MAX_REPEATS) -> DataFrame:
+    """(key, rows, source_size, target, whole, rest) per key of ``rows`` (key, size): the target, how often it holds the source, and what is left.
 
+    Targets are by weight, none above ``most`` times its size; the excess goes to the others by weight, again and again. That ends
+    with the sources full whose size per weight is lowest; the first that isn't full says what a weight of 1 gets. Sums are exact.
+    """
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    totals = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
+    turn = (F.row_number().over(Window.orderBy("key")) - 1) % len(weights)
+    weighed = totals.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int") + 1))
+    scaled = whole("source_size") * F.floor(F.lit(lcm(*weights)) / F.col("w")).cast("decimal(10,0)")
+    order = Window.orderBy("scaled", "key")
+    filled = weighed.withColumn("scaled", scaled).select(
+        "*",
+        F.row_number().over(order).alias("place"),
+        (whole("source_size") * 0 + F.coalesce(F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("decimal(38,0)").alias("before"),
+        F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("open_w"),
+        F.sum("source_size").over(Window.partitionBy()).alias("everything"),
+    )
+    # what is left before this source, in units of 1 / share[1]
+    left = (whole("everything") * share[0] - F.col("before") * (share[1] * most)).cast("decimal(38,0)")
+    filled = filled.withColumn("left_units", left)
+    is_full = F.col("w") * F.col("left_units") > whole("source_size") * F.col("open_w") * (share[1] * most)
+    filled = filled.withColumn("is_full", is_full)
+    first = F.min(F.when(~F.col("is_full"), F.struct("place", "left_units", "open_w"))).over(Window.partitionBy())
+    filled = filled.withColumn("level", first)
+    num = F.when(F.col("is_full"), whole("source_size") * most).otherwise((F.col("w") * F.col("level.left_units")).cast("decimal(38,0)"))
+    den = F.when(F.col("is_full"), F.lit(1)).otherwise(F.col("level.open_w") * share[1]).cast("decimal(20,0)")
+    filled = filled.withColumns({"num": num.cast("decimal(38,0)"), "den": den})
+    goal = F.expr("num div den")
+    times = F.when(F.col("source_size") > 0, F.expr("(num div den) div source_size")).otherwise(0).cast("long")
+    return filled.select(
+        "key", "rows", "source_size", (F.col("num").cast("double") / F.col("den").cast("double")).alias("target"), times.alias("whole"), (goal - times * F.col("source_size")).cast("long").alias("rest")
+    )
 
-def thresholds(rows: DataFrame, budgets: dict[str | None, int]) -> dict[str | None, int]:
-    """Per source the largest hash h so that the sizes of its rows with a hash up to h sum to at most its budget (-1: no row).
 
-    ``rows`` has source, size and h. A round sums by bucket of ROUND_BITS more bits, only where a boundary still is.
+def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(key, cut) per row of ``budgets`` (key, rest): the hash up to which rows of that key are kept; ``rows`` has key, size and h, never null.
+
+    The sizes of the rows kept are as near to ``rest`` as sizes of whole hashes from the lowest on come; of two as near ones the smaller.
+    A round sums by buckets of ROUND_BITS more bits, only in the bucket in which a budget ends, until that is one hash.
     """
-    state = {s: (0, HASH_BITS, b) for s, b in budgets.items()}  # the open range [low, low + 2**bits) and what is left in it
-    out: dict[str | None, int] = {}
-    while state:
-        table = [{"source": s, "low": lo, "bits": bits} for s, (lo, bits, _) in state.items()]
-        step = max(0, next(iter(state.values()))[1] - ROUND_BITS)
-        inside = _lookup(rows, "source", table, "source string, low bigint, bits int").where(F.expr("h >= low and h < low + shiftleft(1L, bits)"))
-        sums: dict[str | None, list[tuple[int, int]]] = {}
-        for r in inside.groupBy("source", F.shiftright("h", step).alias("bucket")).agg(F.sum("size").alias("size")).collect():
-            sums.setdefault(r["source"], []).append((r["bucket"], r["size"]))
-        after = {}
-        for s, (lo, bits, left) in state.items():
-            for bucket, size in sorted(sums.get(s, [])):
-                if size > left:
-                    if step:
-                        after[s] = (bucket << step, step, left)
-                    else:
-                        out[s] = bucket - 1
-                    break
-                left -= size
-            else:
-                out[s] = lo + (1 << bits) - 1
-        state = after
-    return out
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MAX_REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, repeats (and the columns named in ``carry``).
+    found: list[DataFrame] = []
+    shift, inside, left = HASH_BITS - ROUND_BITS, rows, budgets.select("key", F.col("rest").alias("left"))
+    while True:
+        sums = inside.groupBy("key", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.min("h").alias("first"), F.max("h").alias("last"))
+        upto = F.sum("size").over(Window.partitionBy("key").orderBy("bucket"))  # 2**ROUND_BITS buckets of a key at most
+        over = sums.withColumn("upto", upto).join(left, "key").where("upto > left")
+        state = over.groupBy("key").agg(F.min_by(F.struct("bucket", "first", "last", "size", "upto", "left"), "bucket").alias("b")).select("key", "b.*")
+        state = materialize(state.withColumn("left", F.expr("left - (upto - size)")), "mix-buckets")
+        # in a bucket of one hash the budget ends at that hash or before it, whichever is nearer
+        found.append(state.where("first = last").select("key", F.expr("CASE WHEN size - left < left THEN last ELSE last - 1 END").alias("cut")))
+        still = state.where("first < last").select("key", "bucket", "left")
+        if still.isEmpty():
+            break
+        # few rows, as a rule; no hint, so that they are sent to all tasks only when Spark finds them small
+        inside = rows.withColumn("bucket", F.shiftright("h", shift)).join(still.drop("left"), ["key", "bucket"]).drop("bucket")
+        left = still.select("key", "left")
+        shift -= ROUND_BITS
+    cuts = found[0]
+    for more in found[1:]:
+        cuts = cuts.unionByName(more)
+    return budgets.select("key").join(cuts, "key", "left").select("key", F.coalesce("cut", F.lit((1 << HASH_BITS) - 1)).alias("cut"))
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, table): doc_id, key, size and h per row of ``docs``; what the mix does with each key."""
+    rows = materialize(docs.select("doc_id", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h")), "mix")
+    targets = materialize(source_targets(rows, weights, share, most), "mix-targets")
+    table = targets.join(thresholds(rows, targets), "key").drop("rest")
+    return rows, materialize(table, "mix-table")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MAX_REPEATS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, source, text): doc_id, size, source_size, target, taken, repeats.
 
     Sources in code-point order, null last, take ``weights`` in turn. ``taken`` is size times ``repeats``: each row is taken as
     often as its source's target holds the whole source, and once more if its hash is up to the source's threshold.
+    What a source's rows take differs from its target by half the size of the rows of one hash at most, and by less than 1 for rounding.
     Nulls: a null text has size 0; null sources are one source; null ids share one hash. Rows with equal ids are taken alike,
-    so a boundary can only fall between ids. The boundary row is left out, so a source falls short of its target, never above, by
-    less than the rows of one hash: with few or very long documents, by much of the target. An empty table gives no rows; a source without words has target 0.
+    so a boundary can only fall between ids. Very long texts are counted whole. An empty table gives no rows; a source without words has
+    target 0. Other columns aren't read.
     """
-    carried = {f"__carry{i}": c for i, c in enumerate(carry)}
-    rows = materialize(
-        docs.select(
-            F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h"), *[F.col(c).alias(k) for k, c in carried.items()]
-        ),
-        "mix",
-    )
-    totals = sorted(((r["source"], r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    targets = fill_targets([t for _, t in totals], [weights[i % len(weights)] for i in range(len(totals))], share, most)
-    table, rest = [], {}
-    for (s, size), (num, den) in zip(totals, targets, strict=True):
-        whole = num // (den * size) if size else 0
-        table.append({"source": s, "source_size": size, "target": num / den, "whole": whole})
-        rest[s] = num // den - whole * size
-    limit = thresholds(rows, rest)
-    for row in table:
-        row["cut"] = limit.get(row["source"], -1)
-    if not table:
-        table = [{"source": None, "source_size": 0, "target": 0.0, "whole": 0, "cut": -1}]
-    found = _lookup(rows, "source", table, "source string, source_size bigint, target double, whole bigint, cut bigint")
+    rows, table = _plan(docs, weights, share, most)
+    repeats = F.col("whole") + (F.col("h") <= F.col("cut")).cast("long")
+    return spread_join(rows, table, "key").select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
+
+
+def repeat_mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MAX_REPEATS) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it; rows that it doesn't take go. All columns stay, under any names."""
+    _, table = _plan(docs, weights, share, most)
+    table = table.select("key", "rows", "whole", "cut")
+    held = docs.select(F.struct("*").alias("row"), source_key(docs["source"]).alias("key"), row_hash(docs["doc_id"]).alias("h"))
     repeats = F.col("whole") + (F.col("h") <= F.col("cut")).cast("long")
-    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), *[F.col(k).alias(c) for k, c in carried.items()])
+    taken = spread_join(held, table, "key").where(repeats > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), repeats)).alias("copy"))
+    return taken.select("row.*")

@@ -20,13 +20,12 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import slices, small_batches, spread_join
+from palimpsest.llm.blocks import maybe_in, slices, small_batches, spread_join
 from palimpsest.llm.components import connected_components
 from palimpsest.storage import materialize, release
 
@@ -39,7 +38,6 @@ BLOCK_SETS = 4096
 SEEN_SETS = 500_000
 #: A part of more sets than this is common; a set leaves out its common parts if it has enough others (``Bands``).
 COMMON_SETS = 64
-FILTER_BITS = 1 << 25
 SLACK = 63
 LONG_WORD = 64
 BLANK = np.zeros(256, bool)
@@ -536,22 +534,6 @@ def _tasks(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     return found.withColumn("tasks", F.when(F.col("m_own").isNull(), one).otherwise(F.concat(own, up, down))).select("cls", "doc_key", "digest", "tasks")
 
 
-def _maybe(keys: DataFrame, name: str):
-    """A test of ``name``: false only for values that ``keys`` lacks. It is a bitmap of FILTER_BITS bits however many keys there are."""
-    bit = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    parts = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    bitmap[parts.column("at").to_numpy()] = parts.column("bits").to_numpy()
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def test(bits: pd.Series) -> pd.Series:
-        at = bits.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return test(bit)
-
-
 def near_duplicates(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, **how: int) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -593,7 +575,7 @@ def _linked(docs: DataFrame, n_words: int, num: int, den: int, tile: int = TILE_
     members = materialize(classes.join(rough, "node").select("cls", "comp", "n_shingles", "one.*"), "join-members")
     tasks = _tasks(members, num, den, tile)
     # Most texts are in no candidate group; the bitmap keeps nearly all of those from being moved, the join drops the rest.
-    texts = docs.where(_maybe(members, "doc_key")).join(tasks.hint("merge"), ["doc_key", "digest"]).select("text", "cls", "tasks")
+    texts = docs.where(maybe_in(members, "doc_key")).join(tasks.hint("merge"), ["doc_key", "digest"]).select("text", "cls", "tasks")
     sets = texts.mapInArrow(_wanted, texts.schema).select(F.inline("tasks"), "cls", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = sets.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_tiles(n_words, num, den, secret), "a binary, b binary")

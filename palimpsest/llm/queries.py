@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.chat import format_preferences, mismatched_pairs
+from palimpsest.llm.chat import crossed_pairs, format_pairs
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.licenses import oracle as license_oracle
@@ -31,7 +31,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(*mismatched_pairs(table(spark, sf_dir, "conversations")))
+    return format_pairs(crossed_pairs(table(spark, sf_dir, "conversations")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-s AS (SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS last_text FROM t WHERE role = 'assistant' GROUP BY conv_id),
-o AS (SELECT s.*, p.conv_id IS NOT NULL AS has_other, p.last_text AS other_text FROM s LEFT JOIN s p ON p.conv_id = xor(s.conv_id, 1)),
-u AS (SELECT t.*, has_other, CASE WHEN turn = last_turn THEN other_text ELSE text END AS b_text, turn < last_turn OR has_other AS in_b
-      FROM t JOIN o USING (conv_id) WHERE turn <= last_turn),
-l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS a, coalesce(list({'role': role, 'text': b_text} ORDER BY turn) FILTER (in_b), []) AS b FROM u GROUP BY conv_id),
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS a FROM t GROUP BY conv_id),
+k AS (SELECT *, ('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT % (len(a) + 1) AS keep FROM o),
+l AS (SELECT k.conv_id, k.a, list_concat(k.a[1:keep], coalesce(p.a, [])[keep + 1:]) AS b FROM k LEFT JOIN o p ON p.conv_id = xor(k.conv_id, 1)),
 n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS n FROM l)
 SELECT conv_id AS pair_id, n AS n_common,
        coalesce(array_to_string(list_transform(a[1:n], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), ''), '') AS prompt,
@@ -123,10 +121,13 @@ t AS (
          CASE WHEN is_full THEN 2 * f.source_size ELSE (w * lvl.lft) // (2 * lvl.wopen) END AS goal
   FROM f LEFT JOIN lvl ON true),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole FROM t),
-cum AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d)
+cum AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+               sum(size) OVER (PARTITION BY source, h) AS here FROM d),
+-- the boundary hash is in if that is nearer to the target
+e AS (SELECT cum.*, source_size, target, whole, goal - whole * source_size AS rest FROM cum JOIN r ON cum.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN upto <= goal - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM cum JOIN r ON cum.source IS NOT DISTINCT FROM r.source
+       (size * (whole + CASE WHEN upto <= rest OR (upto - here < rest AND upto - rest < rest - (upto - here)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM e
 """,
     "op6_decontamination": r"""
 WITH dw AS (
@@ -146,7 +147,7 @@ occ AS (
         FROM (SELECT row_no, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)) x
   JOIN pat ON pat.k = x.k AND pat.p = x.p),
 hit AS (SELECT row_no, count(DISTINCT pos) AS n_hit FROM (SELECT row_no, unnest(range(i, i + k)) AS pos FROM occ) GROUP BY row_no),
-its AS (SELECT row_no, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS id FROM occ) GROUP BY row_no)
+its AS (SELECT row_no, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS id FROM occ) GROUP BY row_no)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hit USING (row_no) LEFT JOIN its USING (row_no)

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import small_batches
+from palimpsest.llm.blocks import maybe_in, small_batches, spread_join
 from palimpsest.storage import local_or_uri, materialize, new_path
 
 CHUNK_BYTES = 256 << 10
@@ -35,19 +35,37 @@ EPOCH = "1970-01-01T00:00:00Z"
 CHUNK_SCHEMA = "record_id string, record_type string, refers_to string, target_uri string, chunk_no long, last boolean, data binary, bytes_so_far long, sha1_so_far string"
 
 
-def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) per row of ``pages``, from sizes and digests alone."""
-    rows = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")
-    )
-    large = rows.where(F.col("payload_bytes") >= min_revisit)
-    first = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first_id"))
-    own = F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("payload_bytes") < min_revisit)
-    return rows.join(first, ["payload_digest", "payload_bytes"], "left").select(
-        "page_id", "payload_bytes", "payload_digest",
-        F.when(own, "response").otherwise("revisit").alias("record_type"),
-        F.when(~own, F.col("first_id")).alias("refers_to"),
-    )
+def _described(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, payload_bytes, payload_digest) of each row of ``pages``."""
+    url = F.col("url") if "url" in pages.columns else F.lit(None)
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    return pages.select("page_id", url.cast("string").alias("url"), "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
+
+
+def find_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(large, revisits) from sizes and digests alone: rows (page_id, url, payload_bytes, payload_digest) of payloads of at least
+    ``min_revisit`` bytes, and those of them that aren't the largest page_id of their payload, with that as refers_to."""
+    large = materialize(_described(pages).drop("html").where(F.col("payload_bytes") >= min_revisit), "warc-large")
+    same = ["payload_digest", "payload_bytes"]
+    groups = large.groupBy(*same).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    grouped = spread_join(large, materialize(groups, "warc-groups"), *same).drop("rows")
+    return large, materialize(grouped.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(*large.columns, "refers_to"), "warc-revisits")
+
+
+def responses(pages: DataFrame, large: DataFrame, revisits: DataFrame, min_revisit: int = MIN_REVISIT_BYTES) -> list[DataFrame]:
+    """The rows of ``pages`` that keep their payload, as _described has them, in two parts of which the second is empty or small.
+
+    A filter over the revisits' keys lets all others stay where they are. A second filter, over those other keys that the first one
+    takes for revisits, tells which of its hits may be wrong; only these few rows are shuffled, to meet the revisits themselves.
+    """
+    key = ("page_id", "payload_digest")
+    rows = _described(pages)
+    hit = maybe_in(revisits, *key)
+    same = lambda a, b: a["page_id"].eqNullSafe(b["page_id"]) & (a["payload_digest"] == b["payload_digest"])
+    suspects = large.where(hit).select(*key)
+    innocent = suspects.join(revisits, same(suspects, revisits), "left_anti")
+    doubted = rows.where((F.col("payload_bytes") >= min_revisit) & hit & maybe_in(innocent, *key))
+    return [rows.where((F.col("payload_bytes") < min_revisit) | ~hit), doubted.join(revisits, same(doubted, revisits), "left_anti")]
 
 
 def chunk_rows(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -153,16 +171,15 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT_BYT
     Of records with equal payloads of at least ``min_revisit`` bytes the one with the largest page_id is a response with
     the payload, the others are revisits without it. Nulls: a null html is an empty payload; a null url leaves out the
     target; a null page_id is written as an empty id, below every id. Rows that repeat the largest page_id are all responses.
-    Empty table: an empty manifest. Other columns aren't read.
+    Very long payloads are written in chunks of ``chunk_bytes``. Empty table: an empty manifest. Other columns aren't read.
+    A payload is written by the task that reads it, revisits from digests alone; see :func:`responses`.
     """
     small_batches(pages.sparkSession)
-    plan = plan_records(pages, min_revisit)
-    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
-    # A row meets its plan again by id and digest; revisits leave their payload behind before anything is moved.
-    source = pages.select("page_id", url.alias("url"), "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("payload_digest"))
-    keyed = plan.groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"))
-    joined = source.join(keyed.withColumnRenamed("page_id", "id2").withColumnRenamed("payload_digest", "digest2"), F.col("page_id").eqNullSafe(F.col("id2")) & (F.col("payload_digest") == F.col("digest2")))
-    rows = joined.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", F.when(F.col("record_type") == "response", F.col("html")).alias("html"))
+    large, revisits = find_revisits(pages, min_revisit)
+    none = F.lit(None).cast(pages.schema["page_id"].dataType)
+    rows = revisits.select("page_id", "url", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to", F.lit(None).cast("string").alias("html"))
+    for part in responses(pages, large, revisits, min_revisit):
+        rows = rows.unionByName(part.withColumns({"record_type": F.lit("response"), "refers_to": none}))
     return chunk_rows(rows, chunk_bytes).mapInArrow(_writer(local_or_uri(folder), file_bytes), "file string, bytes long, records long")
 
 

@@ -11,9 +11,10 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.llm import blocks as B
 from palimpsest.llm import token_output as T
 from palimpsest.llm import warc as W
-from palimpsest.llm.chat import format_preferences, mismatched_pairs
+from palimpsest.llm.chat import crossed_pairs, format_pairs, format_preferences
 from palimpsest.llm.queries import tokenizer_path
 from palimpsest.storage import new_path
 
@@ -56,6 +57,21 @@ def test_warc_chunks(spark, pages):
     assert whole["7"] == PAGES[6][2].encode() and whole["5"] == b"" and set(whole) == {"2", "3", "4", "5", "6", "7"}
 
 
+def test_payloads_of_revisits_stay_where_they_are(spark, monkeypatch):
+    """The part that most rows go through has no exchange; what the filters get wrong is put right."""
+    rows = [(i, "u", "y" * 1000 + str(i % 40)) for i in range(300)] + [(1000 + i, "u", "z" * 1000 + str(i)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bits in (1 << 25, 64):
+        monkeypatch.setattr(B, "FILTER_BITS", bits)
+        large, revisits = W.find_revisits(pages)
+        sure, doubted = W.responses(pages, large, revisits)
+        assert "Exchange" not in sure._jdf.queryExecution().executedPlan().toString()
+        assert revisits.count() == 260 and "html" not in revisits.columns
+        kept = [r.page_id for part in (sure, doubted) for r in part.collect()]
+        assert sorted(kept) == [*range(260, 300), *range(1000, 1300)]
+        assert (bits > 64) == (len(doubted.collect()) == 0)
+
+
 def test_warc_is_plain_warc(spark, pages):
     folder = new_path(spark, "warc-test")
     (first, *_) = W.write_warc(pages.where("page_id = 3").coalesce(1), folder).where("records > 0").collect()
@@ -183,15 +199,29 @@ def test_preferences_of_empty_tables(spark):
     assert format_preferences(none, none).count() == 0
 
 
-def test_mismatched_pairs(spark):
-    c = spark.createDataFrame(
-        [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 2, "user", "c"), (1, 0, "user", "d"), (1, 1, "assistant", "e"), (2, 0, "user", "f"), (2, 1, "assistant", "g"), (4, 0, "user", "h"), (None, 0, "user", "i"), (7, 0, "assistant", None)],
-        "conv_id long, turn long, role string, text string",
-    ).withColumn("last", F.lit(1))
-    got = {r.pair_id: r for r in format_preferences(*mismatched_pairs(c)).collect()}
-    assert set(got) == {0, 1, 2, 7}
-    assert "b<" in got[0].chosen and "e<" in got[0].rejected and "c<" not in got[0].chosen + got[0].prompt
-    assert got[2].rejected == "" and got[2].n_common == 1 and got[7].rejected == ""
+def test_crossed_pairs_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    rows = [(c, int(k), ["user", "assistant", "system"][rng.integers(3)], f"t{rng.integers(3)}") for c in range(60) if c % 7 for k in range(rng.integers(1, 7))]
+    rows += [(100, 0, None, None), (100, None, "user", "first"), (101, 0, "", ""), (101, 1, "user", "x" * 100_000), (200, 0, "user", "alone"), (200, 0, "user", "alone"), (-3, 0, "assistant", None), (None, 0, "user", "i")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    turns = {}
+    for i, k, r, t in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        if i is not None:
+            turns.setdefault(i, []).append((r or "", t or ""))
+    show = lambda x: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in x)
+    want = {}
+    for i, a in turns.items():
+        keep = int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % (len(a) + 1)
+        b = a[:keep] + turns.get(i ^ 1, [])[keep:]
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        want[i] = (n, show(a[:n]), show(a[n:]), show(b[n:]))
+    clashing = c.withColumns({"a": F.lit(1), "b": F.lit(2), "turns": F.lit(3), "both": F.lit(4), "pair_id": F.lit(5), "keep": F.lit(6)})
+    for table in (c, clashing):
+        assert {r.pair_id: (r.n_common, r.prompt, r.chosen, r.rejected) for r in format_pairs(crossed_pairs(table)).collect()} == want
+    early = [i for i, a in turns.items() if want[i][0] < len(a) - 1]
+    assert len(early) > 10 and crossed_pairs(c.limit(0)).count() == 0
 
 
 def test_pipeline_against_its_parts(spark):
