@@ -9,12 +9,14 @@ no pattern can end), buckets of patterns by the hash of the block their first
 in numpy: a slice of text is cut into lanes that jump forward together.
 
 The benchmark is broadcast in parts of at most MAX_PART_BYTES of text; each part
-is one pass over the documents, so its size never bounds what can be searched.
+is one pass over the documents, written to the shared folder before the next begins,
+so its size never bounds what can be searched, nor what a task holds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.blocks import slices, small_batches
+from palimpsest.llm.blocks import free_names, slices, small_batches
+from palimpsest.storage import materialize, release
 
 WINDOW = 10
 MAX_PART_BYTES = 8 << 20
@@ -149,7 +152,7 @@ class Searcher:
             words = words_of(text)
             if words:
                 for i in range(max(1, len(words) - window + 1)):
-                    owners.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", set()).add(str(item))
+                    owners.setdefault(b" " + b" ".join(words[i : i + window]) + b" ", set()).update([] if item is None else [str(item)])
         self.groups = []
         for low, high, block in ((0, 8, 2), (8, 24, 4), (24, 1 << 60, 8)):
             if part := sorted(p for p in owners if low <= len(p) < high):
@@ -180,19 +183,29 @@ class Searcher:
         return counts, np.cumsum(change[:-1]) > 0, first, items
 
 
-def _scan_batches(parts_var, text_col: str, carry: list[str], out_schema: pa.Schema):
-    """Carries ``carry`` through and adds __words, __hits (bitmap of words) and __items, merging those of an earlier pass."""
+#: The searcher that a worker process used last, by the name of its part of the benchmark.
+_LAST: dict[str, Searcher] = {}
+
+
+def _searcher(name: str, part: list[tuple], window: int) -> Searcher:
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Searcher(part, window)
+    return _LAST[name]
+
+
+def _scan_batches(name: str, part_var, window: int, text_col: str, carry: list[str], own: list[str], earlier: bool, out_schema: pa.Schema):
+    """Carries ``carry`` through and adds ``own``: words, hits (bitmap of words) and items, merged with those of an ``earlier`` pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(*parts_var.value)
+        searcher = _searcher(name, part_var.value, window)
         for batch in batches:
             text = batch.column(text_col)
-            earlier = "__hits" in batch.schema.names
             for a, b, data, offsets in slices(text):
                 counts, hit, first, items = searcher.scan(data, offsets)
                 maps = [np.packbits(hit[f : f + n]) if hit[f : f + n].any() else np.zeros(0, np.uint8) for f, n in zip(first.tolist(), counts.tolist(), strict=True)]
                 if earlier:
-                    old_maps, old_items = batch.column("__hits")[a:b].to_pylist(), batch.column("__items")[a:b].to_pylist()
+                    old_maps, old_items = batch.column(own[1])[a:b].to_pylist(), batch.column(own[2])[a:b].to_pylist()
                     for i, (m, x) in enumerate(zip(old_maps, old_items, strict=True)):
                         items[i].update(x)
                         if m:
@@ -218,45 +231,60 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
     yield part
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = MAX_PART_BYTES) -> DataFrame:
-    """``docs`` with __words (count), __hits (bitmap over words, empty if none) and __items (ids with an occurring window)."""
+def scan_documents(docs: DataFrame, benchmark: DataFrame, own: tuple[str, str, str] | list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = MAX_PART_BYTES) -> DataFrame:
+    """``docs`` with three more columns, whose names ``own`` it lacks: words (count), hits (bitmap over words, empty if none) and items (ids with an occurring window)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     small_batches(spark)
-    carry = [c for c in docs.columns if c not in ("__words", "__hits", "__items")]
-    fields = [docs.schema[c] for c in carry]
-    fields += [T.StructField("__words", T.LongType()), T.StructField("__hits", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))]
-    schema = T.StructType(fields)
-    out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+    carry = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(own[0], T.LongType()), T.StructField(own[1], T.BinaryType()), T.StructField(own[2], T.ArrayType(T.StringType()))])
+    out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+    before, var = None, None
     for part in _parts(benchmark, item_id, item_text, part_bytes):
-        docs = docs.mapInArrow(_scan_batches(spark.sparkContext.broadcast((part, window)), text_col, carry, out), schema)
+        if var is not None:  # the pass before this one ends here
+            done = materialize(docs, "benchmark-pass")
+            var.destroy()
+            if before is not None:
+                release(before)
+            docs = before = done
+        var = spark.sparkContext.broadcast(part)
+        docs = docs.mapInArrow(_scan_batches(uuid.uuid4().hex, var, window, text_col, carry, list(own), before is not None, out), schema)
     return docs
 
 
-def _summary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0 for m in batch.column("__hits").to_pylist()]
-        items = batch.column("__items").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("__words"), pa.array(hits, pa.int64()), pa.array(map(len, items), pa.int64()),
-             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+def _summary(words: str, hit: str, found: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0 for m in batch.column(hit).to_pylist()]
+            items = batch.column(found).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column(words), pa.array(hits, pa.int64()), pa.array(map(len, items), pa.int64()),
+                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            )
+
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A null or empty text has no words; a null or wordless item has no window; an item shorter than ``window`` is one window.
-    Repeated rows each get a row. A null item_id counts as the string None. With no benchmark rows nothing is hit.
-    Other columns of either table aren't read.
+    A null or empty text has no words; a null or wordless item has no window; an item shorter than ``window`` is one window. An item
+    with a null id hits words but isn't counted or named. Rows that repeat, in either table, change nothing but that each document row
+    gets a row. A very long text is searched whole, in one piece, in one task. With no benchmark rows nothing is hit. Other columns of
+    either table aren't read.
     """
-    found = scan_documents(docs.select("doc_id", "text"), benchmark, window=window)
+    own = ("words", "hits", "items")
+    found = scan_documents(docs.select("doc_id", "text"), benchmark, own, window=window).drop("text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.drop("text").mapInArrow(_summary, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(_summary(*own), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in whose text no benchmark window occurs, with their columns."""
-    return scan_documents(docs, benchmark, window=window).where(F.size("__items") == 0).select(docs.columns)
+    """The rows of ``docs`` in whose text no benchmark window occurs, with all their columns, under any names.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are as in :func:`contamination`: a text without words stays.
+    """
+    own = free_names(docs.columns, "words", "hits", "items")
+    return scan_documents(docs, benchmark, own, window=window).where(F.length(own[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.blocks import slices, small_batches
+from palimpsest.llm.blocks import free_names, slices, small_batches
 from palimpsest.llm.ngram_join import word_edges, word_hashes
 
 SAMPLE_ROWS = 20_000
@@ -209,24 +209,31 @@ def _scorer(model, carry: list[str], schema: pa.Schema):
     return run
 
 
-def with_score(docs: DataFrame, model: Trees, name: str = "__score", carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with a column ``name``: the model's probability of label 1. A null text counts as empty."""
+def with_score(docs: DataFrame, model: Trees, name: str) -> DataFrame:
+    """``docs`` with a column ``name``, which it lacks: the model's probability of label 1. A null text counts as empty."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     small_batches(docs.sparkSession)
-    carry = [c for c in (docs.columns if carry is None else carry) if c != name]
-    fields = [docs.schema[c] for c in carry] + [T.StructField(name, T.DoubleType())]
-    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
-    need = docs.select(*dict.fromkeys([*carry, "text"]))
-    return need.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), carry, schema), T.StructType(fields))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), docs.columns, arrow), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted. Empty and null texts are scored too; an empty table gives no rows."""
-    scored = with_score(docs.select("doc_id", "text"), train(docs, labels), "score", ["doc_id"])
+    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+
+    Null and empty texts are scored as texts without words; very long ones are read whole. Equal texts have equal scores, so ties and
+    repeated rows are scored alike; a null id is never held out. An empty table gives no rows. Other columns aren't read. Labels as in :func:`train`.
+    """
+    scored = with_score(docs.select("doc_id", "text"), train(docs, labels), "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= reject_below).cast("int").alias("predicted"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
-    return with_score(docs, train(docs, labels)).where(F.col("__score") >= reject_below).select(docs.columns)
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns, under any names.
+
+    Nulls, empty and very long texts, ties, repeated rows and empty tables are as in :func:`quality_scores`. Without labels of both
+    kinds all rows have one score, and all stay or all go.
+    """
+    (name,) = free_names(docs.columns, "score")
+    return with_score(docs, train(docs, labels), name).where(F.col(name) >= reject_below).select(*[F.col(f"`{c}`") for c in docs.columns])

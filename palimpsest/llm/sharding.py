@@ -25,7 +25,6 @@ FIRST_BITS = 14
 MAX_RANGES = 200_000
 ROW_BYTES = 8
 SLOT_ROWS = 50_000
-MAX_SLOT_BINS = 4096
 #: The order of groups: the hash with its sign bit turned, as an unsigned number.
 BIAS = 1 << 63
 
@@ -153,7 +152,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     Size is the UTF-8 bytes of the text (null: none) plus 8. Equal texts go to one shard, so no shard is larger than the
     optimum for whole groups in hash order; below that, sizes differ from equal parts by about a group or one of 2**FIRST_BITS hash
     ranges, and groups larger than an equal part have what is left of the others spread over the other shards. Slots count from 0 in each shard without gaps; rows that agree in id and text get
-    neighbouring slots in any order. Null ids come first in a bin. Null and empty texts are one group. An empty table gives no rows.
+    neighbouring slots in any order. Slots depend on the table alone, not on partitions or settings. Null ids come first in a bin. Null and empty texts are one group. An empty table gives no rows.
     Two texts with one 64-bit hash count as one group, which keeps every promise above. Other columns aren't read.
     """
     text = F.coalesce("text", F.lit(""))
@@ -166,14 +165,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = materialize(rows.groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
     starts, _ = find_cuts(groups, shards)
     shard = sum(((F.col("h") >= s).cast("int") for s in starts), F.lit(0))
-    # Slots: a bin of a shard holds about SLOT_ROWS rows; bins are counted first, so no task ranks a whole shard.
-    bins = min(MAX_SLOT_BINS, max(1, rows.count() // (shards * SLOT_ROWS) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards + 1))
+    # Slots: a bin of a shard holds about SLOT_ROWS rows, however many bins that makes; bins are counted first, so no task ranks a whole shard.
+    bins = rows.count() // (shards * SLOT_ROWS) + 1
     placed = rows.withColumn("shard", shard).withColumn("bin", F.pmod(F.xxhash64("doc_id", "h"), F.lit(bins)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "bin").count().select("shard", "bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("shard", "bin").orderBy("doc_id", "h")
     return (
         placed.withColumn("rank", F.row_number().over(own))
-        .join(F.broadcast(offsets), ["shard", "bin"])  # at most shards x MAX_SLOT_BINS rows
+        .join(offsets, ["shard", "bin"])  # a row per bin; the other side is dealt by bins already
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

@@ -37,7 +37,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-CLASHING = ["size", "h", "target", "slot", "shard", "bin", "rank", "score", "label", "x", "digest", "group_size", "keep_id", "cls", "comp", "node", "sig", "__words", "__hits", "__items", "__source", "start", "part", "payload", "chunk_no", "ids", "a", "b", "n"]
+CLASHING = ["words", "hits", "items", "__score", "key", "copy", "row", "low", "bucket", "cut", "rest", "whole", "size", "h", "target", "slot", "shard", "bin", "rank", "score", "label", "x", "digest", "group_size", "keep_id", "cls", "comp", "node", "sig", "__words", "__hits", "__items", "__source", "start", "part", "payload", "chunk_no", "ids", "a", "b", "n"]
 
 
 @pytest.fixture(scope="session")

@@ -1,11 +1,14 @@
 """Exact dedup, sharding, mixing, decontamination, licences: odd rows against plain Python."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from palimpsest.llm import sharding
 from palimpsest.llm.decontaminate import PatternGroup, Searcher, _loads, contamination, drop_contaminated, words_of
 from palimpsest.llm.exact_dedup import CuckooFilter, CuckooIndex, apply_changes, digests, exact_dedup
 from palimpsest.llm.licenses import RULES, SENTENCES, scan_licenses
-from palimpsest.llm.mixing import fill_targets, mix
+from palimpsest.llm.mixing import mix, repeat_mixed, source_targets
 
 rows_of = lambda df: sorted(map(tuple, df.collect()), key=repr)
 
@@ -72,6 +75,33 @@ def test_index_changes(spark, odd):
     assert rows_of(again) == rows_of(index)
 
 
+def test_changes_go_through_the_index(spark, monkeypatch):
+    """Deletions and insertions in many slices against a dict, and by the index's own methods."""
+    from palimpsest.llm import exact_dedup as X
+
+    monkeypatch.setattr(X, "FLUSH_KEYS", 40)
+    rng = random.Random(1)
+    name = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    live: dict[str, tuple] = {}
+    index = spark.createDataFrame([], "text_sha256 string, group_size long, keep_id long")
+    for _ in range(3):
+        new = [(rng.choice([None, rng.randrange(1000)]), name(rng.randrange(150))) for _ in range(300)] + [(1, None)]
+        gone = [name(rng.randrange(200)) for _ in range(60)] + [None]
+        index = apply_changes(index, spark.createDataFrame(new, "doc_id long, text_sha256 string"), spark.createDataFrame([(g,) for g in gone], "text_sha256 string"))
+        live = {k: v for k, v in live.items() if k not in gone}
+        for i, k in new:
+            if k:
+                n, most = live.get(k, (0, None))
+                live[k] = (n + 1, max((x for x in (i, most) if x is not None), default=None))
+        assert rows_of(index) == sorted(((k, *v) for k, v in live.items()), key=repr)
+        index = spark.createDataFrame(index.collect(), index.schema)
+    done = []
+    monkeypatch.setattr(CuckooIndex, "delete", lambda self, key, real=CuckooIndex.delete: done.append(real(self, key)) or done[-1])
+    batch = pa.RecordBatch.from_pylist([{"slice": 0, "step": s, "digest": bytes.fromhex(name(i)), "rows": 1, "largest": i} for s, i in ((0, 1), (0, 2), (1, 1), (1, 3), (2, 2))])
+    (out,) = X._slice_indexes([batch])
+    assert done == [True, False] and [(r["group_size"], r["keep_id"]) for r in out.to_pylist()] == [(2, 2)]
+
+
 def test_smallest_capacity_is_optimal(monkeypatch):
     rng = random.Random(3)
     for _ in range(300):
@@ -141,22 +171,66 @@ def test_sharding_is_the_optimum_for_whole_groups(odd, monkeypatch):
         assert sharding.find_cuts(groups, shards)[1] == sharding.Ranges([(i, 0, s, 1, s) for i, s in enumerate(sizes)]).smallest(False, shards)
 
 
+def test_shards_of_the_query_against_brute_force(spark):
+    """The query's shards are contiguous in hash order, whole groups, and no larger than the least capacity that any contiguous cut reaches."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = sharding.shard_documents(docs).join(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), "doc_id").orderBy("h").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.h, []).append(r)
+    assert all(len({r.shard for r in g}) == 1 for g in groups.values())
+    order = [g[0].shard for g in groups.values()]
+    assert order == sorted(order) and set(order) == set(range(24))
+    sizes = [sum(r["size"] for r in g) for g in groups.values()]
+    ends = [0, *itertools.accumulate(sizes)]
+    best = [0, *[float("inf")] * len(sizes)]  # least possible maximum over the first j groups, by dynamic programming over shards
+    for _ in range(24):
+        best = [0, *[min(max(best[i], ends[j] - ends[i]) for i in range(j)) for j in range(1, len(ends))]]
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    assert sharding.find_cuts(spark.createDataFrame(list(zip(groups, sizes)), "h long, size long"))[1] == best[-1] and max(load.values()) <= best[-1]
+
+
+def test_slots_do_not_depend_on_settings(spark, odd):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for n in ("3", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(((r.shard, r.slot, r.doc_id, r.text_crc32) for r in sharding.shard_documents(odd.repartition(int(n) // 40 + 1)).collect()), key=repr))
+        assert found[0] == found[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_sharding_empty(empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_targets_fill_like_water():
+def filled(sizes, weights, share=Fraction(3, 2), most=2):
+    """Targets by repeating what the contract says: by weight, what is above ``most`` times a size is shared again."""
+    out, left = {}, share * sum(sizes)
+    while open_ := [i for i in range(len(sizes)) if i not in out]:
+        part = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        full = [i for i in open_ if part[i] > most * sizes[i]]
+        out |= {i: Fraction(most * sizes[i]) for i in full} if full else part
+        left -= sum(out[i] for i in full)
+    return [out[i] for i in range(len(sizes))]
+
+
+def test_targets_fill_like_water(spark):
     rng = random.Random(5)
-    for _ in range(500):
-        n = rng.randrange(1, 12)
-        sizes = [rng.choice([0, rng.randrange(1, 10), rng.randrange(1, 10_000)]) for _ in range(n)]
-        weights = [rng.choice([5, 2, 1]) for _ in range(n)]
-        got = [a / b for a, b in fill_targets(sizes, weights)]
-        assert abs(sum(got) - 1.5 * sum(sizes)) < 1e-6 * max(1, sum(sizes))
-        assert all(t <= 2 * s + 1e-9 for t, s in zip(got, sizes))
-        free = [t / w for t, s, w in zip(got, sizes, weights) if t < 2 * s - 1e-9]
-        assert not free or max(free) - min(free) < 1e-6 * max(1, max(free))
-        assert all(t / w <= min(free) + 1e-6 for t, s, w in zip(got, sizes, weights) if free and t >= 2 * s - 1e-9)
+    for case in range(12):
+        n = rng.choice([1, 2, 5, 12, 40])
+        sizes = [rng.choice([0, rng.randrange(1, 10), rng.randrange(1, 10_000), rng.randrange(1, 1 << 40)]) for _ in range(n)]
+        rows = spark.createDataFrame([(f"={i:03}", s) for i, s in enumerate(sizes)] + [(f"={i:03}", 0) for i in range(n)], "key string, size long")
+        weights = [(5, 2, 1), (1,), (3, 7)][case % 3]
+        got = source_targets(rows, weights).orderBy("key").collect()
+        want = filled(sizes, [weights[i % len(weights)] for i in range(n)])
+        for r, size, target in zip(got, sizes, want, strict=True):
+            assert (r.rows, r.source_size) == (2, size) and r.target == pytest.approx(float(target), rel=1e-14)
+            assert r.whole == (int(target) // size if size else 0) and r.rest == int(target) - r.whole * size
 
 
 def test_mix(odd, odd_rows, clashing):
@@ -172,8 +246,24 @@ def test_mix(odd, odd_rows, clashing):
         target[source[r.doc_id]] = r.target
         assert r.taken <= 2 * r["size"]
     assert all(r.source_size == totals[source[r.doc_id]] for r in got)
-    largest = {s: max(r["size"] for r in got if source[r.doc_id] == s) for s in totals}
-    assert all(taken[s] <= target[s] + 1e-6 and target[s] - taken[s] <= largest[s] for s in totals)
+    by_id = Counter()
+    for r in got:
+        by_id[r.doc_id] += r["size"]
+    largest = {s: max(by_id[r.doc_id] for r in got if source[r.doc_id] == s) for s in totals}
+    assert all(abs(target[s] - taken[s]) <= largest[s] / 2 + 1 for s in totals)
+    repeated = Counter((r.doc_id, r.text) for r in repeat_mixed(odd).collect())
+    times = {r.doc_id: r.repeats for r in got}
+    assert repeated == Counter({(i, t): times[i] * k for (i, t), k in Counter((i, t) for i, t, *_ in odd_rows).items() if times[i]})
+    assert repeat_mixed(clashing).columns == clashing.columns and repeat_mixed(clashing).count() == sum(repeated.values())
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_mix_comes_near_its_targets(spark, sf):
+    """By half of a source's boundary document at most: with the sources' own documents, the bound holds for the largest."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    rows = mix(docs).join(docs.select("doc_id", "source"), "doc_id")
+    for r in rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect():
+        assert abs(r.taken - r.target) <= r.most / 2 + 1
 
 
 def test_mix_is_nested(spark):
@@ -192,13 +282,13 @@ def brute_contamination(docs, items, window=10):
     for item, text in items:
         w = words_of(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            pats[tuple(w[i : i + window])].add(str(item))
+            pats[tuple(w[i : i + window])].update([] if item is None else [str(item)])
     out = []
     for i, t in docs:
         w, hit, ids = words_of(t), set(), set()
         for k in {len(p) for p in pats}:
             for j in range(len(w) - k + 1):
-                if owners := pats.get(tuple(w[j : j + k])):
+                if (owners := pats.get(tuple(w[j : j + k]))) is not None:
                     hit.update(range(j, j + k))
                     ids |= owners
         out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
@@ -214,6 +304,9 @@ def test_contamination(spark, odd, odd_rows, clashing):
     assert rows_of(contamination(clashing, bench)) == want
     clean = {r.doc_id for r in drop_contaminated(odd, bench).collect()}
     assert clean == {r[0] for r in want if not r[5]}
+    left = drop_contaminated(clashing, bench)
+    assert left.columns == clashing.columns and Counter(r.doc_id for r in left.collect()) == Counter(r[0] for r in want if not r[5])
+    assert {r["__hits"] for r in left.collect()} == {1} and drop_contaminated(clashing.limit(0), bench).count() == 0
 
 
 def test_contamination_in_parts(spark, odd, odd_rows):
@@ -221,7 +314,7 @@ def test_contamination_in_parts(spark, odd, odd_rows):
 
     long = odd_rows[21][1].split()
     bench = spark.createDataFrame([(i, " ".join(long[i : i + 12])) for i in range(0, 30, 3)], "item_id long, text string")
-    one, many = (scan_documents(odd, bench, part_bytes=n).select("doc_id", "__words", "__hits", "__items") for n in (1 << 20, 100))
+    one, many = (scan_documents(odd, bench, ("w", "h", "i"), part_bytes=n).select("doc_id", "w", "h", "i") for n in (1 << 20, 100))
     assert rows_of(one) == rows_of(many)
 
 
