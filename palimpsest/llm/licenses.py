@@ -105,6 +105,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-NC-4.0", ("cc_by_nc4",)),
     ("CC-BY-SA-4.0", ("cc_by_sa4",)),
     ("CC-BY-4.0", ("cc_by4",)),
+    ("BSD-3-Clause", ("reserved", "bsd_head", "bsd_source", "bsd_binary", "bsd_name")),
+    ("BSD-2-Clause", ("reserved", "bsd_head", "bsd_source", "bsd_binary")),
     ("BSD-3-Clause", ("bsd_head", "bsd_source", "bsd_binary", "bsd_name")),
     ("BSD-2-Clause", ("bsd_head", "bsd_source", "bsd_binary")),
     ("BSD-3-Clause", ("bsd3",)),
@@ -115,6 +117,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MPL-2.0", ("spdx_mpl2",)),
     ("Unlicense", ("unlicense",)),
     ("Unlicense", ("spdx_unlicense",)),
+    ("LicenseRef-All-Rights-Reserved", ("reserved",)),
 )
 
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
@@ -181,7 +184,8 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
 
     sentence_ids are the known identifiers in order with UNKNOWN between those that other sentences part; licenses are the
     names of all rules that match, in the order of the rules, joined by commas; unmatched are known identifiers that no rule consumed.
-    A null or empty text has none of them. Repeated rows each get a row. Other columns aren't read.
+    A null or empty text has none of them. Repeated rows each get a row, a row with a null id too. Very long texts are scanned whole, in
+    one cell. An empty table gives no rows. Other columns aren't read.
     """
     known = lambda ids: F.filter(F.split(F.trim(ids), " "), lambda x: (x != UNKNOWN) & (x != ""))
     rows = docs.select("doc_id", sequence(F.col("text"), sentences).alias("ids"))

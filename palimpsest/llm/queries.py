@@ -31,42 +31,52 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a chosen one, against itself going on as its partner does (``crossed_pairs``). Cases: ``format_preferences``, ``crossed_pairs``."""
     return format_pairs(crossed_pairs(table(spark, sf_dir, "conversations")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document from trees trained on the labels outside the held-out fold. Cases: ``quality_scores``, ``train``."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document. Cases: ``scan_licenses``."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by the law ``bytes``. Cases: ``shard_documents``."""
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes. Cases: ``mix``."""
     return mix(table(spark, sf_dir, "documents")).drop("repeats")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows cover. Cases: ``contamination``."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal texts stays, for every document. Cases: ``exact_dedup``."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document at three words and a similarity of 0.9. Cases: ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"), n_words=3, num=90, den=100)
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of token ids hold of every document. Cases: ``write_ids``, ``token_round_trip``."""
     return token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold of every page. Cases: ``write_warc``, ``warc_round_trip``."""
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 

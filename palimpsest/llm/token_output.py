@@ -350,7 +350,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None =
     """Write the ids of all texts of ``docs`` (doc_id, text) under ``folder``; returns (manifest, dictionary).
 
     The manifest has file, part, number, docs, tokens, bytes; in order of (part, number) ids ascend, nulls first. Rows that repeat an
-    id are in the order of their texts' hashes. A null text is empty: only the end id. An empty table writes no file.
+    id are in the order of their texts' hashes. A null text is empty: only the end id. A very long text is one frame, made in memory. An
+    empty table writes no file. Other columns aren't read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -398,7 +399,10 @@ def read_ids(manifest: DataFrame, dictionary: bytes, folder: str) -> DataFrame:
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write the ids of ``docs`` to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32. Other columns aren't read."""
+    """Write the ids of ``docs`` to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32. Other columns aren't read.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are as in :func:`write_ids`.
+    """
     folder = new_path(docs.sparkSession, "ids")
     manifest, dictionary = write_ids(docs.select("doc_id", "text"), folder, tokenizer)
     return read_ids(manifest, dictionary, folder)

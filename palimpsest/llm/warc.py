@@ -293,7 +293,10 @@ def read_warc(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES,
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write ``pages`` as archives in the shared folder, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Nulls, empty and very long payloads, ties, repeated rows and empty tables are as in :func:`write_warc`.
+    """
     folder = new_path(pages.sparkSession, "warc")
     manifest = materialize(write_warc(pages, folder), "warc-manifest")
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast(pages.schema["page_id"].dataType))

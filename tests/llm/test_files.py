@@ -252,3 +252,44 @@ def test_pipeline_against_its_parts(spark):
     last = P.STAGES[-1][1](spark, docs, d).collect()
     assert sorted(r.doc_id for r in last) == sorted(ids[3])
     assert Counter(r.n_tokens for r in last) == Counter(len(x) + 1 for x in encode([r.text for r in kept[3]]))
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, odd_rows, clashing, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, columns of any name, empty tables: each stage against a plain version."""
+    import corpus_pipeline as P
+    from test_join_quality import brute
+    from test_row_operators import brute_contamination
+
+    d = str(tmp_path)
+    long = odd_rows[21][1].split()
+    items = [(1, " ".join(long[5:40])), (None, "it s"), (3, None)]
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)] + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/none/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/none/benchmark.parquet")
+    plain = Counter(tuple(r) for r in odd_rows)
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, odd, d)
+        assert got.columns == P.COLUMNS
+        rows = Counter(map(tuple, got.collect()))
+        assert rows == Counter(map(tuple, stage(spark, clashing, d).collect()))
+        assert set(rows) <= set(plain)
+        nothing = stage(spark, empty, d)
+        assert nothing.columns == P.COLUMNS and nothing.count() == 0
+        if name == "quality_classifier":
+            assert all(rows[r] in (0, plain[r]) for r in plain)
+            assert stage(spark, odd, f"{d}/none").count() == sum(plain.values())
+        elif name == "ngram_jaccard_join":
+            # one row of each group, the one with the smallest id; all rows without words
+            want = Counter(c for d_, n, c in brute([r[:2] for r in odd_rows], 5, 8, 10) if n)
+            wordless = Counter(r for r in odd_rows if not (r[1] or "").split())
+            assert Counter(r[0] for r in (rows - wordless).elements()) == Counter(dict.fromkeys(want, 1)) and not wordless - rows
+        elif name == "benchmark_decontamination":
+            hit = {i for i, *_, c in brute_contamination([(k, r[1]) for k, r in enumerate(odd_rows)], items) if c}
+            assert rows == Counter(r for k, r in enumerate(odd_rows) if k not in hit) and hit
+            assert stage(spark, odd, f"{d}/none").count() == sum(plain.values())
+        else:
+            assert all(rows[r] <= 2 * plain[r] for r in plain)
+    last = P.STAGES[-1][1]
+    assert last(spark, empty, d).count() == 0
+    assert rows_of(last(spark, odd, d)) == rows_of(last(spark, clashing, d)) and last(spark, odd, d).count() == len(odd_rows)

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import ngram_join as J
 from palimpsest.llm.blocks import slices
@@ -281,3 +282,59 @@ def test_held_out_is_never_learned(spark, odd):
     flipped = spark.createDataFrame([(i, 1 - i % 2 if zlib.crc32(str(i).encode()) % 5 == 0 else i % 2) for i in range(30)], "doc_id long, quality int")
     assert rows_of(quality_scores(odd, labels)) == rows_of(quality_scores(odd, flipped))
     assert {r.doc_id for r in odd.where(held_out(odd.doc_id)).collect()} == {i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 0} & {r.doc_id for r in odd.collect()}
+
+
+def plain_statistics(text):
+    """FEATURES of one text, one by one."""
+    raw = (text or "").encode()
+    n, words = len(raw), [w.lower() if w.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in raw.split()]
+    count = lambda test: sum(map(bool, map(test, raw)))
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    digit, blank, stop = (lambda c: 48 <= c <= 57), (lambda c: c == 32 or 9 <= c <= 13), (lambda c: chr(c) in ".,;:?'\"()-")
+    size, w, pairs = max(n, 1), max(len(words), 1), list(zip(words, words[1:]))
+    symbols = count(lambda c: c < 128 and not (letter(c) or digit(c) or blank(c) or stop(c)))
+    bare = sum(not any(letter(c) or digit(c) for c in x) for x in words)
+    top = max(map(words.count, set(words)), default=0)
+    return np.array([
+        np.log1p(n), np.log1p(len(words)), (n - count(blank)) / w, count(lambda c: 65 <= c <= 90) / size / max(count(letter) / size, 1e-9), symbols / size, count(stop) / size, count(digit) / size,
+        count(lambda c: c >= 128) / size, count(blank) / size, raw.count(b"\n") / size, sum(a == b for a, b in pairs) / w, len(set(words)) / w, len(set(pairs)) / max(len(words) - 1, 1), top / w, bare / w,
+    ]).astype(np.float32)
+
+
+def test_scores_of_the_query_against_brute_force(spark):
+    """Every score of the query from plain statistics, the labels outside the fold and a walk through each tree."""
+    import zlib
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    x = {i: plain_statistics(t) for i, t in docs.items()}
+    held = {i for i in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    learned = sorted((tuple(x[i].tolist()[::-1]), labels[i]) for i in labels if i in docs and i not in held)
+    t = fit_trees(np.array([k[::-1] for k, _ in learned], np.float32), np.array([y for _, y in learned], np.float64))
+    got = quality_scores(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        total = t.base
+        for at in t.roots:
+            while t.left[at] != at:
+                at = t.left[at] if x[r.doc_id][t.feature[at]] <= t.threshold[at] else t.right[at]
+            total += t.value[at]
+        score = 1 / (1 + np.exp(-total))
+        assert r.score == pytest.approx(score, rel=1e-9) and r.predicted == int(r.score >= 0.3) and r.held_out == (r.doc_id in held)
+
+
+def test_candidate_groups_do_not_grow_with_the_corpus(spark):
+    """At five words and 0.8: parts of unlinked texts join no groups, whatever the number of documents."""
+    largest, per_set = [], []
+    for sf in ("0.01", "0.1"):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", F.col("doc_id").alias("doc_key"), F.lit(1).cast("long").alias("digest"), "text")
+        full = docs.mapInArrow(J._profile(5, 8, 10, 7), f"doc_id long, {J.PROFILE}").persist()
+        rough = J._candidates(full, 8, 10, J.COMMON_SETS, J.BLOCK_SETS)
+        groups = sorted(r["count"] for r in rough.groupBy("comp").count().collect())
+        linked = J.near_duplicates(docs.select("doc_id", "text"), 5, 8, 10)
+        classes = linked.groupBy("component_id").count().agg(F.max("count")).first()[0]
+        largest.append(groups[-1] - classes)
+        per_set.append(sum(groups) / full.count())
+        full.unpersist()
+    assert max(largest) <= 3 and per_set[1] <= 1.5 * per_set[0] + 0.01

@@ -349,7 +349,7 @@ def test_licenses(odd, odd_rows, clashing, spark, empty):
     assert scan_licenses(empty).count() == 0
     texts = [
         ("Licensed under the Apache License, Version 2.0.\nyou may not use this file except in compliance with the License.", "Apache-2.0", "", 2),
-        ("Intro text here. RELEASED UNDER THE MIT LICENSE! More.\nAll rights reserved.", "MIT", "reserved", 2),
+        ("Intro text here. RELEASED UNDER THE MIT LICENSE! More.\nAll rights reserved.", "MIT,LicenseRef-All-Rights-Reserved", "", 2),
         ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0-or-later", "", 2),
         ("Licensed under CC BY-NC 4.0.\nReleased under the MIT License.", "MIT,CC-BY-NC-4.0", "", 2),
         ("this program is free software. Something between. you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "", "gpl_free,gpl3_terms", 2),
@@ -425,7 +425,8 @@ def test_licenses_wrapped(spark):
         ("Licensed under the GNU General Public License, version\n3. Other words.", "gpl3 -", "GPL-3.0-only"),
         ("Licensed under\n\nthe MIT License", "-", ""),
         ("1. Words.\n2. Words.", "-", ""),
-        ("A.\nAll rights reserved.", "- reserved", ""),
+        ("A.\nAll rights reserved.", "- reserved", "LicenseRef-All-Rights-Reserved"),
+        ("Copyright (c) 2001, Some One. All rights reserved.\n\n" + BSD, f"- reserved {bsd}", "BSD-3-Clause"),
         ("***\n", "-", ""),
         (".\n \n", "", ""),
     ]
