@@ -1,4 +1,4 @@
-"""Reading and rewriting metadata inside JPEG, PNG, PDF and MP4 bytes, with the standard library only.
+"""Reading and rewriting metadata inside JPEG, PNG, WebP, PDF, MP4 and MP3 bytes, with the standard library only.
 
 ``read(mime, data)`` gives (key, value) pairs; ``rewrite(mime, data, ...)`` gives new bytes. Both raise :class:`CodecError` for
 what they can't handle for certain, so a file never leaves unstripped because it was not understood.
@@ -35,6 +35,7 @@ GPS_TAGS = {
     16: "GPSImgDirectionRef", 17: "GPSImgDirection", 18: "GPSMapDatum", 23: "GPSDestBearingRef", 24: "GPSDestBearing", 27: "GPSProcessingMethod", 29: "GPSDateStamp",
 }
 EXIF_POINTER, GPS_POINTER = 34665, 34853
+THUMBNAIL_AT, THUMBNAIL_SIZE = 513, 514
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 #: PNG chunks that carry text, times or EXIF.
@@ -86,6 +87,23 @@ def read_exif(data: bytes) -> Iterator[tuple[str, str]]:
                 yield name, _exif_value(order, kind, data[where : where + size])
 
 
+def read_thumbnail(data: bytes) -> bytes | None:
+    """The JPEG that the second directory of a TIFF-structured block points to, if there is one."""
+    order = "<" if data[:2] == b"II" else ">"
+    first = struct.unpack_from(order + "I", data, 4)[0]
+    second = struct.unpack_from(order + "I", data, first + 2 + 12 * struct.unpack_from(order + "H", data, first)[0])[0]
+    if not second:
+        return None
+    found = {}
+    for i in range(struct.unpack_from(order + "H", data, second)[0]):
+        tag, kind, _, value = struct.unpack_from(order + "HHII", data, second + 2 + 12 * i)
+        found[tag] = value
+    at, size = found.get(THUMBNAIL_AT, 0), found.get(THUMBNAIL_SIZE, 0)
+    if at + size > len(data):
+        raise CodecError("thumbnail beyond the block")
+    return data[at : at + size] if at and size else None
+
+
 def _rational(text: str) -> tuple[int, int]:
     if "/" in text:
         a, b = text.split("/")
@@ -110,8 +128,8 @@ def rational_to_degrees(text: str, ref: str | None) -> float | None:
     return -value if ref in ("S", "W") else value
 
 
-def write_exif(values: dict[str, str]) -> bytes:
-    """A little-endian EXIF block with ``values``; tags without a known number are an error."""
+def write_exif(values: dict[str, str], thumbnail: bytes | None = None) -> bytes:
+    """A little-endian EXIF block with ``values`` and perhaps a thumbnail; tags without a known number are an error."""
     where = {name: (directory, number) for directory, names in (("main", MAIN_TAGS), ("exif", EXIF_TAGS), ("gps", GPS_TAGS)) for number, name in names.items()}
     parts: dict[str, dict[int, tuple[int, int, bytes]]] = {"main": {}, "exif": {}, "gps": {}}
     shorts = ("Orientation", "PhotographicSensitivity", "Flash", "WhiteBalance")
@@ -151,6 +169,11 @@ def write_exif(values: dict[str, str]) -> bytes:
                 block += struct.pack("<HHII", number, kind, n, at + len(heap))
                 heap += raw + b"\0" * (len(raw) % 2)
         blocks.append(block + struct.pack("<I", 0))
+    if thumbnail:  # the second directory lies behind all values; what it points to, behind it
+        second = at + len(heap)
+        blocks[0] = blocks[0][:-4] + struct.pack("<I", second)
+        fields = ((259, 3, 6), (THUMBNAIL_AT, 4, second + 2 + 3 * 12 + 4), (THUMBNAIL_SIZE, 4, len(thumbnail)))
+        heap += struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", tag, kind, 1, value) for tag, kind, value in fields) + struct.pack("<I", 0) + thumbnail
     return b"II*\0" + struct.pack("<I", 8) + b"".join(blocks) + heap
 
 
@@ -221,11 +244,21 @@ def _scans(data: bytes) -> bytes:
     raise CodecError("JPEG without an end")
 
 
-def rewrite_jpeg(data: bytes, values: dict[str, str]) -> bytes:
-    """The picture with ``values`` as its only metadata; colour and decoding segments stay, other application data and comments go."""
+def _thumbnail(data: bytes) -> bytes | None:
+    """The embedded preview of a JPEG, itself without metadata."""
+    for marker, body in _jpeg_segments(data):
+        if marker == 0xE1 and body.startswith(b"Exif\0\0") and (found := read_thumbnail(body[6:])):
+            return rewrite_jpeg(found, {})
+    return None
+
+
+def rewrite_jpeg(data: bytes, values: dict[str, str], thumbnail: bool = False) -> bytes:
+    """The picture with ``values``, and perhaps its thumbnail, as its only metadata; colour and decoding segments stay, other application
+    data and comments go."""
     out = [b"\xff\xd8"]
-    if values:
-        body = b"Exif\0\0" + write_exif(values)
+    small = _thumbnail(data) if thumbnail else None
+    if values or small:
+        body = b"Exif\0\0" + write_exif(values, small)
         if len(body) > 65_533:
             raise CodecError("EXIF block too large")
         out.append(b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body)
@@ -282,6 +315,177 @@ def rewrite_png(data: bytes, values: dict[str, str]) -> bytes:
     return b"".join(out)
 
 
+# ---- WebP -------------------------------------------------------------------------------------------------------------
+
+#: Chunks that make the picture; others are metadata or unknown and go.
+WEBP_PICTURE = (b"VP8 ", b"VP8L", b"ALPH", b"ANIM", b"ANMF", b"ICCP")
+#: Bits of the extended header.
+WEBP_XMP, WEBP_EXIF, WEBP_ALPHA = 4, 8, 16
+
+
+def _webp_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise CodecError("not a WebP")
+    at, end = 12, 8 + struct.unpack_from("<I", data, 4)[0]
+    if end > len(data):
+        raise CodecError("WebP cut short")
+    while at < end:
+        if at + 8 > end:
+            raise CodecError("WebP chunk cut short")
+        kind, size = struct.unpack_from("<4sI", data, at)
+        if at + 8 + size > end:
+            raise CodecError("WebP chunk beyond the end")
+        yield kind, data[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+
+
+def _webp_exif(body: bytes) -> bytes:
+    return body[6:] if body.startswith(b"Exif\0\0") else body
+
+
+def _webp_size(kind: bytes, body: bytes) -> tuple[int, int, bool]:
+    """(width, height, alpha) of a lossy or lossless picture."""
+    if kind == b"VP8 ":
+        if body[3:6] != b"\x9d\x01\x2a":
+            raise CodecError("damaged WebP picture")
+        width, height = struct.unpack_from("<HH", body, 6)
+        return width & 0x3FFF, height & 0x3FFF, False
+    if body[:1] != b"\x2f":
+        raise CodecError("damaged WebP picture")
+    bits = struct.unpack_from("<I", body, 1)[0]
+    return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, bool(bits >> 28 & 1)
+
+
+def read_webp(data: bytes) -> list[tuple[str, str]]:
+    out: list[tuple[str, str]] = []
+    for kind, body in _webp_chunks(data):
+        if kind == b"VP8X":
+            out += [("ImageWidth", str(int.from_bytes(body[4:7], "little") + 1)), ("ImageLength", str(int.from_bytes(body[7:10], "little") + 1))]
+        elif kind in (b"VP8 ", b"VP8L") and not out:
+            width, height, _ = _webp_size(kind, body)
+            out += [("ImageWidth", str(width)), ("ImageLength", str(height))]
+        elif kind == b"EXIF":
+            out += read_exif(_webp_exif(body))
+        elif kind == b"XMP ":
+            out.append(("Xmp", body.decode("utf-8", "replace")))
+    return out
+
+
+def rewrite_webp(data: bytes, values: dict[str, str]) -> bytes:
+    """The picture with ``values`` as its only metadata. A plain picture gets the extended header that EXIF needs."""
+    chunks = list(_webp_chunks(data))
+    header = next((body for kind, body in chunks if kind == b"VP8X"), None)
+    kept = [(kind, body) for kind, body in chunks if kind in WEBP_PICTURE]
+    if not any(kind in (b"VP8 ", b"VP8L", b"ANMF") for kind, _ in kept):
+        raise CodecError("WebP without a picture")
+    if header is None and values:
+        width, height, alpha = _webp_size(*kept[0])
+        header = bytes([WEBP_ALPHA * alpha, 0, 0, 0]) + (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little")
+    if header is not None:
+        header = bytes([header[0] & ~(WEBP_XMP | WEBP_EXIF) | (WEBP_EXIF if values else 0)]) + header[1:]
+        kept.insert(0, (b"VP8X", header))
+    if values:
+        kept.append((b"EXIF", write_exif(values)))
+    body = b"WEBP" + b"".join(struct.pack("<4sI", kind, len(part)) + part + b"\0" * (len(part) % 2) for kind, part in kept)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+# ---- MP3 --------------------------------------------------------------------------------------------------------------
+
+#: ID3 frames by version and the keys that they are shown under.
+ID3_KEYS = {b"TIT2": "Title", b"TPE1": "Artist", b"TALB": "Album", b"TDRC": "Date", b"TYER": "Date", b"TT2": "Title", b"TP1": "Artist", b"TAL": "Album", b"TYE": "Date"}
+ID3_TEXT = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+
+
+def _id3_size(raw: bytes) -> int:
+    if any(b & 128 for b in raw):
+        raise CodecError("damaged ID3 size")
+    return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
+
+
+def _id3_frames(tag: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(name, body) of the frames of an ID3v2 tag."""
+    version, flags, body = tag[3], tag[5], tag[10:]
+    if flags & 128 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    at = 0
+    if flags & 64:
+        at = _id3_size(body[:4]) if version > 3 else 4 + int.from_bytes(body[:4], "big")
+    names, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at]:
+        name, raw = body[at : at + names], body[at + names : at + 2 * names]
+        size = _id3_size(raw) if version > 3 else int.from_bytes(raw, "big")
+        if at + head + size > len(body):
+            raise CodecError("ID3 frame beyond the tag")
+        yield name, body[at + head : at + head + size]
+        at += head + size
+
+
+def _mp3_sound(data: bytes) -> tuple[list[bytes], int, int]:
+    """(ID3v2 tags, start, end) of what lies between the tags at both ends."""
+    tags_, at, end = [], 0, len(data)
+    while data[at : at + 3] == b"ID3":
+        if at + 10 > end:
+            raise CodecError("ID3 tag cut short")
+        size = 10 + _id3_size(data[at + 6 : at + 10]) + (10 if data[at + 5] & 16 else 0)
+        if at + size > end:
+            raise CodecError("ID3 tag beyond the end")
+        tags_.append(data[at : at + size])
+        at += size
+    while True:
+        if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+            end -= 128
+        elif end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+            size, _, flags = struct.unpack_from("<III", data, end - 20)
+            size += 32 if flags >> 31 else 0
+            if not 32 <= size <= end - at:
+                raise CodecError("APE tag beyond the start")
+            end -= size
+        elif end - at >= 15 and data[end - 9 : end] == b"LYRICS200":
+            size = 15 + int(data[end - 15 : end - 9])
+            if size > end - at:
+                raise CodecError("lyrics beyond the start")
+            end -= size
+        elif end - at >= 10 and data[end - 10 : end - 7] == b"3DI":
+            size = 20 + _id3_size(data[end - 4 : end])
+            if size > end - at:
+                raise CodecError("ID3 tag beyond the start")
+            tags_.append(data[end - size : end])
+            end -= size
+        else:
+            break
+    while at < end and not data[at]:
+        at += 1
+    if end - at < 4 or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
+        raise CodecError("no sound behind the tags")
+    return tags_, at, end
+
+
+def read_mp3(data: bytes) -> list[tuple[str, str]]:
+    """Title, artist, album and date of the ID3 tags, the first of each; other frames, pictures too, by name and size."""
+    found, _, end = _mp3_sound(data)
+    out: dict[str, str] = {}
+    for tag in found:
+        for name, body in _id3_frames(tag):
+            if name in ID3_KEYS and body and body[0] in ID3_TEXT:
+                out.setdefault(ID3_KEYS[name], body[1:].decode(ID3_TEXT[body[0]], "replace").strip("\0"))
+            else:
+                out.setdefault(name.decode("latin-1"), f"{len(body)} bytes")
+    if len(data) > end and (at := data.rfind(b"TAG", end)) >= 0 and at + 128 <= len(data):
+        for key, a, b in (("Title", 3, 33), ("Artist", 33, 63), ("Album", 63, 93), ("Date", 93, 97)):
+            if text := data[at + a : at + b].split(b"\0")[0].decode("latin-1").strip():
+                out.setdefault(key, text)
+    return [*out.items(), ("HasVideo", "no")]
+
+
+def rewrite_mp3(data: bytes, values: dict[str, str]) -> bytes:
+    """The sound without tags at either end. Such a file has no field for a place, so none is written."""
+    _, at, end = _mp3_sound(data)
+    if b"APETAGEX" in data[at:end] or b"ID3\x03\x00" in data[at:end] or b"ID3\x04\x00" in data[at:end]:
+        raise CodecError("a tag inside the sound")
+    return data[at:end]
+
+
 # ---- MP4 --------------------------------------------------------------------------------------------------------------
 
 PARENTS = (b"moov", b"trak", b"mdia", b"udta", b"minf")
@@ -313,6 +517,23 @@ def _find(data: bytes, *path: bytes) -> Iterator[tuple[int, int]]:
     return iter(spans)
 
 
+#: User data of QuickTime and item list keys.
+MP4_KEYS = {b"\xa9xyz": "Location", b"\xa9nam": "Title", b"\xa9ART": "Artist", b"\xa9alb": "Album", b"\xa9day": "Date"}
+
+
+def _item_list(data: bytes, c: int, e: int) -> Iterator[tuple[str, str]]:
+    """(key, value) of the item list in a user data's metadata box: the first data of each known item."""
+    for kind, _, x, y in _boxes(data, c, e):
+        if kind != b"meta":
+            continue
+        body = x + 4 if data[x + 4 : x + 8] != b"hdlr" else x  # QuickTime's has no version
+        for k, _, a, b in _boxes(data, body, y):
+            if k == b"ilst":
+                for item, _, m, n in _boxes(data, a, b):
+                    if item in MP4_KEYS:
+                        yield from ((MP4_KEYS[item], data[p + 8 : q].decode("utf-8", "replace")) for d, _, p, q in list(_boxes(data, m, n))[:1] if d == b"data" and q - p >= 8)
+
+
 def read_mp4(data: bytes) -> list[tuple[str, str]]:
     if b"ftyp" not in {k for k, *_ in _boxes(data, 0, len(data))}:
         raise CodecError("not an MP4")
@@ -321,42 +542,103 @@ def read_mp4(data: bytes) -> list[tuple[str, str]]:
         scale, length = struct.unpack_from(">IQ", data, c + 20) if data[c] == 1 else struct.unpack_from(">II", data, c + 12)
         out.append(("DurationMs", str(length * 1000 // scale if scale else 0)))
     for c, e in _find(data, b"moov", b"trak"):
-        handlers = [data[x + 8 : x + 12] for k, _, m, n in _boxes(data, c, e) if k == b"mdia" for h, _, x, _ in _boxes(data, m, n) if h == b"hdlr"]
-        if b"vide" in handlers and not video:
+        if _handler(data, c, e) == b"vide" and not video:
             video = True
             for k, _, _, end in _boxes(data, c, e):
                 if k == b"tkhd":
                     width, height = struct.unpack_from(">II", data, end - 8)
                     out += [("Width", str(width >> 16)), ("Height", str(height >> 16))]
     out.append(("HasVideo", "yes" if video else "no"))
+    said: dict[str, str] = {}
     for c, e in _find(data, b"moov", b"udta"):
         for kind, _, x, y in _boxes(data, c, e):
-            key = {b"\xa9xyz": "Location", b"\xa9nam": "Title", b"\xa9ART": "Artist", b"\xa9alb": "Album", b"\xa9day": "Date"}.get(kind)
-            if key and y - x >= 4:
-                out.append((key, data[x + 4 : y].decode("utf-8", "replace")))
-    return out
+            if kind in MP4_KEYS and y - x >= 4:
+                said.setdefault(MP4_KEYS[kind], data[x + 4 : y].decode("utf-8", "replace"))
+        for key, value in _item_list(data, c, e):
+            said.setdefault(key, value)
+    return [*out, *said.items()]
+
+
+def _handler(data: bytes, c: int, e: int) -> bytes | None:
+    """What kind a track is of."""
+    return next((data[x + 8 : x + 12] for k, _, m, n in _boxes(data, c, e) if k == b"mdia" for h, _, x, _ in _boxes(data, m, n) if h == b"hdlr"), None)
+
+
+def _samples(data: bytes, c: int, e: int) -> Iterator[tuple[int, int]]:
+    """(start, end) in the file of the chunks of a track's samples."""
+    table = {k: (x, y) for p, _, a, b in _boxes(data, c, e) if p == b"mdia" for q, _, m, n in _boxes(data, a, b) if q == b"minf" for r, _, v, w in _boxes(data, m, n) if r == b"stbl" for k, _, x, y in _boxes(data, v, w)}
+    offsets = table.get(b"stco") or table.get(b"co64")
+    if offsets is None or b"stsc" not in table or b"stsz" not in table:
+        raise CodecError("a track without a sample table")
+    wide = b"stco" not in table
+    n = struct.unpack_from(">I", data, offsets[0] + 4)[0]
+    chunks = struct.unpack_from(f">{n}{'Q' if wide else 'I'}", data, offsets[0] + 8)
+    fixed, count = struct.unpack_from(">II", data, table[b"stsz"][0] + 4)
+    sizes = [fixed] * count if fixed else struct.unpack_from(f">{count}I", data, table[b"stsz"][0] + 12)
+    runs = [struct.unpack_from(">III", data, table[b"stsc"][0] + 8 + 12 * i)[:2] for i in range(struct.unpack_from(">I", data, table[b"stsc"][0] + 4)[0])]
+    used, at = 0, 0
+    for number, start in enumerate(chunks, 1):
+        while at + 1 < len(runs) and runs[at + 1][0] <= number:
+            at += 1
+        many = runs[at][1] if runs else 0
+        size = sum(sizes[used : used + many])
+        used += many
+        if start + size > len(data):
+            raise CodecError("samples beyond the end")
+        yield start, start + size
+    if used < count:
+        raise CodecError("samples without a place")
+
+
+def _shifted(out: bytearray, movie: tuple[int, int], box: bytes) -> bytes:
+    """The file with ``box`` at the end of its movie box and the offsets of all samples behind it moved."""
+    start, end = movie
+    if struct.unpack_from(">I", out, start)[0] == 0:
+        raise CodecError("no room for a location")
+    data = bytes(out)
+    if b"moof" in {k for k, *_ in _boxes(data, 0, len(data))} and end < len(data):
+        raise CodecError("no room for a location before fragments")
+    for c, e in _find(data, b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+        for kind, _, x, _ in _boxes(data, c, e):
+            if kind in (b"stco", b"co64"):
+                letter, width = ("I", 4) if kind == b"stco" else ("Q", 8)
+                n = struct.unpack_from(">I", data, x + 4)[0]
+                places = [p + len(box) if p >= end else p for p in struct.unpack_from(f">{n}{letter}", data, x + 8)]
+                if places and max(places) >> (8 * width):
+                    raise CodecError("no room for larger offsets")
+                out[x + 8 : x + 8 + width * n] = struct.pack(f">{n}{letter}", *places)
+    if struct.unpack_from(">I", out, start)[0] == 1:
+        out[start + 8 : start + 16] = struct.pack(">Q", end - start + len(box))
+    else:
+        out[start : start + 4] = struct.pack(">I", end - start + len(box))
+    return bytes(out[:end]) + box + bytes(out[end:])
 
 
 def rewrite_mp4(data: bytes, values: dict[str, str]) -> bytes:
     """The file with user data, metadata and free boxes blanked in place (so that no sample moves), tracks' and movie's times zeroed.
 
-    Tracks other than video and audio are an error, as their samples lie among the others'. A Location is written into the space
-    that the old user data leaves, or into a new box behind the last one of the movie if that is the last of the file.
+    Tracks other than video and audio are blanked too, and so are their samples. A Location is written into the space that the old user
+    data leaves, or into a new box at the movie's end; then the samples behind it move, and the tables that say where they are.
     """
     read_mp4(data)
     out = bytearray(data)
-    kinds: list[bytes] = []
+    kept: list[tuple[int, int]] = []
+    gone: list[tuple[int, int]] = []
+    holes: list[tuple[int, int]] = []
+    foreign: list[int] = []
 
     def blank(a: int, b: int) -> None:
         out[a + 4 : a + 8] = b"free"
         head = 16 if struct.unpack_from(">I", data, a)[0] == 1 else 8
         out[a + head : b] = bytes(b - a - head)
 
-    holes: list[tuple[int, int]] = []
-
     def walk(a: int, b: int, inside: bool) -> None:
         for kind, start, content, end in _boxes(data, a, b):
-            if kind in (b"udta", b"meta", b"uuid", b"free", b"skip"):
+            if kind == b"trak" and _handler(data, content, end) not in (b"vide", b"soun"):
+                foreign.append(start)
+                gone.extend(_samples(data, content, end))
+                blank(start, end)
+            elif kind in (b"udta", b"meta", b"uuid", b"free", b"skip"):
                 blank(start, end)
                 if inside:
                     holes.append((start, end))
@@ -364,17 +646,24 @@ def rewrite_mp4(data: bytes, values: dict[str, str]) -> bytes:
                 n = 16 if data[content] == 1 else 8
                 out[content + 4 : content + 4 + n] = bytes(n)
             elif kind == b"hdlr" and end - content >= 12:
-                kinds.append(data[content + 8 : content + 12])
                 out[content + 24 : end] = bytes(end - content - 24)
             elif kind in PARENTS:
+                if kind == b"trak":
+                    kept.append((content, end))
                 walk(content, end, inside or kind == b"moov")
 
     walk(0, len(data), False)
-    tracks = [k for k in kinds if k not in (b"mdir", b"mdta", b"url ", b"alis", b"dhlr")]
-    if not any(k in (b"vide", b"soun") for k in tracks):
+    if not kept:
         raise CodecError("no usable track")
-    if any(k not in (b"vide", b"soun") for k in tracks):
-        raise CodecError("a track that is neither video nor audio")
+    if foreign:
+        if b"moof" in {k for k, *_ in _boxes(data, 0, len(data))}:
+            raise CodecError("a foreign track in fragments")
+        used = [s for c, e in kept for s in _samples(data, c, e)]
+        boxes = [(x, y) for k, _, x, y in _boxes(data, 0, len(data)) if k == b"mdat"]
+        for a, b in gone:
+            if any(a < y and x < b for x, y in used) or (a < b and not any(x <= a and b <= y for x, y in boxes)):
+                raise CodecError("samples of a foreign track among others'")
+            out[a:b] = bytes(b - a)
     if place := values.get("Location"):
         text = place.encode()
         entry = struct.pack(">I4sHH", len(text) + 12, b"\xa9xyz", len(text), 0x15C7) + text
@@ -387,27 +676,96 @@ def rewrite_mp4(data: bytes, values: dict[str, str]) -> bytes:
                 if rest:
                     out[start + len(box) : end] = struct.pack(">I4s", rest, b"free") + bytes(rest - 8)
                 return bytes(out)
-        if movie[1] != len(data) or struct.unpack_from(">I", data, movie[0])[0] <= 1:
-            raise CodecError("no room for a location")
-        out[movie[0] : movie[0] + 4] = struct.pack(">I", movie[1] - movie[0] + len(box))
-        out += box
+        return _shifted(out, movie, box)
     return bytes(out)
 
 
 # ---- PDF --------------------------------------------------------------------------------------------------------------
 
-_OBJECT = re.compile(rb"(?s)(?<!\d)(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj")
+_OBJECT = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b")
+_STREAM = re.compile(rb"\bstream\r?\n|\bendobj\b")
 
 
 def _check_pdf(data: bytes) -> None:
     if not data.startswith(b"%PDF-"):
         raise CodecError("not a PDF")
-    if b"/Encrypt" in data or b"/ObjStm" in data or b"/XRef" in data:
-        raise CodecError("encrypted or compressed PDF structure")
     if b"%%EOF" not in data[-1024:]:
         raise CodecError("PDF cut short")
 
 
+def _direct_objects(data: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(place, number, generation, body) of the objects in order; a stream whose length is given is passed over by that length."""
+    at = 0
+    while m := _OBJECT.search(data, at):
+        mark = _STREAM.search(data, m.end())
+        if mark is None:
+            raise CodecError("PDF object without an end")
+        if mark[0].startswith(b"stream"):
+            length = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", data[m.end() : mark.start()])
+            stop = mark.end() + int(length[1]) if length else -1
+            if stop < 0 or not re.match(rb"\s*endstream", data[stop : stop + 32]):
+                stop = data.find(b"endstream", mark.end())
+                if stop < 0:
+                    raise CodecError("PDF stream without an end")
+            end = data.find(b"endobj", stop)
+        else:
+            end = mark.start()
+        if end < 0:
+            raise CodecError("PDF object without an end")
+        yield m.start(), int(m[1]), m[2], data[m.end() : end]
+        at = end + 6
+
+
+def _stream(body: bytes) -> bytes:
+    """The plain bytes of a stream object without filter, or with Flate and perhaps a row predictor."""
+    head, mark = body, re.search(rb"\bstream\r?\n", body)
+    if mark is None:
+        raise CodecError("not a PDF stream")
+    head, raw = body[: mark.start()], body[mark.end() :]
+    if length := re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", head):
+        raw = raw[: int(length[1])]
+    else:
+        raw = raw[: raw.rindex(b"endstream")]
+    filters = re.search(rb"/Filter\s*(\[[^\]]*\]|/\w+)", head)
+    if not filters:
+        return raw
+    if filters[1].strip(b"[] \r\n") not in (b"/FlateDecode", b"/Fl"):
+        raise CodecError("a PDF filter that isn't supported")
+    out = zlib.decompressobj().decompress(raw)
+    predictor = re.search(rb"/Predictor\s+(\d+)", head)
+    if predictor and int(predictor[1]) > 1:
+        raise CodecError("a PDF predictor that isn't supported")
+    return out
+
+
+def _pdf_objects(data: bytes) -> tuple[dict[int, tuple[bytes, bytes]], bytes]:
+    """(objects by number as (generation, body), trailer): what the last revision of a document consists of.
+
+    Objects in compressed object streams are taken out of them; such streams and cross-reference streams aren't among the objects.
+    """
+    _check_pdf(data)
+    objects: dict[int, tuple[bytes, bytes]] = {}
+    trailers = [(m.start(), m[1]) for m in re.finditer(rb"(?s)trailer\s*<<(.*?)>>\s*startxref", data)]
+    for place, number, generation, body in _direct_objects(data):
+        mark = re.search(rb"\bstream\r?\n", body)
+        head = body[: mark.start()] if mark else body
+        if re.search(rb"/Type\s*/XRef\b", head):
+            trailers.append((place, head))
+        elif re.search(rb"/Type\s*/ObjStm\b", head):
+            plain = _stream(body)
+            n, first = (int(re.search(rb"/" + k + rb"\s+(\d+)", head)[1]) for k in (b"N", b"First"))
+            table = list(map(int, plain[:first].split()[: 2 * n]))
+            starts = [first + x for x in table[1::2]] + [len(plain)]
+            for inner, a, b in zip(table[::2], starts[:-1], starts[1:], strict=True):
+                objects[inner] = (b"0", b"\n" + plain[a:b].strip() + b"\n")
+        else:
+            objects[number] = (generation, body)
+    trailer = max(trailers, default=(0, b""))[1]
+    if b"/Encrypt" in trailer or any(b"/Encrypt" in t for _, t in trailers):
+        raise CodecError("encrypted PDF")
+    return objects, trailer
+
+
 def _literal(raw: bytes) -> str:
     if raw.startswith(b"<"):
         digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
@@ -420,38 +778,36 @@ def _literal(raw: bytes) -> str:
 _STRING = rb"(\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>)"
 
 
-def _info_number(data: bytes) -> int | None:
-    found = re.findall(rb"/Info\s+(\d+)\s+\d+\s+R", data)
-    return int(found[-1]) if found else None
+def _info_number(trailer: bytes) -> int | None:
+    found = re.search(rb"/Info\s+(\d+)\s+\d+\s+R", trailer)
+    return int(found[1]) if found else None
 
 
 def read_pdf(data: bytes) -> list[tuple[str, str]]:
-    _check_pdf(data)
-    out = [("PageCount", str(len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data))))]
-    number = _info_number(data)
-    objects = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
+    objects, trailer = _pdf_objects(data)
+    heads = [body.partition(b"stream")[0] for _, body in objects.values()]
+    out = [("PageCount", str(sum(bool(re.search(rb"/Type\s*/Page(?![a-zA-Z])", h)) for h in heads)))]
+    info = objects.get(_info_number(trailer), (b"", b""))[1]
     for key in tags.PDF_KEYS:
-        if number in objects and (m := re.search(rb"/" + key.encode() + rb"\s*" + _STRING, objects[number])):
+        if m := re.search(rb"/" + key.encode() + rb"\s*" + _STRING, info):
             out.append((key, _literal(m[1])))
-    if b"<x:xmpmeta" in data or b"/Metadata" in data:
+    if any(re.search(rb"/Type\s*/Metadata\b|/Metadata\s+\d", h) for h in heads) or b"<x:xmpmeta" in data:
         out.append(("Xmp", "packet"))
     return out
 
 
 def rewrite_pdf(data: bytes, values: dict[str, str]) -> bytes:
     """The document with ``values`` as its information dictionary and without XMP packets, watermarks, stamps and optional-content
-    groups. Objects are rewritten at their old numbers and a new cross-reference table is made; older revisions go."""
-    _check_pdf(data)
-    objects: dict[int, tuple[bytes, bytes]] = {}
-    for m in _OBJECT.finditer(data):
-        objects[int(m[1])] = (m[2], m[3])
-    trailer = re.findall(rb"(?s)trailer\s*<<(.*?)>>\s*startxref", data)
-    root = re.search(rb"/Root\s+(\d+)\s+(\d+)\s+R", trailer[-1] if trailer else b"")
+    groups. Objects are rewritten at their old numbers, those of compressed object streams plainly, and a new cross-reference table is
+    made; older revisions go."""
+    objects, trailer = _pdf_objects(data)
+    root = re.search(rb"/Root\s+(\d+)\s+(\d+)\s+R", trailer)
     if not root or int(root[1]) not in objects:
         raise CodecError("PDF without a root")
-    info = _info_number(data)
+    info = _info_number(trailer)
     gone = {info} if info else set()
     for number, (_, body) in objects.items():
+        body = body.partition(b"stream")[0]
         if re.search(rb"/Type\s*/Metadata", body) or re.search(rb"/Subtype\s*/(Watermark|Stamp)\b", body) or re.search(rb"/IT\s*/Watermark\b", body):
             gone.add(number)
     kept = {n: o for n, o in objects.items() if n not in gone}
@@ -482,8 +838,8 @@ def rewrite_pdf(data: bytes, values: dict[str, str]) -> bytes:
 
 # ---- by type ----------------------------------------------------------------------------------------------------------
 
-READERS = {"image/jpeg": read_jpeg, "image/png": read_png, "video/mp4": read_mp4, "audio/mp4": read_mp4, "video/quicktime": read_mp4, tags.PDF_TYPE: read_pdf}
-WRITERS = {"image/jpeg": rewrite_jpeg, "image/png": rewrite_png, "video/mp4": rewrite_mp4, "audio/mp4": rewrite_mp4, "video/quicktime": rewrite_mp4, tags.PDF_TYPE: rewrite_pdf}
+READERS = {"image/jpeg": read_jpeg, "image/png": read_png, "image/webp": read_webp, "audio/mpeg": read_mp3, "video/mp4": read_mp4, "audio/mp4": read_mp4, "video/quicktime": read_mp4, tags.PDF_TYPE: read_pdf}
+WRITERS = {"image/jpeg": rewrite_jpeg, "image/png": rewrite_png, "image/webp": rewrite_webp, "audio/mpeg": rewrite_mp3, "video/mp4": rewrite_mp4, "audio/mp4": rewrite_mp4, "video/quicktime": rewrite_mp4, tags.PDF_TYPE: rewrite_pdf}
 
 
 def _guard(call, *args):
@@ -491,7 +847,7 @@ def _guard(call, *args):
         return call(*args)
     except CodecError:
         raise
-    except (struct.error, IndexError, ValueError, UnicodeError, RecursionError) as e:
+    except (struct.error, zlib.error, IndexError, KeyError, TypeError, ValueError, UnicodeError, RecursionError) as e:
         raise CodecError(f"damaged file: {e}") from e
 
 
@@ -511,8 +867,8 @@ def read(mime: str | None, data: bytes | None) -> list[tuple[str, str]]:
     return _guard(READERS[mime], data)
 
 
-def rewrite(mime: str | None, data: bytes | None, values: dict[str, str] | None = None, keep_orientation: bool = True) -> bytes:
-    """A file with ``values`` as its only metadata (and its orientation, if kept); opaque types unchanged."""
+def rewrite(mime: str | None, data: bytes | None, values: dict[str, str] | None = None, keep_orientation: bool = True, thumbnail: str = "REMOVE") -> bytes:
+    """A file with ``values`` as its only metadata (and its orientation, if kept, and with KEEP_ORIGINAL a JPEG's thumbnail); opaque types unchanged."""
     if data is None:
         raise CodecError("no bytes")
     if is_opaque(mime):
@@ -520,8 +876,10 @@ def rewrite(mime: str | None, data: bytes | None, values: dict[str, str] | None
     if mime not in WRITERS:
         raise CodecError(f"unsupported type {mime}")
     values = dict(values or {})
-    if keep_orientation and mime in ("image/jpeg", "image/png"):
+    if keep_orientation and mime in ("image/jpeg", "image/png", "image/webp"):
         old = dict(_guard(READERS[mime], data)).get("Orientation", "")
         if old.isdigit():
             values["Orientation"] = old
+    if mime == "image/jpeg":
+        return _guard(rewrite_jpeg, data, values, thumbnail == "KEEP_ORIGINAL")
     return _guard(WRITERS[mime], data, values)

@@ -18,6 +18,7 @@ TYPES = {
     "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "heic": "image/heic", "heif": "image/heif", "mp4": "video/mp4",
     "mov": "video/quicktime", "mp3": "audio/mpeg", "m4a": "audio/mp4", "ogg": "audio/ogg", "pdf": "application/pdf", "txt": "text/plain",
 }
+#: Larger files are error rows: a cell of a row batch holds less than 2 GB. A parameter of read_bytes.
 MAX_BYTES = 1 << 30
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -40,10 +41,10 @@ def catalog(spark: SparkSession, *paths: str, settings: Settings | None = None)
     return _typed(_load(spark, paths), settings or Settings()).select("uri", "display_name", "mime_type", "size_bytes")
 
 
-def read_bytes(spark: SparkSession, *paths: str, settings: Settings | None = None) -> DataFrame:
-    """The catalogue with a column content. Files above MAX_BYTES have null content, which later is an error row, as a cell can't hold them."""
+def read_bytes(spark: SparkSession, *paths: str, settings: Settings | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The catalogue with a column content. Files above ``max_bytes`` have null content, which later is an error row, as a cell can't hold them."""
     found = _load(spark, paths)
-    content = F.when(F.col("length") <= MAX_BYTES, F.col("content"))
+    content = F.when(F.col("length") <= max_bytes, F.col("content"))
     return _typed(found, settings or Settings()).select("uri", "display_name", "mime_type", "size_bytes", content.alias("content"))
 
 
@@ -71,12 +72,12 @@ def read_attributes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("error is null").drop("error"), rows.where("error is not null").select("uri", "error")
 
 
-def _rewrite_rows(keep_orientation: bool):
+def _rewrite_rows(keep_orientation: bool, thumbnail: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, mime, data, values in zip(*(batch.column(c).to_pylist() for c in ("uri", "mime_type", "content", "values")), strict=True):
                 try:
-                    new, error = codecs.rewrite(mime, data, dict(values or []), keep_orientation), None
+                    new, error = codecs.rewrite(mime, data, {v["key"]: v["value"] for v in values or []}, keep_orientation, thumbnail), None
                 except codecs.CodecError as e:
                     new, error = None, str(e)
                 yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string()), pa.array([new], pa.binary()), pa.array(["error" if error else "ok"]), pa.array([error], pa.string())], names=["uri", "content", "status", "error"])
@@ -84,19 +85,22 @@ def _rewrite_rows(keep_orientation: bool):
     return run
 
 
-def rewrite_files(files: DataFrame, targets: DataFrame | None = None, keep_orientation: bool = True) -> DataFrame:
+def rewrite_files(files: DataFrame, targets: DataFrame | None = None, keep_orientation: bool = True, thumbnail: str = "REMOVE") -> DataFrame:
     """(uri, content, status, error): ``files`` (uri, mime_type, content) without metadata, or with that of ``targets`` (uri, key, value).
 
-    A file that can't be rewritten for certain has an error and no content: nothing leaves unstripped.
+    A file that can't be rewritten for certain has an error and no content: nothing leaves unstripped. Of repeated keys of a file the
+    last counts, by entry_ord if ``targets`` has that column, and of those the largest value. ``thumbnail`` is REMOVE or KEEP_ORIGINAL.
     """
     ship(files.sparkSession)
     rows = files.select("uri", "mime_type", "content")
     if targets is None:
-        rows = rows.withColumn("values", F.lit(None).cast("map<string,string>"))
+        rows = rows.withColumn("values", F.lit(None).cast("array<struct<key:string,value:string>>"))
     else:
-        wanted = targets.groupBy("uri").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("values"))
+        order = F.col("entry_ord") if "entry_ord" in targets.columns else F.lit(0)
+        last = targets.where("key is not null and value is not null").groupBy("uri", "key").agg(F.max(F.struct(order.alias("at"), "value")).alias("last"))
+        wanted = last.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct("key", F.col("last.value").alias("value")))).alias("values"))
         rows = rows.join(wanted, "uri", "left")
-    return rows.mapInArrow(_rewrite_rows(keep_orientation), "uri string, content binary, status string, error string")
+    return rows.mapInArrow(_rewrite_rows(keep_orientation, thumbnail), "uri string, content binary, status string, error string")
 
 
 def file_targets(plans: DataFrame) -> DataFrame:
