@@ -49,13 +49,14 @@ def unique_names(named: DataFrame, folder: str = "relative_path") -> DataFrame:
     """``named`` with output_name made unique in its folder: of equal names all but the one with the smallest uri get 16 hex digits of
     their uri's hash before the extension.
 
-    No names are ranked, so a name that very many files share costs no more than others. Repeated rows of a uri keep one name.
+    The smallest uri of a name is a partial aggregate, and rows meet it by name and uri together, so the rows of a name that very many
+    files share are in no one task. Repeated rows of a uri keep one name.
     """
     first = named.groupBy(F.col(folder).alias("__folder"), F.col("output_name").alias("__name")).agg(F.min("uri").alias("__first"))
     base, extension = split_name(F.col("output_name"))
     other = F.concat(base, F.lit("_"), F.substring(F.md5("uri"), 1, 16), extension)
-    joined = named.join(first, F.col(folder).eqNullSafe(F.col("__folder")) & F.col("output_name").eqNullSafe(F.col("__name")))
-    return joined.withColumn("output_name", F.when(F.col("uri") == F.col("__first"), F.col("output_name")).otherwise(other)).select(named.columns)
+    joined = named.join(first, F.col(folder).eqNullSafe(F.col("__folder")) & F.col("output_name").eqNullSafe(F.col("__name")) & (F.col("uri") == F.col("__first")), "left")
+    return joined.withColumn("output_name", F.when(F.col("__first").isNotNull(), F.col("output_name")).otherwise(other)).select(named.columns)
 
 
 def collisions(named: DataFrame, folder: str = "relative_path") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,6 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, tuple[SparkSession, str]] = {}
 _SHIPPED: set[str] = set()
+_LOCAL: list[str] = []
+
+
+def _local_folder() -> str:
+    """A folder of the driver's own, deleted when it ends."""
+    _LOCAL.append(tempfile.mkdtemp(prefix="palimpsest-"))
+    return _LOCAL[-1]
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,7 +35,7 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="palimpsest-")) / f"{package.name}.zip"
+    target = Path(_local_folder()) / f"{package.name}.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for f in sorted(package.rglob("*.py")):
             out.write(f, f.relative_to(package.parent))
@@ -43,7 +51,7 @@ def shared_root(spark: SparkSession) -> str:
         if not base:
             if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+            base = "file://" + _local_folder()
         _ROOTS[app] = (spark, f"{base.rstrip('/')}/palimpsest-{app}-{uuid.uuid4().hex[:8]}")
     return _ROOTS[app][1]
 
@@ -88,3 +96,5 @@ def _clean() -> None:
             delete(spark, root)
         except Exception:  # noqa: BLE001  the JVM may be gone; the cluster's own expiry then applies
             pass
+    for folder in _LOCAL:
+        shutil.rmtree(folder, ignore_errors=True)
