@@ -11,6 +11,7 @@ Documents are dealt by ranges of their id, so files in order of (part, number) a
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import struct
 import uuid
@@ -36,8 +37,9 @@ SAMPLE_CHARS = 16_000
 DICT_BYTES = 64 << 10
 FILE_BYTES = 128 << 20
 LEVEL = 3
-#: Pieces that a worker remembers (beyond that it forgets them all), bytes of text whose pieces are looked up at once, pieces encoded in one run.
-CACHE_PIECES = 500_000
+#: Pieces and their bytes that a worker remembers (beyond either it forgets them all), bytes of text whose pieces are looked up at once, pieces encoded in one run.
+CACHE_PIECES = 1_000_000
+CACHE_BYTES = 64 << 20
 GROUP_BYTES = 2 << 20
 STEP_BYTES = 1 << 18
 RUN = 20
@@ -97,7 +99,7 @@ class Encoder:
     def _forget(self) -> None:
         """Empty the memory of pieces: sorted hashes, where their ids and bytes begin and how many they are."""
         self.keys = np.zeros(0, np.uint64)
-        self.first, self.count, self.raw_at, self.raw_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.first, self.count, self.raw_at, self.raw_size = (np.zeros(0, np.int32) for _ in range(4))
         self.flat, self.raw = np.zeros(0, self.kind), np.zeros(0, np.uint8)
 
     def _ids(self, texts: list[str], step: int = 500) -> Iterator[list[int]]:
@@ -111,7 +113,7 @@ class Encoder:
         """(ids, count of each piece) for new pieces, the joinable ones in runs; None if a run of pieces doesn't end where they do."""
         plain, odd = np.flatnonzero(joinable).tolist(), np.flatnonzero(~joinable).tolist()
         runs = [b"".join([pieces[i] for i in plain[a : a + RUN]]).decode() for a in range(0, len(plain), RUN)]
-        ids = np.fromiter((i for run in self._ids(runs) for i in run), np.int64)
+        ids = np.fromiter(itertools.chain.from_iterable(self._ids(runs)), np.int64)
         ends = np.cumsum(self.token_bytes[ids])
         want = np.cumsum([len(pieces[i]) for i in plain])
         at = np.searchsorted(ends, want)
@@ -142,7 +144,7 @@ class Encoder:
         if not self.cuttable:
             yield from self.whole([t or "" for t in column.to_pylist()])
             return
-        if len(self.keys) > CACHE_PIECES:
+        if len(self.keys) > CACHE_PIECES or len(self.raw) > CACHE_BYTES:
             self._forget()
         empty = np.diff(offsets) == 0
         starts = [np.unique(offsets[base : stop + 1]) for base, stop in _steps(offsets)]
