@@ -27,14 +27,14 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     now = materialize(ordered, name)
     while not _settled(now):  # the number of steps grows with the logarithm of the component's size
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        # Minima are tables of their own: then the join has two plain sides, and a vertex of very many edges can be dealt to several tasks.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        joined = large.join(lower, "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         new = materialize(small.distinct(), name)
-        release(now, large)
+        release(now, least, large, lower)
         now = new
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
