@@ -17,6 +17,7 @@ from palimpsest.operators.pools import POOLS
 from palimpsest.plans import adapter
 from palimpsest.plans.adapter import CTES, attributes, files
 from palimpsest.settings import Settings, read_settings
+from palimpsest.sources.files import read_attributes, rewrite_files
 
 SETTINGS = Settings()
 NOW, SEED, YEAR = SETTINGS.now_ms, SETTINGS.seed, SETTINGS.now_year
@@ -257,12 +258,67 @@ def strip_media(spark, sf_dir):
     return md.strip_media(files(spark, sf_dir), attributes(spark, sf_dir)).select("uri", "key", "value")
 
 
-@query("SELECT l_orderkey, l_linenumber, list_filter([{'mime': 'video/' || l_returnflag, 'keep': true}, {'mime': 'text/' || l_linestatus, 'keep': false}, {'mime': 'audio/aac', 'keep': true}], lambda t: t.keep)[2].mime AS second_kept, 2::INT AS n_kept FROM lineitem")
+_TRACKS = "[CASE WHEN l_returnflag = 'R' THEN 'text/' ELSE 'video/' END || l_returnflag, CASE WHEN l_linestatus = 'O' THEN 'application/' ELSE 'audio/' END || l_shipmode_, 'audio/aac']"
+
+
+@query(
+    "WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'meta' WHEN 1 THEN 'aac' ELSE 'opus' END AS l_shipmode_, l_returnflag, l_linestatus FROM lineitem), "
+    f"k AS (SELECT l_orderkey, l_linenumber, list_filter({_TRACKS}, lambda m: starts_with(m, 'video/') OR starts_with(m, 'audio/')) AS kept FROM t) "
+    "SELECT l_orderkey, l_linenumber, array_to_string(kept, ',') AS kept, len(kept)::INT AS n_kept FROM k"
+)
 def keep_tracks(spark, sf_dir):
-    lines = _table(spark, sf_dir, "lineitem")
-    tracks = F.array(*[F.struct(F.concat(F.lit(a), b).alias("mime")) for a, b in (("video/", F.col("l_returnflag")), ("text/", F.col("l_linestatus")), ("audio/", F.lit("aac")))])
-    kept = lines.select("l_orderkey", "l_linenumber", md.keep_tracks(tracks).alias("kept"))
-    return kept.select("l_orderkey", "l_linenumber", F.col("kept")[1]["mime"].alias("second_kept"), F.size("kept").alias("n_kept"))
+    """Tracks of which one to three are video or audio."""
+    name = F.when(F.col("l_linenumber") % 3 == 0, "meta").when(F.col("l_linenumber") % 3 == 1, "aac").otherwise("opus")
+    first = F.concat(F.when(F.col("l_returnflag") == "R", "text/").otherwise("video/"), "l_returnflag")
+    second = F.concat(F.when(F.col("l_linestatus") == "O", "application/").otherwise("audio/"), name)
+    tracks = F.array(*[F.struct(m.alias("mime")) for m in (first, second, F.lit("audio/aac"))])
+    kept = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", md.keep_tracks(tracks).alias("kept"))
+    return kept.select("l_orderkey", "l_linenumber", F.array_join(F.transform("kept", lambda x: x["mime"]), ",").alias("kept"), F.size("kept").alias("n_kept"))
+
+
+#: Small files made of a customer's name, as hexadecimal digits that Spark and DuckDB put together alike: a JPEG with a comment, an MP3 with a
+#: tag at its end, a WebP with an XMP packet, a plain text, and a JPEG that is cut short.
+_NAME, _LENGTH = "hex(c_name)", "length(c_name)"
+_BYTE = "lpad(hex({0}), 2, '0')"
+_PICTURE = f"'3001009D012A2C01C800' || {_NAME} || CASE WHEN {_LENGTH} % 2 = 1 THEN '00' ELSE '' END"
+_CHUNK = f"hex('VP8 ') || {_BYTE.format(f'({_LENGTH} + 10)')} || '000000' || {_PICTURE}"
+_CHUNK_SIZE = f"(8 + 10 + {_LENGTH} + {_LENGTH} % 2)"
+_XMP = f"hex('XMP ') || {_BYTE.format(f'({_LENGTH} * 2)')} || '000000' || {_NAME} || {_NAME}"
+_FILES = (
+    ("image/jpeg", f"'FFD8FFFE00' || {_BYTE.format(f'({_LENGTH} + 2)')} || {_NAME} || 'FFDA00040000' || {_NAME} || 'FFD9'"),
+    ("audio/mpeg", f"'FFFB9064' || {_NAME} || hex('TAG') || {_NAME} || repeat('00', 125 - {_LENGTH})"),
+    ("image/webp", f"hex('RIFF') || {_BYTE.format(f'(4 + {_CHUNK_SIZE} + 8 + {_LENGTH} * 2)')} || '000000' || hex('WEBP') || {_CHUNK} || {_XMP}"),
+    ("text/plain", _NAME),
+    ("image/jpeg", "'FFD8FFFE00'"),
+)
+_FILE_COLUMNS = (
+    "c_custkey AS n", "'file:' || CAST(c_custkey AS STRING) AS uri", "c_name",
+    "CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN '{m}'" for i, (m, _) in enumerate(_FILES)) + " END AS mime_type",
+    "CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN {e}" for i, (_, e) in enumerate(_FILES)) + " END AS digits",
+)
+_FILE_TABLE = f"SELECT {', '.join(_FILE_COLUMNS)} FROM customer"
+
+
+def _small_files(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").selectExpr(*_FILE_COLUMNS).select("uri", "mime_type", F.unhex("digits").alias("content"))
+
+
+@query(
+    f"WITH f AS ({_FILE_TABLE}) SELECT uri, 'UserComment' AS key, c_name AS value FROM f WHERE n % 5 = 0 UNION ALL SELECT uri, 'Title', c_name FROM f WHERE n % 5 = 1 UNION ALL SELECT uri, 'HasVideo', 'no' FROM f WHERE n % 5 = 1 "
+    "UNION ALL SELECT uri, 'ImageWidth', '300' FROM f WHERE n % 5 = 2 UNION ALL SELECT uri, 'ImageLength', '200' FROM f WHERE n % 5 = 2 UNION ALL SELECT uri, 'Xmp', c_name || c_name FROM f WHERE n % 5 = 2"
+)
+def read_file_bytes(spark, sf_dir):
+    """What the readers find in the bytes of files; the one that is cut short is an error, not a row here."""
+    return read_attributes(_small_files(spark, sf_dir))[0].select("uri", "key", "value")
+
+
+@query(
+    f"WITH f AS ({_FILE_TABLE}) SELECT uri, CASE n % 5 WHEN 0 THEN 'FFD8FFDA00040000' || {_NAME} || 'FFD9' WHEN 1 THEN 'FFFB9064' || {_NAME} "
+    f"WHEN 2 THEN hex('RIFF') || {_BYTE.format(f'(4 + {_CHUNK_SIZE})')} || '000000' || hex('WEBP') || {_CHUNK} WHEN 3 THEN {_NAME} END AS digits, CASE WHEN n % 5 = 4 THEN 'error' ELSE 'ok' END AS status FROM f"
+)
+def rewrite_file_bytes(spark, sf_dir):
+    """The bytes of files without metadata; the one that is cut short has an error and no bytes."""
+    return rewrite_files(_small_files(spark, sf_dir)).select("uri", F.hex("content").alias("digits"), "status")
 
 
 @query("SELECT p_partkey, (CASE WHEN p_size % 3 = 0 OR p_size % 5 = 0 THEN 0 ELSE 1 END + 1)::INT AS n_kept FROM part")
