@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Where a sentence ends: closing marks before a blank, or a line end.
 SENTENCE_END = "[.!?;:]+[\\x20\\x09-\\x0D]+|[\\n\\r]+"
+#: Blank lines.
+PARAGRAPH = "\\n(?:[\\x20\\x09-\\x0D]*\\n)+"
 UNKNOWN = "-"
 #: In lower-case text, the marks of an end of a sentence, of a line break within one and of the end of a list mark.
 END, WRAP, LISTED = "H", "S", "L"
@@ -158,12 +160,19 @@ def sequence(text: Column, sentences: dict[str, str] | None = None) -> Column:
         other = F.when(F.endswith(piece, F.lit(LISTED)), F.lit(LISTED)).otherwise(F.lit(UNKNOWN))
         return F.when(F.length(plain) <= longest, F.coalesce(F.try_element_at(table, plain), other)).otherwise(other)
 
-    ids = F.array_join(F.transform(pieces(text, sentences), known), " ")
+    found = F.lit("|".join(map(re.escape, anchors(sentences)))) if sentences else None
+
+    def of_paragraph(p: Column) -> Column:
+        """Sentences end at blank lines, so paragraphs stand alone; one without an anchor, but with a longer word than a list mark, is unknown at once."""
+        taken_apart = F.array_join(F.transform(pieces(p, sentences), known), " ")
+        return taken_apart if found is None else F.when(F.rlike(F.lower(p), found) | ~F.rlike(p, F.lit("[A-Za-z0-9]{5}")), taken_apart).otherwise(F.lit(UNKNOWN))
+
+    ids = F.array_join(F.filter(F.transform(F.split(text, PARAGRAPH), of_paragraph), lambda x: x != ""), " ")
     unnamed = f"[{UNKNOWN}{LISTED}](?= |$)"
     ids = F.regexp_replace(F.regexp_replace(ids, f"(?<=^| ){LISTED} (?!{unnamed})", ""), f"(?<=^| ){unnamed}(?: {unnamed})*", UNKNOWN)
     wordless = F.when(F.exists(F.split(text, SENTENCE_END), lambda s: s != ""), F.lit(UNKNOWN)).otherwise(F.lit(""))
     # Only texts with an anchor are taken apart; of the others, most show at once that they have a sentence.
-    some = F.rlike(F.lower(text), F.lit("|".join(map(re.escape, anchors(sentences))))) if sentences else F.lit(False)
+    some = F.lit(False) if found is None else F.rlike(F.lower(text), found)
     ids = F.when(some, F.coalesce(F.nullif(ids, F.lit("")), wordless)).when(F.rlike(text, F.lit("[^.!?;:\\x20\\x09-\\x0D]")), F.lit(UNKNOWN)).otherwise(wordless)
     return F.concat(F.lit(" "), ids, F.lit(" "))
 
