@@ -168,7 +168,7 @@ def test_bitmaps_never_rule_out_a_link():
 
 @pytest.mark.parametrize(("common", "block"), [(1, 2), (1, 3), (3, 4096)])
 def test_join_with_common_parts_and_many_blocks(spark, common, block):
-    rows = varied(77)
+    rows = varied(77, groups=7)
     assert rows_of(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10, common=common, block=block)) == brute(rows, 3, 8, 10)
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import sharding
+from palimpsest.llm import blocks, sharding
 from palimpsest.llm.decontaminate import PatternGroup, Searcher, _loads, contamination, drop_contaminated, words_of
 from palimpsest.llm.exact_dedup import CuckooFilter, CuckooIndex, apply_changes, digests, exact_dedup
 from palimpsest.llm.licenses import RULES, SENTENCES, scan_licenses
@@ -21,6 +21,31 @@ from palimpsest.llm.mixing import mix, repeat_mixed, source_targets
 rows_of = lambda df: sorted(map(tuple, df.collect()), key=repr)
 
 
+def test_spread_join_meets_every_key(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HOT_KEYS", 5)
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "warm", *"abcdefgh"]), i) for i in range(400)]
+    counts = Counter(k for k, _ in rows)
+    left = spark.createDataFrame(rows, "key string, n int")
+    table = spark.createDataFrame([(k, c, k.upper()) for k, c in counts.items()] + [("unused", 0, "x")], "key string, rows long, name string")
+    joined = blocks.spread_join(left, table, "key")
+    assert sorted((r.key, r.n, r.name) for r in joined.collect()) == sorted((k, n, k.upper()) for k, n in rows)
+    assert blocks.spread_join(left.limit(0), table.limit(0), "key").count() == 0
+
+
+def test_filters_let_all_members_through(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FILTER_BITS", 1 << 12)
+    keys = spark.range(0, 600, 3).selectExpr("id", "cast(id as string) as s")
+    every = spark.range(6000).selectExpr("id", "cast(id as string) as s")
+    through = {r.id for r in every.where(blocks.maybe_in(keys, "id", "s")).collect()}
+    assert set(range(0, 600, 3)) <= through and len(through) < 1000
+    assert every.where(blocks.maybe_in(keys.limit(0), "id")).count() == 0
+
+
+def test_free_names():
+    assert blocks.free_names(["Hits", "hits_", "x"], "hits", "x", "y") == ["hits__", "x_", "y"] and blocks.free_names([], "a", "a") == ["a", "a_"]
+
+
 def test_exact_dedup(odd, odd_rows, clashing):
     groups = defaultdict(list)
     for i, t, *_ in odd_rows:
@@ -221,8 +246,8 @@ def filled(sizes, weights, share=Fraction(3, 2), most=2):
 
 def test_targets_fill_like_water(spark):
     rng = random.Random(5)
-    for case in range(12):
-        n = rng.choice([1, 2, 5, 12, 40])
+    for case in range(6):
+        n = (1, 2, 5, 12, 40, 25)[case]
         sizes = [rng.choice([0, rng.randrange(1, 10), rng.randrange(1, 10_000), rng.randrange(1, 1 << 40)]) for _ in range(n)]
         rows = spark.createDataFrame([(f"={i:03}", s) for i, s in enumerate(sizes)] + [(f"={i:03}", 0) for i in range(n)], "key string, size long")
         weights = [(5, 2, 1), (1,), (3, 7)][case % 3]
