@@ -10,7 +10,7 @@ from palimpsest.llm.ngram_join import keep_representatives
 from palimpsest.llm.quality import drop_rejected
 from palimpsest.llm.queries import table, tokenizer_path
 from palimpsest.llm.token_output import token_round_trip
-from palimpsest.storage import materialize
+from palimpsest.storage import materialize, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,8 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are a table in the shared folder that the next one reads."""
+    """All stages over ``documents``; each one's rows are a table in the shared folder that the next one reads, and that goes after that."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
