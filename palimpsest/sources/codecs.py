@@ -1,4 +1,4 @@
-"""Reading and rewriting metadata inside JPEG, PNG, WebP, PDF, MP4 and MP3 bytes, with the standard library only.
+"""Reading and rewriting metadata inside JPEG, PNG, WebP, HEIF, PDF, MP4 and MP3 bytes, with the standard library only.
 
 ``read(mime, data)`` gives (key, value) pairs; ``rewrite(mime, data, ...)`` gives new bytes. Both raise :class:`CodecError` for
 what they can't handle for certain, so a file never leaves unstripped because it was not understood.
@@ -680,6 +680,105 @@ def rewrite_mp4(data: bytes, values: dict[str, str]) -> bytes:
     return bytes(out)
 
 
+# ---- HEIF -------------------------------------------------------------------------------------------------------------
+
+#: Item types that carry metadata.
+HEIF_EXIF, HEIF_TEXT = b"Exif", (b"mime", b"uri ")
+
+
+class _Numbers:
+    """Reads big-endian numbers one after the other."""
+
+    def __init__(self, data: bytes, at: int, end: int) -> None:
+        self.data, self.at, self.end = data, at, end
+
+    def take(self, size: int) -> int:
+        if self.at + size > self.end:
+            raise CodecError("HEIF box cut short")
+        self.at += size
+        return int.from_bytes(self.data[self.at - size : self.at], "big")
+
+
+def _heif_items(data: bytes) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """(type, (start, end) of its extents in the file) of the items of a HEIF file."""
+    top = list(_boxes(data, 0, len(data)))
+    if not top or top[0][0] != b"ftyp":
+        raise CodecError("not a HEIF")
+    meta = [(c + 4, e) for kind, _, c, e in top if kind == b"meta"]
+    if not meta:
+        raise CodecError("HEIF without items")
+    inner = {kind: (c, e) for kind, _, c, e in _boxes(data, *meta[0])}
+    if b"iinf" not in inner or b"iloc" not in inner:
+        raise CodecError("HEIF without items")
+    start, end = inner[b"iinf"]
+    types: dict[int, bytes] = {}
+    for kind, _, c, _ in _boxes(data, start + (6 if data[start] == 0 else 8), end):
+        if kind == b"infe":
+            if data[c] < 2:
+                raise CodecError("HEIF items of an old version")
+            wide = 4 if data[c] > 2 else 2
+            types[int.from_bytes(data[c + 4 : c + 4 + wide], "big")] = data[c + 6 + wide : c + 10 + wide]
+    start, end = inner[b"iloc"]
+    version, numbers = data[start], _Numbers(data, start + 4, end)
+    sizes, more = numbers.take(1), numbers.take(1)
+    offset, length, base, index = sizes >> 4, sizes & 15, more >> 4, more & 15 if version else 0
+    for _ in range(numbers.take(4 if version == 2 else 2)):
+        item = numbers.take(4 if version == 2 else 2)
+        method = numbers.take(2) & 15 if version else 0
+        elsewhere = numbers.take(2)
+        origin = numbers.take(base)
+        spans = []
+        for _ in range(numbers.take(2)):
+            numbers.take(index)
+            a = origin + numbers.take(offset)
+            spans.append((a, a + numbers.take(length)))
+        kind = types.get(item, b"")
+        if kind == HEIF_EXIF or kind in HEIF_TEXT:
+            if method == 1 and b"idat" in inner:
+                spans = [(a + inner[b"idat"][0], b + inner[b"idat"][0]) for a, b in spans]
+            elif method or elsewhere:
+                raise CodecError("HEIF metadata outside the file")
+            if any(b > len(data) or a == b for a, b in spans):
+                raise CodecError("HEIF item beyond the end")
+            yield kind, spans
+
+
+def read_heif(data: bytes) -> list[tuple[str, str]]:
+    out: list[tuple[str, str]] = []
+    for kind, spans in _heif_items(data):
+        body = b"".join(data[a:b] for a, b in spans)
+        if kind == HEIF_EXIF:
+            out += read_exif(body[4 + int.from_bytes(body[:4], "big") :])
+        elif body.strip():
+            out.append(("Xmp", body.decode("utf-8", "replace")))
+    return out
+
+
+def rewrite_heif(data: bytes, values: dict[str, str]) -> bytes:
+    """The file with its metadata items overwritten in place (so that no picture moves) by ``values`` and by blanks.
+
+    ``values`` need an EXIF item with enough room; so a file without one can only be stripped.
+    """
+    out, left = bytearray(data), values
+    for kind, spans in _heif_items(data):
+        for a, b in spans:
+            out[a:b] = (b" " if kind in HEIF_TEXT else b"\0") * (b - a)
+        if kind == HEIF_EXIF:
+            a, b = spans[0]
+            block = b"\0\0\0\0" + write_exif(left)
+            if len(block) > b - a:
+                raise CodecError("no room for tags")
+            out[a : a + len(block)] = block
+            left = {}
+    if left:
+        raise CodecError("no room for tags")
+    for kind, start, content, end in _boxes(data, 0, len(data)):
+        if kind in (b"uuid", b"udta", b"free", b"skip"):
+            out[start + 4 : start + 8] = b"free"
+            out[content:end] = bytes(end - content)
+    return bytes(out)
+
+
 # ---- PDF --------------------------------------------------------------------------------------------------------------
 
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b")
@@ -838,8 +937,8 @@ def rewrite_pdf(data: bytes, values: dict[str, str]) -> bytes:
 
 # ---- by type ----------------------------------------------------------------------------------------------------------
 
-READERS = {"image/jpeg": read_jpeg, "image/png": read_png, "image/webp": read_webp, "audio/mpeg": read_mp3, "video/mp4": read_mp4, "audio/mp4": read_mp4, "video/quicktime": read_mp4, tags.PDF_TYPE: read_pdf}
-WRITERS = {"image/jpeg": rewrite_jpeg, "image/png": rewrite_png, "image/webp": rewrite_webp, "audio/mpeg": rewrite_mp3, "video/mp4": rewrite_mp4, "audio/mp4": rewrite_mp4, "video/quicktime": rewrite_mp4, tags.PDF_TYPE: rewrite_pdf}
+READERS = {"image/jpeg": read_jpeg, "image/png": read_png, "image/webp": read_webp, "image/heic": read_heif, "image/heif": read_heif, "audio/mpeg": read_mp3, "video/mp4": read_mp4, "audio/mp4": read_mp4, "video/quicktime": read_mp4, tags.PDF_TYPE: read_pdf}
+WRITERS = {"image/jpeg": rewrite_jpeg, "image/png": rewrite_png, "image/webp": rewrite_webp, "image/heic": rewrite_heif, "image/heif": rewrite_heif, "audio/mpeg": rewrite_mp3, "video/mp4": rewrite_mp4, "audio/mp4": rewrite_mp4, "video/quicktime": rewrite_mp4, tags.PDF_TYPE: rewrite_pdf}
 
 
 def _guard(call, *args):
@@ -876,7 +975,7 @@ def rewrite(mime: str | None, data: bytes | None, values: dict[str, str] | None
     if mime not in WRITERS:
         raise CodecError(f"unsupported type {mime}")
     values = dict(values or {})
-    if keep_orientation and mime in ("image/jpeg", "image/png", "image/webp"):
+    if keep_orientation and mime in ("image/jpeg", "image/png", "image/webp", "image/heic", "image/heif"):
         old = dict(_guard(READERS[mime], data)).get("Orientation", "")
         if old.isdigit():
             values["Orientation"] = old
