@@ -1,4 +1,4 @@
-"""Reading and rewriting metadata inside JPEG, PNG, WebP, HEIF, PDF, MP4 and MP3 bytes, with the standard library only.
+"""Reading and rewriting metadata inside JPEG, PNG, WebP, HEIF, PDF, MP4, MP3 and Ogg bytes, with the standard library only.
 
 ``read(mime, data)`` gives (key, value) pairs; ``rewrite(mime, data, ...)`` gives new bytes. Both raise :class:`CodecError` for
 what they can't handle for certain, so a file never leaves unstripped because it was not understood.
@@ -486,6 +486,121 @@ def rewrite_mp3(data: bytes, values: dict[str, str]) -> bytes:
     return data[at:end]
 
 
+# ---- Ogg --------------------------------------------------------------------------------------------------------------
+
+OGG_KEYS = {"TITLE": "Title", "ARTIST": "Artist", "ALBUM": "Album", "DATE": "Date"}
+#: By the beginning of a stream's first packet: what its comment packet begins with and what ends it.
+OGG_COMMENTS = {b"\x01vorbis": (b"\x03vorbis", b"\x01"), b"OpusHead": (b"OpusTags", b"")}
+
+
+def _ogg_crc(data: bytes) -> int:
+    """The checksum of a page whose own checksum is zero: the usual polynomial, from zero, bits not mirrored."""
+    crc = 0
+    for byte in data:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x104C11DB7) if crc >> 31 else crc << 1
+    return crc
+
+
+def _ogg_pages(data: bytes) -> Iterator[tuple[int, int, int, list[tuple[int, int, bool]]]]:
+    """(start, end, stream, (start, end, whether it ends a packet) of the parts of packets) of each page."""
+    at = 0
+    while at < len(data):
+        if data[at : at + 4] != b"OggS" or at + 27 > len(data):
+            raise CodecError("Ogg page cut short or out of step")
+        lacing = data[at + 27 : at + 27 + data[at + 26]]
+        body = at + 27 + len(lacing)
+        if len(lacing) < data[at + 26] or body + sum(lacing) > len(data):
+            raise CodecError("Ogg page beyond the end")
+        parts, a, b = [], body, body
+        for n in lacing:
+            b += n
+            if n < 255:
+                parts.append((a, b, True))
+                a = b
+        if a < b:
+            parts.append((a, b, False))
+        yield at, b, struct.unpack_from("<I", data, at + 14)[0], parts
+        at = b
+
+
+def _ogg_comments(data: bytes) -> Iterator[tuple[bytes, list[tuple[int, int]], list[int]]]:
+    """(beginning of the first packet, (start, end) of the parts of the comment packet, its pages) of each stream."""
+    pages = list(_ogg_pages(data))
+    heads: dict[int, tuple[bytes, list[tuple[int, int]], list[int]]] = {}
+    done: dict[int, int] = {}
+    for number, (at, _, stream, parts) in enumerate(pages):
+        if data[at + 5] & 2:  # a stream begins
+            kind = next((k for k in OGG_COMMENTS if parts and data[parts[0][0] : parts[0][0] + len(k)] == k), None)
+            if kind is None:
+                raise CodecError("an Ogg stream that is neither Vorbis nor Opus")
+            if stream in heads and done[stream] < 2:
+                raise CodecError("Ogg stream without comments")
+            if stream in heads:
+                yield heads[stream]
+            heads[stream], done[stream] = (kind, [], []), 0
+        if stream not in heads:
+            raise CodecError("Ogg page of no stream")
+        for a, b, ends in parts:
+            if done[stream] == 1:
+                heads[stream][1].append((a, b))
+                if number not in heads[stream][2]:
+                    heads[stream][2].append(number)
+            done[stream] += ends
+            if done[stream] > 1:
+                break
+    if not heads or any(n < 2 for n in done.values()):
+        raise CodecError("Ogg stream without comments")
+    yield from heads.values()
+
+
+def _texts(packet: bytes, start: bytes) -> Iterator[tuple[str, str]]:
+    if not packet.startswith(start):
+        raise CodecError("not a comment packet")
+    at = len(start)
+    at += 4 + struct.unpack_from("<I", packet, at)[0]
+    (n,), at = struct.unpack_from("<I", packet, at), at + 4
+    for _ in range(n):
+        size = struct.unpack_from("<I", packet, at)[0]
+        if at + 4 + size > len(packet):
+            raise CodecError("comment beyond its packet")
+        name, _, text = packet[at + 4 : at + 4 + size].decode("utf-8", "replace").partition("=")
+        yield name.upper(), text
+        at += 4 + size
+
+
+def read_ogg(data: bytes) -> list[tuple[str, str]]:
+    """Title, artist, album and date, the first of each; other comments, pictures too, by name and size."""
+    out: dict[str, str] = {}
+    for kind, parts, _ in _ogg_comments(data):
+        for name, text in _texts(b"".join(data[a:b] for a, b in parts), OGG_COMMENTS[kind][0]):
+            if name in OGG_KEYS:
+                out.setdefault(OGG_KEYS[name], text)
+            else:
+                out.setdefault(name, f"{len(text)} characters")
+    return [*out.items(), ("HasVideo", "no")]
+
+
+def rewrite_ogg(data: bytes, values: dict[str, str]) -> bytes:
+    """The file with empty comments, padded to their old length, so that no page changes but those of comments. It has no field for a place."""
+    read_ogg(data)
+    out, pages = bytearray(data), list(_ogg_pages(data))
+    for kind, parts, numbers in _ogg_comments(data):
+        start, end = OGG_COMMENTS[kind]
+        size = sum(b - a for a, b in parts)
+        packet = (start + bytes(8) + end).ljust(size, b"\0")
+        if len(packet) > size:
+            raise CodecError("no room for empty comments")
+        for a, b in parts:
+            out[a:b], packet = packet[: b - a], packet[b - a :]
+        for number in numbers:
+            a, b, *_ = pages[number]
+            out[a + 22 : a + 26] = bytes(4)
+            out[a + 22 : a + 26] = struct.pack("<I", _ogg_crc(out[a:b]))
+    return bytes(out)
+
+
 # ---- MP4 --------------------------------------------------------------------------------------------------------------
 
 PARENTS = (b"moov", b"trak", b"mdia", b"udta", b"minf")
@@ -937,8 +1052,8 @@ def rewrite_pdf(data: bytes, values: dict[str, str]) -> bytes:
 
 # ---- by type ----------------------------------------------------------------------------------------------------------
 
-READERS = {"image/jpeg": read_jpeg, "image/png": read_png, "image/webp": read_webp, "image/heic": read_heif, "image/heif": read_heif, "audio/mpeg": read_mp3, "video/mp4": read_mp4, "audio/mp4": read_mp4, "video/quicktime": read_mp4, tags.PDF_TYPE: read_pdf}
-WRITERS = {"image/jpeg": rewrite_jpeg, "image/png": rewrite_png, "image/webp": rewrite_webp, "image/heic": rewrite_heif, "image/heif": rewrite_heif, "audio/mpeg": rewrite_mp3, "video/mp4": rewrite_mp4, "audio/mp4": rewrite_mp4, "video/quicktime": rewrite_mp4, tags.PDF_TYPE: rewrite_pdf}
+READERS = {"image/jpeg": read_jpeg, "image/png": read_png, "image/webp": read_webp, "image/heic": read_heif, "image/heif": read_heif, "audio/mpeg": read_mp3, "audio/ogg": read_ogg, "video/mp4": read_mp4, "audio/mp4": read_mp4, "video/quicktime": read_mp4, tags.PDF_TYPE: read_pdf}
+WRITERS = {"image/jpeg": rewrite_jpeg, "image/png": rewrite_png, "image/webp": rewrite_webp, "image/heic": rewrite_heif, "image/heif": rewrite_heif, "audio/mpeg": rewrite_mp3, "audio/ogg": rewrite_ogg, "video/mp4": rewrite_mp4, "audio/mp4": rewrite_mp4, "video/quicktime": rewrite_mp4, tags.PDF_TYPE: rewrite_pdf}
 
 
 def _guard(call, *args):
