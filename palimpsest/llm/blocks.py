@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,8 @@ from palimpsest.storage import ship
 SLICE_BYTES = 1 << 18
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 HOT_KEYS = 1000
+#: Fixed value: the C library's number for the size from which blocks are mapped one by one.
+MMAP_THRESHOLD = -3
 #: Bits of a filter, 4 MB, however many keys it is made of: with some ten millions of keys and more it lets everything through.
 FILTER_BITS = 1 << 25
 
@@ -30,6 +34,33 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
+@lru_cache(maxsize=1)
+def _allocator():
+    """What gives freed memory of this process back, once it is told to keep large blocks apart; None where there is no such allocator.
+
+    By default the allocator keeps what large arrays leave behind, so a worker that waits for its next task holds the memory of its last one.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(MMAP_THRESHOLD, 4 << 20)
+        return libc.malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for mapInArrow, giving freed memory back at the end of each task."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = _allocator()
+        yield from run(batches)
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 def spread_join(rows: DataFrame, table: DataFrame, *key: str) -> DataFrame:
     """``rows`` joined with ``table``, which has one row per key and, in ``rows``, how many rows have that key.
 

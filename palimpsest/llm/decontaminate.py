@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.blocks import free_names, slices, small_batches
+from palimpsest.llm.blocks import free_names, lean, slices, small_batches
 from palimpsest.storage import materialize, release
 
 WINDOW = 10
@@ -249,7 +249,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, own: tuple[str, str, s
                 release(before)
             docs = before = done
         var = spark.sparkContext.broadcast(part)
-        docs = docs.mapInArrow(_scan_batches(uuid.uuid4().hex, var, window, text_col, carry, list(own), before is not None, out), schema)
+        docs = docs.mapInArrow(lean(_scan_batches(uuid.uuid4().hex, var, window, text_col, carry, list(own), before is not None, out)), schema)
     return docs
 
 
@@ -278,7 +278,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     own = ("words", "hits", "items")
     found = scan_documents(docs.select("doc_id", "text"), benchmark, own, window=window).drop("text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(_summary(*own), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(lean(_summary(*own)), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import small_batches, spread_join
+from palimpsest.llm.blocks import lean, small_batches, spread_join
 from palimpsest.storage import materialize
 
 SLOTS = 4
@@ -198,7 +198,7 @@ def live_index(rows: DataFrame, stored: DataFrame | None = None, deletes: DataFr
     small_batches(spark)
     hex_ = F.col("text_sha256")
     none = F.lit(None).cast("long")
-    new = rows.where(hex_.isNotNull()).select(F.unhex(hex_).alias("digest"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_own_rows, "digest binary, rows long, largest long")
+    new = rows.where(hex_.isNotNull()).select(F.unhex(hex_).alias("digest"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lean(_own_rows), "digest binary, rows long, largest long")
     steps, n_rows = [new.withColumn("step", F.lit(NEW))], rows.count()
     if stored is not None:
         n_rows += stored.count()
@@ -213,7 +213,7 @@ def live_index(rows: DataFrame, stored: DataFrame | None = None, deletes: DataFr
     spread = max(n_slices, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # fewer slices than tasks are cut further, by other bytes than slices and fingerprints come from
     every = every.withColumn("slice", F.pmod(number(53), F.lit(n_slices)) * spread + (F.pmod(number(41), F.lit(-(-spread // n_slices))) if n_slices < spread else F.lit(0)))
-    live = every.repartition(spread, "slice").sortWithinPartitions("slice", "step").mapInArrow(_slice_indexes, "digest binary, group_size long, keep_id long")
+    live = every.repartition(spread, "slice").sortWithinPartitions("slice", "step").mapInArrow(lean(_slice_indexes), "digest binary, group_size long, keep_id long")
     return live.select(F.lower(F.hex("digest")).alias("text_sha256"), "group_size", "keep_id")
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import maybe_in, slices, small_batches, spread_join
+from palimpsest.llm.blocks import lean, maybe_in, slices, small_batches, spread_join
 from palimpsest.llm.components import connected_components
 from palimpsest.storage import materialize, release
 
@@ -498,7 +498,7 @@ def _candidates(rows: DataFrame, num: int, den: int, common: int, block: int) ->
     """(node, comp): candidate groups of the classes in ``rows`` (as _profile makes them) that may link to some other."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = rows.where("size(bands) > 0").select("node", F.inline("bands")).select(F.explode("sigs").alias("sig"), F.expr("node | slack").alias("who"))
-    found = sigs.repartition(n, "sig").sortWithinPartitions("sig", "who").mapInArrow(_shared, "grp long, who long, n_sets long, n_sigs long")
+    found = sigs.repartition(n, "sig").sortWithinPartitions("sig", "who").mapInArrow(lean(_shared), "grp long, who long, n_sets long, n_sigs long")
     groups = materialize(found.groupBy("grp", "who", "n_sets").agg(F.sum("n_sigs").alias("n_sigs")), "join-groups")
     # A set with as many common parts as its slack, or fewer, leaves them out: it agrees in others with each partner.
     spared = groups.where(F.col("n_sets") > common).groupBy("who").agg(F.sum("n_sigs").alias("parts")).where(f"parts <= (who & {SLACK})").select("who", F.lit(True).alias("spared"))
@@ -507,7 +507,7 @@ def _candidates(rows: DataFrame, num: int, den: int, common: int, block: int) ->
     sets = rows.where("cls is not null").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("node", "n_shingles", "bits")]).drop("cls")
     tasks = kept.withColumn("task", F.explode(_pairs_of(F.expr("pmod(xxhash64(node), n_blocks)").cast("int"), F.col("n_blocks"))))
     tasks = tasks.select("node", F.concat_ws(":", "grp", "task.name").alias("task"), "task.side")
-    edges = tasks.join(sets, "node").repartition(n, "task").sortWithinPartitions("task").mapInArrow(_blocks(num, den), "a long, b long")
+    edges = tasks.join(sets, "node").repartition(n, "task").sortWithinPartitions("task").mapInArrow(lean(_blocks(num, den)), "a long, b long")
     out = connected_components(edges, "join-rough").withColumnsRenamed({"root": "comp"})
     release(groups)
     return out
@@ -563,7 +563,7 @@ def _linked(docs: DataFrame, n_words: int, num: int, den: int, tile: int = TILE_
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     docs = docs.select("doc_id", key.alias("doc_key"), F.xxhash64("text").alias("digest"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    full = materialize(docs.mapInArrow(_profile(n_words, num, den, secret), f"doc_id {kind}, {PROFILE}"), "join-profile")
+    full = materialize(docs.mapInArrow(lean(_profile(n_words, num, den, secret)), f"doc_id {kind}, {PROFILE}"), "join-profile")
     rough = _candidates(full, num, den, common, block)
     rows = materialize(full.drop("bits", "bands"), "join-rows")
     release(full)
@@ -576,9 +576,9 @@ def _linked(docs: DataFrame, n_words: int, num: int, den: int, tile: int = TILE_
     tasks = _tasks(members, num, den, tile)
     # Most texts are in no candidate group; the bitmap keeps nearly all of those from being moved, the join drops the rest.
     texts = docs.where(maybe_in(members, "doc_key")).join(tasks.hint("merge"), ["doc_key", "digest"]).select("text", "cls", "tasks")
-    sets = texts.mapInArrow(_wanted, texts.schema).select(F.inline("tasks"), "cls", "text")
+    sets = texts.mapInArrow(lean(_wanted), texts.schema).select(F.inline("tasks"), "cls", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = sets.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_tiles(n_words, num, den, secret), "a binary, b binary")
+    links = sets.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lean(_tiles(n_words, num, den, secret)), "a binary, b binary")
     roots = connected_components(links, "join-links").withColumnsRenamed({"node": "cls"})
     linked = roots.join(classes, "cls")
     component = linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("class_least").alias("least"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.blocks import free_names, slices, small_batches
+from palimpsest.llm.blocks import free_names, lean, slices, small_batches
 from palimpsest.llm.ngram_join import word_edges, word_hashes
 
 SAMPLE_ROWS = 20_000
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = known.where(F.col("h") < threshold).orderBy("h", "doc_id").limit(sample_rows).drop("h")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows ids
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_statistic_rows, f"doc_id {kind}, label int, x array<float>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).select("label", "x").toArrow()
+    found = rows.mapInArrow(lean(_statistic_rows), f"doc_id {kind}, label int, x array<float>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).select("label", "x").toArrow()
     order = np.lexsort(np.array(found.column("x").to_pylist(), np.float32).T) if found.num_rows else np.zeros(0, int)
     x = np.array(found.column("x").to_pylist(), np.float32).reshape(-1, len(FEATURES))[order]
     return fit_trees(x, np.array(found.column("label").to_pylist(), np.float64)[order])
@@ -216,7 +216,7 @@ def with_score(docs: DataFrame, model: Trees, name: str) -> DataFrame:
     small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), docs.columns, arrow), schema)
+    return docs.mapInArrow(lean(_scorer(docs.sparkSession.sparkContext.broadcast(model), docs.columns, arrow)), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:

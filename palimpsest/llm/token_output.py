@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import slices, small_batches
+from palimpsest.llm.blocks import lean, slices, small_batches
 from palimpsest.llm.ngram_join import PLAIN_KEY, loads, run_hashes
 from palimpsest.storage import local_or_uri, materialize, new_path
 
@@ -366,7 +366,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     writer = _writer(tokenizer, spark.sparkContext.broadcast(dictionary), folder, end_id, file_bytes)
-    manifest = ordered.mapInArrow(writer, "file string, part int, number int, docs long, tokens long, bytes long")
+    manifest = ordered.mapInArrow(lean(writer), "file string, part int, number int, docs long, tokens long, bytes long")
     return materialize(manifest, "ids-manifest"), dictionary
 
 
@@ -397,7 +397,7 @@ def read_ids(manifest: DataFrame, dictionary: bytes, folder: str) -> DataFrame:
     files = manifest.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n).mapInArrow(_reader(spark.sparkContext.broadcast(dictionary), local_or_uri(folder), schema), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n).mapInArrow(lean(_reader(spark.sparkContext.broadcast(dictionary), local_or_uri(folder), schema)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.blocks import maybe_in, small_batches, spread_join
+from palimpsest.llm.blocks import lean, maybe_in, small_batches, spread_join
 from palimpsest.storage import local_or_uri, materialize, new_path
 
 CHUNK_BYTES = 256 << 10
@@ -180,7 +180,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT_BYT
     rows = revisits.select("page_id", "url", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to", F.lit(None).cast("string").alias("html"))
     for part in responses(pages, large, revisits, min_revisit):
         rows = rows.unionByName(part.withColumns({"record_type": F.lit("response"), "refers_to": none}))
-    return chunk_rows(rows, chunk_bytes).mapInArrow(_writer(local_or_uri(folder), file_bytes), "file string, bytes long, records long")
+    return chunk_rows(rows, chunk_bytes).mapInArrow(lean(_writer(local_or_uri(folder), file_bytes)), "file string, bytes long, records long")
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -289,7 +289,7 @@ def read_warc(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES,
     """The chunked record table (CHUNK_SCHEMA) of the archives in ``manifest``; ``last_only`` keeps each record's last row."""
     schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("chunk_no", pa.int64()), ("last", pa.bool_()), ("data", pa.binary()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string())])
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file").repartition(n).mapInArrow(_reader(chunk_bytes, with_data, last_only, schema, local_or_uri(folder)), CHUNK_SCHEMA)
+    return manifest.select("file").repartition(n).mapInArrow(lean(_reader(chunk_bytes, with_data, last_only, schema, local_or_uri(folder))), CHUNK_SCHEMA)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
