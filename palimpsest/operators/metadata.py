@@ -8,7 +8,7 @@ file's metadata, and only the end result is exploded. Rows with a null uri belon
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,30 +168,49 @@ def _set(kept: Column, new: Column) -> Column:
     return F.concat(F.filter(kept, lambda a: ~F.array_contains(keys, a["key"])), F.transform(new, lambda a: _entry(a["entry_ord"] + 1000, a["key"], a["value"])))
 
 
-def _kept(kind: Column, attrs: Column, keep_orientation: bool, thumbnail: str, strict: bool, listed: Sequence[str]) -> Column:
+KINDS = (("image",), ("pdf",), ("video", "audio"))
+
+
+def _of_kind(kind: Column, kinds: Sequence[str], rules: dict[str, Callable[[], Column]], otherwise: Column) -> Column:
+    """What the rule of a file's type says, ``rules`` by the first of KINDS; only those of ``kinds`` are made."""
+    out = None
+    for group in KINDS:
+        if set(group) & set(kinds):
+            out = (F if out is None else out).when(kind.isin(*group), rules[group[0]]())
+    return out.otherwise(otherwise)
+
+
+def _kept(kind: Column, attrs: Column, keep_orientation: bool, thumbnail: str, strict: bool, listed: Sequence[str], kinds: Sequence[str] = sum(KINDS, ())) -> Column:
     """What the rules of a file's type leave of its attributes. ``listed`` are the tags that images lose if not ``strict``."""
     thumbs = tags.THUMBNAIL_TAGS if thumbnail == "KEEP_ORIGINAL" else ()
-    if strict:
-        image = F.filter(attrs, lambda a: a["key"].isin(*tags.STRUCTURE_TAGS, "Orientation", *thumbs))
-    else:
-        image = F.filter(attrs, lambda a: ~a["key"].isin(*listed, *(() if thumbs else tags.THUMBNAIL_TAGS)))
-    image = F.filter(image, lambda a: (a["key"] != "Orientation") | (F.lit(keep_orientation) & ~blank(a["value"])))
-    pdf = F.filter(attrs, lambda a: ~a["key"].isin(*tags.PDF_KEYS, *(("Xmp",) if strict else ())))
-    media = F.filter(attrs, lambda a: a["key"].isin(*TRACK_KEYS))
-    return F.when(kind == "image", image).when(kind == "pdf", pdf).when(kind.isin("video", "audio"), media).otherwise(attrs)
+
+    def image() -> Column:
+        if strict:
+            left = F.filter(attrs, lambda a: a["key"].isin(*tags.STRUCTURE_TAGS, "Orientation", *thumbs))
+        else:
+            left = F.filter(attrs, lambda a: ~a["key"].isin(*listed, *(() if thumbs else tags.THUMBNAIL_TAGS)))
+        return F.filter(left, lambda a: (a["key"] != "Orientation") | (F.lit(keep_orientation) & ~blank(a["value"])))
+
+    pdf = lambda: F.filter(attrs, lambda a: ~a["key"].isin(*tags.PDF_KEYS, *(("Xmp",) if strict else ())))
+    media = lambda: F.filter(attrs, lambda a: a["key"].isin(*TRACK_KEYS))
+    return _of_kind(kind, kinds, {"image": image, "pdf": pdf, "video": media}, attrs)
 
 
-def _replaced(kind: Column, attrs: Column, plan: Column, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True) -> Column:
+def _replaced(kind: Column, attrs: Column, plan: Column, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True, kinds: Sequence[str] = sum(KINDS, ())) -> Column:
     """A file's attributes after replacing: images and PDFs get the plan's tags, media its place (as containers hold it, in single precision)."""
-    text = F.format_string("%+.4f%+.4f/", plan["latitude"].cast("float"), plan["longitude"].cast("float"))
-    place = F.when(plan.isNotNull(), F.array(_entry(F.lit(1), F.lit("Location"), text))).otherwise(F.array().cast(ENTRY))
-    new = F.when(kind == "image", targets_of(plan, tags.IMAGE_TARGETS)).when(kind == "pdf", targets_of(plan, tags.PDF_TARGETS)).when(kind.isin("video", "audio"), place).otherwise(F.array().cast(ENTRY))
-    return _set(_kept(kind, attrs, keep_orientation, thumbnail, strict, tags.LEAK_TAGS), new)
+    none = F.array().cast(ENTRY)
+
+    def place() -> Column:
+        text = F.format_string("%+.4f%+.4f/", plan["latitude"].cast("float"), plan["longitude"].cast("float"))
+        return F.when(plan.isNotNull(), F.array(_entry(F.lit(1), F.lit("Location"), text))).otherwise(none)
+
+    new = _of_kind(kind, kinds, {"image": lambda: targets_of(plan, tags.IMAGE_TARGETS), "pdf": lambda: targets_of(plan, tags.PDF_TARGETS), "video": place}, none)
+    return _set(_kept(kind, attrs, keep_orientation, thumbnail, strict, tags.LEAK_TAGS, kinds), new)
 
 
 def _poisoned(files: DataFrame, attributes: DataFrame, plans: DataFrame, kinds: tuple[str, ...], **rules) -> DataFrame:
     rows = records(files, attributes, plans).where(F.col("kind").isin(*kinds))
-    return rows.select("uri", F.inline(_replaced(F.col("kind"), F.col("attrs"), F.col("plan"), **rules)))
+    return rows.select("uri", F.inline(_replaced(F.col("kind"), F.col("attrs"), F.col("plan"), kinds=kinds, **rules)))
 
 
 def poison_image(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True) -> DataFrame:
