@@ -153,7 +153,8 @@ class Bands:
     part in its own band and in those of its smaller partners. Of a band's parts, ``need`` - 1 at most can differ between linked
     sets. So a set with f parts that aren't empty agrees in f - need + 1 of them at least with any partner, and may leave out
     f - need of its parts, as long as whether a part is left out by a set depends on the part alone: empty or common. A band has
-    parts enough that f is below ``need`` for next to no set; such a set has signatures of its empty parts too.
+    parts enough that f is below ``need`` for next to no set; such a set has signatures of its empty parts too, and leaves out none:
+    a partner with more full parts knows nothing of empty ones, so it is the full ones, common or not, in which they can meet.
     """
 
     def __init__(self, num: int, den: int, ratio: float = BAND_RATIO) -> None:
@@ -189,7 +190,10 @@ class Bands:
 
 
 def signatures(s: np.ndarray, bands: Bands, key: int = PLAIN_KEY) -> list[tuple[int, np.ndarray]]:
-    """One set's (slack, signatures of its parts) for each band that it takes part in; it may leave out ``slack`` common ones."""
+    """One set's (slack, signatures of its parts) for each band that it takes part in; it may leave out ``slack`` common ones.
+
+    A set with too few full parts (``Bands``) has signatures of its empty ones too and leaves out none.
+    """
     out = []
     top = s >> U(32)
     running = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ salted(key, 101)), dtype=U)])
@@ -200,7 +204,7 @@ def signatures(s: np.ndarray, bands: Bands, key: int = PLAIN_KEY) -> list[tuple[
         sig = mix(sums + mix(np.arange(parts, dtype=U) + U(band * PLAIN_KEY % (1 << 64))))
         full = ends[1:] > ends[:-1]
         f = int(full.sum())
-        out.append((min(SLACK, f - need), sig[full]) if f >= need else (min(SLACK, parts - need), sig))
+        out.append((min(SLACK, f - need), sig[full]) if f >= need else (0, sig))
     return out
 
 

@@ -99,6 +99,43 @@ def test_linked_sets_share_a_signature_that_neither_leaves_out():
             assert left[0] & left[1], (num, x)
 
 
+@pytest.mark.parametrize("which", ["all", "full", "empty"])
+def test_sets_with_few_full_parts_meet_their_partners(which):
+    """Whatever is common, also all full parts at once, of a set with too few of them."""
+    rng = random.Random(11)
+    bands, few = J.Bands(8, 10), 0
+    for x in (4, 4, 5, 6) * 2500:
+        a = sorted(rng.randrange(1 << 64) for _ in range(x))
+        b = sorted({*a, rng.randrange(1 << 64)})
+        one, two = (J.signatures(np.array(s, np.uint64), bands) for s in (a, b))
+        short = [len(sigs) == p for (_, sigs), (_, p, _) in zip(one, bands.joined(x), strict=True)]
+        few += any(short)
+        if not any(short):
+            continue
+        every = {int(s) for _, sigs in one + two for s in sigs}
+        shared = {int(s) for _, sigs in one for s in sigs} & {int(s) for _, sigs in two for s in sigs}
+        common = {"all": every, "full": shared, "empty": every - shared}[which]
+        left = [set().union(*({int(s) for s in sigs} - (common if len({int(s) for s in sigs} & common) <= slack else set()) for slack, sigs in side)) for side in (one, two)]
+        assert left[0] & left[1], (a, b)
+    assert few
+
+
+def test_families_of_short_texts_stay_whole(spark, monkeypatch):
+    """A text with too few full parts heads a family so large that all its full parts are common."""
+    monkeypatch.setattr(J.secrets, "randbits", lambda n: J.PLAIN_KEY >> 1)
+    rng, heads = random.Random(5), []
+    bands = J.Bands(8, 10)
+    while len(heads) < 2:
+        words = [f"w{rng.randrange(1 << 40)}" for _ in range(8)]
+        text = " ".join(words).encode()
+        s = J.shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 5, J.PLAIN_KEY >> 1)[0]
+        if any(len(sigs) == parts for (_, sigs), (_, parts, _) in zip(J.signatures(s, bands, J.PLAIN_KEY >> 1), bands.joined(4), strict=True)):
+            heads.append(words)
+    rows = [(1000 * k + i, " ".join([*w, *([f"more{k}x{i}"] if i else [])])) for k, w in enumerate(heads) for i in range(80)]
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 8, 10)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(d, d // 1000 * 1000) for d, _ in rows]
+
+
 def test_few_sets_need_signatures_of_empty_parts():
     rng = np.random.default_rng(3)
     for num, den in ((9, 10), (8, 10)):
