@@ -13,6 +13,7 @@ from palimpsest.llm.licenses import oracle as license_oracle
 from palimpsest.llm.licenses import scan_licenses
 from palimpsest.llm.mixing import mix
 from palimpsest.llm.ngram_join import near_duplicates
+from palimpsest.llm.periodic_runs import periodic_runs
 from palimpsest.llm.quality import quality_scores
 from palimpsest.llm.sharding import shard_documents
 from palimpsest.llm.token_output import token_round_trip
@@ -80,6 +81,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, of which one in ten is made periodic first. Cases: ``periodic_runs``."""
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_token_output": op9_token_output,
     "op10_warc": op10_warc,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
