@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.chat import crossed_pairs, format_pairs
 from palimpsest.llm.decontaminate import contamination
+from palimpsest.llm.divergence import source_divergence
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.licenses import oracle as license_oracle
 from palimpsest.llm.licenses import scan_licenses
@@ -81,6 +82,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source's terms differ from those of the other sources and of its language. Cases: ``source_divergence``."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic runs of every document, of which one in ten is made periodic first. Cases: ``periodic_runs``."""
     return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_token_output": op9_token_output,
     "op10_warc": op10_warc,
+    "op11_source_divergence": op11_source_divergence,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
@@ -200,5 +207,32 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
        CASE WHEN payload_bytes < 1000 OR page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN payload_bytes < 1000 OR page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
 FROM q
+""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+o AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+v AS (SELECT lang, term, sum(n)::HUGEINT AS lang_n FROM o GROUP BY lang, term HAVING count(*) >= 30),
+s AS (SELECT lang, sum(lang_n)::HUGEINT AS lang_total, count(*)::HUGEINT AS terms FROM v GROUP BY lang),
+c AS (SELECT o.lang, source, term, sum(n)::HUGEINT AS n FROM o SEMI JOIN v ON v.lang = o.lang AND v.term = o.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source),
+x AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0)::HUGEINT AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * s.terms) AS p,
+         1 + (1000000000::HUGEINT * (v.lang_n + 5)) // (s.lang_total + 5 * s.terms) AS q
+  FROM g JOIN v ON v.lang = g.lang JOIN s ON s.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+  LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM x WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 50
 """,
 }
