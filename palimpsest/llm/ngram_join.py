@@ -341,14 +341,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def forest(size: np.ndarray, maps: Maps, sides: list[int], num: int, den: int, linked: Callable[[int, int], bool] | None = None) -> list[int]:
+def forest(size: np.ndarray, maps: Maps, sides: list[int], num: int, den: int, linked: Callable[[int, int], bool] | None = None, label: np.ndarray | None = None) -> list[int]:
     """For each set the number of a set that it is connected to by links (itself for roots). With two sides only pairs across count.
 
-    ``size`` ascends. ``linked`` says for certain whether two sets link; without it, sets that may link do.
+    ``size`` ascends. ``linked`` says for certain whether two sets link; without it, sets that may link do. ``label`` has what is connected
+    from the start: for each set the least number of its component.
     """
     side = np.array(sides)
     across = len(set(sides)) > 1
-    label = np.arange(len(size))
+    label = np.arange(len(size)) if label is None else label.copy()
     low = np.searchsorted(size * den, size * num)  # the first partner that is large enough
     step = max(1, (4 << 20) // (8 * max(m.shape[1] for _, _, m in maps.segments)))  # a bounded number of bitmaps at a time
     for i in range(1, len(size)):
@@ -424,7 +425,7 @@ def link_texts(texts: list[bytes], sides: list[int], n_words: int, num: int, den
     return out
 
 
-def _stars(names: list, label: list[int]) -> list[tuple]:
+def stars(names: list, label: list[int]) -> list[tuple]:
     """(name, smallest name of its component) of all that aren't the smallest."""
     least: dict[int, object] = {}
     for name, k in zip(names, label, strict=True):
@@ -432,7 +433,15 @@ def _stars(names: list, label: list[int]) -> list[tuple]:
     return [(name, least[k]) for name, k in zip(names, label, strict=True) if least[k] != name]
 
 
-def _tiled(names: tuple[str, ...], kind: pa.DataType, join: Callable[[list[tuple]], list[tuple]]):
+def cells(column: pa.Array) -> list:
+    """The values of a column, lists of numbers as arrays of their own."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def tiled(names: tuple[str, ...], kind: pa.DataType, join: Callable[[list[tuple]], list[tuple]]):
     """Rows (``names``, a task's key first) sorted by the key to edges (a, b): what ``join`` finds among the rows of one key, one key in memory at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +455,7 @@ def _tiled(names: tuple[str, ...], kind: pa.DataType, join: Callable[[list[tuple
         for batch in batches:
             for a in range(0, len(batch), 1024):
                 part = batch.slice(a, 1024)
-                for key, *row in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                for key, *row in zip(*(cells(part.column(c)) for c in names), strict=True):
                     if key != now:
                         if len(held) > 1:
                             pairs += join(held)
@@ -468,9 +477,9 @@ def _blocks(num: int, den: int):
         rows = sorted(rows, key=lambda r: (r[1], r[2]))
         maps = Maps([np.frombuffer(r[3], U) for r in rows])
         label = forest(np.array([r[1] for r in rows], np.int64), maps, [r[0] for r in rows], num, den)
-        return _stars([r[2] for r in rows], label)
+        return stars([r[2] for r in rows], label)
 
-    return _tiled(("task", "side", "n_shingles", "node", "bits"), pa.int64(), join)
+    return tiled(("task", "side", "n_shingles", "node", "bits"), pa.int64(), join)
 
 
 def _tiles(n_words: int, num: int, den: int, key: int):
@@ -479,9 +488,9 @@ def _tiles(n_words: int, num: int, den: int, key: int):
     def join(rows: list[tuple]) -> list[tuple]:
         held = {cls: (side, text) for side, cls, text in rows}
         texts = [text.encode() for _, text in held.values()]
-        return _stars(list(held), link_texts(texts, [side for side, _ in held.values()], n_words, num, den, key))
+        return stars(list(held), link_texts(texts, [side for side, _ in held.values()], n_words, num, den, key))
 
-    return _tiled(("task", "side", "cls", "text"), pa.binary(), join)
+    return tiled(("task", "side", "cls", "text"), pa.binary(), join)
 
 
 def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -517,7 +526,7 @@ def _candidates(rows: DataFrame, num: int, den: int, common: int, block: int) ->
     return out
 
 
-def _tasks(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+def tile_tasks(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     """``members`` (cls, comp, n_shingles, weight) with the tiles' tasks each takes part in, as tasks array<struct<task, side>>."""
     width = float(np.log(den / num)) * (1 + 1e-9)
     members = members.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int"))
@@ -560,6 +569,27 @@ def _own() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
 
 
+def classes_of(rows: DataFrame) -> DataFrame:
+    """One row for each class of equal texts (or sets) in ``rows``: cls, node, n_shingles, ``one`` row's (doc_key, digest, weight), rows, class_id, class_least."""
+    classes = rows.where("cls is not null").groupBy("cls").agg(
+        F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_key", "digest", "weight")).alias("one"),
+        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("class_id"), F.min(_own()).alias("class_least"),
+    )
+    return materialize(classes, "join-classes")
+
+
+def with_components(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, digest, n_shingles, cls) with component_id and the least row (``_own``) of what ``links`` between classes reach; both null without a class."""
+    roots = connected_components(links, "join-links").withColumnsRenamed({"node": "cls"})
+    linked = roots.join(classes, "cls")
+    component = linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("class_least").alias("least"))
+    names = classes.select("cls", "rows", "class_id", "class_least").join(linked.select("cls", "root").join(component, "root").select("cls", "component_id", "least"), "cls", "left")
+    names = materialize(names.select("cls", "rows", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("least", "class_least").alias("least")), "join-names")
+    worded = spread_join(rows.where("cls is not null").select("doc_id", "digest", "n_shingles", "cls"), names, "cls").drop("cls", "rows")
+    wordless = rows.where("cls is null").select("doc_id", "digest", "n_shingles", *[F.lit(None).cast(names.schema[c].dataType).alias(c) for c in ("component_id", "least")])
+    return worded.unionByName(wordless)
+
+
 def _linked(docs: DataFrame, n_words: int, num: int, den: int, tile: int = TILE_SHINGLES, common: int = COMMON_SETS, block: int = BLOCK_SETS) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest of the text, n_shingles, component_id and, as ``_own`` has it, the least of its component; both null without words."""
     small_batches(docs.sparkSession)
@@ -571,26 +601,15 @@ def _linked(docs: DataFrame, n_words: int, num: int, den: int, tile: int = TILE_
     rough = _candidates(full, num, den, common, block)
     rows = materialize(full.drop("bits", "bands"), "join-rows")
     release(full)
-    classes = rows.where("cls is not null").groupBy("cls").agg(
-        F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct("doc_key", "digest", "weight")).alias("one"),
-        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("class_id"), F.min(_own()).alias("class_least"),
-    )
-    classes = materialize(classes, "join-classes")
+    classes = classes_of(rows)
     members = materialize(classes.join(rough, "node").select("cls", "comp", "n_shingles", "one.*"), "join-members")
-    tasks = _tasks(members, num, den, tile)
+    tasks = tile_tasks(members, num, den, tile)
     # Most texts are in no candidate group; the bitmap keeps nearly all of those from being moved, the join drops the rest.
     texts = docs.where(maybe_in(members, "doc_key")).join(tasks.hint("merge"), ["doc_key", "digest"]).select("text", "cls", "tasks")
     sets = texts.mapInArrow(lean(_wanted), texts.schema).select(F.inline("tasks"), "cls", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = sets.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lean(_tiles(n_words, num, den, secret)), "a binary, b binary")
-    roots = connected_components(links, "join-links").withColumnsRenamed({"node": "cls"})
-    linked = roots.join(classes, "cls")
-    component = linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.min("class_least").alias("least"))
-    names = classes.select("cls", "rows", "class_id", "class_least").join(linked.select("cls", "root").join(component, "root").select("cls", "component_id", "least"), "cls", "left")
-    names = materialize(names.select("cls", "rows", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("least", "class_least").alias("least")), "join-names")
-    worded = spread_join(rows.where("cls is not null").select("doc_id", "digest", "n_shingles", "cls"), names, "cls").drop("cls", "rows")
-    wordless = rows.where("cls is null").select("doc_id", "digest", "n_shingles", *[F.lit(None).cast(names.schema[c].dataType).alias(c) for c in ("component_id", "least")])
-    return worded.unionByName(wordless)
+    return with_components(rows, classes, links)
 
 
 def keep_representatives(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from palimpsest.llm.divergence import source_divergence
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.licenses import oracle as license_oracle
 from palimpsest.llm.licenses import scan_licenses
+from palimpsest.llm.minhash_dedup import minhash_dedup
 from palimpsest.llm.mixing import mix
 from palimpsest.llm.ngram_join import near_duplicates
 from palimpsest.llm.periodic_runs import periodic_runs
@@ -92,6 +93,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document at five words and a similarity of 0.85. Cases: ``minhash_dedup``."""
+    return minhash_dedup(table(spark, sf_dir, "documents"), n_words=5, num=85, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_source_divergence": op11_source_divergence,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -234,5 +241,23 @@ terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS
 SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
 QUALIFY part = 'pair' OR rank <= 50
+""",
+    "op13_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+both_ AS (SELECT a.r AS ra, b.r AS rb, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+link AS (
+  SELECT ra, rb FROM both_ JOIN n x ON x.r = ra JOIN n y ON y.r = rb WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT ra, rb FROM link UNION SELECT rb, ra FROM link),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, e.rb FROM reach JOIN e ON reach.b = e.ra),
+c AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN w ON reach.b = w.r GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w JOIN c ON c.a = w.r LEFT JOIN n ON n.r = w.r
 """,
 }
