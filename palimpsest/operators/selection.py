@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.types import uri_scheme
@@ -45,6 +45,12 @@ def job_progress(results: DataFrame, *group: str) -> DataFrame:
     return counted.select(*group, "done", (F.col("total") - F.col("done")).alias("failed"), "total", percent.cast("bigint").alias("percent"))
 
 
+def progress_metrics() -> list[Column]:
+    """done, failed, total and bytes of results with columns status and size_bytes, for ``DataFrame.observe``: counted by the job that writes them."""
+    ok = F.col("status") == "ok"
+    return [F.count(F.when(ok, 1)).alias("done"), F.count(F.when(~ok, 1)).alias("failed"), F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("bytes")]
+
+
 def saved_message(results: DataFrame, *group: str, where: str = "") -> DataFrame:
     """(group, n_saved, message): null output paths aren't saved; no message for no results."""
     n = F.count("output_path")

@@ -16,6 +16,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, tuple[SparkSession, str]] = {}
@@ -84,6 +85,26 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder unless ``target`` exists; whether it was renamed. Atomic where the file system's rename is."""
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(old, new, spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
 def local_or_uri(path: str) -> str:
     """``path`` as a URI, which file-system libraries outside the JVM accept."""
     return path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
