@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import functions as fn
 from palimpsest import tags
 from palimpsest.functions.types import begins, media_class
 from palimpsest.operators import metadata as md
-from palimpsest.operators import output, selection
+from palimpsest.operators import incremental, output, packing, selection
 from palimpsest.operators.plans import FIELDS, generate_plans, nearby, plans_from_json, plans_near, plans_to_json, require_plans, update_locations
 from palimpsest.operators.pools import POOLS
 from palimpsest.plans import adapter
 from palimpsest.plans.adapter import CTES, attributes, files
 from palimpsest.settings import Settings, read_settings
+from palimpsest.sources import sinks
+from palimpsest.sources.chunks import chunk_digests, content_chunks, read_chunks
 from palimpsest.sources.files import read_attributes, rewrite_files
+from palimpsest.storage import new_path
+from palimpsest.streaming.shares import handle_shares
 
 SETTINGS = Settings()
 NOW, SEED, YEAR = SETTINGS.now_ms, SETTINGS.seed, SETTINGS.now_year
@@ -656,5 +660,116 @@ def leak_audit_strict(spark, sf_dir):
     return md.leak_audit(a.join(images.select("uri"), "uri", "left_semi"), md.strip_image(f, a)).select("uri", "key")
 
 
+# ---- files that last: saving, chunks, packing, incremental runs, shares ------------------------------------------------
+
+_PAGE_URI = "'page/' || CAST(page_id AS STRING)"
+
+
+def _page_results(spark, sf_dir, content: str = "CAST(html AS BINARY)"):
+    """Every page as a result that is to be saved."""
+    return _table(spark, sf_dir, "pages").selectExpr(f"{_PAGE_URI} AS uri", "'Pages/' || CAST(page_id % 7 AS STRING) AS relative_path", "'page_' || CAST(page_id AS STRING) || '.html' AS output_name", f"{content} AS content")
+
+
+def _read_back(saved: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(uri, job, size_bytes, sha256) of saved files, from their bytes."""
+    rows = saved.where("status = 'ok'").select(F.concat_ws("#", "job", "uri").alias("uri"), "output_path", "size_bytes")
+    found = chunk_digests(read_chunks(rows, chunk_bytes, "output_path"))
+    return found.select(F.substring_index("uri", "#", 1).alias("job"), F.expr("substring(uri, locate('#', uri) + 1)").alias("uri"), "size_bytes", "sha256")
+
+
+@query(
+    "WITH p AS (SELECT 'page/' || page_id::VARCHAR AS uri, 'Pages/' || (page_id % 7)::VARCHAR || '/page_' || page_id::VARCHAR AS stem, html FROM pages) "
+    "SELECT 'first' AS job, uri, stem || '.html' AS place, strlen(html)::BIGINT AS size_bytes, sha256(html) AS sha256, CASE WHEN html IS NULL THEN 'error' ELSE 'ok' END AS status FROM p UNION ALL "
+    "SELECT 'second', uri, CASE WHEN html IS NULL THEN stem || '.html' ELSE stem || '_' || substr(md5('second:' || uri), 1, 16) || '.html' END, strlen(html)::BIGINT, sha256(html), CASE WHEN html IS NULL THEN 'error' ELSE 'ok' END FROM p"
+)
+def saved_pages(spark, sf_dir):
+    """Two jobs save all pages under the same names in one folder, the first one twice; sizes and digests are of the files' bytes."""
+    folder, results = new_path(spark, "saved"), _page_results(spark, sf_dir)
+    for job in ("first", "first", "second"):
+        sinks.save_files(results, folder, job)
+    saved = sinks.saved_files(spark, folder)
+    return saved.select("job", "uri", "place", "status").join(_read_back(saved, 1000), ["job", "uri"], "left")
+
+
+@query("SELECT count(html) AS done, count(*) - count(html) AS failed, count(*) AS total, coalesce(sum(strlen(html)), 0)::BIGINT AS bytes FROM (SELECT CASE WHEN page_id % 9 <> 4 THEN html END AS html FROM pages)")
+def observed_progress(spark, sf_dir):
+    """Progress as the writing job counts it; some results have no content."""
+    progress = Observation("progress")
+    sinks.save_files(_page_results(spark, sf_dir, "CASE WHEN page_id % 9 <> 4 THEN CAST(html AS BINARY) END"), new_path(spark, "observed"), "observed", progress)
+    seen = progress.get
+    return spark.createDataFrame([tuple(seen[c] for c in ("done", "failed", "total", "bytes"))], "done bigint, failed bigint, total bigint, bytes bigint")
+
+
+@query("SELECT page_id, greatest(1, ceil(strlen(html) / 700.0))::INT AS n_chunks, strlen(html)::BIGINT AS size_bytes, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL")
+def chunked_copies(spark, sf_dir):
+    """Pages written from rows of chunks, copied as streams, and read back by ranges."""
+    made, copied = new_path(spark, "chunked"), new_path(spark, "copied")
+    chunks = content_chunks(_page_results(spark, sf_dir), 700)
+    saved = sinks.save_files(chunks, made, "chunked").where("status = 'ok'")
+    copies = sinks.copy_files(saved.select(F.col("output_path").alias("uri"), F.lit("").alias("relative_path"), F.concat(F.regexp_extract("uri", "[0-9]+$", 0), F.lit(".html")).alias("output_name")), copied, "copied")
+    read = read_chunks(copies.where("status = 'ok'").select(F.col("place").alias("uri"), "output_path", "size_bytes"), 700, "output_path")
+    counted = read.groupBy("uri").agg(F.max("n_chunks").alias("n_chunks"))
+    return chunk_digests(read).join(counted, "uri").select(F.regexp_extract("uri", "^[0-9]+", 0).cast("bigint").alias("page_id"), "n_chunks", "size_bytes", "sha256")
+
+
+@query(
+    f"WITH {CTES}, w AS (SELECT uri, file_ord, coalesce(size_bytes, 0) + 4096 AS weight FROM files), s AS (SELECT uri, weight, sum(weight) OVER (ORDER BY file_ord, uri) - weight AS before, sum(weight) OVER () AS total FROM w) "
+    "SELECT uri, weight::BIGINT AS weight, least(31, before * 32 // total)::INT AS task FROM s"
+)
+def packed_tasks(spark, sf_dir):
+    return packing.pack(files(spark, sf_dir), 32, "file_ord", "uri").select("uri", "weight", "task")
+
+
+_ORD = "CAST(regexp_extract(uri, '[0-9]+$') AS BIGINT)"
+_EDITED = f"key = 'Artist' AND {_ORD} % 10 = 3"
+
+
+def _version(spark, sf_dir, second: bool):
+    """Two versions of files and attributes: the second lacks some files, has others, and other artists."""
+    found, held = files(spark, sf_dir).where(f"file_ord % 10 <> {4 if second else 5}"), attributes(spark, sf_dir)
+    if second:
+        held = held.withColumn("value", F.when(F.expr(_EDITED.replace("'[0-9]+$'", "'[0-9]+$', 0")), F.concat("value", F.lit(" edited"))).otherwise(F.col("value")))
+    return found, held.join(found.select("uri"), "uri", "left_semi")
+
+
+@query(
+    f"WITH {CTES}, k AS (SELECT *, {CLASS} AS kind FROM files WHERE file_ord % 10 <> 4), a AS (SELECT uri, entry_ord, key, CASE WHEN {_EDITED} THEN value || ' edited' ELSE value END AS value, kind FROM attrs JOIN k USING (uri)), {ENTRIES}, "
+    f"c AS (SELECT uri, CASE WHEN file_ord % 10 = 5 THEN 'new' WHEN uri IN (SELECT uri FROM attrs WHERE {_EDITED}) THEN 'changed' ELSE 'same' END AS change FROM k) SELECT uri, entry_ord::INT AS entry_ord, key, value, change FROM e JOIN c USING (uri)"
+)
+def incremental_entries(spark, sf_dir):
+    """Entries of a second version of the files, of which only new and changed ones are read again."""
+    store = new_path(spark, "entries")
+    for second in (False, True):
+        found, held = _version(spark, sf_dir, second)
+        some = lambda df, uris: df.join(uris, "uri", "left_semi")
+        results, changed = incremental.refresh(store, incremental.fingerprints(found, held), lambda uris, f=found, h=held: md.metadata_entries(some(f, uris), some(h, uris)))
+    return results.join(changed, "uri").select("uri", "entry_ord", "key", "value", "change")
+
+
+_SIGNATURE = "CAST(user_id AS STRING) || '|' || event_type || '|' || CAST(event_id % 3 AS STRING)"
+
+
+@query(f"SELECT DISTINCT {_SIGNATURE} AS signature, 1::BIGINT AS n_handled FROM events")
+def shares_handled_once(spark, sf_dir):
+    """Events as shares that arrive in small batches, and again after a restart; how often each signature was handled."""
+    arriving, out, checkpoint = (new_path(spark, n) for n in ("arriving", "handled", "shares"))
+    shares = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_SIGNATURE} AS signature")
+    for late in (False, True):
+        shares.where(f"event_id % 2 = {int(late)}").repartitionByRange(3, "event_id").write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(shares.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+        handle_shares(stream, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).groupBy("signature").agg(F.count(F.lit(1)).alias("n_handled"))
+
+
+@query(
+    "WITH l AS (SELECT 'out/' || page_id::VARCHAR || CASE page_id % 4 WHEN 0 THEN '/pending-1' WHEN 1 THEN '/_manifests/_staged-1/p' ELSE '/a' END AS path, page_id, page_id * 1000 AS modified_ms FROM pages) "
+    "SELECT path, CASE page_id % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'staged' ELSE 'unlisted' END AS reason FROM l WHERE modified_ms < 200000 AND NOT (page_id % 4 = 2 AND page_id % 3 > 0)"
+)
+def swept_leftovers(spark, sf_dir):
+    """Which files a sweep would delete, from a listing and manifests made of pages."""
+    pages = _table(spark, sf_dir, "pages").selectExpr("page_id", "'out/' || page_id || CASE page_id % 4 WHEN 0 THEN '/pending-1' WHEN 1 THEN '/_manifests/_staged-1/p' ELSE '/a' END AS path", "page_id * 1000 AS modified_ms")
+    return sinks.leftovers(pages.select("path", "modified_ms"), pages.where("page_id % 4 = 2 AND page_id % 3 > 0").select("path"), 200_000)
+
+
 FLAGSHIP = change_counts
 ADAPTER = adapter
