@@ -8,24 +8,25 @@ no pattern can end), buckets of patterns by the hash of the block their first
 ``m`` bytes end in, and direct comparison of what a bucket offers. The scan runs
 in numpy: a slice of text is cut into lanes that jump forward together.
 
-The benchmark is broadcast in parts of at most MAX_PART_BYTES of text; each part
-is one pass over the documents, written to the shared folder before the next begins,
-so its size never bounds what can be searched, nor what a task holds.
+The benchmark is broadcast in parts of at most MAX_PART_BYTES of text, so its size
+never bounds what can be searched, nor what a task holds. Each part is a pass over
+the documents. With several, a pass writes what it found, by the digest of the text,
+and no texts: what is found is put together once, after the last.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.blocks import free_names, lean, slices, small_batches
+from palimpsest.llm.blocks import free_names, lean, maybe_in, slices, small_batches
 from palimpsest.storage import materialize, release
 
 WINDOW = 10
@@ -194,26 +195,22 @@ def _searcher(name: str, part: list[tuple], window: int) -> Searcher:
     return _LAST[name]
 
 
-def _scan_batches(name: str, part_var, window: int, text_col: str, carry: list[str], own: list[str], earlier: bool, out_schema: pa.Schema):
-    """Carries ``carry`` through and adds ``own``: words, hits (bitmap of words) and items, merged with those of an ``earlier`` pass."""
+def _scan_batches(name: str, part_var, window: int, text_col: str, carry: list[str], hits_only: bool, out_schema: pa.Schema):
+    """Carries ``carry`` through and adds words (count), hits (numbers of hit words) and items; of rows without hits or items none, if ``hits_only``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = _searcher(name, part_var.value, window)
         for batch in batches:
-            text = batch.column(text_col)
-            for a, b, data, offsets in slices(text):
+            for a, b, data, offsets in slices(batch.column(text_col)):
                 counts, hit, first, items = searcher.scan(data, offsets)
-                maps = [np.packbits(hit[f : f + n]) if hit[f : f + n].any() else np.zeros(0, np.uint8) for f, n in zip(first.tolist(), counts.tolist(), strict=True)]
-                if earlier:
-                    old_maps, old_items = batch.column(own[1])[a:b].to_pylist(), batch.column(own[2])[a:b].to_pylist()
-                    for i, (m, x) in enumerate(zip(old_maps, old_items, strict=True)):
-                        items[i].update(x)
-                        if m:
-                            m = np.frombuffer(m, np.uint8)
-                            maps[i] = m | maps[i] if len(maps[i]) else m
-                columns = [batch.column(c)[a:b] for c in carry]
-                columns += [pa.array(counts, pa.int64()), pa.array([m.tobytes() for m in maps], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
+                at = np.flatnonzero(hit)
+                ends = np.searchsorted(at, np.append(first, len(hit)))
+                words = at - np.repeat(first, np.diff(ends))
+                # A text has one space more than words, which is never hit.
+                hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.int32()))
+                columns = [*(batch.column(c)[a:b] for c in carry), pa.array(counts, pa.int64()), hits, pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
+                yield out.filter(pa.array(np.diff(ends) > 0)) if hits_only else out
 
     return run
 
@@ -231,60 +228,83 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
     yield part
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, own: tuple[str, str, str] | list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = MAX_PART_BYTES) -> DataFrame:
-    """``docs`` with three more columns, whose names ``own`` it lacks: words (count), hits (bitmap over words, empty if none) and items (ids with an occurring window)."""
+def _pass(docs: DataFrame, part_var, carry: list[str], window: int, own: tuple[str, str, str] | list[str] = ("words", "hits", "items"), hits_only: bool = False) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (text, ...) with three more, ``own``: words, hits and items (``_scan_batches``)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
-    small_batches(spark)
-    carry = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(own[0], T.LongType()), T.StructField(own[1], T.BinaryType()), T.StructField(own[2], T.ArrayType(T.StringType()))])
+    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(own[0], T.LongType()), T.StructField(own[1], T.ArrayType(T.IntegerType())), T.StructField(own[2], T.ArrayType(T.StringType()))])
     out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-    before, var = None, None
-    for part in _parts(benchmark, item_id, item_text, part_bytes):
-        if var is not None:  # the pass before this one ends here
-            done = materialize(docs, "benchmark-pass")
-            var.destroy()
-            if before is not None:
-                release(before)
-            docs = before = done
-        var = spark.sparkContext.broadcast(part)
-        docs = docs.mapInArrow(lean(_scan_batches(uuid.uuid4().hex, var, window, text_col, carry, list(own), before is not None, out)), schema)
-    return docs
-
-
-def _summary(words: str, hit: str, found: str):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0 for m in batch.column(hit).to_pylist()]
-            items = batch.column(found).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column(words), pa.array(hits, pa.int64()), pa.array(map(len, items), pa.int64()),
-                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+    return docs.mapInArrow(lean(_scan_batches(uuid.uuid4().hex, part_var, window, "text", carry, hits_only, out)), schema)
 
-    return run
+
+def _digest(docs: DataFrame) -> Column:
+    return F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def found_in_parts(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: int, item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame | None, Broadcast | None]:
+    """What occurs in the texts of ``docs``, if the benchmark has several parts: (digest, hits, items), one row for each different text with hits.
+
+    A benchmark of one part is broadcast instead, for a pass that need not write anything.
+    """
+    spark = docs.sparkSession
+    keyed = docs.select(_digest(docs).alias("digest"), "text")
+    parts = _parts(benchmark, item_id, item_text, part_bytes)
+    part, passes = next(parts), []
+    while True:
+        var, more = spark.sparkContext.broadcast(part), next(parts, None)
+        if more is None and not passes:
+            return None, var
+        passes.append(materialize(_pass(keyed, var, ["digest"], window, hits_only=True).drop("words"), "benchmark-pass"))
+        var.destroy()
+        if more is None:
+            break
+        part = more
+    rows = passes[0]
+    for other in passes[1:]:
+        rows = rows.unionByName(other)
+    # Copies of a text have equal rows, which a set has once.
+    one = rows.groupBy("digest").agg(F.collect_set(F.struct("hits", "items")).alias("x"))
+    all_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.transform("x", lambda x: x[c])))).alias(c)
+    found = materialize(one.select("digest", all_of("hits"), all_of("items")), "benchmark-found")
+    release(*passes)
+    return found, None
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = MAX_PART_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or empty text has no words; a null or wordless item has no window; an item shorter than ``window`` is one window. An item
     with a null id hits words but isn't counted or named. Rows that repeat, in either table, change nothing but that each document row
     gets a row. A very long text is searched whole, in one piece, in one task. With no benchmark rows nothing is hit. Other columns of
-    either table aren't read.
+    either table aren't read. ``part_bytes`` bounds the benchmark text of a pass and changes no result.
     """
-    own = ("words", "hits", "items")
-    found = scan_documents(docs.select("doc_id", "text"), benchmark, own, window=window).drop("text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(lean(_summary(*own)), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    found, var = found_in_parts(docs, benchmark, window, part_bytes)
+    if found is None:
+        rows = _pass(docs, var, ["doc_id"], window)
+    else:
+        nothing = docs.sparkSession.sparkContext.broadcast([])
+        counted = _pass(docs.withColumn("digest", _digest(docs)), nothing, ["doc_id", "digest"], window)
+        rows = counted.select("doc_id", "digest", "words").join(found, "digest", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce(F.size("hits"), F.lit(0)).cast("long")
+    return rows.select("doc_id", F.col("words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = MAX_PART_BYTES) -> DataFrame:
     """The rows of ``docs`` in whose text no benchmark window occurs, with all their columns, under any names.
 
     Nulls, empty and very long texts, repeated rows and empty tables are as in :func:`contamination`: a text without words stays.
+    With a benchmark of several parts, a bitmap of the texts with hits keeps most other rows where they are.
     """
-    own = free_names(docs.columns, "words", "hits", "items")
-    return scan_documents(docs, benchmark, own, window=window).where(F.length(own[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    small_batches(docs.sparkSession)
+    found, var = found_in_parts(docs, benchmark, window, part_bytes)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if found is None:
+        own = free_names(docs.columns, "words", "hits", "items")
+        return _pass(docs, var, docs.columns, window, own).where(F.size(own[1]) == 0).select(*names)
+    (digest,) = free_names(docs.columns, "digest")
+    keyed, hit = docs.withColumn(digest, _digest(docs)), found.select(F.col("digest").alias(digest))
+    maybe = maybe_in(hit, digest)
+    return keyed.where(~maybe).unionByName(keyed.where(maybe).join(hit, digest, "left_anti").select(keyed.columns)).select(*names)

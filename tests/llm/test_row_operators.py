@@ -17,6 +17,7 @@ from palimpsest.llm.decontaminate import PatternGroup, Searcher, _loads, contami
 from palimpsest.llm.exact_dedup import CuckooFilter, CuckooIndex, apply_changes, digests, exact_dedup
 from palimpsest.llm.licenses import RULES, SENTENCES, scan_licenses
 from palimpsest.llm.mixing import mix, repeat_mixed, source_targets
+from palimpsest.storage import materialize
 
 rows_of = lambda df: sorted(map(tuple, df.collect()), key=repr)
 
@@ -334,13 +335,24 @@ def test_contamination(spark, odd, odd_rows, clashing):
     assert {r["__hits"] for r in left.collect()} == {1} and drop_contaminated(clashing.limit(0), bench).count() == 0
 
 
-def test_contamination_in_parts(spark, odd, odd_rows):
-    from palimpsest.llm.decontaminate import scan_documents
+def test_contamination_in_parts(spark, odd, odd_rows, clashing, monkeypatch):
+    """Many passes find what one does, and write hits only."""
+    from palimpsest.llm import decontaminate
 
     long = odd_rows[21][1].split()
-    bench = spark.createDataFrame([(i, " ".join(long[i : i + 12])) for i in range(0, 30, 3)], "item_id long, text string")
-    one, many = (scan_documents(odd, bench, ("w", "h", "i"), part_bytes=n).select("doc_id", "w", "h", "i") for n in (1 << 20, 100))
-    assert rows_of(one) == rows_of(many)
+    items = [(i, " ".join(long[i : i + 12])) for i in range(0, 30, 3)] + [(None, odd_rows[20][1]), (77, "a"), (78, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination([r[:2] for r in odd_rows], items)
+    written = []
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, name: written.append(materialize(df, name)) or written[-1])
+    assert rows_of(contamination(odd, bench)) == want and not written
+    for n in (100, 1):
+        assert rows_of(contamination(odd, bench, part_bytes=n)) == want
+    assert len(written) > 10 and {c for df in written for c in df.columns} == {"digest", "hits", "items"}
+    clean = Counter(r[0] for r in want if not r[5])
+    left = drop_contaminated(clashing, bench, part_bytes=100)
+    assert left.columns == clashing.columns and Counter(r.doc_id for r in left.collect()) == clean
+    assert Counter(r.doc_id for r in drop_contaminated(clashing, bench).collect()) == clean
 
 
 def test_contamination_empty(spark, odd, empty):
