@@ -174,7 +174,7 @@ def minhash_dedup(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Sets of distinct ``n_words``-word shingles link when den * intersection >= num * union, as far as they share a table (module docstring: all
-    but 2e-9 of pairs at a similarity of 0.85, 2e-7 at 0.8). component_id is the smallest id that links reach, itself included; kept
+    but 2e-9 of pairs at a similarity of 0.85, 8e-7 at 0.8). component_id is the smallest id that links reach, itself included; kept
     says whether it is the row's own. Words are runs of non-blank characters with A-Z in lower case; a text of fewer words is one
     shingle; one without words, or null, is an empty set that links with nothing.
 
@@ -206,7 +206,9 @@ def minhash_dedup(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     first = materialize(first, "minhash-first")
     ends = materialize(first.select(F.explode(F.array("node", "rep")).alias("node")).distinct().withColumn("root", F.col("node")), "minhash-ends")
     links = materialize(_confirmed(first, sets(ends), num, den), "minhash-links")
-    roots = materialize(connected_components(links, "minhash-roots"), "minhash-roots").select(F.col("node").alias("cls"), F.col("root").alias("of"))
+    # Each set has one link here at most. What it leads to, or what that leads to, tells most connected sets; no more is needed of a root.
+    onward = links.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    roots = materialize(links.join(onward, "b", "left").select(F.col("a").alias("cls"), F.coalesce("c", "b").alias("of")), "minhash-roots")
 
     # The tensor: sets that share a table and have different roots by now.
     known = near.drop("root").join(classes.select("cls", "node"), "node").join(roots, "cls", "left").select("node", F.xxhash64(F.coalesce("of", "cls")).alias("root"), "a")
