@@ -16,6 +16,7 @@ from palimpsest.llm import blocks, sharding
 from palimpsest.llm.decontaminate import PatternGroup, Searcher, _loads, contamination, drop_contaminated, words_of
 from palimpsest.llm.exact_dedup import CuckooFilter, CuckooIndex, apply_changes, digests, exact_dedup
 from palimpsest.llm.licenses import RULES, SENTENCES, scan_licenses
+from palimpsest.llm.licenses import oracle as license_oracle
 from palimpsest.llm.mixing import mix, repeat_mixed, source_targets
 from palimpsest.storage import materialize
 
@@ -470,3 +471,67 @@ def test_licenses_wrapped(spark):
     docs = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: (r.sentence_ids, r.licenses) for r in scan_licenses(docs).collect()}
     assert got == {i: t[1:] for i, t in enumerate(texts)}
+
+
+#: Public notices as their authors recommend them, or their first lines, and the licences that they stand for.
+NOTICES = [
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+    (" * SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "GPL-2.0-only WITH Linux-syscall-note,BSD-3-Clause"),
+    ("# SPDX-License-Identifier: MIT OR Apache-2.0\n", "MIT,Apache-2.0"),
+    ("/* SPDX-License-Identifier: LGPL-2.1+ */", "LGPL-2.1-or-later"),
+    ("// SPDX-License-Identifier: GPL-2.0+\n// SPDX-License-Identifier: GPL-2.0", "GPL-2.0-or-later,GPL-2.0-only"),
+    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n", "GPL-2.0-or-later"),
+    ("This program is free software; you can redistribute it and/or modify it\nunder the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", "GPL-2.0-only"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "AGPL-3.0-or-later"),
+    ("Foo Bar is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0-or-later"),
+    ("Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("//          Copyright Joe Coder 2004 - 2006.\n// Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt or copy at\n//          https://www.boost.org/LICENSE_1_0.txt)", "BSL-1.0"),
+    ("To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain\nworldwide. This software is distributed without any warranty.", "CC0-1.0"),
+    ("To the extent possible under law, Jane Q. Doe has waived all copyright and related or neighboring rights to This Work.", "CC0-1.0"),
+    (" * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/\n", "EPL-2.0"),
+    ("Licensed to the Apache Software Foundation (ASF) under one\nor more contributor license agreements.  See the NOTICE file\ndistributed with this work for additional information\nregarding copyright ownership.  The ASF licenses this file\nto you under the Apache License, Version 2.0 (the\n\"License\"); you may not use this file except in compliance\nwith the License.  You may obtain a copy of the License at\n\n  http://www.apache.org/licenses/LICENSE-2.0\n", "Apache-2.0"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "Apache-2.0"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "Zlib"),
+    (BSD.replace("the copyright holder", "Google Inc."), "BSD-3-Clause"),
+    (BSD.replace("Neither the name of the copyright holder nor the names of its\n   contributors", "The name of the author").replace("may be", "may not be"), "BSD-3-Clause"),
+    (BSD.replace("Neither the name of the copyright holder nor the names of its\n   contributors", "Neither the names of"), "BSD-2-Clause"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("SPDX-License-Identifier: NONE", ""),
+    ("the tag SPDX-License-Identifier: is followed by more", "is"),
+    ("Neither the name of " + "very " * 20 + "long names nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ""),
+]
+
+
+def oracle_rows(rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    cursor = con.execute(license_oracle())
+    at = [[c[0] for c in cursor.description].index(c) for c in ("doc_id", "n_known", "sentence_ids", "licenses", "unmatched")]
+    return sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=repr)
+
+
+def test_public_notices(spark):
+    commented = lambda text, mark: "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines())
+    forms = [(f(t), want) for t, want in NOTICES for f in (lambda t: t, lambda t: commented(t, "#"), lambda t: commented(t, " *"), lambda t: t.replace("\n", "\r\n"))]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(forms)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in scan_licenses(docs).collect()}
+    assert [(forms[i][0], got[i]) for i in range(len(forms)) if got[i] != forms[i][1]] == []
+
+
+def test_sql_has_the_operators_own_rule(spark, odd, odd_rows):
+    rng = random.Random(9)
+    parts = [t for t, _ in NOTICES] + [MIT, ISC, GPL, BSD, "Some words.", "1. A list (b) of: marks;", "é. ñ!", "..", "All rights reserved", "version\n3. x", "ſpdx K License"]
+    texts = []
+    for _ in range(300):
+        words = rng.choice([" ", "\n", "\n\n", ". "]).join(rng.sample(parts, rng.randrange(1, 4))).split(" ")
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words.insert(rng.randrange(len(words)), rng.choice(["\n", "word", "\n# ", "(a)", "-", "x.", ":"]))
+        texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, r[1]) for i, r in enumerate(odd_rows)]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_known", "sentence_ids", "licenses", "unmatched")
+    assert rows_of(got) == oracle_rows(rows)
