@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.settings import Settings
-from palimpsest.storage import exists, local_or_uri, move_new
+from palimpsest.storage import exists, list_names, local_or_uri, move_new
 
 NEW, CHANGED, REMOVED, SAME = "new", "changed", "removed", "same"
 
@@ -45,11 +45,7 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _versions(spark: SparkSession, base: str) -> list[int]:
-    if not exists(spark, base):
-        return []
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    return sorted(int(m[1]) for s in found if (m := re.fullmatch(r"version=(\d+)", s.getPath().getName())))
+    return sorted(int(m[1]) for n in (list_names(spark, base) if exists(spark, base) else []) if (m := re.fullmatch(r"version=(\d+)", n)))
 
 
 def stored(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame] | None:

@@ -11,7 +11,7 @@ from palimpsest import functions as fn
 from palimpsest import tags
 from palimpsest.functions.types import begins, media_class
 from palimpsest.operators import metadata as md
-from palimpsest.operators import incremental, output, packing, selection
+from palimpsest.operators import extensions, incremental, output, packing, selection, settings_log, tracks
 from palimpsest.operators.plans import FIELDS, generate_plans, nearby, plans_from_json, plans_near, plans_to_json, require_plans, update_locations
 from palimpsest.operators.pools import POOLS
 from palimpsest.plans import adapter
@@ -20,7 +20,7 @@ from palimpsest.settings import Settings, read_settings
 from palimpsest.sources import sinks
 from palimpsest.sources.chunks import chunk_digests, content_chunks, read_chunks
 from palimpsest.sources.files import read_attributes, rewrite_files
-from palimpsest.storage import new_path
+from palimpsest.storage import materialize, new_path
 from palimpsest.streaming.shares import handle_shares
 
 SETTINGS = Settings()
@@ -771,5 +771,92 @@ def swept_leftovers(spark, sf_dir):
     return sinks.leftovers(pages.select("path", "modified_ms"), pages.where("page_id % 4 = 2 AND page_id % 3 > 0").select("path"), 200_000)
 
 
+# ---- tracks, types and settings as tables -----------------------------------------------------------------------------
+
+_TRACKS = (("video/mp4", 0), ("text/vtt", 1), ("audio/aac", 2), (None, 3), ("audio/opus", 4))
+_SAMPLE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+_SAMPLES = ("'file/' || CAST(l_orderkey % 40 AS STRING) AS uri", "CAST((l_partkey + l_orderkey % 3) % 5 AS INT) AS track", "CAST(l_quantity * 100 AS BIGINT) AS size_bytes", "l_linenumber AS flags")
+
+
+def _samples(spark, sf_dir):
+    """(samples, tracks): line items as samples of forty files; some files have no track that stays."""
+    samples = _table(spark, sf_dir, "lineitem").selectExpr(*_SAMPLE_ORDER, *_SAMPLES)
+    kinds = F.array(*[F.struct(F.lit(m).cast("string").alias("mime_type"), F.lit(t).alias("track")) for m, t in _TRACKS])
+    held = samples.select("uri").distinct().select("uri", F.inline(kinds)).withColumn("mime_type", F.when(F.col("uri").endswith("7"), "text/vtt").otherwise(F.col("mime_type")))
+    return samples, held
+
+
+_TRACK_SQL = (
+    f"WITH s AS (SELECT {', '.join(_SAMPLES)}, {', '.join(_SAMPLE_ORDER)} FROM lineitem), "
+    "k(mime_type, track) AS (VALUES " + ", ".join(f"({_text(m) if m else 'NULL'}, {t})" for m, t in _TRACKS) + "), "
+    "h AS (SELECT uri, track, CASE WHEN ends_with(uri, '7') THEN 'text/vtt' ELSE mime_type END AS mime_type FROM (SELECT DISTINCT uri FROM s), k), "
+    "t AS (SELECT uri, track, row_number() OVER (PARTITION BY uri ORDER BY track) - 1 AS new_track FROM h WHERE mime_type LIKE 'video/%' OR mime_type LIKE 'audio/%')"
+)
+
+
+@query(f"{_TRACK_SQL} SELECT uri, track::INT AS track, new_track::INT AS new_track, NULL::VARCHAR AS error FROM t UNION ALL SELECT DISTINCT uri, NULL, NULL, '{tracks.NO_TRACKS}' FROM h WHERE uri NOT IN (SELECT uri FROM t)")
+def track_map(spark, sf_dir):
+    held = _samples(spark, sf_dir)[1]
+    none = tracks.without_tracks(held).select("uri", F.lit(None).cast("int").alias("track"), F.lit(None).cast("int").alias("new_track"), "error")
+    return tracks.track_map(held).withColumn("error", F.lit(None).cast("string")).unionByName(none)
+
+
+@query(
+    f"{_TRACK_SQL}, o AS (SELECT s.*, new_track, sum(size_bytes) OVER w - size_bytes AS old_start, sum(CASE WHEN new_track IS NULL THEN 0 ELSE size_bytes END) OVER w - CASE WHEN new_track IS NULL THEN 0 ELSE size_bytes END AS new_start "
+    f"FROM s LEFT JOIN t USING (uri, track) WINDOW w AS (PARTITION BY uri ORDER BY {', '.join(_SAMPLE_ORDER)} ROWS UNBOUNDED PRECEDING)) "
+    "SELECT uri, min(old_start)::BIGINT AS old_start, min(new_start)::BIGINT AS new_start, sum(size_bytes)::BIGINT AS length, count(*) AS n_samples, count(*) FILTER (flags & 1 <> 0) AS n_key_frames "
+    "FROM o WHERE new_track IS NOT NULL GROUP BY uri, old_start - new_start"
+)
+def sample_ranges(spark, sf_dir):
+    """Which bytes of each file are copied where when tracks go."""
+    samples, held = _samples(spark, sf_dir)
+    return tracks.copied_ranges(tracks.sample_map(samples, tracks.track_map(held), *_SAMPLE_ORDER))
+
+
+@query(
+    "WITH r AS (SELECT substr(md5(o_custkey::VARCHAR), 1, 1 + (o_orderkey % 4)::INT) AS prefix, '.e' || o_orderkey::VARCHAR AS extension, o_orderkey FROM orders WHERE o_orderkey % 7 > 0), "
+    "t AS (SELECT DISTINCT md5(l_partkey::VARCHAR) AS mime_type FROM lineitem), f AS (SELECT mime_type, arg_min(extension, o_orderkey) AS first_rule, arg_max(extension, length(prefix) * 1000000000 - o_orderkey) AS longest FROM t JOIN r ON starts_with(mime_type, prefix) GROUP BY mime_type) "
+    "SELECT mime_type, first_rule, longest, n FROM (SELECT md5(l_partkey::VARCHAR) AS mime_type, count(*) AS n FROM lineitem GROUP BY 1) LEFT JOIN f USING (mime_type)"
+)
+def ext_by_rules(spark, sf_dir):
+    """Extensions by some ten thousand rules for beginnings of types, by the first that fits and by the longest."""
+    rules = _table(spark, sf_dir, "orders").where("o_orderkey % 7 > 0").selectExpr("substring(md5(CAST(o_custkey AS STRING)), 1, CAST(1 + o_orderkey % 4 AS INT)) AS prefix", "'.e' || o_orderkey AS extension", "o_orderkey AS rule_ord")
+    types = _table(spark, sf_dir, "lineitem").selectExpr("md5(CAST(l_partkey AS STRING)) AS mime_type").groupBy("mime_type").agg(F.count(F.lit(1)).alias("n"))
+    first = extensions.by_prefix(types, rules).withColumnRenamed("extension", "first_rule")
+    return extensions.by_prefix(first, rules, longest=True).withColumnRenamed("extension", "longest")
+
+
+_KNOWN_TYPES = (("text/html", ".html"), ("image/png", ".png"), ("text/html", ".htm"))
+
+
+@query(
+    "WITH t(mime_type, extension) AS (VALUES ('text/html', '.htm'), ('image/png', '.png')), p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/png' WHEN 2 THEN 'x/unknown' END AS mime_type, regexp_extract(url, '^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)', 3) AS path FROM pages) "
+    "SELECT page_id, coalesce(extension, CASE WHEN contains(path, '.') THEN '.' || lower(regexp_extract(path, '[^.]*$')) ELSE '' END) AS extension FROM p LEFT JOIN t USING (mime_type)"
+)
+def ext_by_type(spark, sf_dir):
+    """The extension of a file whose type is known, or else that in its uri."""
+    pages = _table(spark, sf_dir, "pages").selectExpr("page_id", "url AS uri", "CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/png' WHEN 2 THEN 'x/unknown' END AS mime_type")
+    return extensions.extension_of(pages, spark.createDataFrame(_KNOWN_TYPES, "mime_type string, extension string")).select("page_id", "extension")
+
+
+_EDIT_KEYS = "CASE o_orderkey % 3 WHEN 0 THEN 'language' WHEN 1 THEN 'default_suffix' ELSE 'oled_mode' END"
+_EDIT_VALUE = "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END"
+
+
+@query(
+    f"WITH e AS (SELECT o_custkey AS profile, {_EDIT_KEYS} AS key, {_EDIT_VALUE} AS value, o_orderkey % 4 + 1 AS version, o_orderkey FROM orders), "
+    "c AS (SELECT profile, key, value, version FROM e QUALIFY row_number() OVER (PARTITION BY profile, key ORDER BY version DESC, o_orderkey DESC) = 1) "
+    "SELECT phase, profile, key, value, version::BIGINT AS version FROM c, (VALUES ('log'), ('compacted')) a(phase) WHERE value IS NOT NULL"
+)
+def settings_log_state(spark, sf_dir):
+    """Settings after four versions of edits, before and after compaction."""
+    log, orders = new_path(spark, "settings"), _table(spark, sf_dir, "orders")
+    for version in range(4):
+        settings_log.append_edits(log, orders.where(f"o_orderkey % 4 = {version}").selectExpr("o_custkey AS profile", f"{_EDIT_KEYS} AS key", f"{_EDIT_VALUE} AS value", "o_orderkey AS edit_ord"))
+    before = materialize(settings_log.current(spark, log).withColumn("phase", F.lit("log")), "settings-before")
+    settings_log.compact(spark, log)
+    return before.unionByName(settings_log.current(spark, log).withColumn("phase", F.lit("compacted")))
+
+
 FLAGSHIP = change_counts
 ADAPTER = adapter

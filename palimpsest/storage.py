@@ -91,6 +91,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what is in a folder, not below."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted(s.getPath().getName() for s in found)
+
+
 def move_new(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a file or folder unless ``target`` exists; whether it was renamed. Atomic where the file system's rename is."""
     jvm = spark.sparkContext._jvm
