@@ -35,6 +35,11 @@ STOP[list(b".,;:?'\"()-")] = True
 BLANK_[[32, 9, 10, 11, 12, 13]] = True
 HIGH[128:] = True
 SYMBOL[:128] = ~(LETTER | DIGIT | STOP | BLANK_)[:128]
+#: What is counted of a text's bytes, as flags of each byte; bytes of equal flags are one kind, so a text's kinds are counted at once.
+COUNTED = {"letter": LETTER, "upper": UPPER, "digit": DIGIT, "stop": STOP, "blank": BLANK_, "symbol": SYMBOL, "high": HIGH, "line": np.arange(256) == 10}
+KINDS, _at = np.unique(np.column_stack(list(COUNTED.values())), axis=0, return_inverse=True)
+KIND_OF = _at.ravel().astype(np.int64)
+WORDY = (LETTER | DIGIT).astype(np.uint8)
 
 
 def _by_text(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -47,7 +52,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of FEATURES per text of a slice. An empty text has zeros only."""
     n = len(offsets) - 1
     size = np.diff(offsets)
-    share = lambda table: _by_text(table[data], offsets[:-1], size) / np.maximum(size, 1)
+    kinds = np.bincount(KIND_OF[data] + np.repeat(np.arange(n) * len(KINDS), size), minlength=n * len(KINDS)).reshape(n, len(KINDS))
+    counted = dict(zip(COUNTED, (kinds @ KINDS.astype(np.int64)).T, strict=True))
+    share = lambda what: counted[what] / np.maximum(size, 1)
     words, doc = word_hashes(data, offsets)
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
@@ -59,27 +66,27 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct, pair_kinds, top = np.zeros(n), np.zeros(n), np.zeros(n)
     for i, (f, c) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
         if c:
-            kinds = np.sort(words[f : f + c])
-            new = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+            ordered = np.sort(words[f : f + c])
+            new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             distinct[i] = len(new)
             top[i] = np.diff(np.append(new, c)).max()
             p = np.sort(pairs[f : f + c - 1])
             pair_kinds[i] = 1 + (p[1:] != p[:-1]).sum() if c > 1 else 0
-    letters = share(LETTER)
-    bare = _bare_words(data, offsets)
     w = np.maximum(count, 1)
-    upper = share(UPPER)
     return np.column_stack([
-        np.log1p(size), np.log1p(count), (size - _by_text(BLANK_[data], offsets[:-1], size)) / w, upper / np.maximum(letters, 1e-9), share(SYMBOL), share(STOP), share(DIGIT), share(HIGH), share(BLANK_),
-        _by_text(data == 10, offsets[:-1], size) / np.maximum(size, 1), _by_text(same, first, count) / w, distinct / w, pair_kinds / inner, top / w, bare / w,
+        np.log1p(size), np.log1p(count), (size - counted["blank"]) / w, share("upper") / np.maximum(share("letter"), 1e-9), share("symbol"), share("stop"), share("digit"), share("high"), share("blank"),
+        share("line"), _by_text(same, first, count) / w, distinct / w, pair_kinds / inner, top / w, _bare_words(data, offsets) / w,
     ]).astype(np.float32)
 
 
 def _bare_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Words of each text that have neither letter nor digit."""
     starts, ends = word_edges(data, offsets)
-    has = np.concatenate([[0], np.cumsum((LETTER | DIGIT)[data])])
-    bare = has[ends] == has[starts]
+    if not len(starts):
+        return np.zeros(len(offsets) - 1, np.int64)
+    # Of each word and what follows it the word's part; the last end may be that of the data.
+    spans = np.column_stack([starts, ends]).ravel()
+    bare = np.maximum.reduceat(WORDY[data], spans[: len(spans) - (spans[-1] == len(data))])[::2] == 0
     return np.bincount(np.searchsorted(offsets, starts[bare], "right") - 1, minlength=len(offsets) - 1)
 
 
