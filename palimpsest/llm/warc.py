@@ -53,19 +53,23 @@ def find_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT_BYTES) -> tup
 
 
 def responses(pages: DataFrame, large: DataFrame, revisits: DataFrame, min_revisit: int = MIN_REVISIT_BYTES) -> list[DataFrame]:
-    """The rows of ``pages`` that keep their payload, as _described has them, in two parts of which the second is empty or small.
+    """The rows of ``pages`` that keep their payload, as _described has them, in two parts, of which the second is empty or small.
 
-    A filter over the revisits' keys lets all others stay where they are. A second filter, over those other keys that the first one
-    takes for revisits, tells which of its hits may be wrong; only these few rows are shuffled, to meet the revisits themselves.
+    A filter over the revisits' keys lets all others stay where they are. Other keys that it takes for revisits are known from sizes and
+    digests; without any, payloads are read once. Else a second filter, over those keys, tells which hits may be wrong, and only these few
+    rows are read again and shuffled, to meet the revisits themselves.
     """
     key = ("page_id", "payload_digest")
     rows = _described(pages)
     hit = maybe_in(revisits, *key)
     same = lambda a, b: a["page_id"].eqNullSafe(b["page_id"]) & (a["payload_digest"] == b["payload_digest"])
     suspects = large.where(hit).select(*key)
-    innocent = suspects.join(revisits, same(suspects, revisits), "left_anti")
+    innocent = materialize(suspects.join(revisits, same(suspects, revisits), "left_anti"), "warc-innocent")
+    kept = rows.where((F.col("payload_bytes") < min_revisit) | ~hit)
+    if innocent.isEmpty():
+        return [kept, rows.limit(0)]
     doubted = rows.where((F.col("payload_bytes") >= min_revisit) & hit & maybe_in(innocent, *key))
-    return [rows.where((F.col("payload_bytes") < min_revisit) | ~hit), doubted.join(revisits, same(doubted, revisits), "left_anti")]
+    return [kept, doubted.join(revisits, same(doubted, revisits), "left_anti")]
 
 
 def chunk_rows(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
