@@ -202,9 +202,10 @@ def piece_pattern(sentences: dict[str, str]) -> str:
     return f"[|]{alternatives([s.split(' ') for s in sentences])}{LISTED}?[|]|{other}" if sentences else other
 
 
-def gap_patterns(sentences: dict[str, str]) -> list[tuple[str, str]]:
-    """(pattern, identifier) of known sentences with names in them."""
-    return [("^" + " ".join("[^ ]+(?: [^ ]+)*" if w == GAP else re.escape(w) for w in s.split(" ")) + "$", i) for s, i in sentences.items() if GAP in s]
+def gap_patterns(sentences: dict[str, str]) -> list[tuple[str, str, str, str]]:
+    """(pattern, what it begins with, what it ends with, identifier) of known sentences with names in them."""
+    gap = f"(?:[^ ]+ ){{0,{GAP_WORDS - 1}}}[^ ]+"
+    return [("^" + " ".join(gap if w == GAP else re.escape(w) for w in s.split(" ")) + "$", s.split(GAP)[0], s.split(GAP)[-1], i) for s, i in sentences.items() if GAP in s]
 
 
 def pieces(paragraph: Column, sentences: dict[str, str]) -> Column:
@@ -231,8 +232,8 @@ def sequence(text: Column, sentences: dict[str, str] | None = None) -> Column:
     def known(piece: Column) -> Column:
         words = F.trim(F.regexp_replace(piece, f"{LISTED}?[|]+", " "))
         found = F.when(F.length(words) <= longest, F.try_element_at(table, words))
-        for pattern, i in gap_patterns(sentences):
-            found = F.coalesce(found, F.when(F.rlike(words, F.lit(pattern)), F.lit(i)))
+        for pattern, head, tail, i in gap_patterns(sentences):
+            found = F.coalesce(found, F.when(F.endswith(words, F.lit(tail)) & F.startswith(words, F.lit(head)) & F.rlike(words, F.lit(pattern)), F.lit(i)))
         return F.coalesce(found, F.when(F.endswith(piece, F.lit(f"{LISTED}|")), F.lit("")).otherwise(F.lit(UNKNOWN)))
 
     found = F.lit("|".join(map(re.escape, anchors(sentences)))) if sentences else None
@@ -305,7 +306,7 @@ def oracle() -> str:
     back = lambda by: re.sub(r"[$]([0-9])", r"\\\1", by)
     replaced = lambda e, steps: [e := f"regexp_replace({e}, {quoted(p)}, {quoted(back(by))}, 'g')" for p, by in steps][-1]
     values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in SENTENCES.items() if GAP not in k)
-    gaps = " ".join(f"WHEN regexp_matches(words, {quoted(p)}) THEN {quoted(i)}" for p, i in gap_patterns(SENTENCES))
+    gaps = " ".join(f"WHEN regexp_matches(words, {quoted(p)}) THEN {quoted(i)}" for p, _, _, i in gap_patterns(SENTENCES))
     anchor = quoted("|".join(map(re.escape, anchors(SENTENCES))))
     names, steps = [], []
     for i, (licence, body) in enumerate(RULES):

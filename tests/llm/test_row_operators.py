@@ -535,3 +535,11 @@ def test_sql_has_the_operators_own_rule(spark, odd, odd_rows):
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, r[1]) for i, r in enumerate(odd_rows)]
     got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_known", "sentence_ids", "licenses", "unmatched")
     assert rows_of(got) == oracle_rows(rows)
+
+
+def test_long_pieces_and_many_lines(spark):
+    """No pattern's depth grows with a text, be it one line or very many."""
+    long = ["license " + "words of one line " * 100_000, "software\n" * 100_000, "license\n" + " \n" * 100_000 + "x", "license. " * 50_000, "1. license\n" * 50_000, "Foo is free software, " * 50_000, "license " + "é" * 500_000, "/" * 300_000 + " license"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(long)] + [(100, long[0] + "\nReleased under the MIT License.\n")], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in scan_licenses(docs).collect()}
+    assert got == {**{i: ("-", "") for i in range(len(long))}, 100: ("- mit", "MIT")}
