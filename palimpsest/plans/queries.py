@@ -18,9 +18,10 @@ from palimpsest.plans import adapter
 from palimpsest.plans.adapter import CTES, attributes, files
 from palimpsest.settings import Settings, read_settings
 from palimpsest.sources import sinks
+from palimpsest.sources.catalog_source import file_catalog
 from palimpsest.sources.chunks import chunk_digests, content_chunks, read_chunks
 from palimpsest.sources.files import read_attributes, rewrite_files
-from palimpsest.storage import materialize, new_path
+from palimpsest.storage import local_or_uri, materialize, new_path
 from palimpsest.streaming.shares import handle_shares
 
 SETTINGS = Settings()
@@ -771,6 +772,16 @@ def swept_leftovers(spark, sf_dir):
     return sinks.leftovers(pages.select("path", "modified_ms"), pages.where("page_id % 4 = 2 AND page_id % 3 > 0").select("path"), 200_000)
 
 
+@query("SELECT 'page_' || page_id::VARCHAR || '.html' AS name, strlen(html)::BIGINT AS size_bytes, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL AND strlen(html) >= 2000 AND page_id % 7 = 3")
+def catalog_source(spark, sf_dir):
+    """Saved pages through the catalogue's data source: one folder's files of some size, with content."""
+    folder = new_path(spark, "catalogue")
+    sinks.save_files(_page_results(spark, sf_dir), folder, "pages")
+    found = file_catalog(spark, folder, "path", "name", "extension", "size_bytes", "content")
+    kept = found.where(F.startswith("path", F.lit(f"{local_or_uri(folder)}/Pages/3/")) & (F.col("size_bytes") >= 2000) & (F.col("extension") == "html"))
+    return kept.select("name", "size_bytes", F.sha2("content", 256).alias("sha256"))
+
+
 # ---- tracks, types and settings as tables -----------------------------------------------------------------------------
 
 _TRACKS = (("video/mp4", 0), ("text/vtt", 1), ("audio/aac", 2), (None, 3), ("audio/opus", 4))
