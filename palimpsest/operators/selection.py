@@ -81,6 +81,19 @@ def share_signature(files: DataFrame, *group: str) -> DataFrame:
     return files.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda x: x["uri"]), "|").alias("signature"))
 
 
+def share_bundles(files: DataFrame, *group: str) -> DataFrame:
+    """(group, action, mime_type, n_files, read_grant, uris): what is handed over for each share of ``files`` (uri, mime_type, file_ord).
+
+    One file goes alone with its own type, several go together with the type that all share; where there is none, as for a file without a type, */*.
+    Rows without a uri don't count, and a share of none isn't listed. The receiver may read all of the uris, which stand in order of file_ord, then uri.
+    """
+    named = files.where("uri is not null")
+    one = (F.count_distinct("mime_type") == 1) & (F.count("mime_type") == F.count(F.lit(1)))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "uri"))), lambda x: x["uri"])
+    bundle = named.groupBy(*group).agg(F.when(one, F.max("mime_type")).otherwise("*/*").alias("mime_type"), F.count(F.lit(1)).alias("n_files"), ordered.alias("uris"))
+    return bundle.select(*group, F.when(F.col("n_files") == 1, "SEND").otherwise("SEND_MULTIPLE").alias("action"), "mime_type", "n_files", F.lit(True).alias("read_grant"), "uris")
+
+
 def processed_with_files(processed: DataFrame, files: DataFrame) -> DataFrame:
     """Results with their files, joined by uri: a failed file never shifts the others."""
     return processed.join(files, "uri")

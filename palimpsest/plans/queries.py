@@ -782,6 +782,16 @@ def catalog_source(spark, sf_dir):
     return kept.select("name", "size_bytes", F.sha2("content", 256).alias("sha256"))
 
 
+@query(
+    f"WITH {CTES}, g AS (SELECT CASE WHEN file_ord % 9 < 4 THEN file_ord % 97 ELSE 1000 + file_ord % 3 END AS grp, CASE WHEN file_ord % 2 = 0 THEN 'image/png' ELSE mime_type END AS mime_type, uri, file_ord FROM files WHERE file_ord % 5 > 0) "
+    "SELECT grp, CASE WHEN count(*) = 1 THEN 'SEND' ELSE 'SEND_MULTIPLE' END AS action, CASE WHEN count(DISTINCT mime_type) = 1 AND count(mime_type) = count(*) THEN max(mime_type) ELSE '*/*' END AS mime_type, "
+    "count(*) AS n_files, true AS read_grant, string_agg(uri, '|' ORDER BY file_ord, uri) AS uris FROM g GROUP BY grp"
+)
+def share_bundles(spark, sf_dir):
+    found = files(spark, sf_dir).selectExpr("CASE WHEN file_ord % 9 < 4 THEN file_ord % 97 ELSE 1000 + file_ord % 3 END AS grp", "CASE WHEN file_ord % 2 = 0 THEN 'image/png' ELSE mime_type END AS mime_type", "CASE WHEN file_ord % 5 > 0 THEN uri END AS uri", "file_ord")
+    return selection.share_bundles(found, "grp").withColumn("uris", F.array_join("uris", "|"))
+
+
 # ---- tracks, types and settings as tables -----------------------------------------------------------------------------
 
 _TRACKS = (("video/mp4", 0), ("text/vtt", 1), ("audio/aac", 2), (None, 3), ("audio/opus", 4))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.types import extension_from_mime
-from palimpsest.operators import extensions, packing, settings_log, tracks
+from palimpsest.operators import extensions, packing, selection, settings_log, tracks
 from palimpsest.settings import read_settings
 
 rows_of = lambda df: sorted(map(tuple, df.collect()), key=repr)
@@ -111,3 +111,13 @@ def test_settings_log(spark, tmp_path):
     assert settings_log.compact(spark, log) == 3 and state() == want
     options = {(r.profile, r.option): r.value for r in read_settings(settings_log.current(spark, log)).collect()}
     assert options[1, "default_suffix"] == "" and options[2, "oled_mode"] == "false" and options[3, "language"] == "b" and options[3, "default_suffix"] == "_processed"
+
+
+def test_share_bundles(spark):
+    rows = [(1, "b", "image/png", 2), (1, "a", "image/png", 1), (2, "c", None, 1), (3, "d", "x/y", 1), (4, "e", "x/y", 2), (4, "f", None, 1), (5, None, "x/y", 1), (6, "g", "x/y", 1), (6, "h", "z/y", 1)]
+    files = spark.createDataFrame(rows, "share int, uri string, mime_type string, file_ord int")
+    got = {r.share: (r.action, r.mime_type, r.n_files, r.uris) for r in selection.share_bundles(files, "share").collect()}
+    assert got == {
+        1: ("SEND_MULTIPLE", "image/png", 2, ["a", "b"]), 2: ("SEND", "*/*", 1, ["c"]), 3: ("SEND", "x/y", 1, ["d"]), 4: ("SEND_MULTIPLE", "*/*", 2, ["f", "e"]), 6: ("SEND_MULTIPLE", "*/*", 2, ["g", "h"]),
+    }
+    assert selection.share_bundles(files.limit(0), "share").collect() == []
