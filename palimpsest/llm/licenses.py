@@ -236,7 +236,9 @@ def sequence(text: Column, sentences: dict[str, str] | None = None) -> Column:
             found = F.coalesce(found, F.when(F.endswith(words, F.lit(tail)) & F.startswith(words, F.lit(head)) & F.rlike(words, F.lit(pattern)), F.lit(i)))
         return F.coalesce(found, F.when(F.endswith(piece, F.lit(f"{LISTED}|")), F.lit("")).otherwise(F.lit(UNKNOWN)))
 
-    found = F.lit("|".join(map(re.escape, anchors(sentences)))) if sentences else None
+    words = anchors(sentences)
+    # Looking ahead for their first letters tells most places sooner than trying one word after the other.
+    found = F.lit(f"(?=[{''.join(sorted({w[0] for w in words}))}])(?:{'|'.join(map(re.escape, words))})") if sentences else None
 
     def of_paragraph(p: Column) -> Column:
         """A paragraph without an anchor has no known sentence."""
