@@ -20,6 +20,8 @@ TYPES = {
 }
 #: Larger files are error rows: a cell of a row batch holds less than 2 GB. A parameter of read_bytes.
 MAX_BYTES = 1 << 30
+#: Bytes of rewritten files after which a batch of them ends.
+BATCH_BYTES = 4 << 20
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -74,13 +76,24 @@ def read_attributes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _rewrite_rows(keep_orientation: bool, thumbnail: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            uris, contents, errors = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(uris, pa.string()), pa.array(contents, pa.binary()), pa.array(["error" if e else "ok" for e in errors]), pa.array(errors, pa.string())], names=["uri", "content", "status", "error"])
+
         for batch in batches:
+            done, held = [], 0
             for uri, mime, data, values in zip(*(batch.column(c).to_pylist() for c in ("uri", "mime_type", "content", "values")), strict=True):
                 try:
                     new, error = codecs.rewrite(mime, data, {v["key"]: v["value"] for v in values or []}, keep_orientation, thumbnail), None
                 except codecs.CodecError as e:
                     new, error = None, str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string()), pa.array([new], pa.binary()), pa.array(["error" if error else "ok"]), pa.array([error], pa.string())], names=["uri", "content", "status", "error"])
+                done.append((uri, new, error))
+                held += len(new or b"")
+                if held >= BATCH_BYTES:
+                    yield rows(done)
+                    done, held = [], 0
+            if done:
+                yield rows(done)
 
     return run
 
