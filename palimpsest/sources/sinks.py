@@ -162,8 +162,15 @@ def saved_files(spark: SparkSession, folder: str, *jobs: str) -> DataFrame:
 
 
 def _apart(rows: DataFrame, base: str, job: str) -> DataFrame:
-    """``rows`` (uri, place) with other places for those that files of other jobs have: 16 digits of a hash stand before the extension."""
-    taken = saved_files(rows.sparkSession, base).where((F.col("job") != job) & (F.col("status") == "ok")).select("place").distinct().withColumn("taken", F.lit(True))
+    """``rows`` (uri, place) with other places for those that files of other jobs have: 16 digits of a hash stand before the extension.
+
+    Without other jobs in the folder nothing is joined. The names of some hundred thousand files are sent to all tasks, if Spark finds them that
+    small; with more, rows are dealt out by name once.
+    """
+    others = saved_files(rows.sparkSession, base).where((F.col("job") != job) & (F.col("status") == "ok")).select("place").distinct()
+    if others.isEmpty():
+        return rows
+    taken = materialize(others.withColumn("taken", F.lit(True)), "taken")
     folder = F.regexp_extract("place", "^(?s)(.*/)?", 1)
     stem, extension = split_name(F.regexp_extract("place", "(?s)[^/]*$", 0))
     other = F.concat(folder, stem, F.lit("_"), F.substring(F.md5(F.concat(F.lit(f"{job}:"), "uri")), 1, 16), extension)
