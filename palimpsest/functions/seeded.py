@@ -1,4 +1,8 @@
-"""Choices that depend on a seed, a record and a field only: the same after any repartitioning or retry."""
+"""Choices that depend on a seed, a record and a field only: the same after any repartitioning or retry.
+
+Each is there on a column and, as ``*_sql``, as SQL text on the name of a column. Plans with many choices are made of text: one call to the JVM
+makes a whole expression then, where columns take one or two for every literal and function.
+"""
 
 from __future__ import annotations
 
@@ -32,3 +36,39 @@ def shuffled(seed: str, key: Column, field: str, options: Sequence[str]) -> Colu
     """``options`` in the order of their own hashes."""
     pairs = [F.struct(hash32(seed, key, f"{field}{i}").alias("h"), F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in enumerate(options)]
     return F.transform(F.array_sort(F.array(*pairs)), lambda p: p["x"])
+
+
+def quoted(text: str) -> str:
+    """``text`` as a SQL literal. A dollar sign goes as its code, as Spark puts settings in the place of names after one."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
+def listed(values: Sequence[str]) -> str:
+    """An array of literals."""
+    return f"array({', '.join(map(quoted, values))})"
+
+
+def hash32_sql(seed: str, key: str, field: str) -> str:
+    """:func:`hash32`."""
+    return f"cast(conv(substring(md5(concat_ws(':', {quoted(seed)}, {key}, {quoted(field)})), 1, 8), 16, 10) as bigint)"
+
+
+def whole_sql(seed: str, key: str, field: str, low: int, high: int) -> str:
+    """:func:`whole`."""
+    return f"({hash32_sql(seed, key, field)} % {high - low} + {low})"
+
+
+def chosen_sql(seed: str, key: str, field: str, options: str) -> str:
+    """:func:`chosen`."""
+    return f"element_at({options}, cast({hash32_sql(seed, key, field)} % size({options}) + 1 as int))"
+
+
+def picked_sql(seed: str, key: str, field: str, options: Sequence[str]) -> str:
+    """:func:`picked`."""
+    return f"element_at({listed(options)}, cast({hash32_sql(seed, key, field)} % {len(options)} + 1 as int))"
+
+
+def shuffled_sql(seed: str, key: str, field: str, options: Sequence[str]) -> str:
+    """:func:`shuffled`."""
+    pairs = ", ".join(f"struct({hash32_sql(seed, key, f'{field}{i}')} as h, {i} as i, {quoted(x)} as x)" for i, x in enumerate(options))
+    return f"transform(array_sort(array({pairs})), p -> p.x)"

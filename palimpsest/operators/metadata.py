@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest import tags
 from palimpsest.functions.labels import duration_label, location_text, resolution_label
 from palimpsest.functions.names import blank
+from palimpsest.functions.seeded import listed, quoted
 from palimpsest.functions.types import media_class
 from palimpsest.operators.plans import FIELDS
 
@@ -24,7 +25,7 @@ TRACK_KEYS = ("HasVideo", "Width", "Height", "DurationMs")
 
 
 def _literals(names: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, names))
+    return F.expr(listed(names))
 
 
 ENTRY = "array<struct<entry_ord:int,key:string,value:string>>"
@@ -153,13 +154,14 @@ def keep_annotations(annotations: Column) -> Column:
 
 def target_rows(plans: DataFrame, targets: Sequence[tuple[str, str]]) -> DataFrame:
     """(uri, entry_ord, key, value) of the plan fields in ``targets``; null fields are left out."""
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("entry_ord"), F.lit(k).alias("key"), F.col(f).cast("string").alias("value")) for i, (k, f) in enumerate(targets)])
-    return plans.select("uri", F.inline(rows)).where("value is not null")
+    rows = ", ".join(f"struct({i} as entry_ord, {quoted(k)} as key, cast({f} as string) as value)" for i, (k, f) in enumerate(targets, 1))
+    return plans.selectExpr("uri", f"inline(array({rows}))").where("value is not null")
 
 
-def targets_of(plan: Column, targets: Sequence[tuple[str, str]]) -> Column:
-    """The fields of a plan under the keys of ``targets``, as an array; null fields, and all of a null plan, are left out."""
-    return F.filter(F.array(*[_entry(F.lit(i), F.lit(k), plan[f].cast("string")) for i, (k, f) in enumerate(targets, 1)]), lambda a: a["value"].isNotNull())
+def targets_of(plan: str, targets: Sequence[tuple[str, str]]) -> Column:
+    """The fields of the plan in column ``plan`` under the keys of ``targets``, as an array; null fields, and all of a null plan, are left out."""
+    rows = ", ".join(f"struct({i} as entry_ord, {quoted(k)} as key, cast({plan}.{f} as string) as value)" for i, (k, f) in enumerate(targets, 1))
+    return F.expr(f"filter(array({rows}), a -> a.value is not null)")
 
 
 def _set(kept: Column, new: Column) -> Column:
@@ -196,13 +198,13 @@ def _kept(kind: Column, attrs: Column, keep_orientation: bool, thumbnail: str, s
     return _of_kind(kind, kinds, {"image": image, "pdf": pdf, "video": media}, attrs)
 
 
-def _replaced(kind: Column, attrs: Column, plan: Column, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True, kinds: Sequence[str] = sum(KINDS, ())) -> Column:
+def _replaced(kind: Column, attrs: Column, plan: str, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True, kinds: Sequence[str] = sum(KINDS, ())) -> Column:
     """A file's attributes after replacing: images and PDFs get the plan's tags, media its place (as containers hold it, in single precision)."""
     none = F.array().cast(ENTRY)
 
     def place() -> Column:
-        text = F.format_string("%+.4f%+.4f/", plan["latitude"].cast("float"), plan["longitude"].cast("float"))
-        return F.when(plan.isNotNull(), F.array(_entry(F.lit(1), F.lit("Location"), text))).otherwise(none)
+        text = F.format_string("%+.4f%+.4f/", F.col(plan)["latitude"].cast("float"), F.col(plan)["longitude"].cast("float"))
+        return F.when(F.col(plan).isNotNull(), F.array(_entry(F.lit(1), F.lit("Location"), text))).otherwise(none)
 
     new = _of_kind(kind, kinds, {"image": lambda: targets_of(plan, tags.IMAGE_TARGETS), "pdf": lambda: targets_of(plan, tags.PDF_TARGETS), "video": place}, none)
     return _set(_kept(kind, attrs, keep_orientation, thumbnail, strict, tags.LEAK_TAGS, kinds), new)
@@ -210,7 +212,7 @@ def _replaced(kind: Column, attrs: Column, plan: Column, keep_orientation: bool
 
 def _poisoned(files: DataFrame, attributes: DataFrame, plans: DataFrame, kinds: tuple[str, ...], **rules) -> DataFrame:
     rows = records(files, attributes, plans).where(F.col("kind").isin(*kinds))
-    return rows.select("uri", F.inline(_replaced(F.col("kind"), F.col("attrs"), F.col("plan"), kinds=kinds, **rules)))
+    return rows.select("uri", F.inline(_replaced(F.col("kind"), F.col("attrs"), "plan", kinds=kinds, **rules)))
 
 
 def poison_image(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orientation: bool = True, thumbnail: str = "REMOVE", strict: bool = True) -> DataFrame:
@@ -228,13 +230,13 @@ def poison_media(files: DataFrame, attributes: DataFrame, plans: DataFrame) -> D
     return _poisoned(files, attributes, plans, ("video", "audio"))
 
 
-def preview_targets_of(kind: Column, plan: Column, entries: Column, keep_orientation: bool = True) -> Column:
+def preview_targets_of(kind: Column, plan: str, entries: Column, keep_orientation: bool = True) -> Column:
     """What the literal preview of replacing shows of one file: the plan's values under the keys of its type, and the orientation that stays."""
     old = _values(entries, "Orientation")
     images = targets_of(plan, tags.IMAGE_TARGETS)
     if keep_orientation:
         images = F.concat(images, F.filter(F.array(_entry(F.lit(len(tags.IMAGE_TARGETS) + 1), F.lit("Orientation"), old)), lambda a: a["value"].isNotNull()))
-    place = F.array(_entry(F.lit(0), F.lit("Location"), location_text(plan["latitude"], plan["longitude"])))
+    place = F.array(_entry(F.lit(0), F.lit("Location"), location_text(F.col(plan)["latitude"], F.col(plan)["longitude"])))
     return (
         F.when(kind == "image", images).when(kind == "video", F.concat(place, targets_of(plan, tags.VIDEO_TARGETS)))
         .when(kind == "audio", F.concat(place, targets_of(plan, tags.AUDIO_TARGETS))).when(kind == "pdf", targets_of(plan, tags.PDF_PREVIEW_TARGETS))
@@ -299,11 +301,11 @@ def changes(files: DataFrame, attributes: DataFrame, plans: DataFrame, keep_orie
     """
     rows = with_entries(records(files, attributes, plans, errors)).where("plan is not null")
     if strict:
-        rows = rows.withColumn("__after", _replaced(F.col("kind"), F.col("attrs"), F.col("plan"), keep_orientation))
+        rows = rows.withColumn("__after", _replaced(F.col("kind"), F.col("attrs"), "plan", keep_orientation))
         rows = with_entries(rows.withColumn("error", F.lit(None).cast("string")), "__after", "target")
         rows = rows.withColumns({c: F.filter(c, lambda a: a["entry_ord"] > 0) for c in ("shown", "target")})  # without placeholders
     else:
-        rows = rows.withColumn("target", preview_targets_of(F.col("kind"), F.col("plan"), F.col("shown"), keep_orientation))
+        rows = rows.withColumn("target", preview_targets_of(F.col("kind"), "plan", F.col("shown"), keep_orientation))
     side = lambda name, new: F.transform(name, lambda a, i: F.struct(F.lit(new).alias("new"), i.alias("at"), a["key"].alias("key"), a["value"].alias("text")))
     # Rows are dealt by uri already, so grouping by uri and key moves nothing.
     both = rows.select("uri", "kind", F.inline(F.concat(side("shown", False), side("target", True))))

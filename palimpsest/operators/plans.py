@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.labels import degrees, hemisphere, point
-from palimpsest.functions.seeded import chosen, hash32, picked, shuffled, whole
+from palimpsest.functions.seeded import chosen_sql, hash32, listed, picked_sql, quoted, shuffled_sql, whole, whole_sql
 from palimpsest.functions.types import media_class
 from palimpsest.operators.pools import POOLS, Pools
 from palimpsest.settings import Settings
@@ -25,20 +25,17 @@ PLAN_TYPE = T.StructType([T.StructField(f, T.DoubleType() if f in PLACE[:2] else
 LATITUDE, LONGITUDE, NEAR = 800_000, 1_700_000, (2_000, 10_000)
 
 
-def _two(c: Column) -> Column:
-    return F.lpad(c.cast("string"), 2, "0")
-
-
-def _date(s: Settings, key: Column, field: str, hours: tuple[int, int], iso: bool) -> Column:
+def _date(s: Settings, field: str, hours: tuple[int, int], iso: bool) -> str:
     """A moment of this and the three calendar years before, days up to 28; never after ``now_ms``."""
-    part = lambda name, low, high: whole(s.seed, key, f"{field}.{name}", low, high)
-    year, month, day = part("year", s.now_year - 3, s.now_year + 1).cast("string"), _two(part("month", 1, 13)), _two(part("day", 1, 29))
-    hour, minute, second = _two(part("hour", *hours)), _two(part("minute", 0, 60)), _two(part("second", 0, 60))
+    part = lambda name, low, high: f"cast({whole_sql(s.seed, 'uri', f'{field}.{name}', low, high)} as string)"
+    two = lambda *p: f"lpad({part(*p)}, 2, '0')"
+    day = (part("year", s.now_year - 3, s.now_year + 1), two("month", 1, 13), two("day", 1, 29))
+    time = (two("hour", *hours), two("minute", 0, 60), two("second", 0, 60))
     if iso:
-        moment = F.concat(year, month, day, F.lit("T"), hour, minute, second, F.lit(".000Z"))
+        moment = f"concat({', '.join(day)}, 'T', {', '.join(time)}, '.000Z')"
     else:
-        moment = F.concat(F.concat_ws(":", year, month, day), F.lit(" "), F.concat_ws(":", hour, minute, second))
-    return F.least(moment, F.lit(now_text(s, iso)))
+        moment = f"concat(concat_ws(':', {', '.join(day)}), ' ', concat_ws(':', {', '.join(time)}))"
+    return f"least({moment}, {quoted(now_text(s, iso))})"
 
 
 def now_text(s: Settings, iso: bool) -> str:
@@ -64,44 +61,44 @@ def generate_plans(files: DataFrame, settings: Settings | None = None, pools: Po
     ``latitude`` and ``longitude`` (columns of ``files``) the place is near it. ``make`` is a column of makers to keep; one that the pools
     don't have gets their other models and software. A row depends on the seed, its uri and these.
     """
-    s, key = settings or Settings(), F.col("uri")
-    pick = lambda field, options: picked(s.seed, key, field, options)
-    kind = media_class(F.col("mime_type"))
-    table = lambda lists: F.create_map(*[x for m, v in lists.items() for x in (F.lit(m), F.array(*map(F.lit, v)))])
-    of_make = lambda field, lists, others: F.coalesce(chosen(s.seed, key, field, F.try_element_at(table(lists), F.col("make"))), pick(field, others))
-    by_kind = lambda field, **lists: F.when(kind == "audio", pick(field, lists["audio"])).when(kind == "video", pick(field, lists["video"]))
+    s = settings or Settings()
+    pick = lambda field, options: picked_sql(s.seed, "uri", field, options)
+    table = lambda lists: f"map({', '.join(f'{quoted(m)}, {listed(v)}' for m, v in lists.items())})"
+    of_make = lambda field, lists, others: f"coalesce({chosen_sql(s.seed, 'uri', field, f'try_element_at({table(lists)}, make)')}, {pick(field, others)})"
+    by_kind = lambda **of: f"CASE __kind {' '.join(f'WHEN {quoted(k)} THEN {c}' for k, c in of.items())} END"
     subject, place, hour, remark = (pick(f, o) for f, o in (("scene", pools.subjects), ("location", pools.places), ("hour", pools.hours), ("comment", pools.remarks)))
-    form = whole(s.seed, key, "imageDescription", 0, 3)
-    only = lambda k, c: F.when(kind == k, c)
+    before = lambda years: f"cast({s.now_year} - {whole_sql(s.seed, 'uri', 'year', 0, years)} as string)"
+    date = _date(s, "mediaDate", (0, 24), iso=True)
     columns = {
-        "dateTime": _date(s, key, "dateTime", (6, 23), iso=False),
-        "make": F.col("make"),
+        "dateTime": _date(s, "dateTime", (6, 23), iso=False),
+        "make": "make",
         "model": of_make("model", pools.models, pools.other_models),
         "software": of_make("software", pools.software, pools.other_software),
-        "imageDescription": F.when(form == 0, F.concat(subject, F.lit(", "), place)).when(form == 1, F.concat_ws(" ", place, hour)).otherwise(F.concat_ws(" ", subject, hour)),
+        "imageDescription": f"CASE {whole_sql(s.seed, 'uri', 'imageDescription', 0, 3)} WHEN 0 THEN concat({subject}, ', ', {place}) WHEN 1 THEN concat_ws(' ', {place}, {hour}) ELSE concat_ws(' ', {subject}, {hour}) END",
         "userComment": remark,
         "photographicSensitivity": pick("iso", pools.iso), "exposureTime": pick("exposure", pools.exposure), "fNumber": pick("aperture", pools.aperture),
         "focalLength": pick("focal", pools.focal), "whiteBalance": pick("balance", pools.balance), "flash": pick("flash", pools.flash),
-        "latitude": _place(s, key, "latitude", LATITUDE, F.col("__latitude")), "longitude": _place(s, key, "longitude", LONGITUDE, F.col("__longitude")),
-        "latitudeRef": F.lit(None), "longitudeRef": F.lit(None),
-        "title": by_kind("title", audio=pools.audio_titles, video=pools.video_titles),
-        "artist": by_kind("artist", audio=pools.audio_artists, video=pools.video_directors),
-        "album": only("audio", pick("album", pools.audio_albums)),
-        "genre": by_kind("genre", audio=pools.audio_genres, video=pools.video_genres),
-        "trackNumber": only("audio", whole(s.seed, key, "track", 1, 15).cast("string")),
-        "year": F.when(kind == "audio", F.lit(s.now_year) - whole(s.seed, key, "year", 0, 5)).when(kind == "video", F.lit(s.now_year) - whole(s.seed, key, "year", 0, 10)).cast("string"),
-        "mediaDate": F.when(kind.isin("audio", "video"), _date(s, key, "mediaDate", (0, 24), iso=True)),
-        "author": only("pdf", pick("author", pools.authors)), "creator": only("pdf", pick("creator", pools.pdf_tools)),
-        "producer": only("pdf", pick("producer", pools.pdf_tools)), "pdfTitle": only("pdf", pick("pdfTitle", pools.pdf_titles)),
-        "subject": only("pdf", F.lit(pools.subject)),
-        "keywords": only("pdf", F.array_join(F.slice(shuffled(s.seed, key, "keywords", pools.keywords), 1, 3), ", ")),
+        "latitudeRef": "null", "longitudeRef": "null",
+        "title": by_kind(audio=pick("title", pools.audio_titles), video=pick("title", pools.video_titles)),
+        "artist": by_kind(audio=pick("artist", pools.audio_artists), video=pick("artist", pools.video_directors)),
+        "album": by_kind(audio=pick("album", pools.audio_albums)),
+        "genre": by_kind(audio=pick("genre", pools.audio_genres), video=pick("genre", pools.video_genres)),
+        "trackNumber": by_kind(audio=f"cast({whole_sql(s.seed, 'uri', 'track', 1, 15)} as string)"),
+        "year": by_kind(audio=before(5), video=before(10)),
+        "mediaDate": by_kind(audio=date, video=date),
+        "author": by_kind(pdf=pick("author", pools.authors)), "creator": by_kind(pdf=pick("creator", pools.pdf_tools)),
+        "producer": by_kind(pdf=pick("producer", pools.pdf_tools)), "pdfTitle": by_kind(pdf=pick("pdfTitle", pools.pdf_titles)),
+        "subject": by_kind(pdf=quoted(pools.subject)),
+        "keywords": by_kind(pdf=f"array_join(slice({shuffled_sql(s.seed, 'uri', 'keywords', pools.keywords)}, 1, 3), ', ')"),
     }
+    places = {"latitude": _place(s, F.col("uri"), "latitude", LATITUDE, F.col("__latitude")), "longitude": _place(s, F.col("uri"), "longitude", LONGITUDE, F.col("__longitude"))}
     none = F.lit(None).cast("double")
     both = F.lit(False) if latitude is None or longitude is None else latitude.isNotNull() & longitude.isNotNull()
     known = [none if c is None else F.when(both, c) for c in (latitude, longitude)]
-    makes = pick("make", pools.makes) if make is None else F.coalesce(make, pick("make", pools.makes))
-    plans = files.select("uri", "mime_type", makes.alias("make"), known[0].alias("__latitude"), known[1].alias("__longitude"))
-    plans = plans.select("uri", "mime_type", *[columns[f].alias(f) for f in FIELDS])
+    makes = F.expr(pick("make", pools.makes))
+    makes = makes if make is None else F.coalesce(make, makes)
+    plans = files.select("uri", "mime_type", media_class(F.col("mime_type")).alias("__kind"), makes.alias("make"), known[0].alias("__latitude"), known[1].alias("__longitude"))
+    plans = plans.select("uri", "mime_type", *[places[f].alias(f) if f in places else F.expr(f"{columns[f]} as {f}") for f in FIELDS])
     return plans.withColumns({"latitudeRef": hemisphere(F.col("latitude"), "N", "S"), "longitudeRef": hemisphere(F.col("longitude"), "E", "W")}).select("uri", "mime_type", *FIELDS)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import functions as fn
 from palimpsest import tags
+from palimpsest.functions import seeded
 from palimpsest.operators.pools import MAKERS, POOLS
 
 NOW = 1234
@@ -96,3 +97,18 @@ def test_choice_or_error(spark, n):
     assert run(spark, ["UNIFIED", "x", None], choice_or(F.col("x"), FOLDERS, "SPLIT")) == ["UNIFIED", "SPLIT", "SPLIT"]
     with pytest.raises(Exception, match="no such folder"):
         run(spark, ["x"] * n, choice_or_error(F.col("x"), FOLDERS, "folder"))
+
+
+def test_choices_as_text_are_those_on_columns(spark):
+    odd = ["it's", 'a "b"', "back\\slash\\", "${x} %s", "ü 文", ""]
+    seed, key, field = "s'1\\", F.col("id").cast("string"), "f'"
+    rows = spark.range(300).withColumn("k", F.when(F.col("id") > 0, key))
+    pairs = [
+        (seeded.hash32(seed, F.col("k"), field), seeded.hash32_sql(seed, "k", field)),
+        (seeded.whole(seed, F.col("k"), field, -5, 9), seeded.whole_sql(seed, "k", field, -5, 9)),
+        (seeded.picked(seed, F.col("k"), field, odd), seeded.picked_sql(seed, "k", field, odd)),
+        (seeded.chosen(seed, F.col("k"), field, F.array(*map(F.lit, odd))), seeded.chosen_sql(seed, "k", field, seeded.listed(odd))),
+        (seeded.shuffled(seed, F.col("k"), field, odd), seeded.shuffled_sql(seed, "k", field, odd)),
+    ]
+    agreed = rows.select(*[F.count_if(a.eqNullSafe(F.expr(b))).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
+    assert list(agreed) == [300] * len(pairs)
