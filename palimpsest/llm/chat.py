@@ -86,7 +86,9 @@ def crossed_pairs(conversations: DataFrame) -> DataFrame:
     conversation; rejected begins as it does and goes on as its partner does, the conversation whose id differs in the lowest bit.
 
     After how many turns that happens is a hash of the id, from none to all of them; without a partner the rejected side ends there. Rows
-    with a null id belong to no conversation. Both partners come from one group, so each turn is moved once.
+    with a null id belong to no conversation. Null roles and texts count as empty, turns with a null number come first, turns of one
+    number are in order of role and text, repeated rows are repeated turns. A conversation has to fit into memory, however long. An empty table gives no rows. Other
+    columns aren't read. Both partners come from one group, so each turn is moved once.
     """
     turn = F.struct(*[_turn()[c].alias(c) for c in ("turn", "role", "text")], F.col("conv_id").cast("long").alias("conv_id"))
     held = conversations.where("conv_id is not null").groupBy(F.shiftright(F.col("conv_id").cast("long"), 1).alias("both")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))

@@ -192,6 +192,9 @@ def live_index(rows: DataFrame, stored: DataFrame | None = None, deletes: DataFr
     """(text_sha256, group_size, keep_id): one row per live digest after the index ``stored`` (of the same columns) lost the digests of
     ``deletes`` (text_sha256) and got ``rows`` (doc_id, text_sha256). Null digests are ignored.
 
+    keep_id is the largest id of a digest, null if all are null; each row counts in group_size, repeated ones too. Deleting a digest that
+    isn't stored, or one twice, does no more. Empty tables do nothing: of none but empty ones there are no rows. Other columns aren't read.
+
     Slices hold about half of FLUSH_KEYS digests; their number follows the number of rows, so a task's memory doesn't.
     """
     spark = rows.sparkSession

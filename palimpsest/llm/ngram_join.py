@@ -616,7 +616,8 @@ def keep_representatives(docs: DataFrame, n_words: int = 5, num: int = 8, den: i
     """The rows of ``docs`` that stay when of each group exactly one does: one with the smallest id. Rows without words stay.
 
     Of several texts with that id in a group, one stays by a 64-bit hash; of rows equal in id and text, the one least in its other
-    columns. A group of null ids only keeps one row as well.
+    columns. A group of null ids only keeps one row as well. Very long texts are compared whole. An empty table stays empty. All columns stay,
+    under any names.
     """
     rows = _linked(docs, n_words, num, den).where("least is not null").select("doc_id", "digest", (_own() == F.col("least")).alias("stays"))
     fate = materialize(rows.groupBy("doc_id", "digest", "stays").count().where("not stays or count > 1"), "join-fate")

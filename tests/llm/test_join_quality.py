@@ -236,6 +236,14 @@ def test_representatives_of_repeated_ids(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, [*seven, *rest]))
 
 
+def test_representatives_keep_columns_of_any_names(odd, clashing, empty):
+    plain = [tuple(r) for r in J.keep_representatives(odd).collect()]
+    named = J.keep_representatives(clashing.withColumns({c: F.lit(1) for c in ("stays", "least", "__id", "__digest", "count", "doc_key")}))
+    assert sorted(repr(tuple(r)[:5]) for r in named.collect()) == sorted(map(repr, plain))
+    assert named.columns[: len(clashing.columns)] == clashing.columns
+    assert J.keep_representatives(empty).columns == empty.columns and J.keep_representatives(empty).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5200)]

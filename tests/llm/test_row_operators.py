@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import blocks, sharding
 from palimpsest.llm.decontaminate import PatternGroup, Searcher, _loads, contamination, drop_contaminated, words_of
-from palimpsest.llm.exact_dedup import CuckooFilter, CuckooIndex, apply_changes, digests, exact_dedup
+from palimpsest.llm.exact_dedup import CuckooFilter, CuckooIndex, apply_changes, digests, exact_dedup, live_index
 from palimpsest.llm.licenses import RULES, SENTENCES, scan_licenses
 from palimpsest.llm.licenses import oracle as license_oracle
 from palimpsest.llm.mixing import mix, repeat_mixed, source_targets
@@ -61,6 +61,24 @@ def test_exact_dedup(odd, odd_rows, clashing):
     assert rows_of(exact_dedup(clashing)) == sorted(want, key=repr)
 
 
+def test_live_index_of_odd_rows(spark):
+    kinds = "doc_id long, text_sha256 string"
+    a, b, c = (hashlib.sha256(x).hexdigest() for x in (b"a", b"b", b"c"))
+    rows = spark.createDataFrame([(5, a), (5, a), (None, a), (9, b), (None, c), (None, c), (3, None)], kinds).repartition(3)
+    stored = spark.createDataFrame([(a, 4, 7), (b, 2, 20), (None, 1, 1)], "text_sha256 string, group_size long, keep_id long")
+    deletes = spark.createDataFrame([(b,), (b,), (None,), ("0" * 64,)], "text_sha256 string")
+    none = rows.limit(0)
+    names = ("digest", "step", "slice", "rows", "largest", "group_size", "keep_id")
+    clash = lambda df: df.withColumns({n: F.lit("x") for n in names if n not in df.columns})
+    got = lambda *t: sorted(tuple(r) for r in live_index(*t).collect())
+    fresh = sorted([(a, 3, 5), (b, 1, 9), (c, 2, None)], key=repr)
+    assert got(rows) == got(clash(rows)) == got(rows, stored.limit(0), deletes) == sorted(fresh)
+    merged = sorted([(a, 7, 7), (b, 1, 9), (c, 2, None)])
+    assert got(rows, stored, deletes) == got(clash(rows), clash(stored), clash(deletes)) == merged
+    assert got(none) == [] and got(none, stored, deletes) == [(a, 4, 7)]
+    assert live_index(none).columns == ["text_sha256", "group_size", "keep_id"]
+
+
 def test_exact_dedup_empty(empty):
     assert exact_dedup(empty).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert exact_dedup(empty).count() == 0
