@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from palimpsest import tags
 from palimpsest.functions.types import extension_from_uri
 
-LONGEST_TYPE = 255
-
 
 def fixed_rules(spark: SparkSession) -> DataFrame:
     """(prefix, extension, rule_ord): the rules by which a type's beginning gives the extension, in their order; the PDF rule holds for the whole type alone elsewhere."""
@@ -28,14 +26,17 @@ def public_types(spark: SparkSession) -> DataFrame:
 def by_prefix(files: DataFrame, rules: DataFrame, longest: bool = False) -> DataFrame:
     """``files`` (mime_type, ...) with ``extension`` by the first of ``rules`` (prefix, extension, rule_ord) with whose prefix the type begins; null without one.
 
-    Each different type is taken once, all its beginnings are looked up by equality, so work grows with types and not with types times
-    rules. With ``longest`` the longest prefix wins, then the first. An empty prefix holds for every type, none for a null type.
+    Of the rules of one prefix only the first can hold, so one is left of each before they meet types. Each different type is taken once, and its
+    beginnings of as many characters as some prefix has are looked up by equality: work grows with types times lengths of prefixes, not with
+    types times rules. With ``longest`` the longest prefix wins, then the first. An empty prefix holds for every type, none for a null type.
     """
+    firsts = rules.where("prefix is not null").groupBy("prefix").agg(F.min(F.struct("rule_ord", "extension")).alias("rule"))
+    lengths = firsts.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row
     types = files.select("mime_type").where("mime_type is not null").distinct()
-    beginnings = types.select("mime_type", F.explode(F.sequence(F.lit(0), F.least(F.length("mime_type"), F.lit(LONGEST_TYPE)))).alias("n"))
-    found = beginnings.withColumn("prefix", F.expr("substring(mime_type, 1, n)")).join(rules.where("prefix is not null"), "prefix")
-    order = F.struct(-F.length("prefix"), "rule_ord", "extension") if longest else F.struct("rule_ord", "extension")
-    one = found.groupBy("mime_type").agg(F.min_by("extension", order).alias("extension"))
+    beginnings = types.crossJoin(F.broadcast(lengths)).select("mime_type", F.explode(F.filter("lengths", lambda n: n <= F.length("mime_type"))).alias("n"))
+    found = beginnings.withColumn("prefix", F.expr("substring(mime_type, 1, n)")).join(firsts, "prefix")
+    order = F.struct(-F.col("n"), "rule") if longest else F.col("rule")
+    one = found.groupBy("mime_type").agg(F.min_by("rule.extension", order).alias("extension"))
     return files.join(one, "mime_type", "left").select(*files.columns, "extension")
 
 

@@ -86,6 +86,37 @@ def test_first_and_longest_prefix(spark):
     assert rows_of(extensions.by_prefix(files, rules, longest=True)) == sorted([("abcd", ".3"), ("ab", ".2"), ("x", ".0"), (None, None), ("", ".0")], key=repr)
 
 
+def made_by_joins(df):
+    """The most rows that a join of ``df`` makes when it runs."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        inner = node.executedPlan() if name == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in name else node.child() if name == "ReusedExchange" else None
+        todo += [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_many_rules_of_one_prefix_meet_types_once(spark):
+    rules = spark.range(300).selectExpr("'a' as prefix", "concat('.', 299 - id) as extension", "cast(id as int) as rule_ord").unionByName(spark.createDataFrame([("ab", ".b", 500)], "prefix string, extension string, rule_ord int"))
+    files = spark.range(200).selectExpr("concat('ab', id) as mime_type")
+    for longest, extension in ((False, ".299"), (True, ".b")):
+        found = extensions.by_prefix(files, rules, longest)
+        assert made_by_joins(found) <= 2 * 200
+        assert {r.extension for r in found.collect()} == {extension}
+
+
+def test_prefixes_of_any_length(spark):
+    rules = spark.createDataFrame([("x" * 300, ".long", 0), ("x", ".short", 1), ("\U0001f600", ".face", 2)], "prefix string, extension string, rule_ord int")
+    files = spark.createDataFrame([("x" * 400,), ("x" * 299,), ("\U0001f600/y",), (None,)], "mime_type string")
+    want = sorted([("x" * 400, ".long"), ("x" * 299, ".short"), ("\U0001f600/y", ".face"), (None, None)], key=repr)
+    assert rows_of(extensions.by_prefix(files, rules)) == want and rows_of(extensions.by_prefix(files, rules, longest=True)) == want
+    assert rows_of(extensions.by_prefix(files, rules.limit(0))) == sorted([(t, None) for t, _ in want], key=repr)
+
+
 def test_extension_of_known_types(spark):
     files = spark.createDataFrame([("http://h/a.HTM", "text/html"), ("http://h/a.HTM", "x/y"), ("http://h/a", None), ("b.tar.GZ", None)], "uri string, mime_type string")
     got = extensions.extension_of(files, extensions.public_types(spark))
