@@ -45,8 +45,25 @@ def hemisphere(degrees: Column, positive: str, negative: str) -> Column:
     return F.when(degrees >= 0, positive).otherwise(negative)
 
 
+def plain(number: Column) -> Column:
+    """A double as text, small ones without an exponent: 0.0005, where Spark's own text is 5.0E-4."""
+    text = number.cast("string")
+    digits = F.rtrim(F.translate(F.split_part(text, F.lit("E-"), F.lit(1)), "-.", ""), F.lit("0"))
+    zeros = F.repeat(F.lit("0"), F.split_part(text, F.lit("E-"), F.lit(2)).try_cast("int") - 1)
+    small = F.concat(F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), F.lit("0."), zeros, digits)
+    return F.when(F.contains(text, F.lit("E-")), small).otherwise(text)
+
+
+def plain_sql(number: str) -> str:
+    """:func:`plain` as SQL text."""
+    text = f"cast({number} as string)"
+    digits = f"trim(TRAILING '0' FROM translate(split_part({text}, 'E-', 1), '-.', ''))"
+    zeros = f"repeat('0', try_cast(split_part({text}, 'E-', 2) as int) - 1)"
+    return f"CASE WHEN contains({text}, 'E-') THEN concat(if(startswith({text}, '-'), '-', ''), '0.', {zeros}, {digits}) ELSE {text} END"
+
+
 def location_text(latitude: Column, longitude: Column) -> Column:
-    return F.concat(latitude.cast("string"), F.lit(", "), longitude.cast("string"))
+    return F.concat(plain(latitude), F.lit(", "), plain(longitude))
 
 
 def degrees(text: Column, ref: Column) -> Column:

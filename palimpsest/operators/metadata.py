@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import tags
-from palimpsest.functions.labels import duration_label, location_text, resolution_label
+from palimpsest.functions.labels import duration_label, location_text, plain_sql, resolution_label
 from palimpsest.functions.names import blank
 from palimpsest.functions.seeded import listed, quoted
 from palimpsest.functions.types import media_class
-from palimpsest.operators.plans import FIELDS
+from palimpsest.operators.plans import FIELDS, PLACE
 
 
 TRACK_KEYS = ("HasVideo", "Width", "Height", "DurationMs")
@@ -152,15 +152,20 @@ def keep_annotations(annotations: Column) -> Column:
     return F.filter(annotations, lambda a: ~odd(a))
 
 
+def _text_of(field: str, column: str) -> str:
+    """A plan's field as SQL text: coordinates as plain numbers."""
+    return plain_sql(column) if field in PLACE[:2] else f"cast({column} as string)"
+
+
 def target_rows(plans: DataFrame, targets: Sequence[tuple[str, str]]) -> DataFrame:
     """(uri, entry_ord, key, value) of the plan fields in ``targets``; null fields are left out."""
-    rows = ", ".join(f"struct({i} as entry_ord, {quoted(k)} as key, cast({f} as string) as value)" for i, (k, f) in enumerate(targets, 1))
+    rows = ", ".join(f"struct({i} as entry_ord, {quoted(k)} as key, {_text_of(f, f)} as value)" for i, (k, f) in enumerate(targets, 1))
     return plans.selectExpr("uri", f"inline(array({rows}))").where("value is not null")
 
 
 def targets_of(plan: str, targets: Sequence[tuple[str, str]]) -> Column:
     """The fields of the plan in column ``plan`` under the keys of ``targets``, as an array; null fields, and all of a null plan, are left out."""
-    rows = ", ".join(f"struct({i} as entry_ord, {quoted(k)} as key, cast({plan}.{f} as string) as value)" for i, (k, f) in enumerate(targets, 1))
+    rows = ", ".join(f"struct({i} as entry_ord, {quoted(k)} as key, {_text_of(f, f'{plan}.{f}')} as value)" for i, (k, f) in enumerate(targets, 1))
     return F.expr(f"filter(array({rows}), a -> a.value is not null)")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import functions as fn
 from palimpsest import tags
-from palimpsest.functions import seeded
+from palimpsest.functions import labels, seeded
 from palimpsest.operators.pools import MAKERS, POOLS
 
 NOW = 1234
@@ -71,6 +71,15 @@ def test_labels(spark):
     assert run(spark, ["1920", None], fn.resolution_label(F.col("x"), F.lit("3"))) == ["1920x3", None]
 
 
+def test_coordinates_are_plain_numbers(spark):
+    numbers = [0.0, 0.0005, -0.0001, 0.0009, 0.00123, 0.001, -12.3456, 180.0, -1.25e-5, 1.5e-12, None]
+    want = ["0.0", "0.0005", "-0.0001", "0.0009", "0.00123", "0.001", "-12.3456", "180.0", "-0.0000125", "0.0000000000015", None]
+    assert run(spark, numbers, labels.plain(F.col("x")), "x double") == want
+    assert run(spark, numbers, F.expr(labels.plain_sql("x")), "x double") == want
+    assert run(spark, ["7/1,30/1,1/2", None], F.expr(labels.plain_sql("x"))) == ["7/1,30/1,1/2", None]
+    assert run(spark, [-0.0003], fn.location_text(F.col("x"), F.lit(0.0004)), "x double") == ["-0.0003, 0.0004"]
+
+
 def test_choices_are_spread_and_independent(spark):
     df = spark.range(6000).select(fn.picked("s", F.col("id").cast("string"), "f", list("abcde")).alias("a"), fn.picked("s", F.col("id").cast("string"), "g", list("abcde")).alias("b"))
     counts = [r["count"] for r in df.groupBy("a", "b").count().collect()]

@@ -277,3 +277,16 @@ def test_tracks_and_annotations(spark):
         t.select(md.keep_tracks(F.filter("t", lambda x: x["mime"] == "text/x"))).collect()
     a = spark.createDataFrame([([("Link", None), ("Stamp", None), (None, "Watermark"), ("Watermark", "x"), (None, None)],)], "a array<struct<subtype:string,intent:string>>")
     assert [tuple(x) for x in a.select(md.keep_annotations(F.col("a")).alias("k")).first().k] == [("Link", None), (None, None)]
+
+
+def small_places(spark):
+    """Files whose plans draw coordinates within 0.001 of zero: latitudes 0.0002 and 0.0003 for images, longitude -0.0003 for a video."""
+    files = spark.createDataFrame([("content://docs/549641", "image/png"), ("content://docs/579650", "image/heic"), ("content://docs/67700", "video/mp4")], FILES)
+    return files, spark.createDataFrame([("content://docs/549641", 1, "GPSLatitude", "45/1,30/1,0/1")], ATTRS), generate_plans(files)
+
+
+def test_small_coordinates_in_previews(spark):
+    got = {(r.uri, r.key): (r.change_kind, r.new_value, r.value) for r in md.poison_preview(*small_places(spark), strict=False).collect()}
+    assert got["content://docs/549641", "GPSLatitude"] == ("CHANGED", "0.0002", f"[CHANGED] 45/1,30/1,0/1{tags.ARROW}0.0002")
+    assert got["content://docs/579650", "GPSLatitude"] == ("ADDED", "0.0003", "[ADDED] 0.0003")
+    assert got["content://docs/67700", "Location"] == ("ADDED", "-0.303, -0.0003", "[ADDED] -0.303, -0.0003")
