@@ -290,3 +290,9 @@ def test_small_coordinates_in_previews(spark):
     assert got["content://docs/549641", "GPSLatitude"] == ("CHANGED", "0.0002", f"[CHANGED] 45/1,30/1,0/1{tags.ARROW}0.0002")
     assert got["content://docs/579650", "GPSLatitude"] == ("ADDED", "0.0003", "[ADDED] 0.0003")
     assert got["content://docs/67700", "Location"] == ("ADDED", "-0.303, -0.0003", "[ADDED] -0.303, -0.0003")
+
+
+def test_small_coordinates_in_strict_previews(spark):
+    got = {(r.uri, r.key): (r.change_kind, r.new_value, r.value) for r in md.poison_preview(*small_places(spark)).collect()}
+    assert got["content://docs/549641", "GPSLatitude"] == ("CHANGED", "0.0002", f"[CHANGED] 45/1,30/1,0/1{tags.ARROW}0.0002")
+    assert got["content://docs/579650", "GPSLatitude"] == ("ADDED", "0.0003", "[ADDED] 0.0003")
