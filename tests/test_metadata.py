@@ -296,3 +296,8 @@ def test_small_coordinates_in_strict_previews(spark):
     got = {(r.uri, r.key): (r.change_kind, r.new_value, r.value) for r in md.poison_preview(*small_places(spark)).collect()}
     assert got["content://docs/549641", "GPSLatitude"] == ("CHANGED", "0.0002", f"[CHANGED] 45/1,30/1,0/1{tags.ARROW}0.0002")
     assert got["content://docs/579650", "GPSLatitude"] == ("ADDED", "0.0003", "[ADDED] 0.0003")
+
+
+def test_small_coordinates_in_replaced_images(spark):
+    got = {r.uri: r.value for r in md.poison_image(*small_places(spark)).where("key = 'GPSLatitude'").collect()}
+    assert got == {"content://docs/549641": "0.0002", "content://docs/579650": "0.0003"}
