@@ -301,3 +301,8 @@ def test_small_coordinates_in_strict_previews(spark):
 def test_small_coordinates_in_replaced_images(spark):
     got = {r.uri: r.value for r in md.poison_image(*small_places(spark)).where("key = 'GPSLatitude'").collect()}
     assert got == {"content://docs/549641": "0.0002", "content://docs/579650": "0.0003"}
+
+
+def test_small_coordinates_in_listed_images(spark):
+    got = {r.uri: r.value for r in md.poison_image(*small_places(spark), strict=False).where("key = 'GPSLatitude'").collect()}
+    assert got == {"content://docs/549641": "0.0002", "content://docs/579650": "0.0003"}
