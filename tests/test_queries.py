@@ -32,3 +32,9 @@ def test_strict_previews_near_zero_have_the_rows_of_their_sql(spark, near_zero):
     got, want = both(spark, near_zero, "change_preview_poison_strict")
     assert got == want
     assert ("content://docs/1293369", "GPSLatitude", "ADDED", None, "-0.0002", "[ADDED] -0.0002") in got
+
+
+def test_replaced_images_near_zero_have_the_rows_of_their_sql(spark, near_zero):
+    got, want = both(spark, near_zero, "poison_apply_image")
+    assert got == want
+    assert ("content://docs/1372114", "GPSLongitude", "-0.0005") in got
