@@ -38,3 +38,9 @@ def test_replaced_images_near_zero_have_the_rows_of_their_sql(spark, near_zero):
     got, want = both(spark, near_zero, "poison_apply_image")
     assert got == want
     assert ("content://docs/1372114", "GPSLongitude", "-0.0005") in got
+
+
+def test_listed_images_near_zero_have_the_rows_of_their_sql(spark, near_zero):
+    got, want = both(spark, near_zero, "poison_apply_image_listed")
+    assert got == want
+    assert ("content://docs/3045456", "GPSLongitude", "0.0003") in got
